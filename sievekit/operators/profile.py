@@ -28,3 +28,13 @@ def corpus_totals(corpus: DataFrame) -> DataFrame:
 def first_duplicates(links: DataFrame, n: int = 10) -> DataFrame:
     """The report's first n duplicate links, ordered by (original, duplicate)."""
     return links.orderBy("original_index", "duplicate_index").limit(n)
+
+
+def extension_top(corpus: DataFrame, n: int = 5) -> DataFrame:
+    """Most frequent file extensions; ties keep the extension seen first."""
+    from ..functions.structural import file_extension
+    files = corpus.select("design_idx", F.posexplode("files").alias("pos", "f"))
+    ext = files.select(file_extension(F.col("f.file_name")).alias("extension"),
+                       F.struct("design_idx", "pos").alias("seen")).where(F.col("extension").isNotNull())
+    counts = ext.groupBy("extension").agg(F.count(F.lit(1)).alias("n_files"), F.min("seen").alias("first_seen"))
+    return counts.orderBy(F.desc("n_files"), "first_seen").limit(n).select("extension", "n_files")

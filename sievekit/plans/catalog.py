@@ -125,3 +125,90 @@ def dedup_code_kept(spark, sf):
 def dedup_code_links(spark, sf):
     links = _exact(spark, sf, "code").links
     return links.select("duplicate_index", "original_index", F.round("similarity", 6).alias("similarity"))
+
+
+# ---- semantic profile (O21-O26) --------------------------------------------
+
+@query("tokens_semantic")
+def tokens_semantic(spark, sf):
+    from ..functions.text import semantic_text, semantic_tokens
+    c = TB.code_corpus(spark, sf)
+    return c.select("design_idx", F.size(semantic_tokens(F.col("files"))).alias("n_tokens"),
+                    F.md5(semantic_text(F.col("files"))).alias("text_md5"))
+
+
+@query("tokens_semantic_documents")
+def tokens_semantic_documents(spark, sf):
+    from ..functions.text import semantic_text, semantic_tokens
+    c = TB.documents_corpus(spark, sf)
+    return c.select("design_idx", F.size(semantic_tokens(F.col("files"))).alias("n_tokens"),
+                    F.md5(semantic_text(F.col("files"))).alias("text_md5"))
+
+
+# ---- structural features (O27-O29, O43) -----------------------------------
+
+@query("structural_features")
+def structural_features(spark, sf):
+    from ..functions.structural import ENHANCED_FEATURES, with_structural
+    df = with_structural(TB.code_corpus(spark, sf).select("design_idx", "files"))
+    return df.select("design_idx", *[F.round(n, 6).alias(n) for n in ENHANCED_FEATURES])
+
+
+@query("structural_basic")
+def structural_basic(spark, sf):
+    from ..functions.structural import BASIC_FEATURES, with_structural
+    df = with_structural(TB.code_corpus(spark, sf).select("design_idx", "files"), basic=True)
+    return df.select("design_idx", *[F.round(n, 6).alias(n) for n in BASIC_FEATURES])
+
+
+@query("extension_top5")
+def extension_top5(spark, sf):
+    return P.extension_top(TB.code_corpus(spark, sf), 5)
+
+
+# ---- curation (O33a-O33f, O45, O77, O78) ----------------------------------
+
+def _curation(spark, sf):
+    return TB.code_corpus(spark, sf).drop("files"), TB.curation_list_from_part(spark, sf)
+
+
+@query("curated_semi")
+def curated_semi(spark, sf):
+    from ..operators.curate import keep_listed
+    corpus, sel = _curation(spark, sf)
+    return keep_listed(corpus, sel).select("design_idx", "algo_name", "source_name")
+
+
+@query("curated_missing")
+def curated_missing(spark, sf):
+    from ..operators.curate import missing_pairs
+    corpus, sel = _curation(spark, sf)
+    return missing_pairs(corpus, sel)
+
+
+@query("curated_audit")
+def curated_audit(spark, sf):
+    from ..operators.curate import decision_audit
+    corpus, sel = _curation(spark, sf)
+    return decision_audit(corpus, sel).groupBy("decision").agg(F.count(F.lit(1)).alias("n_designs"))
+
+
+@query("curated_check")
+def curated_check(spark, sf):
+    from ..operators.curate import check_counts, keep_listed
+    corpus, sel = _curation(spark, sf)
+    return check_counts(keep_listed(corpus, sel), sel)
+
+
+@query("sources_per_name")
+def sources_per_name(spark, sf):
+    from ..operators.curate import sources_per_name as spn
+    _, sel = _curation(spark, sf)
+    return spn(sel)
+
+
+@query("curated_keyed")
+def curated_keyed(spark, sf):
+    from ..operators.curate import keyed_filter
+    _, sel = _curation(spark, sf)
+    return keyed_filter(TB.keyed_corpus_from_part(spark, sf), sel).select("key", "source", "is_struct")

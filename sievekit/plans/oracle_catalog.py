@@ -58,3 +58,115 @@ SELECT design_idx FROM kept"""
 
 SQL["dedup_code_links"] = O.with_recursive(_EXACT_CODE + O.first_wins_ctes()) + """
 SELECT duplicate_index, original_index, round(similarity, 6) AS similarity FROM links"""
+
+# ---- semantic profile -------------------------------------------------------
+
+def _semantic(corpus: str) -> str:
+    return f"""WITH {O.corpus_ctes(corpus)},
+ft AS (SELECT design_idx, file_pos, {O.semantic_tokens('file_content')} AS t FROM files)
+SELECT d.design_idx, coalesce(sum(len(ft.t)), 0)::INTEGER AS n_tokens,
+       md5(coalesce(string_agg(array_to_string(ft.t, ' '), ' ' ORDER BY ft.file_pos), '')) AS text_md5
+FROM designs d LEFT JOIN ft USING (design_idx) GROUP BY d.design_idx"""
+
+
+SQL["tokens_semantic"] = _semantic("code")
+SQL["tokens_semantic_documents"] = _semantic("documents")
+
+# ---- structural -------------------------------------------------------------
+from ..functions import constants as _K  # noqa: E402
+
+_count_cols = ",\n".join(
+    f"       sum(len(regexp_extract_all(file_content, {O.q(p)})))::BIGINT AS {n}"
+    for n, p in _K.STRUCTURAL_PATTERNS)
+_STRUCT_BASE = f"""WITH {O.corpus_ctes('code')},
+fx AS (SELECT *, CASE WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) END AS ext FROM files),
+per AS (SELECT design_idx, count(*)::BIGINT AS file_count,
+       sum(length(file_content) - length(replace(file_content, chr(10), '')) + 1)::BIGINT AS total_lines,
+       sum(length(file_content))::BIGINT AS total_chars,
+{_count_cols},
+       count(DISTINCT ext)::BIGINT AS file_type_count,
+       count(*) FILTER (WHERE ext = 'cpp')::BIGINT AS ext_cpp, count(*) FILTER (WHERE ext = 'h')::BIGINT AS ext_h,
+       count(*) FILTER (WHERE ext = 'c')::BIGINT AS ext_c, count(*) FILTER (WHERE ext = 'hpp')::BIGINT AS ext_hpp
+FROM fx GROUP BY design_idx),
+c AS (SELECT d.design_idx, {', '.join(f'coalesce(p.{n}, 0) AS {n}' for n in ['file_count', 'total_lines', 'total_chars'] + [n for n, _ in _K.STRUCTURAL_PATTERNS] + ['file_type_count', 'ext_cpp', 'ext_h', 'ext_c', 'ext_hpp'])}
+      FROM designs d LEFT JOIN per p USING (design_idx))"""
+
+
+def _r(x: str) -> str:
+    return f"round(CAST({x} AS DOUBLE), 6)"
+
+
+def _div(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END"
+
+
+SQL["structural_features"] = _STRUCT_BASE + f"""
+SELECT design_idx, {_r('file_count')} AS file_count, {_r('ln(1 + total_lines)')} AS log_total_lines,
+  {_r(_div('total_lines', 'file_count'))} AS avg_lines_per_file, {_r(_div('total_chars', 'total_lines'))} AS code_density,
+  {_r('ln(1 + function_count)')} AS log_function_count, {_r('ln(1 + loop_count)')} AS log_loop_count,
+  {_r('include_count')} AS include_count, {_r('pragma_count')} AS pragma_count, {_r('class_count')} AS class_count,
+  {_r('template_count')} AS template_count, {_r('nested_loop_count')} AS nested_loop_count,
+  {_r('conditional_count')} AS conditional_count, {_r('pointer_usage')} AS pointer_usage,
+  {_r('array_usage')} AS array_usage, {_r('hls_directive_count')} AS hls_directive_count,
+  {_r('ap_type_count')} AS ap_type_count,
+  {_r(_div('nested_loop_count + conditional_count', 'total_lines'))} AS complexity_ratio,
+  {_r(_div('hls_directive_count', 'total_lines'))} AS hls_ratio,
+  {_r('file_type_count')} AS file_type_count, {_r('ext_cpp')} AS ext_cpp, {_r('ext_h')} AS ext_h,
+  {_r('ext_c')} AS ext_c, {_r('ext_hpp')} AS ext_hpp
+FROM c"""
+
+SQL["structural_basic"] = _STRUCT_BASE + f"""
+SELECT design_idx, {_r('file_count')} AS file_count, {_r('total_lines')} AS total_lines,
+  {_r(_div('total_lines', 'file_count'))} AS avg_lines_per_file, {_r(_div('total_chars', 'total_lines'))} AS code_density,
+  {_r('function_count')} AS function_count, {_r('loop_count')} AS loop_count, {_r('include_count')} AS include_count,
+  {_r('file_type_count')} AS file_type_count, {_r('ext_cpp')} AS ext_cpp, {_r('ext_h')} AS ext_h, {_r('ext_c')} AS ext_c
+FROM c"""
+
+SQL["extension_top5"] = f"""WITH {O.corpus_ctes('code')},
+fx AS (SELECT design_idx, file_pos, CASE WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) END AS ext FROM files)
+SELECT ext AS extension, count(*)::BIGINT AS n_files FROM fx WHERE ext IS NOT NULL
+GROUP BY ext ORDER BY count(*) DESC, min(design_idx * 10 + file_pos) LIMIT 5"""
+
+# ---- curation -----------------------------------------------------------------
+from ..sources import code_corpus as _CC  # noqa: E402
+
+_CUR = f"""WITH {O.corpus_ctes('code')},
+sel AS (SELECT DISTINCT algo_name, source_name FROM (
+          SELECT {_CC.ALGO_NAME_SQL} AS algo_name, p_brand AS source_name FROM part WHERE p_partkey % 10 = 0
+          UNION ALL SELECT * FROM (VALUES ('missing_kernel_a', 'Brand#0'), ('missing_kernel_b', 'Brand#99'),
+                                          ('missing_kernel_c', 'nowhere')) v(algo_name, source_name))
+        WHERE algo_name IS NOT NULL AND source_name IS NOT NULL),
+usable AS (SELECT * FROM designs WHERE coalesce(algo_name, '') <> '' AND coalesce(source_name, '') <> '')"""
+
+SQL["curated_semi"] = _CUR + """
+SELECT design_idx, algo_name, source_name FROM usable u
+WHERE EXISTS (SELECT 1 FROM sel s WHERE s.algo_name = u.algo_name AND s.source_name = u.source_name)"""
+
+SQL["curated_missing"] = _CUR + """
+SELECT algo_name, source_name FROM sel
+EXCEPT SELECT algo_name, source_name FROM usable"""
+
+SQL["curated_audit"] = _CUR + """
+SELECT CASE WHEN coalesce(d.algo_name, '') <> '' AND coalesce(d.source_name, '') <> '' AND s.algo_name IS NOT NULL THEN 'kept'
+            WHEN coalesce(d.algo_name, '') <> '' AND coalesce(d.source_name, '') <> '' THEN 'pair not listed'
+            WHEN coalesce(d.algo_name, '') <> '' THEN 'no source' ELSE 'no name' END AS decision,
+       count(*)::BIGINT AS n_designs
+FROM designs d LEFT JOIN sel s ON s.algo_name = d.algo_name AND s.source_name = d.source_name
+GROUP BY 1"""
+
+SQL["curated_check"] = _CUR + """,
+k AS (SELECT count(*) AS n FROM usable u WHERE EXISTS (SELECT 1 FROM sel s WHERE s.algo_name = u.algo_name AND s.source_name = u.source_name))
+SELECT (SELECT n FROM k)::BIGINT AS filtered_count, (SELECT count(*) FROM sel)::BIGINT AS listed_count,
+       (SELECT n FROM k) = (SELECT count(*) FROM sel) AS counts_match"""
+
+SQL["sources_per_name"] = _CUR + """
+SELECT algo_name, string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources FROM sel GROUP BY algo_name"""
+
+SQL["curated_keyed"] = _CUR + f""",
+keyed AS (SELECT {_CC.ALGO_NAME_SQL} AS key,
+                 CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 20 = 10 THEN 'Brand#0' ELSE p_brand END END AS source,
+                 p_partkey % 3 <> 2 AS is_struct FROM part)
+SELECT key, source, is_struct FROM keyed k
+WHERE k.key IN (SELECT algo_name FROM sel)
+  AND (NOT k.is_struct OR k.source IS NULL
+       OR EXISTS (SELECT 1 FROM sel s WHERE s.algo_name = k.key AND s.source_name = k.source))"""

@@ -80,3 +80,17 @@ def curation_list_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("missing_kernel_a", "Brand#0"), ("missing_kernel_b", "Brand#99"),
          ("missing_kernel_c", "nowhere")], "algo_name string, source_name string")
     return listed.unionByName(absent)
+
+
+def keyed_corpus_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed corpus ``algo_name -> value`` as rows ``(key, source, is_struct)``.
+
+    Value kinds by key: struct with a source (the right brand, or a wrong one
+    for every other 10th key), struct without source, or a scalar.
+    """
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    kind = F.col("p_partkey") % 3
+    source = (F.when(kind == 0, F.when(F.col("p_partkey") % 20 == 10, F.lit("Brand#0"))
+                     .otherwise(F.col("p_brand"))))
+    return part.select(F.expr(CC.ALGO_NAME_SQL).alias("key"), source.alias("source"),
+                       (kind != 2).alias("is_struct"))
