@@ -87,9 +87,7 @@ def _exact(spark, sf, corpus="documents"):
 @query("similar_pairs_exact")
 def similar_pairs_exact(spark, sf):
     from ..operators.simjoin import collapse_equal_sets, jaccard_self_join
-    from ..functions.shingles import shingle_hash64
-    sets = DS.shingle_sets(TB.documents_corpus(spark, sf), K_SHINGLE).select(
-        F.col("design_idx").alias("id"), shingle_hash64(F.col("shingles")).alias("set"))
+    sets = DS.hashed_shingle_sets(TB.documents_corpus(spark, sf), K_SHINGLE)
     reps, _ = collapse_equal_sets(sets.where(F.size("set") > 0))
     pairs = jaccard_self_join(reps, DEDUP_THRESHOLD)
     return pairs.select("i", "j", "overlap", F.round("jaccard", 6).alias("jaccard"))
@@ -212,3 +210,73 @@ def curated_keyed(spark, sf):
     from ..operators.curate import keyed_filter
     _, sel = _curation(spark, sf)
     return keyed_filter(TB.keyed_corpus_from_part(spark, sf), sel).select("key", "source", "is_struct")
+
+
+# ---- MinHash and LSH (O31, O30b, O32, O32b, O36) ---------------------------
+
+NUM_PERM = 128
+
+
+def _signatures(spark, sf):
+    sigs = DS.signature_table(TB.documents_corpus(spark, sf), K_SHINGLE, NUM_PERM)
+    return sigs.where(F.col("sig").isNotNull())
+
+
+@query("minhash_signature")
+def minhash_signature(spark, sf):
+    return _signatures(spark, sf).select(
+        F.col("id").alias("design_idx"), F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+
+
+@query("similar_pairs_minhash")
+def similar_pairs_minhash(spark, sf):
+    from ..operators import minhash as MH
+    from ..operators.simjoin import collapse_equal_sets
+    reps, _ = collapse_equal_sets(_signatures(spark, sf), set_col="sig")
+    pairs = MH.signature_self_join(reps.withColumnRenamed("set", "sig"), DEDUP_THRESHOLD, NUM_PERM)
+    return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+def _minhash(spark, sf):
+    return DS.minhash_dedup(TB.documents_corpus(spark, sf), DEDUP_THRESHOLD, K_SHINGLE, NUM_PERM)
+
+
+@query("dedup_minhash_kept")
+def dedup_minhash_kept(spark, sf):
+    return _minhash(spark, sf).kept
+
+
+@query("dedup_minhash_links")
+def dedup_minhash_links(spark, sf):
+    links = _minhash(spark, sf).links
+    return links.select("duplicate_index", "original_index", F.round("similarity", 6).alias("similarity"))
+
+
+@query("lsh_buckets")
+def lsh_buckets(spark, sf):
+    """Buckets with at least two designs: (band, smallest member, size)."""
+    from ..operators import minhash as MH
+    b, r = MH.optimal_bands(LSH_THRESHOLD, NUM_PERM)
+    keys = MH.band_keys(_signatures(spark, sf), "sig", MH.lsh_bands(b, r))
+    return (keys.groupBy("band", "band_key")
+            .agg(F.min("id").alias("first_member"), F.count(F.lit(1)).alias("n_members"))
+            .where(F.col("n_members") > 1).select("band", "first_member", "n_members"))
+
+
+def _lsh(spark, sf):
+    return DS.lsh_dedup(TB.documents_corpus(spark, sf), LSH_THRESHOLD, K_SHINGLE, NUM_PERM)
+
+
+@query("dedup_lsh_kept")
+def dedup_lsh_kept(spark, sf):
+    return _lsh(spark, sf).kept
+
+
+@query("dedup_lsh_links")
+def dedup_lsh_links(spark, sf):
+    return _lsh(spark, sf).links
+
+
+@query("dedup_lsh_stats")
+def dedup_lsh_stats(spark, sf):
+    return _lsh(spark, sf).stats()

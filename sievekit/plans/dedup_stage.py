@@ -37,11 +37,31 @@ def shingle_sets(corpus: DataFrame, k: int = 5, hls_aware: bool = True) -> DataF
     return corpus.select("design_idx", shingles(lexical_tokens(F.col("files"), hls_aware), k).alias("shingles"))
 
 
+def hashed_shingle_sets(corpus: DataFrame, k: int = 5, hls_aware: bool = True) -> DataFrame:
+    """(id, set array<bigint>) written once to the checkpoint directory.
+
+    Text processing is the costly, row-local part; materialising its result
+    means every later step (pair finding, links, kept set) reads compact hash
+    arrays instead of re-tokenising, and filters on the result cannot be
+    pushed back into (and so duplicate) the tokeniser.
+    """
+    return D._checkpoint(shingle_sets(corpus, k, hls_aware).select(
+        F.col("design_idx").alias("id"), shingle_hash64(F.col("shingles")).alias("set")))
+
+
+def signature_table(corpus: DataFrame, k: int = 5, num_perm: int = 128,
+                    hls_aware: bool = True) -> DataFrame:
+    """(id, sig array<bigint>) written once; ``sig`` is null for designs without shingles."""
+    sh = shingle_sets(corpus, k, hls_aware)
+    return D._checkpoint(sh.select(
+        F.col("design_idx").alias("id"),
+        MH.signature(MH.shingle_hashes31(F.col("shingles")), num_perm).alias("sig")))
+
+
 def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
                 hls_aware: bool = True) -> DedupResult:
     """Exact mode with exact Jaccard of shingle sets as the similarity."""
-    sets = shingle_sets(corpus, k, hls_aware).select(
-        F.col("design_idx").alias("id"), shingle_hash64(F.col("shingles")).alias("set"))
+    sets = hashed_shingle_sets(corpus, k, hls_aware)
     valid = sets.where(F.size("set") > 0)
     reps, members = collapse_equal_sets(valid)
     edges = jaccard_self_join(reps, threshold).select("i", "j", F.col("jaccard").alias("sim"))
@@ -51,10 +71,8 @@ def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
 def minhash_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
                   num_perm: int = 128, hls_aware: bool = True) -> DedupResult:
     """Exact mode with the MinHash estimate (equal positions / num_perm) as the similarity."""
-    sets = shingle_sets(corpus, k, hls_aware).select(
-        F.col("design_idx").alias("id"), MH.shingle_hashes31(F.col("shingles")).alias("set"))
-    valid = sets.where(F.size("set") > 0)
-    sigs = valid.select("id", MH.signature(F.col("set"), num_perm).alias("sig"))
+    sigs = signature_table(corpus, k, num_perm, hls_aware).where(F.col("sig").isNotNull())
+    valid = sigs.select("id")
     reps, members = collapse_equal_sets(sigs, set_col="sig")
     edges = MH.signature_self_join(reps.withColumnRenamed("set", "sig"), threshold, num_perm) \
         .select("i", "j", F.col("similarity").alias("sim"))
@@ -80,10 +98,8 @@ def lsh_dedup(corpus: DataFrame, lsh_threshold: float = 0.8, k: int = 5,
     is the smallest kept design sharing a band, written ``design_{i}``.
     """
     b, r = bands or MH.optimal_bands(lsh_threshold, num_perm)
-    sets = shingle_sets(corpus, k, hls_aware).select(
-        F.col("design_idx").alias("id"), MH.shingle_hashes31(F.col("shingles")).alias("set"))
-    valid = sets.where(F.size("set") > 0)
-    sigs = valid.select("id", MH.signature(F.col("set"), num_perm).alias("sig"))
+    sigs = signature_table(corpus, k, num_perm, hls_aware).where(F.col("sig").isNotNull())
+    valid = sigs.select("id")
     keys = MH.band_keys(sigs, "sig", MH.lsh_bands(b, r))
     members = keys.select(F.col("id").alias("node"), F.struct("band", "band_key").alias("bucket"))
     state = D.first_wins_buckets(members)

@@ -170,3 +170,72 @@ SELECT key, source, is_struct FROM keyed k
 WHERE k.key IN (SELECT algo_name FROM sel)
   AND (NOT k.is_struct OR k.source IS NULL
        OR EXISTS (SELECT 1 FROM sel s WHERE s.algo_name = k.key AND s.source_name = k.source))"""
+
+# ---- MinHash / LSH ----------------------------------------------------------------
+from ..operators import minhash as _MH  # noqa: E402
+from .catalog import LSH_THRESHOLD, NUM_PERM  # noqa: E402
+
+_A, _B = _MH.permutations(NUM_PERM)
+_SIG = O.lexical_ctes("documents", K_SHINGLE) + f""",
+perms AS (SELECT unnest(range(1, {NUM_PERM + 1})) AS p, unnest({list(_A)}::BIGINT[]) AS a, unnest({list(_B)}::BIGINT[]) AS b),
+hs AS (SELECT DISTINCT design_idx, {O.hash31('s')} AS h FROM sh),
+sigl AS (SELECT design_idx, p, min((a * h + b) % 2147483647) AS v FROM hs CROSS JOIN perms GROUP BY design_idx, p),
+sig AS (SELECT design_idx, list(v ORDER BY p) AS sig FROM sigl GROUP BY design_idx)"""
+
+SQL["minhash_signature"] = "WITH " + _SIG + """
+SELECT design_idx, array_to_string(sig, ',') AS sig FROM sig"""
+
+_MH_EDGES = _SIG + f""",
+sets2 AS (SELECT design_idx, array_to_string(sig, ',') AS set_key FROM sig),
+reps AS (SELECT set_key, min(design_idx) AS rep FROM sets2 GROUP BY set_key),
+members AS (SELECT s.design_idx AS id, r.rep FROM sets2 s JOIN reps r USING (set_key)),
+rsig AS (SELECT l.* FROM sigl l JOIN reps r ON l.design_idx = r.rep),
+edges AS (SELECT a.design_idx AS i, b.design_idx AS j, count(*) / {float(NUM_PERM)} AS sim
+          FROM rsig a JOIN rsig b ON a.p = b.p AND a.v = b.v AND a.design_idx < b.design_idx
+          GROUP BY 1, 2 HAVING count(*) / {float(NUM_PERM)} >= {DEDUP_THRESHOLD})"""
+
+SQL["similar_pairs_minhash"] = "WITH " + _MH_EDGES + """
+SELECT i, j, round(sim, 6) AS similarity FROM edges"""
+
+SQL["dedup_minhash_kept"] = O.with_recursive(_MH_EDGES + O.first_wins_ctes()) + """
+SELECT design_idx FROM kept"""
+
+SQL["dedup_minhash_links"] = O.with_recursive(_MH_EDGES + O.first_wins_ctes()) + """
+SELECT duplicate_index, original_index, round(similarity, 6) AS similarity FROM links"""
+
+_LB, _LR = _MH.optimal_bands(LSH_THRESHOLD, NUM_PERM)
+_LSH = _SIG + f""",
+bm AS (SELECT design_idx AS node, b - 1 AS band, array_to_string(list_slice(sig, (b - 1) * {_LR} + 1, b * {_LR}), ',') AS key
+       FROM sig CROSS JOIN (SELECT unnest(range(1, {_LB + 1})) AS b)),
+multi AS (SELECT band, key, min(node) AS first_member, count(*) AS n_members FROM bm GROUP BY band, key HAVING count(*) > 1),
+m AS (SELECT bm.node, bm.band, bm.key FROM bm JOIN multi USING (band, key)),
+nodes AS (SELECT node, row_number() OVER (ORDER BY node) AS rn FROM (SELECT DISTINCT node FROM m)),
+walk AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS kept
+         UNION ALL
+         SELECT w.rn + 1,
+                CASE WHEN EXISTS (SELECT 1 FROM m m1 JOIN m m2 ON m1.band = m2.band AND m1.key = m2.key
+                                  WHERE m1.node = n.node AND list_contains(w.kept, m2.node))
+                     THEN w.kept ELSE list_append(w.kept, n.node) END
+         FROM walk w JOIN nodes n ON n.rn = w.rn + 1),
+kept_nodes AS (SELECT unnest(kept) AS node FROM walk WHERE rn = (SELECT count(*) FROM nodes)),
+links AS (SELECT m1.node AS duplicate_index, 'design_' || CAST(min(m2.node) AS VARCHAR) AS similar_to,
+                 'LSH_match' AS estimated_similarity
+          FROM m m1 JOIN m m2 ON m1.band = m2.band AND m1.key = m2.key
+          WHERE m2.node IN (SELECT node FROM kept_nodes) AND m1.node NOT IN (SELECT node FROM kept_nodes)
+          GROUP BY m1.node),
+kept AS (SELECT design_idx FROM sig WHERE design_idx NOT IN (SELECT duplicate_index FROM links))"""
+
+SQL["lsh_buckets"] = "WITH " + _LSH.split(",\nm AS")[0] + """
+SELECT band::INTEGER AS band, first_member, n_members::BIGINT AS n_members FROM multi"""
+
+SQL["dedup_lsh_kept"] = O.with_recursive(_LSH) + """
+SELECT design_idx FROM kept"""
+
+SQL["dedup_lsh_links"] = O.with_recursive(_LSH) + """
+SELECT duplicate_index, similar_to, estimated_similarity FROM links"""
+
+SQL["dedup_lsh_stats"] = O.with_recursive(_LSH) + """
+SELECT (SELECT count(*) FROM designs)::BIGINT AS original_count, NULL::BIGINT AS valid_count,
+       (SELECT count(*) FROM kept)::BIGINT AS deduplicated_count,
+       (SELECT count(*) FROM links)::BIGINT AS duplicate_count, 'LSH' AS processing_mode,
+       round((1 - (SELECT count(*) FROM kept) / (SELECT count(*) FROM designs)) * 100, 6) AS dedup_rate_pct"""
