@@ -280,3 +280,59 @@ def dedup_lsh_links(spark, sf):
 @query("dedup_lsh_stats")
 def dedup_lsh_stats(spark, sf):
     return _lsh(spark, sf).stats()
+
+
+# ---- TF-IDF, scaling, combined vectors (O46-O54, O59) ----------------------
+
+@query("tfidf_vocabulary")
+def tfidf_vocabulary(spark, sf):
+    from .features import tfidf_model
+    v = tfidf_model(TB.code_corpus(spark, sf)).vocabulary
+    return v.select("term", "dim", "df", "sum_tf", F.round("idf", 6).alias("idf"))
+
+
+@query("tfidf_weights")
+def tfidf_weights(spark, sf):
+    from .features import tfidf_model
+    w = tfidf_model(TB.code_corpus(spark, sf)).weights
+    return w.select("design_idx", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("tfidf_sparsity")
+def tfidf_sparsity(spark, sf):
+    from ..operators.tfidf import sparsity
+    from .features import tfidf_model
+    m = tfidf_model(TB.code_corpus(spark, sf))
+    s = sparsity(m.weights, m.n_docs, m.vocabulary.count())
+    return s.select("n_rows", "n_cols", "nnz", F.round("sparsity", 6).alias("sparsity"))
+
+
+@query("tfidf_vocabulary_documents")
+def tfidf_vocabulary_documents(spark, sf):
+    from .features import tfidf_model
+    v = tfidf_model(TB.documents_corpus(spark, sf)).vocabulary
+    return v.select("term", "dim", "df", "sum_tf", F.round("idf", 6).alias("idf"))
+
+
+@query("robust_scaled")
+def robust_scaled(spark, sf):
+    from ..functions.structural import ENHANCED_FEATURES
+    from .features import structural_scaled
+    s = structural_scaled(TB.code_corpus(spark, sf))
+    return s.select("design_idx", *[F.round(c, 6).alias(c) for c in ENHANCED_FEATURES])
+
+
+@query("maxabs_scaled")
+def maxabs_scaled(spark, sf):
+    from ..functions.structural import ENHANCED_FEATURES
+    from ..operators.scaling import maxabs_scale
+    from .features import structural_scaled
+    s = maxabs_scale(structural_scaled(TB.code_corpus(spark, sf)), list(ENHANCED_FEATURES))
+    return s.select("design_idx", *[F.round(c, 6).alias(c) for c in ENHANCED_FEATURES])
+
+
+@query("combined_features")
+def combined_features(spark, sf):
+    from .features import design_features
+    fs = design_features(TB.code_corpus(spark, sf), "combined")
+    return fs.long.select("design_idx", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))

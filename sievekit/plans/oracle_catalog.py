@@ -239,3 +239,67 @@ SELECT (SELECT count(*) FROM designs)::BIGINT AS original_count, NULL::BIGINT AS
        (SELECT count(*) FROM kept)::BIGINT AS deduplicated_count,
        (SELECT count(*) FROM links)::BIGINT AS duplicate_count, 'LSH' AS processing_mode,
        round((1 - (SELECT count(*) FROM kept) / (SELECT count(*) FROM designs)) * 100, 6) AS dedup_rate_pct"""
+
+# ---- TF-IDF / scaling ---------------------------------------------------------
+
+
+def _tfidf(corpus: str, max_features: int = 200) -> str:
+    return f"""{O.corpus_ctes(corpus)},
+ft AS (SELECT design_idx, file_pos, {O.semantic_tokens('file_content')} AS t FROM files),
+dt AS (SELECT d.design_idx, list_transform(coalesce(flatten(list(ft.t ORDER BY ft.file_pos) FILTER (WHERE ft.t IS NOT NULL)), []), lambda x: lower(x)) AS toks
+       FROM designs d LEFT JOIN ft USING (design_idx) GROUP BY d.design_idx),
+grams AS (SELECT design_idx, unnest(list_concat(
+            list_transform(range(1, len(toks) + 1), lambda i: toks[i]),
+            list_transform(range(1, greatest(len(toks) - 1, 0) + 1), lambda i: toks[i] || ' ' || toks[i + 1]),
+            list_transform(range(1, greatest(len(toks) - 2, 0) + 1), lambda i: toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2]))) AS term
+          FROM dt),
+tf AS (SELECT design_idx, term, count(*) AS tf FROM grams GROUP BY 1, 2),
+nd AS (SELECT count(*) AS n FROM designs),
+st AS (SELECT term, count(*) AS df, sum(tf) AS sum_tf FROM tf GROUP BY term),
+vocab0 AS (SELECT * FROM st WHERE df >= 2 AND df <= 0.95 * (SELECT n FROM nd) ORDER BY sum_tf DESC, term LIMIT {max_features}),
+vocab AS (SELECT term, df, sum_tf, (row_number() OVER (ORDER BY term) - 1) AS dim,
+                 ln((1 + (SELECT n FROM nd)) / (1 + df)) + 1 AS idf FROM vocab0),
+tfraw AS (SELECT tf.design_idx, tf.term, v.dim, (1 + ln(tf.tf)) * v.idf AS raw FROM tf JOIN vocab v USING (term)),
+wts AS (SELECT design_idx, term, dim, raw / sqrt(sum(raw * raw) OVER (PARTITION BY design_idx)) AS weight FROM tfraw)"""
+
+
+SQL["tfidf_vocabulary"] = "WITH " + _tfidf("code") + """
+SELECT term, dim::INTEGER AS dim, df::BIGINT AS df, sum_tf::BIGINT AS sum_tf, round(idf, 6) AS idf FROM vocab"""
+
+SQL["tfidf_weights"] = "WITH " + _tfidf("code") + """
+SELECT design_idx, term, round(weight, 6) AS weight FROM wts"""
+
+SQL["tfidf_sparsity"] = "WITH " + _tfidf("code") + """
+SELECT (SELECT n FROM nd)::BIGINT AS n_rows, (SELECT count(*) FROM vocab)::BIGINT AS n_cols,
+       (SELECT count(*) FROM wts)::BIGINT AS nnz,
+       round(1 - (SELECT count(*) FROM wts) / ((SELECT n FROM nd) * (SELECT count(*) FROM vocab)), 6) AS sparsity"""
+
+SQL["tfidf_vocabulary_documents"] = "WITH " + _tfidf("documents") + """
+SELECT term, dim::INTEGER AS dim, df::BIGINT AS df, sum_tf::BIGINT AS sum_tf, round(idf, 6) AS idf FROM vocab"""
+
+_FEATS = [n for n in __import__("sievekit.functions.structural", fromlist=["x"]).ENHANCED_FEATURES]
+_RAW_EXPR = {
+    "file_count": "file_count", "log_total_lines": "ln(1 + total_lines)",
+    "avg_lines_per_file": _div("total_lines", "file_count"), "code_density": _div("total_chars", "total_lines"),
+    "log_function_count": "ln(1 + function_count)", "log_loop_count": "ln(1 + loop_count)",
+    "complexity_ratio": _div("nested_loop_count + conditional_count", "total_lines"),
+    "hls_ratio": _div("hls_directive_count", "total_lines"),
+}
+_RAW = _STRUCT_BASE + ",\nraw AS (SELECT design_idx, " + ", ".join(
+    f"CAST({_RAW_EXPR.get(n, n)} AS DOUBLE) AS {n}" for n in _FEATS) + " FROM c),\n"
+_RAW += "q AS (SELECT " + ", ".join(f"quantile_cont({n}, [0.25, 0.5, 0.75]) AS {n}" for n in _FEATS) + " FROM raw),\n"
+_RAW += "rs AS (SELECT design_idx, " + ", ".join(
+    f"(raw.{n} - q.{n}[2]) / CASE WHEN q.{n}[3] - q.{n}[1] = 0 THEN 1 ELSE q.{n}[3] - q.{n}[1] END AS {n}"
+    for n in _FEATS) + " FROM raw, q),\n"
+_RAW += "ma AS (SELECT " + ", ".join(f"coalesce(nullif(max(abs({n})), 0), 1) AS {n}" for n in _FEATS) + " FROM rs),\n"
+_RAW += "ms AS (SELECT design_idx, " + ", ".join(f"rs.{n} / ma.{n} AS {n}" for n in _FEATS) + " FROM rs, ma)"
+
+SQL["robust_scaled"] = _RAW + "\nSELECT design_idx, " + ", ".join(f"round({n}, 6) AS {n}" for n in _FEATS) + " FROM rs"
+SQL["maxabs_scaled"] = _RAW + "\nSELECT design_idx, " + ", ".join(f"round({n}, 6) AS {n}" for n in _FEATS) + " FROM ms"
+
+SQL["combined_features"] = _RAW + ",\n" + _tfidf("code").split(",\n", 1)[1] + f""",
+wmax AS (SELECT dim, max(abs(weight)) AS m FROM wts GROUP BY dim),
+sl AS (SELECT design_idx, (d.i - 1) AS dim, d.v AS value
+       FROM ms, LATERAL (SELECT unnest(range(1, {len(_FEATS) + 1})) AS i, unnest([{', '.join('ms.' + n for n in _FEATS)}]) AS v) d),
+tl AS (SELECT w.design_idx, w.dim + {len(_FEATS)} AS dim, w.weight / coalesce(nullif(m.m, 0), 1) AS value FROM wts w JOIN wmax m USING (dim))
+SELECT design_idx, dim::INTEGER AS dim, round(value, 6) AS value FROM (SELECT * FROM sl UNION ALL SELECT * FROM tl) WHERE value <> 0"""
