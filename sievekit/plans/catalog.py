@@ -336,3 +336,80 @@ def combined_features(spark, sf):
     from .features import design_features
     fs = design_features(TB.code_corpus(spark, sf), "combined")
     return fs.long.select("design_idx", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+# ---- representative selection on given labels (O44, O55b, O56, O62-O70) ----
+
+def _points(spark, sf, skewed=False):
+    return TB.embedding_points(spark, sf, skewed)
+
+
+@query("cluster_sizes")
+def cluster_sizes_q(spark, sf):
+    from ..operators.select import cluster_sizes
+    return cluster_sizes(_points(spark, sf)).orderBy("cluster")
+
+
+def _quota(spark, sf, skewed, lo, hi, adjust=True):
+    from ..operators import select as SEL
+    sizes = SEL.cluster_sizes(_points(spark, sf, skewed))
+    q = SEL.base_quotas(sizes, lo, hi)
+    return SEL.adjust_quotas(q, lo, hi) if adjust else q
+
+
+@query("quota_base")
+def quota_base(spark, sf):
+    return _quota(spark, sf, False, 80, 120, adjust=False)
+
+
+@query("quota_trimmed")
+def quota_trimmed(spark, sf):
+    return _quota(spark, sf, True, 10, 11)
+
+
+@query("quota_filled")
+def quota_filled(spark, sf):
+    return _quota(spark, sf, True, 30, 34)
+
+
+@query("cluster_center_member")
+def cluster_center_member(spark, sf):
+    from ..operators.select import centre_members
+    return centre_members(_points(spark, sf)).select("cluster", "id", F.round("dist", 6).alias("dist"))
+
+
+def _select(spark, sf, skewed, lo, hi):
+    from ..operators import select as SEL
+    pts = _points(spark, sf, skewed)
+    q = SEL.quotas(pts, lo, hi)
+    return pts, SEL.select_representatives(pts, q)
+
+
+@query("farthest_points")
+def farthest_points(spark, sf):
+    return _select(spark, sf, False, 80, 120)[1]
+
+
+@query("representatives")
+def representatives(spark, sf):
+    return _select(spark, sf, True, 30, 34)[1]
+
+
+@query("selection_analysis")
+def selection_analysis_q(spark, sf):
+    from ..operators.select import selection_analysis
+    pts, picks = _select(spark, sf, True, 30, 34)
+    return selection_analysis(picks, pts, 30, 34)
+
+
+@query("silhouette_sq_euclidean")
+def silhouette_q(spark, sf):
+    from ..operators.select import silhouette_sq_euclidean
+    return silhouette_sq_euclidean(_points(spark, sf)).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("assign_nearest")
+def assign_nearest_q(spark, sf):
+    from ..operators.select import assign_nearest, centres
+    pts = _points(spark, sf)
+    return assign_nearest(pts, centres(pts))

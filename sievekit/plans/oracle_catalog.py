@@ -303,3 +303,92 @@ sl AS (SELECT design_idx, (d.i - 1) AS dim, d.v AS value
        FROM ms, LATERAL (SELECT unnest(range(1, {len(_FEATS) + 1})) AS i, unnest([{', '.join('ms.' + n for n in _FEATS)}]) AS v) d),
 tl AS (SELECT w.design_idx, w.dim + {len(_FEATS)} AS dim, w.weight / coalesce(nullif(m.m, 0), 1) AS value FROM wts w JOIN wmax m USING (dim))
 SELECT design_idx, dim::INTEGER AS dim, round(value, 6) AS value FROM (SELECT * FROM sl UNION ALL SELECT * FROM tl) WHERE value <> 0"""
+
+# ---- selection on embeddings ---------------------------------------------------
+
+
+def _pts(skewed: bool) -> str:
+    cl = "(length(bin(vec_id + 1)) - 1)::INTEGER" if skewed else "label"
+    return f"pts AS (SELECT vec_id AS id, {cl} AS cluster, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
+
+
+def _quota_sql(skewed: bool, lo: int, hi: int, adjust: bool = True) -> str:
+    t = (lo + hi) // 2
+    s = _pts(skewed) + f""",
+sizes AS (SELECT cluster, count(*) AS size FROM pts GROUP BY cluster),
+base AS (SELECT cluster, size, least(greatest(1, floor(size::DOUBLE / (SELECT sum(size) FROM sizes)::DOUBLE * {float(t)})),
+                                 least(size, greatest(1, least(5, size // 2))))::INTEGER AS quota FROM sizes)"""
+    if not adjust:
+        return s + ",\nfinal AS (SELECT * FROM base)"
+    return s + f""",
+units_t AS (SELECT cluster, unnest(range(2, quota + 1)) AS u FROM base),
+trim AS (SELECT cluster, count(*) AS minus FROM (SELECT cluster, row_number() OVER (ORDER BY u DESC, cluster) AS rn FROM units_t)
+         WHERE rn <= greatest((SELECT sum(quota) FROM base) - {hi}, 0) GROUP BY cluster),
+trimmed AS (SELECT b.cluster, b.size, (b.quota - coalesce(t.minus, 0))::INTEGER AS quota FROM base b LEFT JOIN trim t USING (cluster)),
+units_f AS (SELECT cluster, quota, unnest(range(quota + 1, least(5, size) + 1)) AS u FROM trimmed),
+fill AS (SELECT cluster, count(*) AS plus FROM (SELECT cluster, row_number() OVER (ORDER BY quota DESC, cluster, u) AS rn FROM units_f)
+         WHERE rn <= greatest({lo} - (SELECT sum(quota) FROM trimmed), 0) GROUP BY cluster),
+final AS (SELECT b.cluster, b.size, (b.quota + coalesce(f.plus, 0))::INTEGER AS quota FROM trimmed b LEFT JOIN fill f USING (cluster))"""
+
+
+_CENT = """cent AS (SELECT cluster, list(m ORDER BY d) AS centre FROM (
+           SELECT cluster, d, avg(x) AS m FROM (SELECT cluster, unnest(f) AS x, unnest(range(1, len(f) + 1)) AS d FROM {src})
+           GROUP BY cluster, d) GROUP BY cluster)"""
+
+SQL["cluster_sizes"] = "WITH " + _pts(False) + "\nSELECT cluster, count(*)::BIGINT AS size FROM pts GROUP BY cluster ORDER BY cluster"
+SQL["quota_base"] = "WITH " + _quota_sql(False, 80, 120, adjust=False) + "\nSELECT cluster, size::BIGINT AS size, quota FROM final"
+SQL["quota_trimmed"] = "WITH " + _quota_sql(True, 10, 11) + "\nSELECT cluster, size::BIGINT AS size, quota FROM final"
+SQL["quota_filled"] = "WITH " + _quota_sql(True, 30, 34) + "\nSELECT cluster, size::BIGINT AS size, quota FROM final"
+
+SQL["cluster_center_member"] = "WITH " + _pts(False) + ",\n" + _CENT.format(src="pts") + """
+SELECT cluster, id, round(dist, 6) AS dist FROM (
+  SELECT p.cluster, p.id, list_distance(p.f, c.centre) AS dist,
+         row_number() OVER (PARTITION BY p.cluster ORDER BY list_distance(p.f, c.centre), p.id) AS rn
+  FROM pts p JOIN cent c USING (cluster)) WHERE rn = 1"""
+
+
+def _selection_sql(skewed: bool, lo: int, hi: int) -> str:
+    s = _quota_sql(skewed, lo, hi) + """,
+takeall AS (SELECT p.id, p.cluster, row_number() OVER (PARTITION BY p.cluster ORDER BY p.id) AS pick_rank
+            FROM pts p JOIN final q USING (cluster) WHERE q.quota >= q.size),
+rest AS (SELECT p.id, p.cluster, p.f, q.quota FROM pts p JOIN final q USING (cluster) WHERE q.quota < q.size AND q.quota > 0),
+""" + _CENT.format(src="rest") + """,
+picks1 AS (SELECT cluster, id, 1 AS pick_rank FROM (
+  SELECT r.cluster, r.id, row_number() OVER (PARTITION BY r.cluster ORDER BY list_distance(r.f, c.centre), r.id) AS rn
+  FROM rest r JOIN cent c USING (cluster)) WHERE rn = 1)"""
+    for k in range(2, 6):
+        s += f""",
+md{k} AS (SELECT r.cluster, r.id, min(list_distance(r.f, pf.f)) AS md
+          FROM rest r JOIN picks{k - 1} pk ON pk.cluster = r.cluster JOIN rest pf ON pf.id = pk.id
+          WHERE r.quota >= {k} AND r.id NOT IN (SELECT id FROM picks{k - 1}) GROUP BY r.cluster, r.id),
+picks{k} AS (SELECT * FROM picks{k - 1} UNION ALL
+             SELECT cluster, id, {k} FROM (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY md DESC, id) AS rn FROM md{k}) WHERE rn = 1)"""
+    s += ",\nsel AS (SELECT id, cluster, pick_rank FROM takeall UNION ALL SELECT id, cluster, pick_rank FROM picks5)"
+    return s
+
+
+SQL["farthest_points"] = "WITH " + _selection_sql(False, 80, 120) + "\nSELECT id, cluster, pick_rank::INTEGER AS pick_rank FROM sel"
+SQL["representatives"] = "WITH " + _selection_sql(True, 30, 34) + "\nSELECT id, cluster, pick_rank::INTEGER AS pick_rank FROM sel"
+SQL["selection_analysis"] = "WITH " + _selection_sql(True, 30, 34) + """
+SELECT (SELECT count(*) FROM sel)::BIGINT AS selected_count, (SELECT count(DISTINCT cluster) FROM pts)::BIGINT AS total_clusters,
+       (SELECT count(DISTINCT cluster) FROM sel)::BIGINT AS covered_clusters,
+       round((SELECT count(DISTINCT cluster) FROM sel) / (SELECT count(DISTINCT cluster) FROM pts), 6) AS coverage_ratio,
+       (SELECT count(*) FROM sel) BETWEEN 30 AND 34 AS target_met"""
+
+SQL["silhouette_sq_euclidean"] = "WITH " + _pts(False) + """,
+pd AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb,
+              list_sum(list_transform(range(1, len(a.f) + 1), lambda k: (a.f[k] - b.f[k]) * (a.f[k] - b.f[k]))) AS d
+       FROM pts a JOIN pts b ON a.id <> b.id),
+sz AS (SELECT cluster, count(*) AS n FROM pts GROUP BY cluster),
+per AS (SELECT id, ca, cb, sum(d) AS sd FROM pd GROUP BY id, ca, cb),
+ab AS (SELECT p.id, max(CASE WHEN p.ca = p.cb THEN p.sd / (s.n - 1) END) AS a,
+              min(CASE WHEN p.ca <> p.cb THEN p.sd / s.n END) AS b,
+              max(CASE WHEN p.ca = p.cb THEN s.n END) AS own_n
+       FROM per p JOIN sz s ON s.cluster = p.cb GROUP BY p.id)
+SELECT round(avg(CASE WHEN coalesce(own_n, 1) <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM pts LEFT JOIN ab USING (id)"""
+
+SQL["assign_nearest"] = "WITH " + _pts(False) + ",\n" + _CENT.format(src="pts") + """
+SELECT id, cluster FROM (
+  SELECT p.id, c.cluster, row_number() OVER (PARTITION BY p.id ORDER BY list_distance(p.f, c.centre), c.cluster) AS rn
+  FROM pts p CROSS JOIN cent c) WHERE rn = 1"""

@@ -94,3 +94,16 @@ def keyed_corpus_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .otherwise(F.col("p_brand"))))
     return part.select(F.expr(CC.ALGO_NAME_SQL).alias("key"), source.alias("source"),
                        (kind != 2).alias("is_struct"))
+
+
+def embedding_points(spark: SparkSession, sf_dir: str, skewed: bool = False) -> DataFrame:
+    """``embeddings`` as points ``(id, cluster, features array<double>)``.
+
+    ``cluster`` is the given ``label``, or with ``skewed`` the bit length of
+    ``vec_id + 1`` minus one (clusters of 1, 2, 4, 8, ... rows), which gives
+    the trim and fill cases of the quota rules.
+    """
+    e = spread(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    cluster = (F.length(F.bin(F.col("vec_id") + 1)) - 1).cast("int") if skewed else F.col("label")
+    return e.select(F.col("vec_id").alias("id"), cluster.alias("cluster"),
+                    F.col("embedding").cast("array<double>").alias("features"))
