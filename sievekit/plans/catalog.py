@@ -413,3 +413,58 @@ def assign_nearest_q(spark, sf):
     from ..operators.select import assign_nearest, centres
     pts = _points(spark, sf)
     return assign_nearest(pts, centres(pts))
+
+
+# ---- clustering and the end-to-end flow (O55, O57, O58, O60, O61) -- rows-only
+
+def _kept_code(spark, sf):
+    code = TB.code_corpus(spark, sf)
+    res = DS.exact_dedup(code, DEDUP_THRESHOLD, K_SHINGLE)
+    return DS.kept_designs(code, res)
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark, sf):
+    from ..operators import cluster as CL
+    from .features import design_features
+    fs = design_features(_kept_code(spark, sf), "combined")
+    labels, _, _, _ = CL.cluster(fs.vectors, threads=8)
+    return labels
+
+
+@query("best_k")
+def best_k_q(spark, sf):
+    from ..operators import cluster as CL
+    from .features import design_features
+    fs = design_features(_kept_code(spark, sf), "combined")
+    _, _, _, sweep = CL.cluster(fs.vectors, threads=8)
+    return sweep
+
+
+@query("mode_comparison")
+def mode_comparison(spark, sf):
+    from .select_stage import compare_modes
+    return compare_modes(_kept_code(spark, sf), threads=8)
+
+
+@query("pca_points")
+def pca_points_q(spark, sf):
+    """Chart table: 2-D PCA coordinates, given cluster and selection flag."""
+    from ..operators import cluster as CL
+    pts = _points(spark, sf)
+    _, picks = _select(spark, sf, False, 80, 120)
+    coords, _ = CL.pca_points(pts.select(F.col("id").alias("design_idx"), "features"))
+    flags = picks.select(F.col("id").alias("design_idx"), F.lit(True).alias("selected"))
+    return (coords.join(pts.select(F.col("id").alias("design_idx"), "cluster"), "design_idx")
+            .join(flags, "design_idx", "left")
+            .select("design_idx", "pc1", "pc2", "cluster", F.coalesce("selected", F.lit(False)).alias("selected")))
+
+
+@query("pipeline_end_to_end")
+def pipeline_end_to_end(spark, sf):
+    """Dedup -> combined features -> best-k K-Means -> quotas -> representatives, with names."""
+    from .select_stage import run_selection
+    kept = _kept_code(spark, sf)
+    sel = run_selection(kept, 80, 120, threads=8)
+    return (sel.selected.join(kept.select("design_idx", "algo_name", "source_name"), "design_idx")
+            .orderBy("cluster", "pick_rank"))
