@@ -468,3 +468,13 @@ def pipeline_end_to_end(spark, sf):
     sel = run_selection(kept, 80, 120, threads=8)
     return (sel.selected.join(kept.select("design_idx", "algo_name", "source_name"), "design_idx")
             .orderBy("cluster", "pick_rank"))
+
+
+# ---- incremental dedup on a stream (O38) -----------------------------------
+
+@query("dedup_incremental")
+def dedup_incremental(spark, sf):
+    """``documents`` streamed in four id-ordered micro-batches through the LSH index sink."""
+    from ..streaming.incremental import run_incremental
+    sink = run_incremental(spark, TB.documents_corpus(spark, sf), n_batches=4, lsh_threshold=LSH_THRESHOLD)
+    return sink.kept(spark)

@@ -392,3 +392,6 @@ SQL["assign_nearest"] = "WITH " + _pts(False) + ",\n" + _CENT.format(src="pts")
 SELECT id, cluster FROM (
   SELECT p.id, c.cluster, row_number() OVER (PARTITION BY p.id ORDER BY list_distance(p.f, c.centre), c.cluster) AS rn
   FROM pts p CROSS JOIN cent c) WHERE rn = 1"""
+
+# the stream walks the same LSH graph in the same (index) order
+SQL["dedup_incremental"] = SQL["dedup_lsh_kept"]
