@@ -36,23 +36,41 @@ class Fit:
     silhouette: float
 
 
-def fit_kmeans(vec: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED, max_iter: int = 300) -> Fit:
-    """Best of ``n_init`` restarts by training cost (inertia)."""
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="fv", predictionCol="cluster").fit(vec)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    pred = best[0].transform(vec)
-    n_labels = pred.select("cluster").distinct().count()
+def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int) -> tuple[int, KMeansModel, float]:
+    m = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="fv", predictionCol="cluster").fit(vec)
+    return k, m, m.summary.trainingCost
+
+
+def _score(vec: DataFrame, k: int, model: KMeansModel, cost: float) -> Fit:
+    pred = model.transform(vec)
     score = 0.0
-    if n_labels >= 2:
+    if pred.select("cluster").distinct().limit(2).count() >= 2:
         try:
             score = ClusteringEvaluator(featuresCol="fv", predictionCol="cluster").evaluate(pred)
         except Exception:  # noqa: BLE001 - a failed score counts as 0 during the sweep
             score = 0.0
-    return Fit(k, best[0], best[1], score)
+    return Fit(k, model, cost, score)
+
+
+def fit_many(vec: DataFrame, ks: list[int], n_init: int = N_INIT, seed: int = SEED,
+             max_iter: int = 300, threads: int = 4) -> list[Fit]:
+    """Best-of-``n_init`` fit per k; every (k, restart) fit is an independent
+    MLlib job submitted from a thread pool, so small fits overlap on the cluster."""
+    grid = [(k, seed + i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        fits = list(pool.map(lambda ks_: _fit_one(vec, ks_[0], ks_[1], max_iter), grid))
+    best: dict[int, tuple[KMeansModel, float]] = {}
+    for k, m, cost in fits:  # grid order: restarts ascending, strict '<' keeps the first
+        if k not in best or cost < best[k][1]:
+            best[k] = (m, cost)
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return list(pool.map(lambda k: _score(vec, k, *best[k]), ks))
+
+
+def fit_kmeans(vec: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED, max_iter: int = 300,
+               threads: int = 4) -> Fit:
+    """Best of ``n_init`` restarts by training cost (inertia), with its silhouette."""
+    return fit_many(vec, [k], n_init, seed, max_iter, threads)[0]
 
 
 def k_range(n: int) -> tuple[int, int]:
@@ -61,15 +79,14 @@ def k_range(n: int) -> tuple[int, int]:
 
 
 def best_k(vec: DataFrame, n: int, n_init: int = N_INIT, k_step: int = 1, threads: int = 4) -> tuple[Fit | None, list[Fit]]:
-    """First k with the highest silhouette; empty range -> k = min_k with score -1 (no sweep fit)."""
+    """First k with the highest silhouette; empty range -> None (caller fits k = min_k)."""
     if n < 3:
         raise ValueError("need at least 3 designs to cluster")
     lo, hi = k_range(n)
     ks = list(range(lo, hi + 1, k_step))
     if not ks:
         return None, []
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        fits = list(pool.map(lambda k: fit_kmeans(vec, k, n_init), ks))
+    fits = fit_many(vec, ks, n_init, threads=threads)
     best = None
     for f in fits:  # ascending k, strict '>' keeps the first on a tie
         if best is None or f.silhouette > best.silhouette:
@@ -88,8 +105,8 @@ def cluster(vectors: DataFrame, n_init: int = N_INIT, k_step: int = 1, threads:
     best, fits = best_k(vec, n, n_init, k_step, threads)
     if best is None:
         k = k_range(n)[0]
-        best = fit_kmeans(vec, k, n_init)
-        best = Fit(k, best.model, best.cost, best.silhouette)
+        best = fit_kmeans(vec, k, n_init, threads=threads)
+        best = Fit(k, best.model, best.cost, -1.0)  # empty sweep range: score -1
     labels = best.model.transform(vec).select("design_idx", F.col("cluster").cast("int").alias("cluster"))
     spark = vectors.sparkSession
     sweep = spark.createDataFrame([(f.k, float(f.silhouette), float(f.cost)) for f in fits],
