@@ -38,3 +38,16 @@ def extension_top(corpus: DataFrame, n: int = 5) -> DataFrame:
                        F.struct("design_idx", "pos").alias("seen")).where(F.col("extension").isNotNull())
     counts = ext.groupBy("extension").agg(F.count(F.lit(1)).alias("n_files"), F.min("seen").alias("first_seen"))
     return counts.orderBy(F.desc("n_files"), "first_seen").limit(n).select("extension", "n_files")
+
+
+def size_buckets(sizes: DataFrame, selected: DataFrame) -> DataFrame:
+    """Quartile bucket (1-4) by ``size`` with exact cut points; counts overall and in the selection."""
+    cuts = sizes.agg(F.percentile(F.col("size").cast("double"),
+                                  F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
+    q1, q2, q3 = (float(x) for x in cuts)
+    b = (F.when(F.col("size") <= q1, 1).when(F.col("size") <= q2, 2)
+         .when(F.col("size") <= q3, 3).otherwise(4))
+    flagged = sizes.join(selected.select("design_idx", F.lit(1).alias("sel")), "design_idx", "left")
+    out = flagged.groupBy(b.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n_all"), F.count("sel").alias("n_selected"))
+    return out.withColumn("share_selected", F.col("n_selected") / F.col("n_all"))

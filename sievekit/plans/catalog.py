@@ -478,3 +478,57 @@ def dedup_incremental(spark, sf):
     from ..streaming.incremental import run_incremental
     sink = run_incremental(spark, TB.documents_corpus(spark, sf), n_batches=4, lsh_threshold=LSH_THRESHOLD)
     return sink.kept(spark)
+
+
+# ---- optional tier (E1-E5, E7, E8) ------------------------------------------
+
+@query("char_shingles")
+def char_shingles(spark, sf):
+    """Distinct character 5-grams of whole documents."""
+    from ..functions.text import char_tokens
+    c = TB.documents_corpus(spark, sf)
+    sh = shingles(char_tokens(F.col("files")[0]["file_content"]), 5, sep="")
+    return c.select("design_idx", sh.alias("sh")).select(
+        "design_idx", F.size("sh").alias("n_shingles"),
+        F.aggregate(F.transform("sh", portable_hash31), F.lit(0).cast("bigint"),
+                    lambda acc, x: acc + x).alias("shingle_checksum"))
+
+
+@query("normalised_shingles")
+def normalised_shingles(spark, sf):
+    """5-shingles over identifier/literal-abstracted tokens of the code corpus."""
+    from ..functions.complexity import abstract_tokens
+    c = TB.code_corpus(spark, sf)
+    toks = abstract_tokens(F.col("files"))
+    sh = shingles(toks, K_SHINGLE)
+    return c.select("design_idx", F.size(toks).alias("n_tokens"), sh.alias("sh")).select(
+        "design_idx", "n_tokens", F.size("sh").alias("n_shingles"),
+        F.aggregate(F.transform("sh", portable_hash31), F.lit(0).cast("bigint"),
+                    lambda acc, x: acc + x).alias("shingle_checksum"))
+
+
+@query("cyclomatic")
+def cyclomatic_q(spark, sf):
+    from ..functions.complexity import cyclomatic
+    return TB.code_corpus(spark, sf).select("design_idx", cyclomatic(F.col("files")).alias("cyclomatic"))
+
+
+@query("halstead")
+def halstead_q(spark, sf):
+    from ..functions.complexity import halstead
+    h = halstead(F.col("files"))
+    return TB.code_corpus(spark, sf).select("design_idx", *[v.alias(k) for k, v in h.items()])
+
+
+@query("size_profile")
+def size_profile(spark, sf):
+    """Code-length quartile bucket of every design and of the selection (skewed clusters)."""
+    from ..operators.profile import size_buckets
+    pts, picks = _select(spark, sf, True, 30, 34)
+    e = TB.read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    sizes = e.select(F.col("vec_id").alias("design_idx"),
+                     F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0),
+                                 lambda a, x: a + F.abs(x)).alias("size"))
+    sel = picks.select(F.col("id").alias("design_idx"))
+    return size_buckets(sizes, sel).select("bucket", "n_all", "n_selected",
+                                           F.round("share_selected", 6).alias("share_selected"))

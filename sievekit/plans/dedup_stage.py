@@ -137,3 +137,14 @@ def dedup_stats(res: DedupResult) -> DataFrame:
 def kept_designs(corpus: DataFrame, res: DedupResult) -> DataFrame:
     """The input rows (all columns) of kept designs, in index order."""
     return corpus.join(res.kept, "design_idx", "left_semi").orderBy("design_idx")
+
+
+def deduplicate(corpus: DataFrame, similarity_threshold: float = 0.85, enable_lsh: bool = False,
+                lsh_threshold: float = 0.8, k: int = 5, num_perm: int = 128, hls_aware: bool = True,
+                similarity: str = "exact") -> DedupResult:
+    """Mode switch: LSH mode, or exact mode with ``similarity`` = 'exact' (Jaccard) or 'minhash' (estimate)."""
+    if enable_lsh:
+        return lsh_dedup(corpus, lsh_threshold, k, num_perm, hls_aware)
+    if similarity == "minhash":
+        return minhash_dedup(corpus, similarity_threshold, k, num_perm, hls_aware)
+    return exact_dedup(corpus, similarity_threshold, k, hls_aware)

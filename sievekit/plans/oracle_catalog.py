@@ -395,3 +395,47 @@ SELECT id, cluster FROM (
 
 # the stream walks the same LSH graph in the same (index) order
 SQL["dedup_incremental"] = SQL["dedup_lsh_kept"]
+
+# ---- optional tier ---------------------------------------------------------------
+from ..functions import complexity as _CX  # noqa: E402
+
+SQL["char_shingles"] = f"""WITH {O.corpus_ctes('documents')},
+cs AS (SELECT DISTINCT design_idx, substr(file_content, i, 5) AS s
+       FROM files, LATERAL (SELECT unnest(range(1, length(file_content) - 3)) AS i)),
+agg AS (SELECT design_idx, count(*) AS n, sum({O.hash31('s')}) AS h FROM cs GROUP BY design_idx)
+SELECT d.design_idx, coalesce(n, 0)::INTEGER AS n_shingles, coalesce(h, 0)::BIGINT AS shingle_checksum
+FROM designs d LEFT JOIN agg USING (design_idx)"""
+
+_ABS_CASE = (f"CASE WHEN t = 'LITERAL' THEN 'LITERAL' WHEN regexp_matches(lower(t), {O.q(_K.DIGITS_RE)}) THEN 'LITERAL' "
+             f"WHEN lower(t) IN {O._in(_K.LEXICAL_CPP_KEYWORDS)} THEN lower(t) "
+             f"WHEN regexp_matches(t, {O.q(_CX.WORD_RE)}) THEN 'IDENTIFIER' ELSE t END")
+_ABS_TEXT = (f"regexp_replace(regexp_replace({O.strip_comments('file_content')}, {O.q(_K.DQUOTE_RE)}, ' LITERAL ', 'g'), "
+             f"{O.q(_K.SQUOTE_RE)}, ' LITERAL ', 'g')")
+SQL["normalised_shingles"] = f"""WITH {O.corpus_ctes('code')},
+ft AS (SELECT design_idx, file_pos, list_transform(regexp_extract_all({_ABS_TEXT}, {O.q(_K.TOKEN_RE)}), lambda t: {_ABS_CASE}) AS t FROM files),
+toks AS (SELECT d.design_idx, coalesce(flatten(list(ft.t ORDER BY ft.file_pos) FILTER (WHERE ft.t IS NOT NULL)), []) AS toks
+         FROM designs d LEFT JOIN ft USING (design_idx) GROUP BY d.design_idx),
+shl AS (SELECT design_idx, len(toks) AS n_tokens, {O.shingle_list('toks', 5)} AS shl FROM toks)
+SELECT design_idx, n_tokens::INTEGER AS n_tokens, len(shl)::INTEGER AS n_shingles,
+       coalesce(list_sum(list_transform(shl, lambda s: {O.hash31('s')})), 0)::BIGINT AS shingle_checksum FROM shl"""
+
+SQL["cyclomatic"] = f"""WITH {O.corpus_ctes('code')},
+pf AS (SELECT design_idx, sum(len(regexp_extract_all({O.strip_comments('file_content')}, {O.q(_CX.DECISION_RE)}))) AS n FROM files GROUP BY design_idx)
+SELECT d.design_idx, (1 + coalesce(pf.n, 0))::BIGINT AS cyclomatic FROM designs d LEFT JOIN pf USING (design_idx)"""
+
+_IS_OP = f"(NOT regexp_matches(t, {O.q(_CX.WORD_RE)}) OR lower(t) IN {O._in(_K.LEXICAL_CPP_KEYWORDS)})"
+SQL["halstead"] = f"""WITH {O.corpus_ctes('code')},
+tk AS (SELECT design_idx, unnest(regexp_extract_all({O.strip_comments('file_content')}, {O.q(_K.TOKEN_RE)})) AS t FROM files),
+agg AS (SELECT design_idx, count(DISTINCT t) FILTER (WHERE {_IS_OP}) AS d_op, count(DISTINCT t) FILTER (WHERE NOT {_IS_OP}) AS d_od,
+               count(*) FILTER (WHERE {_IS_OP}) AS t_op, count(*) FILTER (WHERE NOT {_IS_OP}) AS t_od FROM tk GROUP BY design_idx)
+SELECT d.design_idx, coalesce(d_op, 0)::INTEGER AS distinct_operators, coalesce(d_od, 0)::INTEGER AS distinct_operands,
+       coalesce(t_op, 0)::INTEGER AS total_operators, coalesce(t_od, 0)::INTEGER AS total_operands
+FROM designs d LEFT JOIN agg USING (design_idx)"""
+
+SQL["size_profile"] = "WITH " + _selection_sql(True, 30, 34) + """,
+sz AS (SELECT vec_id AS design_idx, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS size FROM embeddings),
+qq AS (SELECT quantile_cont(size, [0.25, 0.5, 0.75]) AS q FROM sz),
+bk AS (SELECT sz.design_idx, CASE WHEN size <= q[1] THEN 1 WHEN size <= q[2] THEN 2 WHEN size <= q[3] THEN 3 ELSE 4 END AS bucket,
+              sz.design_idx IN (SELECT id FROM sel) AS s FROM sz, qq)
+SELECT bucket, count(*)::BIGINT AS n_all, count(*) FILTER (WHERE s)::BIGINT AS n_selected,
+       round(count(*) FILTER (WHERE s) / count(*), 6) AS share_selected FROM bk GROUP BY bucket"""
