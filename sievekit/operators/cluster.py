@@ -96,12 +96,12 @@ def best_k(vec: DataFrame, n: int, n_init: int = N_INIT, k_step: int = 1, thread
 
 def cluster(vectors: DataFrame, n_init: int = N_INIT, k_step: int = 1, threads: int = 4):
     """-> (labels DataFrame(design_idx, cluster), k, silhouette, sweep table)."""
-    vec = as_vectors(vectors)
-    n = vec.count()
-    # size partitions to ~50k rows: tiny inputs should not pay one task per core per iteration
+    n = vectors.count()
+    # ~50k rows per partition (tiny inputs should not pay one task per core per
+    # iteration); range-partitioned and sorted by id so every fit sees the same
+    # partition contents and the seeded initialisation is reproducible
     want = max(1, -(-n // 50_000))
-    if vec.rdd.getNumPartitions() > want:
-        vec = vec.coalesce(want).persist()
+    vec = as_vectors(vectors.repartitionByRange(want, "design_idx").sortWithinPartitions("design_idx"))
     best, fits = best_k(vec, n, n_init, k_step, threads)
     if best is None:
         k = k_range(n)[0]

@@ -340,8 +340,8 @@ def combined_features(spark, sf):
 
 # ---- representative selection on given labels (O44, O55b, O56, O62-O70) ----
 
-def _points(spark, sf, skewed=False):
-    return TB.embedding_points(spark, sf, skewed)
+def _points(spark, sf, skewed=False, normalise=False):
+    return TB.embedding_points(spark, sf, skewed, normalise)
 
 
 @query("cluster_sizes")
@@ -532,3 +532,20 @@ def size_profile(spark, sf):
     sel = picks.select(F.col("id").alias("design_idx"))
     return size_buckets(sizes, sel).select("bucket", "n_all", "n_selected",
                                            F.round("share_selected", 6).alias("share_selected"))
+
+
+@query("cosine_farthest")
+def cosine_farthest(spark, sf):
+    """E5: quotas + centre + farthest points on unit-length embeddings (cosine geometry)."""
+    from ..operators import select as SEL
+    pts = _points(spark, sf, False, normalise=True)
+    return SEL.select_representatives(pts, SEL.quotas(pts, 80, 120))
+
+
+@query("global_farthest")
+def global_farthest(spark, sf):
+    """10 farthest-point picks over the whole embedding table, from the member nearest the mean."""
+    from ..operators import select as SEL
+    pts = _points(spark, sf).withColumn("cluster", F.lit(0))
+    q = pts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("quota", F.lit(10))
+    return SEL.select_representatives(pts, q)

@@ -307,14 +307,18 @@ SELECT design_idx, dim::INTEGER AS dim, round(value, 6) AS value FROM (SELECT *
 # ---- selection on embeddings ---------------------------------------------------
 
 
-def _pts(skewed: bool) -> str:
+def _pts(skewed: bool, normalise: bool = False, one_cluster: bool = False) -> str:
     cl = "(length(bin(vec_id + 1)) - 1)::INTEGER" if skewed else "label"
-    return f"pts AS (SELECT vec_id AS id, {cl} AS cluster, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
+    cl = "0" if one_cluster else cl
+    f = "CAST(embedding AS DOUBLE[])"
+    if normalise:
+        f = f"list_transform({f}, lambda x: x / sqrt(list_sum(list_transform({f}, lambda y: y * y))))"
+    return f"pts AS (SELECT vec_id AS id, {cl} AS cluster, {f} AS f FROM embeddings)"
 
 
-def _quota_sql(skewed: bool, lo: int, hi: int, adjust: bool = True) -> str:
+def _quota_sql(skewed: bool, lo: int, hi: int, adjust: bool = True, normalise: bool = False) -> str:
     t = (lo + hi) // 2
-    s = _pts(skewed) + f""",
+    s = _pts(skewed, normalise) + f""",
 sizes AS (SELECT cluster, count(*) AS size FROM pts GROUP BY cluster),
 base AS (SELECT cluster, size, least(greatest(1, floor(size::DOUBLE / (SELECT sum(size) FROM sizes)::DOUBLE * {float(t)})),
                                  least(size, greatest(1, least(5, size // 2))))::INTEGER AS quota FROM sizes)"""
@@ -347,8 +351,9 @@ SELECT cluster, id, round(dist, 6) AS dist FROM (
   FROM pts p JOIN cent c USING (cluster)) WHERE rn = 1"""
 
 
-def _selection_sql(skewed: bool, lo: int, hi: int) -> str:
-    s = _quota_sql(skewed, lo, hi) + """,
+def _selection_sql(skewed: bool, lo: int, hi: int, normalise: bool = False, head: str | None = None,
+                   rounds: int = 5) -> str:
+    s = (head or _quota_sql(skewed, lo, hi, normalise=normalise)) + """,
 takeall AS (SELECT p.id, p.cluster, row_number() OVER (PARTITION BY p.cluster ORDER BY p.id) AS pick_rank
             FROM pts p JOIN final q USING (cluster) WHERE q.quota >= q.size),
 rest AS (SELECT p.id, p.cluster, p.f, q.quota FROM pts p JOIN final q USING (cluster) WHERE q.quota < q.size AND q.quota > 0),
@@ -356,14 +361,14 @@ rest AS (SELECT p.id, p.cluster, p.f, q.quota FROM pts p JOIN final q USING (clu
 picks1 AS (SELECT cluster, id, 1 AS pick_rank FROM (
   SELECT r.cluster, r.id, row_number() OVER (PARTITION BY r.cluster ORDER BY list_distance(r.f, c.centre), r.id) AS rn
   FROM rest r JOIN cent c USING (cluster)) WHERE rn = 1)"""
-    for k in range(2, 6):
+    for k in range(2, rounds + 1):
         s += f""",
 md{k} AS (SELECT r.cluster, r.id, min(list_distance(r.f, pf.f)) AS md
           FROM rest r JOIN picks{k - 1} pk ON pk.cluster = r.cluster JOIN rest pf ON pf.id = pk.id
           WHERE r.quota >= {k} AND r.id NOT IN (SELECT id FROM picks{k - 1}) GROUP BY r.cluster, r.id),
 picks{k} AS (SELECT * FROM picks{k - 1} UNION ALL
              SELECT cluster, id, {k} FROM (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY md DESC, id) AS rn FROM md{k}) WHERE rn = 1)"""
-    s += ",\nsel AS (SELECT id, cluster, pick_rank FROM takeall UNION ALL SELECT id, cluster, pick_rank FROM picks5)"
+    s += f",\nsel AS (SELECT id, cluster, pick_rank FROM takeall UNION ALL SELECT id, cluster, pick_rank FROM picks{rounds})"
     return s
 
 
@@ -439,3 +444,10 @@ bk AS (SELECT sz.design_idx, CASE WHEN size <= q[1] THEN 1 WHEN size <= q[2] THE
               sz.design_idx IN (SELECT id FROM sel) AS s FROM sz, qq)
 SELECT bucket, count(*)::BIGINT AS n_all, count(*) FILTER (WHERE s)::BIGINT AS n_selected,
        round(count(*) FILTER (WHERE s) / count(*), 6) AS share_selected FROM bk GROUP BY bucket"""
+
+SQL["cosine_farthest"] = "WITH " + _selection_sql(False, 80, 120, normalise=True) + \
+    "\nSELECT id, cluster, pick_rank::INTEGER AS pick_rank FROM sel"
+_GLOBAL_HEAD = _pts(False, one_cluster=True) + """,
+final AS (SELECT 0 AS cluster, count(*) AS size, 10 AS quota FROM pts)"""
+SQL["global_farthest"] = "WITH " + _selection_sql(False, 0, 0, head=_GLOBAL_HEAD, rounds=10) + \
+    "\nSELECT id, cluster, pick_rank::INTEGER AS pick_rank FROM sel"

@@ -96,7 +96,8 @@ def keyed_corpus_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (kind != 2).alias("is_struct"))
 
 
-def embedding_points(spark: SparkSession, sf_dir: str, skewed: bool = False) -> DataFrame:
+def embedding_points(spark: SparkSession, sf_dir: str, skewed: bool = False,
+                     normalise: bool = False) -> DataFrame:
     """``embeddings`` as points ``(id, cluster, features array<double>)``.
 
     ``cluster`` is the given ``label``, or with ``skewed`` the bit length of
@@ -105,5 +106,10 @@ def embedding_points(spark: SparkSession, sf_dir: str, skewed: bool = False) ->
     """
     e = spread(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
     cluster = (F.length(F.bin(F.col("vec_id") + 1)) - 1).cast("int") if skewed else F.col("label")
-    return e.select(F.col("vec_id").alias("id"), cluster.alias("cluster"),
-                    F.col("embedding").cast("array<double>").alias("features"))
+    feats = F.col("embedding").cast("array<double>")
+    if normalise:  # unit length: Euclidean distance then orders like cosine distance
+        from ..functions.shingles import let
+        norm = F.sqrt(F.aggregate(feats, F.lit(0.0), lambda a, x: a + x * x))
+        feats = let(F.struct(feats.alias("f"), norm.alias("n")),
+                    lambda s: F.transform(s["f"], lambda x: x / s["n"]))
+    return e.select(F.col("vec_id").alias("id"), cluster.alias("cluster"), feats.alias("features"))
