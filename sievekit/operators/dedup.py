@@ -16,8 +16,8 @@ Two graph shapes are supported:
   has at most one kept member, so per round it is enough to aggregate
   ``(has_kept, smallest non-duplicate member)`` per bucket and join that back.
 
-Each round's state is written with a reliable ``checkpoint`` into the
-session's checkpoint directory, which cuts lineage and survives executor loss.
+Each round's state is written as a Parquet table into the session's shared
+checkpoint directory, which cuts lineage and survives executor loss.
 """
 
 from __future__ import annotations
@@ -25,14 +25,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+import uuid
+
+from ..session import scratch_path
 
 UNDECIDED, KEPT, DUP = 0, 1, 2
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Cuts lineage like a reliable checkpoint, survives executor loss, stays
+    columnar/compressed for the readers, and plans through the normal writer
+    (so Arrow UDFs in ``df`` are extracted as usual).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "mat-" + uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def first_wins_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

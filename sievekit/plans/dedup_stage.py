@@ -51,11 +51,15 @@ def hashed_shingle_sets(corpus: DataFrame, k: int = 5, hls_aware: bool = True) -
 
 def signature_table(corpus: DataFrame, k: int = 5, num_perm: int = 128,
                     hls_aware: bool = True) -> DataFrame:
-    """(id, sig array<bigint>) written once; ``sig`` is null for designs without shingles."""
+    """(id, sig array<bigint>) written once; ``sig`` is null for designs without shingles.
+
+    Two materialised steps: the shingle hash arrays (text work, JVM), then the
+    vectorised signature kernel applied to that plain array column.
+    """
     sh = shingle_sets(corpus, k, hls_aware)
-    return D._checkpoint(sh.select(
-        F.col("design_idx").alias("id"),
-        MH.signature(MH.shingle_hashes31(F.col("shingles")), num_perm).alias("sig")))
+    hashed = D._checkpoint(sh.select(F.col("design_idx").alias("id"),
+                                     MH.shingle_hashes31(F.col("shingles")).alias("h")))
+    return D._checkpoint(hashed.select("id", MH.signature(F.col("h"), num_perm).alias("sig")))
 
 
 def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,

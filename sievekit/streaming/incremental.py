@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup as D
 from ..operators import minhash as MH
-from ..plans.dedup_stage import shingle_sets
+from ..plans.dedup_stage import signature_table
 from ..session import scratch_path
 
 
@@ -47,10 +47,7 @@ class IncrementalDedup:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sets = shingle_sets(batch, self.k, self.hls_aware)
-        sigs = D._checkpoint(sets.select(
-            F.col("design_idx").alias("id"),
-            MH.signature(MH.shingle_hashes31(F.col("shingles")), self.num_perm).alias("sig")))
+        sigs = signature_table(batch, self.k, self.num_perm, self.hls_aware)
         valid = sigs.where(F.col("sig").isNotNull())
         members = D._checkpoint(MH.band_keys(valid, "sig", self.bands).select(
             F.col("id").alias("node"), F.struct("band", "band_key").alias("bucket")))
