@@ -61,9 +61,11 @@ def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
     toks = docs.select("id", "n", F.explode("set").alias("tok"))
     freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("id").orderBy("df", "tok")
+    # prefix positions are counted over all tokens; a token held by one set
+    # only (df = 1) cannot form a candidate, so it is dropped after counting
     prefix = (toks.join(freq, "tok")
               .withColumn("pos", F.row_number().over(w))
-              .where(F.col("pos") <= prefix_length(F.col("n"), t))
+              .where((F.col("pos") <= prefix_length(F.col("n"), t)) & (F.col("df") > 1))
               .select("id", "n", "tok"))
     a, b = prefix.alias("a"), prefix.alias("b")
     cand = (a.join(b, F.col("a.tok") == F.col("b.tok"))
