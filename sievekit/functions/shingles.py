@@ -31,6 +31,18 @@ def shingles(tokens: Column, k: int = 5, sep: str = " ") -> Column:
     return let(tokens, lambda t: _shingles_of(t, k, sep))
 
 
+def shingle_keys64(tokens: Column, k: int = 5) -> Column:
+    """Distinct 64-bit keys of the k-token windows, hashed straight from the token
+    slices (no shingle strings are built). Tokens never contain the separator,
+    so a window and its joined shingle identify each other: same set semantics."""
+    def keys(t: Column) -> Column:
+        n = F.size(t)
+        return F.when(n >= k, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(t, i, k))))
+        ).otherwise(F.array().cast("array<bigint>"))
+    return let(tokens, keys)
+
+
 def shingle_hash64(sh: Column) -> Column:
     """64-bit shingle key used by the exact similarity join (collisions ~ n^2/2^64)."""
     return F.transform(sh, lambda s: F.xxhash64(s))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shingles import shingle_hash64, shingles
+from ..functions.shingles import shingle_keys64, shingles
 from ..functions.text import lexical_tokens
 from ..operators import dedup as D
 from ..operators import minhash as MH
@@ -45,8 +45,9 @@ def hashed_shingle_sets(corpus: DataFrame, k: int = 5, hls_aware: bool = True) -
     arrays instead of re-tokenising, and filters on the result cannot be
     pushed back into (and so duplicate) the tokeniser.
     """
-    return D._checkpoint(shingle_sets(corpus, k, hls_aware).select(
-        F.col("design_idx").alias("id"), shingle_hash64(F.col("shingles")).alias("set")))
+    return D._checkpoint(corpus.select(
+        F.col("design_idx").alias("id"),
+        shingle_keys64(lexical_tokens(F.col("files"), hls_aware), k).alias("set")))
 
 
 def signature_table(corpus: DataFrame, k: int = 5, num_perm: int = 128,
