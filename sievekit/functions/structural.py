@@ -71,9 +71,8 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
-def enhanced_vector(files: Column) -> list[Column]:
-    """The 23 structural features as named double columns, in the fixed order."""
-    c = counters(files)
+def enhanced_columns() -> list[Column]:
+    """The 23 features as named doubles, from the ``_``-prefixed raw counters."""
     lines = F.col("_total_lines")
     vals = {
         "file_count": F.col("_file_count"),
@@ -85,24 +84,27 @@ def enhanced_vector(files: Column) -> list[Column]:
         "complexity_ratio": _ratio(F.col("_nested_loop_count") + F.col("_conditional_count"), lines),
         "hls_ratio": _ratio(F.col("_hls_directive_count"), lines),
     }
-    for n in ENHANCED_FEATURES:
-        vals.setdefault(n, F.col("_" + n))
-    return [c, [vals[n].cast("double").alias(n) for n in ENHANCED_FEATURES]]
+    return [vals.get(n, F.col("_" + n)).cast("double").alias(n) for n in ENHANCED_FEATURES]
+
+
+def basic_columns() -> list[Column]:
+    """The 11 basic features (no log transform)."""
+    lines = F.col("_total_lines")
+    vals = {
+        "file_count": F.col("_file_count"), "total_lines": lines,
+        "avg_lines_per_file": _ratio(lines, F.col("_file_count")),
+        "code_density": _ratio(F.col("_total_chars"), lines),
+    }
+    return [vals.get(n, F.col("_" + n)).cast("double").alias(n) for n in BASIC_FEATURES]
 
 
 def with_structural(df, files_col: str = "files", basic: bool = False):
-    """Add the 23 (or 11 basic) structural feature columns to ``df``."""
+    """Add the 23 (or 11 basic) structural feature columns to ``df``.
+
+    The raw counters are computed in one projection over the file array;
+    the features are derived from them in the next.
+    """
     c = counters(F.col(files_col))
     staged = df.select("*", *[v.alias("_" + k) for k, v in c.items()])
-    if basic:
-        lines = F.col("_total_lines")
-        vals = {
-            "file_count": F.col("_file_count"), "total_lines": lines,
-            "avg_lines_per_file": _ratio(lines, F.col("_file_count")),
-            "code_density": _ratio(F.col("_total_chars"), lines),
-        }
-        cols = [vals.get(n, F.col("_" + n)).cast("double").alias(n) for n in BASIC_FEATURES]
-    else:
-        _, cols = enhanced_vector(F.col(files_col))
-    keep = [x for x in df.columns]
-    return staged.select(*keep, *cols)
+    cols = basic_columns() if basic else enhanced_columns()
+    return staged.select(*df.columns, *cols)
