@@ -133,3 +133,73 @@ def expand_collapsed_links(members: DataFrame, rep_links: DataFrame) -> DataFram
         F.coalesce("r_orig", "rep").alias("original_index"),
         F.coalesce("r_sim", F.lit(1.0)).alias("similarity")))
     return rep_links.select("duplicate_index", "original_index", "similarity").unionByName(derived)
+
+
+def first_wins_lazy(docs: DataFrame, threshold: float, max_rounds: int = 10_000,
+                    prefix: DataFrame | None = None):
+    """First-wins rounds over the Jaccard graph of ``docs(id, set)`` without an edge table.
+
+    Same synchronous rounds as ``first_wins_edges`` (kept iff every smaller
+    neighbour is a duplicate; duplicate iff some smaller neighbour is kept),
+    but neighbours are verified lazily from prefix posting lists:
+
+    1. undecided v vs kept k sharing a prefix token -> duplicates (and links);
+    2. v vs the smallest undecided member of each of its posting lists -> blocked;
+    3. only the remaining v are verified against all smaller undecided candidates.
+
+    A clique of m near copies costs O(m * |prefix|) verifications per round
+    instead of m^2 edges. Returns ``(state(node, state), links)``.
+    """
+    from .simjoin import length_ok, prefix_table, verify_pairs
+    t = float(threshold)
+    docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
+    pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, t))
+    state = _checkpoint(docs.select(F.col("id").alias("node"), F.lit(UNDECIDED).alias("state")))
+    for _ in range(max_rounds):
+        ps = pre.join(state.withColumnRenamed("node", "id"), "id")
+        und = ps.where(F.col("state") == UNDECIDED).select("tok", F.col("id").alias("v"), F.col("n").alias("nv"))
+        kept = ps.where(F.col("state") == KEPT).select("tok", F.col("id").alias("k"), F.col("n").alias("nk"))
+        # 1. duplicates: a kept smaller neighbour
+        kv = (und.join(kept, "tok").where((F.col("k") < F.col("v")) & length_ok(F.col("nk"), F.col("nv"), t))
+              .select("k", "v").distinct())
+        dup = _checkpoint(verify_pairs(kv, docs, t, "k", "v").select("v").distinct())
+        # 2. blocked by the smallest undecided member of a shared posting list
+        mu = und.groupBy("tok").agg(F.min_by(F.struct(F.col("v").alias("u"), F.col("nv").alias("nu")), "v").alias("m"))
+        smaller = (und.join(mu, "tok").where(F.col("m.u") < F.col("v"))
+                   .select(F.col("m.u").alias("u"), F.col("m.nu").alias("nu"), "v", "nv"))
+        has_smaller = smaller.select("v").distinct()
+        quick = smaller.where(length_ok(F.col("nu"), F.col("nv"), t)).select("u", "v").distinct()
+        blocked_quick = verify_pairs(quick, docs, t, "u", "v").select("v").distinct()
+        # 3. the rest: all smaller undecided candidates
+        need = _checkpoint(has_smaller.join(dup.select("v"), "v", "left_anti")
+                           .join(blocked_quick, "v", "left_anti"))
+        u2 = und.select("tok", F.col("v").alias("u"), F.col("nv").alias("nu"))
+        full = (und.join(need, "v").join(u2, "tok")
+                .where((F.col("u") < F.col("v")) & length_ok(F.col("nu"), F.col("nv"), t))
+                .select("u", "v").distinct())
+        blocked_full = verify_pairs(full, docs, t, "u", "v").select("v").distinct()
+        blocked = blocked_quick.unionByName(blocked_full).distinct().withColumn("blk", F.lit(1))
+        nxt = (state.join(dup.select(F.col("v").alias("node"), F.lit(1).alias("isdup")), "node", "left")
+               .join(blocked.withColumnRenamed("v", "node"), "node", "left")
+               .select("node", F.when(F.col("state") != UNDECIDED, F.col("state"))
+                       .when(F.col("isdup") == 1, F.lit(DUP))
+                       .when(F.col("blk").isNull(), F.lit(KEPT))
+                       .otherwise(F.lit(UNDECIDED)).alias("state")))
+        state = _checkpoint(nxt)
+        if state.where(F.col("state") == UNDECIDED).isEmpty():
+            break
+    else:
+        raise RuntimeError("first_wins_lazy did not converge")
+    # links from the final state: a smaller neighbour may be kept in a later
+    # round than the one that made v a duplicate, and the original is the
+    # smallest kept neighbour overall
+    ps = pre.join(state.withColumnRenamed("node", "id"), "id")
+    dv = ps.where(F.col("state") == DUP).select("tok", F.col("id").alias("v"), F.col("n").alias("nv"))
+    kk = ps.where(F.col("state") == KEPT).select("tok", F.col("id").alias("k"), F.col("n").alias("nk"))
+    kv = (dv.join(kk, "tok").where((F.col("k") < F.col("v")) & length_ok(F.col("nk"), F.col("nv"), t))
+          .select("k", "v").distinct())
+    links = (verify_pairs(kv, docs, t, "k", "v").groupBy("v")
+             .agg(F.min(F.struct("k", "sim")).alias("b"))
+             .select(F.col("v").alias("duplicate_index"), F.col("b.k").alias("original_index"),
+                     F.col("b.sim").alias("similarity")))
+    return state, _checkpoint(links)

@@ -47,8 +47,15 @@ def collapse_equal_sets(sets: DataFrame, id_col: str = "id", set_col: str = "set
     return reps.select(F.col("rep").alias("id"), "set"), members
 
 
+def candidate_volume(prefix: DataFrame) -> int:
+    """Rows the prefix self-join would emit: sum over tokens of C(postings, 2)."""
+    v = (prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("p"))
+         .agg(F.sum(F.col("p") * (F.col("p") - 1) / 2).alias("v")).first()["v"])
+    return int(v or 0)
+
+
 def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
-                      set_col: str = "set") -> DataFrame:
+                      set_col: str = "set", prefix: DataFrame | None = None) -> DataFrame:
     """All pairs i < j of non-empty sets with |i & j| / |i | j| >= threshold.
 
     Returns ``(i, j, overlap, jaccard)``. Sets must hold distinct elements.
@@ -58,15 +65,8 @@ def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
     t = float(threshold)
     docs = (sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("set"))
             .withColumn("n", F.size("set")).where(F.col("n") > 0))
-    toks = docs.select("id", "n", F.explode("set").alias("tok"))
-    freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "tok")
-    # prefix positions are counted over all tokens; a token held by one set
-    # only (df = 1) cannot form a candidate, so it is dropped after counting
-    prefix = (toks.join(freq, "tok")
-              .withColumn("pos", F.row_number().over(w))
-              .where((F.col("pos") <= prefix_length(F.col("n"), t)) & (F.col("df") > 1))
-              .select("id", "n", "tok"))
+    if prefix is None:
+        prefix = prefix_table(docs, t)
     a, b = prefix.alias("a"), prefix.alias("b")
     cand = (a.join(b, F.col("a.tok") == F.col("b.tok"))
             .where(F.col("a.id") < F.col("b.id"))
@@ -80,3 +80,33 @@ def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
            .withColumn("jaccard", F.col("overlap") / (F.col("n_i") + F.col("n_j") - F.col("overlap")))
            .where(F.col("jaccard") >= F.lit(t)))
     return ver.select("i", "j", "overlap", "jaccard")
+
+
+def prefix_table(docs: DataFrame, t: float) -> DataFrame:
+    """(id, n, tok) prefix rows of ``docs(id, set, n)``.
+
+    Prefix positions are counted over all tokens; a token held by one set
+    only (df = 1) cannot form a candidate, so it is dropped after counting.
+    """
+    toks = docs.select("id", "n", F.explode("set").alias("tok"))
+    freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("id").orderBy("df", "tok")
+    return (toks.join(freq, "tok")
+            .withColumn("pos", F.row_number().over(w))
+            .where((F.col("pos") <= prefix_length(F.col("n"), t)) & (F.col("df") > 1))
+            .select("id", "n", "tok"))
+
+
+def verify_pairs(pairs: DataFrame, docs: DataFrame, t: float, a: str = "a", b: str = "b") -> DataFrame:
+    """Keep pairs (a, b) whose sets have Jaccard >= t; adds ``sim``."""
+    left = docs.select(F.col("id").alias(a), F.col("set").alias("_sa"), F.col("n").alias("_na"))
+    right = docs.select(F.col("id").alias(b), F.col("set").alias("_sb"), F.col("n").alias("_nb"))
+    ov = F.size(F.array_intersect("_sa", "_sb"))
+    return (pairs.join(left, a).join(right, b)
+            .withColumn("sim", ov / (F.col("_na") + F.col("_nb") - ov))
+            .where(F.col("sim") >= F.lit(t))
+            .drop("_sa", "_sb", "_na", "_nb"))
+
+
+def length_ok(na, nb, t: float):
+    return F.least(na, nb) >= min_overlap_size(F.greatest(na, nb), t)

@@ -17,7 +17,7 @@ from ..functions.shingles import shingle_keys64, shingles
 from ..functions.text import lexical_tokens
 from ..operators import dedup as D
 from ..operators import minhash as MH
-from ..operators.simjoin import collapse_equal_sets, jaccard_self_join
+from ..operators.simjoin import candidate_volume, collapse_equal_sets, jaccard_self_join, prefix_table
 
 
 @dataclass
@@ -64,13 +64,33 @@ def signature_table(corpus: DataFrame, k: int = 5, num_perm: int = 128,
 
 
 def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
-                hls_aware: bool = True) -> DedupResult:
-    """Exact mode with exact Jaccard of shingle sets as the similarity."""
+                hls_aware: bool = True, strategy: str = "auto",
+                pairs_per_design: int = 20, min_pair_budget: int = 1_000_000) -> DedupResult:
+    """Exact mode with exact Jaccard of shingle sets as the similarity.
+
+    ``'edges'`` materialises all similar pairs, then runs cheap rounds;
+    ``'lazy'`` verifies neighbours round by round from prefix posting lists
+    (no edge table: a clique of m near copies costs O(m |prefix|) per round,
+    not m^2). ``'auto'`` measures the candidate-join volume on the prefix
+    table and takes ``edges`` only within a linear budget
+    (``max(min_pair_budget, pairs_per_design * n)``). Same result either way.
+    """
     sets = hashed_shingle_sets(corpus, k, hls_aware)
     valid = sets.where(F.size("set") > 0)
     reps, members = collapse_equal_sets(valid)
-    edges = jaccard_self_join(reps, threshold).select("i", "j", F.col("jaccard").alias("sim"))
-    return _resolve(corpus, valid, members, edges, "Exact")
+    reps = D._checkpoint(reps.withColumn("n", F.size("set")))
+    prefix = D._checkpoint(prefix_table(reps, threshold))
+    if strategy == "auto":
+        budget = max(min_pair_budget, pairs_per_design * reps.count())
+        strategy = "edges" if candidate_volume(prefix) <= budget else "lazy"
+    if strategy == "edges":
+        edges = jaccard_self_join(reps, threshold, prefix=prefix).select("i", "j", F.col("jaccard").alias("sim"))
+        return _resolve(corpus, valid, members, edges, "Exact")
+    _, rep_links = D.first_wins_lazy(reps, threshold, prefix=prefix)
+    links = D._checkpoint(D.expand_collapsed_links(members, rep_links))
+    v = valid.select(F.col("id").alias("design_idx"))
+    kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
+    return DedupResult(v, links, kept, "Exact", corpus.select("design_idx"))
 
 
 def minhash_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,

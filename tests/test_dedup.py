@@ -73,3 +73,20 @@ def test_near_copy_links_to_smallest_kept(spark):
     res = DS.exact_dedup(c, 0.8, 5)
     (link,) = res.links.collect()
     assert (link[0], link[1]) == (6, 5) and 0.8 <= link[2] < 1.0
+
+
+def test_lazy_rounds_equal_edge_rounds(spark):
+    rnd = random.Random(21)
+    vocab = [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(40):
+        base = vocab[(i % 4) * 5:(i % 4) * 5 + 25]
+        words = [w if rnd.random() > 0.08 else f"z{i}_{j}" for j, w in enumerate(base)]
+        rows.append((i, [" ".join(words)]))
+    c = corpus_df(spark, rows)
+    for t in (0.5, 0.8):
+        lazy = DS.exact_dedup(c, t, 3, strategy="lazy")
+        edges = DS.exact_dedup(c, t, 3, strategy="edges")
+        assert {r[0] for r in lazy.kept.collect()} == {r[0] for r in edges.kept.collect()}
+        fix = lambda rows: {(r[0], r[1], round(r[2], 9)) for r in rows}
+        assert fix(lazy.links.collect()) == fix(edges.links.collect())
