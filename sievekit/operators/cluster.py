@@ -52,10 +52,16 @@ def _score(vec: DataFrame, k: int, model: KMeansModel, cost: float) -> Fit:
     return Fit(k, model, cost, score)
 
 
+def default_threads(df: DataFrame) -> int:
+    """Concurrent fit submissions: twice the cores (job submission is driver-bound), at most 32."""
+    return min(32, 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_many(vec: DataFrame, ks: list[int], n_init: int = N_INIT, seed: int = SEED,
-             max_iter: int = 300, threads: int = 4) -> list[Fit]:
+             max_iter: int = 300, threads: int | None = None) -> list[Fit]:
     """Best-of-``n_init`` fit per k; every (k, restart) fit is an independent
     MLlib job submitted from a thread pool, so small fits overlap on the cluster."""
+    threads = threads or default_threads(vec)
     grid = [(k, seed + i) for k in ks for i in range(n_init)]
     with ThreadPoolExecutor(max_workers=threads) as pool:
         fits = list(pool.map(lambda ks_: _fit_one(vec, ks_[0], ks_[1], max_iter), grid))
@@ -68,7 +74,7 @@ def fit_many(vec: DataFrame, ks: list[int], n_init: int = N_INIT, seed: int = SE
 
 
 def fit_kmeans(vec: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED, max_iter: int = 300,
-               threads: int = 4) -> Fit:
+               threads: int | None = None) -> Fit:
     """Best of ``n_init`` restarts by training cost (inertia), with its silhouette."""
     return fit_many(vec, [k], n_init, seed, max_iter, threads)[0]
 
@@ -78,7 +84,7 @@ def k_range(n: int) -> tuple[int, int]:
     return max(3, n // 100), min(50, n // 10)
 
 
-def best_k(vec: DataFrame, n: int, n_init: int = N_INIT, k_step: int = 1, threads: int = 4) -> tuple[Fit | None, list[Fit]]:
+def best_k(vec: DataFrame, n: int, n_init: int = N_INIT, k_step: int = 1, threads: int | None = None) -> tuple[Fit | None, list[Fit]]:
     """First k with the highest silhouette; empty range -> None (caller fits k = min_k)."""
     if n < 3:
         raise ValueError("need at least 3 designs to cluster")
@@ -94,7 +100,7 @@ def best_k(vec: DataFrame, n: int, n_init: int = N_INIT, k_step: int = 1, thread
     return best, fits
 
 
-def cluster(vectors: DataFrame, n_init: int = N_INIT, k_step: int = 1, threads: int = 4):
+def cluster(vectors: DataFrame, n_init: int = N_INIT, k_step: int = 1, threads: int | None = None):
     """-> (labels DataFrame(design_idx, cluster), k, silhouette, sweep table)."""
     n = vectors.count()
     # ~50k rows per partition (tiny inputs should not pay one task per core per

@@ -428,7 +428,7 @@ def kmeans_labels(spark, sf):
     from ..operators import cluster as CL
     from .features import design_features
     fs = design_features(_kept_code(spark, sf), "combined")
-    labels, _, _, _ = CL.cluster(fs.vectors, threads=8)
+    labels, _, _, _ = CL.cluster(fs.vectors)
     return labels
 
 
@@ -437,14 +437,14 @@ def best_k_q(spark, sf):
     from ..operators import cluster as CL
     from .features import design_features
     fs = design_features(_kept_code(spark, sf), "combined")
-    _, _, _, sweep = CL.cluster(fs.vectors, threads=8)
+    _, _, _, sweep = CL.cluster(fs.vectors)
     return sweep
 
 
 @query("mode_comparison")
 def mode_comparison(spark, sf):
     from .select_stage import compare_modes
-    return compare_modes(_kept_code(spark, sf), threads=8)
+    return compare_modes(_kept_code(spark, sf))
 
 
 @query("pca_points")
@@ -465,7 +465,7 @@ def pipeline_end_to_end(spark, sf):
     """Dedup -> combined features -> best-k K-Means -> quotas -> representatives, with names."""
     from .select_stage import run_selection
     kept = _kept_code(spark, sf)
-    sel = run_selection(kept, 80, 120, threads=8)
+    sel = run_selection(kept, 80, 120)
     return (sel.selected.join(kept.select("design_idx", "algo_name", "source_name"), "design_idx")
             .orderBy("cluster", "pick_rank"))
 

@@ -24,7 +24,7 @@ class SelectionResult:
 
 def run_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120,
                   mode: str = "combined", n_init: int = CL.N_INIT, k_step: int = 1,
-                  threads: int = 4) -> SelectionResult:
+                  threads: int | None = None) -> SelectionResult:
     fs = design_features(corpus, mode)
     labels, k, score, sweep = CL.cluster(fs.vectors, n_init, k_step, threads)
     pts = (fs.vectors.join(labels, "design_idx")
@@ -41,7 +41,7 @@ def run_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120
     return SelectionResult(selected, labels, k, score, sweep, analysis)
 
 
-def compare_modes(corpus: DataFrame, n_init: int = CL.N_INIT, k_step: int = 1, threads: int = 4) -> DataFrame:
+def compare_modes(corpus: DataFrame, n_init: int = CL.N_INIT, k_step: int = 1, threads: int | None = None) -> DataFrame:
     """(mode, k, silhouette, n_rows, n_dims) for the three feature modes; best = first highest score."""
     rows = []
     for mode in ("structural_only", "semantic_only", "combined"):
