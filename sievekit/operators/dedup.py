@@ -136,7 +136,7 @@ def expand_collapsed_links(members: DataFrame, rep_links: DataFrame) -> DataFram
 
 
 def first_wins_lazy(docs: DataFrame, threshold: float, max_rounds: int = 10_000,
-                    prefix: DataFrame | None = None):
+                    prefix: DataFrame | None = None, verify=None, use_length: bool = True):
     """First-wins rounds over the Jaccard graph of ``docs(id, set)`` without an edge table.
 
     Same synchronous rounds as ``first_wins_edges`` (kept iff every smaller
@@ -149,9 +149,19 @@ def first_wins_lazy(docs: DataFrame, threshold: float, max_rounds: int = 10_000,
 
     A clique of m near copies costs O(m * |prefix|) verifications per round
     instead of m^2 edges. Returns ``(state(node, state), links)``.
+
+    ``prefix(id, n, tok)`` are the posting lists (default: Jaccard prefixes
+    of ``docs(id, set)``); ``verify(pairs, a, b)`` keeps similar pairs and
+    adds ``sim`` (default: exact Jaccard); ``use_length`` applies the
+    Jaccard length filter to candidates.
     """
-    from .simjoin import length_ok, prefix_table, verify_pairs
+    from .simjoin import length_ok as jaccard_length_ok, prefix_table, verify_pairs as jaccard_verify
     t = float(threshold)
+    verify_pairs = verify or jaccard_verify
+
+    def length_ok(na, nb, tt):
+        return jaccard_length_ok(na, nb, tt) if use_length else F.lit(True)
+
     docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
     pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, t))
     state = _checkpoint(docs.select(F.col("id").alias("node"), F.lit(UNDECIDED).alias("state")))

@@ -170,3 +170,21 @@ def signature_self_join(sigs: DataFrame, threshold: float, num_perm: int = 128,
             .withColumn("similarity", est)
             .where(F.col("similarity") >= F.lit(float(threshold)))
             .select("i", "j", "similarity"))
+
+
+def band_postings(sigs: DataFrame, bands: list[tuple[int, int]], id_col: str = "id",
+                  sig_col: str = "sig") -> DataFrame:
+    """Posting lists ``(id, n, tok)`` over band keys (``tok`` = 64-bit key of (band, key))."""
+    keys = band_keys(sigs.select(F.col(id_col).alias("id"), F.col(sig_col).alias("sig")), "sig", bands)
+    return keys.select("id", F.lit(0).alias("n"), F.xxhash64("band", "band_key").alias("tok"))
+
+
+def signature_verifier(num_perm: int = 128):
+    """``verify(pairs, docs, t, a, b)`` on signatures stored in ``docs(id, set)``."""
+    def verify(pairs: DataFrame, docs: DataFrame, t: float, a: str = "a", b: str = "b") -> DataFrame:
+        left = docs.select(F.col("id").alias(a), F.col("set").alias("_sa"))
+        right = docs.select(F.col("id").alias(b), F.col("set").alias("_sb"))
+        est = matches(F.col("_sa"), F.col("_sb")) / F.lit(float(num_perm))
+        return (pairs.join(left, a).join(right, b).withColumn("sim", est)
+                .where(F.col("sim") >= F.lit(float(t))).drop("_sa", "_sb"))
+    return verify

@@ -94,14 +94,32 @@ def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
 
 
 def minhash_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
-                  num_perm: int = 128, hls_aware: bool = True) -> DedupResult:
-    """Exact mode with the MinHash estimate (equal positions / num_perm) as the similarity."""
+                  num_perm: int = 128, hls_aware: bool = True, strategy: str = "auto",
+                  pairs_per_design: int = 20, min_pair_budget: int = 1_000_000) -> DedupResult:
+    """Exact mode with the MinHash estimate (equal positions / num_perm) as the similarity.
+
+    Candidates share one of the pigeonhole bands (lossless for the estimate).
+    As in ``exact_dedup``, the band posting-list volume decides between an
+    edge table (within a linear budget) and the lazy pair-free rounds.
+    """
     sigs = signature_table(corpus, k, num_perm, hls_aware).where(F.col("sig").isNotNull())
     valid = sigs.select("id")
     reps, members = collapse_equal_sets(sigs, set_col="sig")
-    edges = MH.signature_self_join(reps.withColumnRenamed("set", "sig"), threshold, num_perm) \
-        .select("i", "j", F.col("similarity").alias("sim"))
-    return _resolve(corpus, valid, members, edges, "Exact")
+    reps = D._checkpoint(reps)
+    postings = D._checkpoint(MH.band_postings(reps, MH.pigeonhole_bands(threshold, num_perm), sig_col="set"))
+    if strategy == "auto":
+        budget = max(min_pair_budget, pairs_per_design * reps.count())
+        strategy = "edges" if candidate_volume(postings) <= budget else "lazy"
+    if strategy == "edges":
+        edges = MH.signature_self_join(reps.withColumnRenamed("set", "sig"), threshold, num_perm) \
+            .select("i", "j", F.col("similarity").alias("sim"))
+        return _resolve(corpus, valid, members, edges, "Exact")
+    _, rep_links = D.first_wins_lazy(reps, threshold, prefix=postings,
+                                     verify=MH.signature_verifier(num_perm), use_length=False)
+    links = D._checkpoint(D.expand_collapsed_links(members, rep_links))
+    v = valid.select(F.col("id").alias("design_idx"))
+    kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
+    return DedupResult(v, links, kept, "Exact", corpus.select("design_idx"))
 
 
 def _resolve(corpus, valid, members, edges, mode) -> DedupResult:

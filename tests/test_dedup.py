@@ -90,3 +90,20 @@ def test_lazy_rounds_equal_edge_rounds(spark):
         assert {r[0] for r in lazy.kept.collect()} == {r[0] for r in edges.kept.collect()}
         fix = lambda rows: {(r[0], r[1], round(r[2], 9)) for r in rows}
         assert fix(lazy.links.collect()) == fix(edges.links.collect())
+
+
+def test_minhash_lazy_equals_edges(spark):
+    rnd = random.Random(4)
+    vocab = [f"m{i}" for i in range(60)]
+    rows = []
+    for i in range(36):
+        base = vocab[(i % 3) * 10:(i % 3) * 10 + 40]
+        words = [w if rnd.random() > 0.05 else f"q{i}_{j}" for j, w in enumerate(base)]
+        rows.append((i, [" ".join(words)]))
+    c = corpus_df(spark, rows)
+    lazy = DS.minhash_dedup(c, 0.7, 3, strategy="lazy")
+    edges = DS.minhash_dedup(c, 0.7, 3, strategy="edges")
+    assert {r[0] for r in lazy.kept.collect()} == {r[0] for r in edges.kept.collect()}
+    fix = lambda rows: {(r[0], r[1], round(r[2], 9)) for r in rows}
+    assert fix(lazy.links.collect()) == fix(edges.links.collect())
+    assert lazy.links.count() > 0
