@@ -34,3 +34,18 @@ def test_json_array_mixed_files_and_guard(spark, tmp_path):
     empty.write_text("[]")
     with pytest.raises(IO.EmptyInput):
         IO.read_design_array(spark, str(empty))
+
+
+def test_json_lines_round_trip_and_csv(spark, tmp_path):
+    from sievekit.sources import tables as TB
+    from conftest import SF001
+    code = TB.code_corpus(spark, SF001).where("design_idx < 30")
+    out = str(tmp_path / "designs")
+    IO.write_designs(code, out, fmt="json")
+    back = IO.read_design_lines(spark, out)
+    assert back.count() == 30
+    assert {r["design_idx"] for r in back.collect()} == {r["design_idx"] for r in code.collect()}
+    csv_out = str(tmp_path / "names")
+    IO.write_name_source_csv(code, csv_out)
+    sel = IO.read_curation_csv(spark, csv_out)
+    assert sel.count() == 30 and sel.columns == ["algo_name", "source_name"]
