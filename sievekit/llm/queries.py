@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, mixing, quality, token_count, url_filter
+from . import bpe_codec, mixing, quality, token_count, token_store, url_filter
 
 REGISTRY = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_bpe_codec": bpe_codec.op2_bpe_codec,
     "op3_quality": quality.op3_quality,
     "op7_token_count": token_count.op7_token_count,
+    "op8_token_store": token_store.op8_token_store,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
