@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, mixing, quality, token_count, token_store, url_filter
+from . import bpe_codec, mixing, quality, suffix_dedup, token_count, token_store, url_filter
 
 REGISTRY = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ REGISTRY = {
     "op3_quality": quality.op3_quality,
     "op7_token_count": token_count.op7_token_count,
     "op8_token_store": token_store.op8_token_store,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
