@@ -7,7 +7,10 @@ are in any case removed when the driver's JVM ends.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 TABLE = "{}/{}.parquet"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievekit_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    where = Path(tempfile.mkdtemp(prefix="sievekit-ship-")) / "sievekit.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(where))
+    sc._sievekit_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(TABLE.format(sf_dir.rstrip("/"), name))
     return df.select(*columns) if columns else df
 
@@ -39,6 +57,7 @@ class Scratch:
     """Written intermediate tables of one query run."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
         self._path(self.root, lambda fs, p: fs.deleteOnExit(p))
