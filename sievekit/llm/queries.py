@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, lsh_forest, mixing, quality, suffix_dedup, token_count, token_store, url_filter
+from . import bpe_codec, lm_score, lsh_forest, mixing, quality, suffix_dedup, token_count, token_store, url_filter
 
 REGISTRY = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_bpe_codec": bpe_codec.op2_bpe_codec,
     "op3_quality": quality.op3_quality,
     "op5_lsh_forest": lsh_forest.op5_lsh_forest,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_token_count": token_count.op7_token_count,
     "op8_token_store": token_store.op8_token_store,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
