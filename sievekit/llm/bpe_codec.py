@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, texts_of
+from .common import BoundedCache, mix64, read_table, texts_of
 
 #: A chunk ends where the low bits of the rolling hash are 0: 512 bytes on average.
 CHUNK_BITS = 9
@@ -59,24 +59,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class BoundedCache(dict):
-    """Values by key, made when missing; drops its older half when full."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 def content_cuts(text: bytes) -> list[int]:
     """Ends of the content-defined chunks of a text, on character bounds."""
     raw = np.frombuffer(text, np.uint8)

@@ -33,8 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import BoundedCache
-from .common import Scratch, mix64, partitions, read_table, texts_of
+from .common import LOWER, Scratch, from_planes, mix64, partitions, planes, read_table, texts_of, word_keys
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 ADD = 0.5
@@ -43,24 +42,12 @@ BLOCK_TOKENS, RANGE_KEYS = 2_500_000, 3_000_000
 BUCKETS = 66
 START_WEIGHTS = (0.4, 0.4, 0.2)
 EM_ROUNDS, EM_GAIN = 40, 1e-6
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_HASH = BoundedCache(xxhash.xxh3_64_intdigest, 300_000)
 #: Keys of the end token and of the text's start: white space, so that no word has them.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\r"))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 WORD, PAIR = 0, 1
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers, all lowest ones first: high ones that are mostly 0 compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _pairs(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Keys of (word before, word) for all tokens of a block."""
     before = np.empty_like(words)
@@ -96,10 +83,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kind = b.column(0).type
         for ident, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
-            words = text.translate(_LOWER).split()
-            keys = np.empty(len(words) + 1, np.uint64)
-            keys[:-1] = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-            keys[-1] = END
+            keys = np.append(word_keys(text.translate(LOWER)), np.uint64(END))
             parts[held].append((ident, keys))
             sizes[held] += len(keys)
             if sizes[held] >= BLOCK_TOKENS:
@@ -322,7 +306,7 @@ def op6_lm_score(spark, sf_dir: str) -> DataFrame:
 def brute_force(documents: list[tuple[int, str]]) -> list[tuple]:
     """The query's rows by plain dictionaries, for tests."""
     texts = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS == HELD_OUT_FOLD,
-              [*(t or "").encode().translate(_LOWER).split(), b"\n"]) for i, t in documents]
+              [*(t or "").encode().translate(LOWER).split(), b"\n"]) for i, t in documents]
     word, pair, before, n_docs = Counter(), Counter(), Counter(), 0
     for _, held, w in texts:
         if not held:

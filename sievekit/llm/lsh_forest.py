@@ -30,12 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import BoundedCache
-from .common import Scratch, mix64, partitions, read_table, texts_of
+from .common import Scratch, mix64, partitions, read_table, texts_of, word_keys
 from .suffix_dedup import document_key
 
 WORDS = 5
@@ -49,7 +47,6 @@ BLOCK_NODES, BLOCK_SHINGLES = 2000, 1_000_000
 _COLUMNS = 4096
 _FACTORS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACES = mix64(np.arange(1000, 1000 + 64, dtype=np.uint64)) | np.uint64(1)
-_WORD_HASH = BoundedCache(xxhash.xxh3_64_intdigest, 300_000)
 
 
 def least_depth(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -62,10 +59,9 @@ def least_depth(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, t
 
 def shingle_set(text: bytes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's n-word shingles."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
+    h = word_keys(text)
+    if not len(h):
+        return h
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, lm_score, lsh_forest, mixing, quality, suffix_dedup, token_count, token_store, url_filter
+from . import bm25_search, bpe_codec, lm_score, lsh_forest, mixing, quality, suffix_dedup, token_count, token_store, url_filter
 
 REGISTRY = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_bpe_codec": bpe_codec.op2_bpe_codec,
     "op3_quality": quality.op3_quality,
+    "op4_bm25_search": bm25_search.op4_bm25_search,
     "op5_lsh_forest": lsh_forest.op5_lsh_forest,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_token_count": token_count.op7_token_count,
@@ -17,5 +18,6 @@ REGISTRY = {
 }
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op4_bm25_search": bm25_search.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import BoundedCache
-from .common import read_table, texts_of
+from .common import BoundedCache, read_table, texts_of
 
 LIMIT = 4096
 STRETCHES = 400_000

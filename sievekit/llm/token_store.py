@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import BoundedCache, byte_alphabet, tokenizer_text
-from .common import Scratch, partitions, read_table, texts_of
+from .bpe_codec import byte_alphabet, tokenizer_text
+from .common import BoundedCache, Scratch, partitions, read_table, texts_of
 
 END_ID = 1
 WORDS = 400_000
