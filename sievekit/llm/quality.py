@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, read_table, texts_of
 
@@ -68,17 +69,24 @@ def text_stats(text: bytes) -> tuple[int, ...]:
             np.count_nonzero(kind & 8), np.count_nonzero(kind & 16), max(map(len, words)))
 
 
-def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, STATS, MORE) of every row."""
-    names = [x.split()[0] for x in f"{STATS}, {MORE}".split(", ")]
+def _names(*schemas: str) -> list[str]:
+    return [x.split()[0] for schema in schemas for x in schema.split(", ")]
+
+
+def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, STATS, MORE) of every row; ``carry`` adds the input row as the struct column ``row``."""
+    names = _names(STATS, MORE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array([text_stats(t) for t in texts_of(b.column(1))], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T), *b.columns[2:]],
+                                             names=["doc_id", *names, *["row"] * carry])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, {STATS}, {MORE}")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
+    schema = T.StructType([picked.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names),
+                           *[T.StructField("row", docs.schema)] * carry])
+    return picked.mapInArrow(run, schema)
 
 
 def features(s: pd.DataFrame) -> np.ndarray:
@@ -150,8 +158,8 @@ class IsolationForest:
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  label_id: str = "doc_id", quality_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Statistics and verdict of every document: doc_id, STATS, base_failed, score, kept.
+                  label_id: str = "doc_id", quality_col: str = "quality", fit_rows: int = FIT_ROWS, carry: bool = False) -> DataFrame:
+    """Statistics and verdict of every document: doc_id, STATS, base_failed, score, kept (and row, if carried).
 
     The trees are grown from at most ``fit_rows`` documents labelled good that
     pass the base rules. The cut-off makes the share of bad documents caught
@@ -159,29 +167,25 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     pass the base rules; of equal cut-offs the one that keeps most.
     """
     spark = docs.sparkSession
-    stats = Scratch(spark, "quality").write(rule_stats(docs, id_col, text_col), "stats")
+    stats = Scratch(spark, "quality").write(rule_stats(docs, id_col, text_col, carry), "stats")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     stats = stats.withColumn("base_failed", failed)
     marks = (labels.where(F.col(label_id).isNotNull() & F.col(quality_col).isNotNull())
              .groupBy(F.col(label_id).alias("doc_id")).agg(F.min(quality_col).alias("_good")))
-    marked = stats.where("not base_failed").join(marks, "doc_id")
-    sample = (marked.where("_good = 1").orderBy(F.md5(F.col("doc_id").cast("string")), *[x for x in stats.columns])
+    names, out = _names(STATS, MORE), ["doc_id", *_names(STATS), "base_failed"]
+    marked = stats.where("not base_failed").select("doc_id", *names).join(marks, "doc_id")
+    sample = (marked.where("_good = 1").orderBy(F.md5(F.col("doc_id").cast("string")), *names)
               .limit(fit_rows).toPandas())
-    plain = stats.select("doc_id", *[x.split()[0] for x in STATS.split(", ")], "base_failed")
     if len(sample) < 2:
-        return plain.select("*", F.lit(None).cast("double").alias("score"), (~F.col("base_failed")).alias("kept"))
+        return stats.select(*out, F.lit(None).cast("double").alias("score"), (~F.col("base_failed")).alias("kept"), *["row"] * carry)
     forest = IsolationForest(features(sample))
 
-    def scored(with_mark: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for s in frames:
-                yield s.assign(score=forest.score(features(s)) if len(s) else np.zeros(0))
-        return run
+    @F.pandas_udf("double")
+    def score(s: pd.DataFrame) -> pd.Series:
+        return pd.Series(forest.score(features(s)) if len(s) else [], dtype=float)
 
-    cols = f"{STATS}, {MORE}, base_failed boolean"
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    bins = (marked.mapInPandas(scored(True), f"doc_id {kind}, {cols}, _good {marks.schema['_good'].dataType.simpleString()}, score double")
-            .groupBy(F.floor(F.col("score") * SCORE_BINS).cast("int").alias("bin"))
+    score_of = score(F.struct(*names))
+    bins = (marked.groupBy(F.floor(score_of * SCORE_BINS).cast("int").alias("bin"))
             .agg(F.count(F.when(F.col("_good") > 0, 1)).alias("good"), F.count(F.when(F.col("_good") <= 0, 1)).alias("bad"))
             .orderBy(F.desc("bin")).collect())  # at most SCORE_BINS rows
     goods, bads = max(1, sum(b.good for b in bins)), max(1, sum(b.bad for b in bins))
@@ -192,8 +196,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         if caught / bads - lost / goods > best:
             best, cut = caught / bads - lost / goods, b.bin / SCORE_BINS
     verdict = ~F.col("base_failed") & (F.col("score") < cut)
-    return (stats.mapInPandas(scored(False), f"doc_id {kind}, {cols}, score double")
-            .select(*plain.columns, "score", verdict.alias("kept")))
+    return stats.withColumn("score", score_of).select(*out, "score", verdict.alias("kept"), *["row"] * carry)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
