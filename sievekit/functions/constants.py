@@ -62,9 +62,6 @@ SPACE_CLASS = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}"
 TOKEN_RE = "[" + WORD_CLASS + "]+|[^" + WORD_CLASS + SPACE_CLASS + "]"
 DIGITS_RE = r"^\p{Nd}+$"
 ALPHA_RE = r"^\p{L}+$"
-# semantic number mask; the second one can never fire after the first
-NUMBER_RE = r"\b\d+\b"
-FLOAT_RE = r"\b\d+\.\d+\b"
 
 # structural counters, counted per file as non-overlapping matches
 STRUCTURAL_PATTERNS = (

@@ -43,11 +43,6 @@ def shingle_keys64(tokens: Column, k: int = 5) -> Column:
     return let(tokens, keys)
 
 
-def shingle_hash64(sh: Column) -> Column:
-    """64-bit shingle key used by the exact similarity join (collisions ~ n^2/2^64)."""
-    return F.transform(sh, lambda s: F.xxhash64(s))
-
-
 def portable_hash31(s: Column) -> Column:
     """First 8 hex digits of md5 modulo 2^31-1: identical in Spark and DuckDB."""
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") % F.lit(MERSENNE_P)

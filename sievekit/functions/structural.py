@@ -43,7 +43,8 @@ def _sum_over_files(files: Column, per_file) -> Column:
 
 def _match_counter(pattern: str):
     # one-argument lambdas only: Spark passes (element, index) to two-argument ones
-    return lambda f: F.regexp_count(_content(f), F.lit(pattern))
+    # (?U): \\w, \\b and \\s in their Unicode sense
+    return lambda f: F.regexp_count(_content(f), F.lit("(?U)" + pattern))
 
 
 def _equals(value: str):

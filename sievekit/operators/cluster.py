@@ -44,11 +44,8 @@ def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int) -> tuple[int, KMe
 def _score(vec: DataFrame, k: int, model: KMeansModel, cost: float) -> Fit:
     pred = model.transform(vec)
     score = 0.0
-    if pred.select("cluster").distinct().limit(2).count() >= 2:
-        try:
-            score = ClusteringEvaluator(featuresCol="fv", predictionCol="cluster").evaluate(pred)
-        except Exception:  # noqa: BLE001 - a failed score counts as 0 during the sweep
-            score = 0.0
+    if pred.select("cluster").distinct().limit(2).count() >= 2:  # with one cluster the score is 0
+        score = ClusteringEvaluator(featuresCol="fv", predictionCol="cluster").evaluate(pred)
     return Fit(k, model, cost, score)
 
 
@@ -103,10 +100,9 @@ def best_k(vec: DataFrame, n: int, n_init: int = N_INIT, k_step: int = 1, thread
 def cluster(vectors: DataFrame, n_init: int = N_INIT, k_step: int = 1, threads: int | None = None):
     """-> (labels DataFrame(design_idx, cluster), k, silhouette, sweep table)."""
     n = vectors.count()
-    # ~50k rows per partition (tiny inputs should not pay one task per core per
-    # iteration); range-partitioned and sorted by id so every fit sees the same
-    # partition contents and the seeded initialisation is reproducible
-    want = max(1, -(-n // 50_000))
+    # range-partitioned and sorted by id so every fit sees the same partition
+    # contents and the seeded initialisation is reproducible
+    want = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vec = as_vectors(vectors.repartitionByRange(want, "design_idx").sortWithinPartitions("design_idx"))
     best, fits = best_k(vec, n, n_init, k_step, threads)
     if best is None:

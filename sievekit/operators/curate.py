@@ -87,5 +87,6 @@ def keyed_filter(keyed: DataFrame, sel: DataFrame) -> DataFrame:
     with_pair = listed.join(
         pairs.select(F.col("algo_name").alias("key"), F.col("source_name").alias("source"),
                      F.lit(True).alias("_pair")), ["key", "source"], "left")
-    keep = (~F.col("is_struct")) | F.col("source").isNull() | F.col("_pair").isNotNull()
+    no_source = F.coalesce(F.col("source"), F.lit("")) == ""
+    keep = (~F.col("is_struct")) | no_source | F.col("_pair").isNotNull()
     return with_pair.where(keep).drop("_pair")

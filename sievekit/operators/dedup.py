@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from ..session import scratch_path
+from ..session import drop_at_exit, drop_path, scratch_path
 
 UNDECIDED, KEPT, DUP = 0, 1, 2
 
@@ -41,34 +41,51 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "mat-" + uuid.uuid4().hex)
+    drop_at_exit(spark, path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def first_wins_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """LFMIS over ``edges(i, j)`` with i < j; returns ``(node, state)`` for nodes with edges."""
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``_checkpoint`` that no later step reads."""
+    for t in tables:
+        drop_path(t.sparkSession, t._scratch_path)
+
+
+def first_wins_edges(edges: DataFrame) -> DataFrame:
+    """LFMIS over ``edges(i, j)`` with i < j; returns ``(node, state)`` for nodes with edges.
+
+    Edges into a decided node, and edges from a duplicate, decide nothing more
+    and are left out of the next round.
+    """
     e = _checkpoint(edges.select("i", "j").distinct())
-    nodes = e.select(F.col("i").alias("node")).union(e.select(F.col("j").alias("node"))).distinct()
-    state = _checkpoint(nodes.withColumn("state", F.lit(UNDECIDED)))
-    for _ in range(max_rounds):
-        und = state.where(F.col("state") == UNDECIDED).select(F.col("node").alias("j"))
+    state = _checkpoint(e.select(F.col("i").alias("node")).union(e.select(F.col("j").alias("node"))).distinct()
+                        .withColumn("state", F.lit(UNDECIDED)))
+    while True:
         src = state.select(F.col("node").alias("i"), F.col("state").alias("st_i"))
-        inc = (e.join(und, "j").join(src, "i")
-               .groupBy("j").agg(
-                   F.max((F.col("st_i") == KEPT).cast("int")).alias("any_kept"),
-                   F.min((F.col("st_i") == DUP).cast("int")).alias("all_dup")))
-        nxt = (state.join(inc, state["node"] == inc["j"], "left")
-               .select("node", F.when(F.col("state") != UNDECIDED, F.col("state"))
-                       .when(F.col("any_kept") == 1, F.lit(DUP))
-                       .when(F.col("all_dup").isNull() | (F.col("all_dup") == 1), F.lit(KEPT))
-                       .otherwise(F.lit(UNDECIDED)).alias("state")))
-        state = _checkpoint(nxt)
-        if state.where(F.col("state") == UNDECIDED).isEmpty():
+        inc = (e.join(src, "i").groupBy("j").agg(
+            F.max((F.col("st_i") == KEPT).cast("int")).alias("any_kept"),
+            F.max((F.col("st_i") != DUP).cast("int")).alias("any_open")))
+        nxt = _checkpoint(state.join(inc, state["node"] == inc["j"], "left")
+                          .select("node", F.when(F.col("state") != UNDECIDED, F.col("state"))
+                                  .when(F.col("any_kept") == 1, F.lit(DUP))
+                                  .when(F.coalesce("any_open", F.lit(0)) == 0, F.lit(KEPT))
+                                  .otherwise(F.lit(UNDECIDED)).alias("state")))
+        release(state)
+        state = nxt
+        und = state.where(F.col("state") == UNDECIDED).select(F.col("node").alias("j"))
+        if und.isEmpty():
+            release(e)
             return state
-    raise RuntimeError("first_wins_edges did not converge")
+        dup = state.where(F.col("state") == DUP).select(F.col("node").alias("i"))
+        left = _checkpoint(e.join(und, "j", "left_semi").join(dup, "i", "left_anti"))
+        release(e)
+        e = left
 
 
-def first_wins_buckets(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def first_wins_buckets(members: DataFrame) -> DataFrame:
     """LFMIS where ``members(node, bucket)`` rows make each bucket a clique.
 
     Returns ``(node, state, similar_to)``; ``similar_to`` is the smallest kept
@@ -79,7 +96,7 @@ def first_wins_buckets(members: DataFrame, max_rounds: int = 10_000) -> DataFram
     sizes = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     m = _checkpoint(m.join(sizes.where(F.col("n") > 1).select("bucket"), "bucket"))
     state = _checkpoint(m.select("node").distinct().withColumn("state", F.lit(UNDECIDED)))
-    for _ in range(max_rounds):
+    while True:
         ms = m.join(state, "node")
         per_bucket = ms.groupBy("bucket").agg(
             F.max(F.when(F.col("state") == KEPT, F.col("node"))).alias("kept_node"),
@@ -93,11 +110,11 @@ def first_wins_buckets(members: DataFrame, max_rounds: int = 10_000) -> DataFram
                        .when(F.col("any_kept") == 1, F.lit(DUP))
                        .when(F.col("all_first") == 1, F.lit(KEPT))
                        .otherwise(F.lit(UNDECIDED)).alias("state")))
-        state = _checkpoint(nxt)
+        nxt = _checkpoint(nxt)
+        release(state)
+        state = nxt
         if state.where(F.col("state") == UNDECIDED).isEmpty():
             break
-    else:
-        raise RuntimeError("first_wins_buckets did not converge")
     kept_in_bucket = (m.join(state.where(F.col("state") == KEPT), "node")
                       .select("bucket", F.col("node").alias("kept_node")))
     link = (m.join(state.where(F.col("state") == DUP).select("node"), "node")
@@ -135,20 +152,20 @@ def expand_collapsed_links(members: DataFrame, rep_links: DataFrame) -> DataFram
     return rep_links.select("duplicate_index", "original_index", "similarity").unionByName(derived)
 
 
-def first_wins_lazy(docs: DataFrame, threshold: float, max_rounds: int = 10_000,
-                    prefix: DataFrame | None = None, verify=None, use_length: bool = True):
-    """First-wins rounds over the Jaccard graph of ``docs(id, set)`` without an edge table.
+def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = None, verify=None,
+               use_length: bool = True):
+    """First-wins rounds over the similarity graph of ``docs(id, set)`` without an edge table.
 
-    Same synchronous rounds as ``first_wins_edges`` (kept iff every smaller
-    neighbour is a duplicate; duplicate iff some smaller neighbour is kept),
-    but neighbours are verified lazily from prefix posting lists:
+    Neighbours are verified from posting lists; each round looks at undecided
+    designs only, and at designs that the round before kept:
 
-    1. undecided v vs kept k sharing a prefix token -> duplicates (and links);
-    2. v vs the smallest undecided member of each of its posting lists -> blocked;
-    3. only the remaining v are verified against all smaller undecided candidates.
+    1. undecided v vs newly kept k < v sharing a token -> duplicates;
+    2. the rest vs the smallest undecided member of each of its lists -> blocked;
+    3. those not yet blocked vs all smaller undecided candidates -> blocked;
+    4. undecided designs that nothing blocks are kept.
 
-    A clique of m near copies costs O(m * |prefix|) verifications per round
-    instead of m^2 edges. Returns ``(state(node, state), links)``.
+    A clique of m near copies is settled by steps 1 and 2: O(m * |prefix|)
+    verifications, not m^2 edges. Returns ``(state(node, state), links)``.
 
     ``prefix(id, n, tok)`` are the posting lists (default: Jaccard prefixes
     of ``docs(id, set)``); ``verify(pairs, a, b)`` keeps similar pairs and
@@ -159,55 +176,49 @@ def first_wins_lazy(docs: DataFrame, threshold: float, max_rounds: int = 10_000,
     t = float(threshold)
     verify_pairs = verify or jaccard_verify
 
-    def length_ok(na, nb, tt):
-        return jaccard_length_ok(na, nb, tt) if use_length else F.lit(True)
+    def candidates(right: DataFrame, left: DataFrame, a: str, b: str) -> DataFrame:
+        """Pairs a < b of posting lists ``left(tok, a, na)`` and ``right(tok, b, nb)``."""
+        ok = jaccard_length_ok(F.col("na"), F.col("nb"), t) if use_length else F.lit(True)
+        return right.join(left, "tok").where((F.col(a) < F.col(b)) & ok).select(a, b).distinct()
+
+    def lists(p: DataFrame, name: str, n: str) -> DataFrame:
+        return p.select("tok", F.col("id").alias(name), F.col("n").alias(n))
 
     docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
     pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, t))
-    state = _checkpoint(docs.select(F.col("id").alias("node"), F.lit(UNDECIDED).alias("state")))
-    for _ in range(max_rounds):
-        ps = pre.join(state.withColumnRenamed("node", "id"), "id")
-        und = ps.where(F.col("state") == UNDECIDED).select("tok", F.col("id").alias("v"), F.col("n").alias("nv"))
-        kept = ps.where(F.col("state") == KEPT).select("tok", F.col("id").alias("k"), F.col("n").alias("nk"))
-        # 1. duplicates: a kept smaller neighbour
-        kv = (und.join(kept, "tok").where((F.col("k") < F.col("v")) & length_ok(F.col("nk"), F.col("nv"), t))
-              .select("k", "v").distinct())
-        dup = _checkpoint(verify_pairs(kv, docs, t, "k", "v").select("v").distinct())
-        # 2. blocked by the smallest undecided member of a shared posting list
-        mu = und.groupBy("tok").agg(F.min_by(F.struct(F.col("v").alias("u"), F.col("nv").alias("nu")), "v").alias("m"))
-        smaller = (und.join(mu, "tok").where(F.col("m.u") < F.col("v"))
-                   .select(F.col("m.u").alias("u"), F.col("m.nu").alias("nu"), "v", "nv"))
-        has_smaller = smaller.select("v").distinct()
-        quick = smaller.where(length_ok(F.col("nu"), F.col("nv"), t)).select("u", "v").distinct()
-        blocked_quick = verify_pairs(quick, docs, t, "u", "v").select("v").distinct()
-        # 3. the rest: all smaller undecided candidates
-        need = _checkpoint(has_smaller.join(dup.select("v"), "v", "left_anti")
-                           .join(blocked_quick, "v", "left_anti"))
-        u2 = und.select("tok", F.col("v").alias("u"), F.col("nv").alias("nu"))
-        full = (und.join(need, "v").join(u2, "tok")
-                .where((F.col("u") < F.col("v")) & length_ok(F.col("nu"), F.col("nv"), t))
-                .select("u", "v").distinct())
-        blocked_full = verify_pairs(full, docs, t, "u", "v").select("v").distinct()
-        blocked = blocked_quick.unionByName(blocked_full).distinct().withColumn("blk", F.lit(1))
-        nxt = (state.join(dup.select(F.col("v").alias("node"), F.lit(1).alias("isdup")), "node", "left")
-               .join(blocked.withColumnRenamed("v", "node"), "node", "left")
-               .select("node", F.when(F.col("state") != UNDECIDED, F.col("state"))
-                       .when(F.col("isdup") == 1, F.lit(DUP))
-                       .when(F.col("blk").isNull(), F.lit(KEPT))
-                       .otherwise(F.lit(UNDECIDED)).alias("state")))
-        state = _checkpoint(nxt)
-        if state.where(F.col("state") == UNDECIDED).isEmpty():
-            break
-    else:
-        raise RuntimeError("first_wins_lazy did not converge")
-    # links from the final state: a smaller neighbour may be kept in a later
-    # round than the one that made v a duplicate, and the original is the
-    # smallest kept neighbour overall
-    ps = pre.join(state.withColumnRenamed("node", "id"), "id")
-    dv = ps.where(F.col("state") == DUP).select("tok", F.col("id").alias("v"), F.col("n").alias("nv"))
-    kk = ps.where(F.col("state") == KEPT).select("tok", F.col("id").alias("k"), F.col("n").alias("nk"))
-    kv = (dv.join(kk, "tok").where((F.col("k") < F.col("v")) & length_ok(F.col("nk"), F.col("nv"), t))
-          .select("k", "v").distinct())
+    # designs alone on all their lists have no neighbour
+    shared = pre.groupBy("tok").agg(F.count(F.lit(1)).alias("p")).where("p > 1")
+    pre = _checkpoint(pre.join(shared.select("tok"), "tok", "left_semi"))
+    undecided, new_kept, kept, dups = pre, None, [], []
+    while not undecided.isEmpty():
+        if new_kept is not None:
+            kv = candidates(lists(undecided, "v", "nb"), lists(new_kept, "k", "na"), "k", "v")
+            dup = _checkpoint(verify_pairs(kv, docs, t, "k", "v").select(F.col("v").alias("id")).distinct())
+            dups.append(dup)
+            undecided = undecided.join(dup, "id", "left_anti")
+        und = lists(undecided, "v", "nb")
+        first = und.groupBy("tok").agg(F.min(F.struct(F.col("v").alias("u"), F.col("nb").alias("na"))).alias("m"))
+        quick = candidates(und, first.select("tok", F.col("m.u").alias("u"), F.col("m.na").alias("na")), "u", "v")
+        blocked = _checkpoint(verify_pairs(quick, docs, t, "u", "v").select("v").distinct())
+        rest = und.join(blocked, "v", "left_anti")
+        more = verify_pairs(candidates(rest, lists(undecided, "u", "na"), "u", "v"), docs, t, "u", "v").select("v")
+        blocked = _checkpoint(blocked.unionByName(more).select(F.col("v").alias("id")).distinct())
+        new_kept = _checkpoint(undecided.join(blocked, "id", "left_anti"))
+        kept.append(new_kept)
+        undecided = _checkpoint(undecided.join(blocked, "id", "left_semi"))
+
+    def ids(tables: list[DataFrame]) -> DataFrame:
+        out = docs.select("id").limit(0)
+        for x in tables:
+            out = out.unionByName(x.select("id"))
+        return out.distinct()
+
+    dup = _checkpoint(ids(dups))
+    state = _checkpoint(docs.select(F.col("id").alias("node")).join(dup.select(F.col("id").alias("node"), F.lit(DUP).alias("state")), "node", "left")
+                        .select("node", F.coalesce("state", F.lit(KEPT)).alias("state")))
+    # the original is the smallest kept neighbour overall, which a later round may have kept
+    kv = candidates(lists(pre.join(dup, "id", "left_semi"), "v", "nb"),
+                    lists(pre.join(ids(kept), "id", "left_semi"), "k", "na"), "k", "v")
     links = (verify_pairs(kv, docs, t, "k", "v").groupBy("v")
              .agg(F.min(F.struct("k", "sim")).alias("b"))
              .select(F.col("v").alias("duplicate_index"), F.col("b.k").alias("original_index"),

@@ -12,7 +12,6 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,46 +34,12 @@ def shingle_hashes31(shingles: Column) -> Column:
     return F.transform(shingles, portable_hash31)
 
 
-@lru_cache(maxsize=None)
-def _signature_kernel(num_perm: int, seed: int):
-    a, b = (np.asarray(x, dtype=np.int64)[:, None] for x in permutations(num_perm, seed))
-
-    @F.pandas_udf("array<bigint>")
-    def minhash_kernel(hashes: pd.Series) -> pd.Series:
-        out = []
-        for h in hashes:
-            if h is None or len(h) == 0:
-                out.append(None)
-                continue
-            h = np.asarray(h, dtype=np.int64)
-            m = np.full(num_perm, MERSENNE_P, dtype=np.int64)
-            for lo in range(0, len(h), 8192):  # bounded temporaries for very long documents
-                blk = h[lo:lo + 8192][None, :]
-                m = np.minimum(m, ((a * blk + b) % MERSENNE_P).min(axis=1))
-            out.append(m)
-        return pd.Series(out)
-    return minhash_kernel
-
-
-def signature(hashes: Column, num_perm: int = 128, seed: int = PERM_SEED,
-              vectorized: bool = True) -> Column:
+def signature(hashes: Column, num_perm: int = 128, seed: int = PERM_SEED) -> Column:
     """``array<bigint>`` of num_perm minima; null for an empty set.
 
-    Default: an Arrow-batched pandas UDF evaluating the 128 x |set| products
-    with numpy (a row-local numeric kernel; Spark still partitions the rows).
-    Pass a plain (materialised) array column: Spark does not extract a Python
-    UDF whose argument is a tree of higher-order functions.
-    ``vectorized=False`` gives the same values with JVM higher-order functions.
+    The hash array is bound once (``let``): an expression referenced inside the
+    per-permutation lambda would otherwise be re-evaluated num_perm times.
     """
-    if vectorized:
-        return _signature_kernel(num_perm, seed)(hashes)
-    return signature_jvm(hashes, num_perm, seed)
-
-
-def signature_jvm(hashes: Column, num_perm: int = 128, seed: int = PERM_SEED) -> Column:
-    """JVM-only signature. The hash array is bound once (``let``): an expression
-    referenced inside the per-permutation lambda would otherwise be
-    re-evaluated num_perm times."""
     a, b = permutations(num_perm, seed)
     params = F.arrays_zip(F.array(*[F.lit(x) for x in a]).alias("a"),
                           F.array(*[F.lit(x) for x in b]).alias("b"))
@@ -140,9 +105,10 @@ def lsh_bands(bands: int, rows: int) -> list[tuple[int, int]]:
 
 def band_keys(df: DataFrame, sig_col: str, bands: list[tuple[int, int]],
               id_col: str = "id") -> DataFrame:
-    """Long form (id, band, band_key): one row per band of every signature."""
+    """Long form (id, band, band_key): one row per band of every signature; 128-bit keys, as nothing verifies them."""
     keys = F.array(*[
-        F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice(F.col(sig_col), s, ln)).alias("band_key"))
+        F.struct(F.lit(i).alias("band"), F.struct(F.xxhash64(F.slice(F.col(sig_col), s, ln)).alias("a"),
+                                                  F.xxhash64(F.lit(1), F.slice(F.col(sig_col), s, ln)).alias("b")).alias("band_key"))
         for i, (s, ln) in enumerate(bands)])
     return (df.where(F.col(sig_col).isNotNull())
             .select(F.col(id_col).alias("id"), F.inline(keys)))

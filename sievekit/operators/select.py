@@ -17,12 +17,18 @@ Inputs: ``points(id, cluster, features array<double>)``.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import _checkpoint
 
 CAP = 5  # FIXED VALUE: most picks per cluster
+#: Rows up to which a table of clusters is sent to all tasks; larger ones are joined by cluster.
+SMALL_TABLE_ROWS = 20_000
+#: Clusters that a point meets in one row.
+BLOCK_CLUSTERS = 2_000
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -79,49 +85,52 @@ def quotas(points: DataFrame, target_min: int = 80, target_max: int = 120, cap:
 
 
 def centres(points: DataFrame) -> DataFrame:
-    """(cluster, centre array<double>): per-dimension mean, partially aggregated."""
-    dims = points.select("cluster", F.posexplode("features").alias("d", "x"))
-    per_dim = dims.groupBy("cluster", "d").agg(F.avg("x").alias("m"))
-    return per_dim.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centre"))
+    """(cluster, centre array<double>): per-dimension mean, partially aggregated as whole vectors."""
+    return points.groupBy("cluster").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("centre"))
+
+
+def join_per_cluster(points: DataFrame, per_cluster: DataFrame) -> DataFrame:
+    """Join a table of one row per cluster; sent to all tasks only after its rows were counted."""
+    small = per_cluster.count() <= SMALL_TABLE_ROWS
+    return points.join(F.broadcast(per_cluster) if small else per_cluster, "cluster")
 
 
 def centre_members(points: DataFrame) -> DataFrame:
     """(cluster, id, dist): the member nearest to its cluster mean, lowest id on a tie."""
-    c = centres(points)
-    d = points.join(c, "cluster").select("cluster", "id", euclid(F.col("features"), F.col("centre")).alias("dist"))
+    d = join_per_cluster(points, _checkpoint(centres(points))).select(
+        "cluster", "id", euclid(F.col("features"), F.col("centre")).alias("dist"))
     best = d.groupBy("cluster").agg(F.min(F.struct("dist", "id")).alias("b"))
     return best.select("cluster", F.col("b.id").alias("id"), F.col("b.dist").alias("dist"))
 
 
 def select_representatives(points: DataFrame, q: DataFrame) -> DataFrame:
-    """(id, cluster, pick_rank) ordered by cluster, then pick order."""
+    """(id, cluster, pick_rank) ordered by cluster, then pick order.
+
+    A round reads the points once: the picks of a cluster so far (at most its
+    quota) come to the rows as one array, and the distance to the nearest of
+    them is found in the row. Points are never shuffled or written again.
+    """
     q = _checkpoint(q)
-    pts = points.join(q.select("cluster", "quota", "size"), "cluster")
+    pts = join_per_cluster(points, q.select("cluster", "quota", "size"))
     take_all = (pts.where(F.col("quota") >= F.col("size"))
                 .withColumn("pick_rank", F.row_number().over(Window.partitionBy("cluster").orderBy("id")))
                 .select("id", "cluster", "pick_rank"))
-    rest = pts.where((F.col("quota") < F.col("size")) & (F.col("quota") > 0))
-    rest = _checkpoint(rest.select("id", "cluster", "quota", "features"))
+    rest = _checkpoint(pts.where((F.col("quota") < F.col("size")) & (F.col("quota") > 0))
+                       .select("id", "cluster", "quota", "features"))
     first = centre_members(rest.select("id", "cluster", "features")).select("cluster", "id")
-    picks = first.withColumn("pick_rank", F.lit(1))
-    last = first
-    state = rest.withColumn("min_dist", F.lit(None).cast("double"))
+    picks = _checkpoint(rest.join(first, ["cluster", "id"]).select("cluster", "id", F.lit(1).alias("pick_rank"), "features"))
     max_q = rest.agg(F.max("quota")).first()[0] or 0
     for r in range(2, int(max_q) + 1):
-        lp = last.join(rest.select("id", F.col("features").alias("pf")), "id").select("cluster", "pf", F.col("id").alias("pid"))
-        state = (state.join(lp, "cluster", "left")
-                 .withColumn("min_dist", F.when(F.col("pf").isNull(), F.col("min_dist")).otherwise(
-                     F.least(F.coalesce("min_dist", F.lit(float("inf"))), euclid(F.col("features"), F.col("pf")))))
-                 .where(F.col("pid").isNull() | (F.col("id") != F.col("pid")))
-                 .drop("pf", "pid"))
-        state = _checkpoint(state)
-        cand = state.where(F.col("quota") >= r)
+        held = picks.groupBy("cluster").agg(F.collect_list("features").alias("pf"), F.collect_list("id").alias("pid"))
+        near = F.array_min(F.transform("pf", lambda p: euclid(F.col("features"), p)))
+        cand = (join_per_cluster(rest.where(F.col("quota") >= r), held)
+                .where(~F.array_contains("pid", F.col("id")))
+                .select("cluster", "id", near.alias("min_dist")))
         best = cand.groupBy("cluster").agg(F.max(F.struct("min_dist", (-F.col("id")).alias("neg"))).alias("b"))
-        last = best.select("cluster", (-F.col("b.neg")).alias("id"))
-        last = _checkpoint(last)
-        picks = picks.unionByName(last.withColumn("pick_rank", F.lit(r)))
-        state = state.join(last.select("id"), "id", "left_anti")
+        new = best.select("cluster", (-F.col("b.neg")).alias("id"))
+        more = rest.join(new, ["cluster", "id"]).select("cluster", "id", F.lit(r).alias("pick_rank"), "features")
+        picks = _checkpoint(picks.unionByName(more))
     return take_all.unionByName(picks.select("id", "cluster", "pick_rank"))
 
 
@@ -134,61 +143,59 @@ def selection_analysis(picks: DataFrame, points: DataFrame, target_min: int, tar
         F.count_distinct("cluster").alias("total_clusters"),
         F.count_distinct(F.when(F.col("sel") == 1, F.col("cluster"))).alias("covered_clusters"),
     ).select(
-        F.col("selected_count").cast("bigint").alias("selected_count"), "total_clusters", "covered_clusters",
-        F.round(F.col("covered_clusters") / F.col("total_clusters"), 6).alias("coverage_ratio"),
-        ((F.col("selected_count") >= target_min) & (F.col("selected_count") <= target_max)).alias("target_met"))
+        F.coalesce("selected_count", F.lit(0)).cast("bigint").alias("selected_count"), "total_clusters", "covered_clusters",
+        F.when(F.col("total_clusters") > 0, F.round(F.col("covered_clusters") / F.col("total_clusters"), 6))
+        .otherwise(F.lit(0.0)).alias("coverage_ratio"),
+        F.coalesce("selected_count", F.lit(0)).between(target_min, target_max).alias("target_met"))
+
+
+def meet_clusters(points: DataFrame, per_cluster: DataFrame) -> DataFrame:
+    """Each point with arrays ``cs`` of all rows of a table of clusters, in blocks of bounded size.
+
+    There is one block (and one row a point) unless there are more clusters than ``BLOCK_CLUSTERS``.
+    """
+    table = _checkpoint(per_cluster)
+    n = table.count()
+    blocks = max(1, -(-n // BLOCK_CLUSTERS))
+    cs = (table.withColumn("blk", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"))
+          .groupBy("blk").agg(F.collect_list(F.struct(*table.columns)).alias("cs")))
+    return points.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
+        F.broadcast(cs) if n <= SMALL_TABLE_ROWS else cs, "blk")
 
 
-def silhouette_sq_euclidean(points: DataFrame, max_clusters: int = 10_000) -> DataFrame:
+def silhouette_sq_euclidean(points: DataFrame) -> DataFrame:
     """Mean silhouette with squared Euclidean distance, in closed form.
 
     For cluster C: mean_j |x - x_j|^2 = |x|^2 - 2 x.mu_C + mean_C |x_j|^2, so
-    only (count, sum vector, sum of squared norms) per cluster is needed: O(n k),
-    never a pair of points. Own-cluster mean is rescaled by |C|/(|C|-1)
-    (the point itself contributes 0); singletons score 0; < 2 clusters -> 0.
-    The per-cluster table is bounded by ``max_clusters`` and enters every row
-    as one array literal.
+    only (count, mean vector, mean squared norm) per cluster is needed: O(n k),
+    never a pair of points. Own-cluster mean is rescaled by |C|/(|C|-1) (the
+    point itself contributes 0); singletons, points of distance 0 to both
+    clusters, and data with one cluster score 0.
     """
-    dims = points.select("cluster", F.posexplode("features").alias("d", "x"))
-    per_dim = dims.groupBy("cluster", "d").agg(F.sum("x").alias("s"))
-    norms = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
-                                          F.sum(F.aggregate(F.col("features"), F.lit(0.0),
-                                                            lambda a, v: a + v * v)).alias("q"))
-    stats = (per_dim.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda t: t["s"]).alias("sum"))
-        .join(norms, "cluster"))
-    rows = stats.orderBy("cluster").collect() if stats.count() <= max_clusters else None
-    if rows is None:
-        raise ValueError(f"more than {max_clusters} clusters")
-    if len(rows) < 2:
-        return points.sparkSession.range(1).select(F.lit(0.0).alias("silhouette"))
-    lit = F.array(*[F.struct(F.lit(r["cluster"]).alias("c"), F.lit(r["n"]).cast("double").alias("n"),
-                             F.lit(r["q"]).alias("q"),
-                             F.array(*[F.lit(float(v)) for v in r["sum"]]).alias("s")) for r in rows])
-
-    def mean_d(x: Column, c: Column) -> Column:
-        dot = F.aggregate(F.zip_with(x, c["s"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        xx = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
-        return xx - 2.0 * dot / c["n"] + c["q"] / c["n"]
-
-    per = points.select(
-        "cluster",
-        F.transform(lit, lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"),
-                                            mean_d(F.col("features"), c).alias("m"))).alias("ds"))
-    own = F.filter(F.col("ds"), lambda t: t["c"] == F.col("cluster"))[0]
-    others = F.array_min(F.transform(F.filter(F.col("ds"), lambda t: t["c"] != F.col("cluster")), lambda t: t["m"]))
-    a = own["m"] * own["n"] / (own["n"] - 1)
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((others - a) / F.greatest(a, others))
-    return per.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
-
-
-def assign_nearest(points: DataFrame, centres_df: DataFrame, max_centres: int = 10_000) -> DataFrame:
-    """(id, cluster) of the nearest centre (lowest cluster id on a tie); centres are a bounded literal."""
-    rows = centres_df.orderBy("cluster").limit(max_centres + 1).collect()
-    if len(rows) > max_centres:
-        raise ValueError(f"more than {max_centres} centres")
-    lit = F.array(*[F.struct(F.lit(r["cluster"]).alias("c"),
-                             F.array(*[F.lit(float(v)) for v in r["centre"]]).alias("v")) for r in rows])
-    best = F.array_min(F.transform(lit, lambda c: F.struct(sq_dist(F.col("features"), c["v"]).alias("d"),
-                                                           c["c"].alias("c"))))
-    return points.select("id", best["c"].alias("cluster"))
+    norm = F.aggregate(F.col("features"), F.lit(0.0), lambda a, v: a + v * v)
+    stats = points.groupBy(F.col("cluster").alias("c")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(norm).alias("q"),
+        vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("mu"))
+
+    def mean_d(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with(F.col("features"), c["mu"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        return F.col("xx") - 2.0 * dot + c["q"]
+
+    per = meet_clusters(points.select("id", "cluster", "features", norm.alias("xx")), stats).select(
+        "id", "cluster", F.transform("cs", lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"), mean_d(c).alias("m"))).alias("ds"))
+    own = F.filter("ds", lambda t: t["c"] == F.col("cluster"))
+    others = F.array_min(F.transform(F.filter("ds", lambda t: t["c"] != F.col("cluster")), lambda t: t["m"]))
+    by_point = per.select("id", F.get(own, F.lit(0)).alias("own"), others.alias("b")).groupBy("id").agg(
+        F.max("own.n").alias("n"), F.max("own.m").alias("m"), F.min("b").alias("b"))
+    a = F.when(F.col("n") > 1, F.col("m") * F.col("n") / (F.col("n") - 1))
+    top = F.greatest(a, F.col("b"))
+    s = F.when((top > 0) & F.col("b").isNotNull() & a.isNotNull(), (F.col("b") - a) / top).otherwise(F.lit(0.0))
+    return by_point.select(s.alias("s")).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("silhouette"))
+
+
+def assign_nearest(points: DataFrame, centres_df: DataFrame) -> DataFrame:
+    """(id, cluster) of the nearest centre (lowest cluster id on a tie)."""
+    near = F.array_min(F.transform("cs", lambda c: F.struct(sq_dist(F.col("features"), c["centre"]).alias("d"), c["c"].alias("c"))))
+    met = meet_clusters(points.select("id", "features"), centres_df.select(F.col("cluster").alias("c"), "centre"))
+    return (met.select("id", near.alias("b")).groupBy("id").agg(F.min("b").alias("b"))
+            .select("id", F.col("b.c").alias("cluster")))

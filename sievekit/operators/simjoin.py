@@ -1,14 +1,14 @@
 """Exact Jaccard self-join on set columns (prefix filter + length filter).
 
 Lossless for threshold t > 0 (Chaudhuri et al. 2006, Bayardo et al. 2007,
-Xiao et al. 2008, Vernica et al. 2010): order every set by ascending global
-token frequency; two sets with J >= t share a token inside both prefixes of
+Xiao et al. 2008, Vernica et al. 2010): order every set by one global order of
+the tokens; two sets with J >= t share a token inside both prefixes of
 length ``|x| - ceil(t|x|) + 1``. Frequent tokens (boilerplate) sort last and
 so rarely enter a prefix, which keeps hot posting lists out of the join.
 
-Physical plan: explode -> token frequency (partial aggregation) -> join back
--> per-set rank -> prefix self-join on token (AQE splits skewed tokens) ->
-distinct pairs -> verify on the full sorted sets.
+Physical plan: one partial count of tokens for the bounded list of heavy ones
+-> row-local prefixes -> prefix self-join on token (AQE splits skewed tokens)
+-> distinct pairs -> verify on the full sorted sets.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-9
+#: Tokens ordered last in every prefix, at most so many, each held by so many sets at least.
+HEAVY_TOKENS, HEAVY_SETS = 5000, 20
 
 
 def min_overlap_size(n: Column, t: float) -> Column:
@@ -33,13 +35,14 @@ def collapse_equal_sets(sets: DataFrame, id_col: str = "id", set_col: str = "set
 
     ``representatives`` (id, set) keeps the smallest id of every group;
     ``members`` (id, rep) maps every id to its representative. The group key
-    is (size, hash of the sorted set); the aggregation is partial, so a group
+    is (size, 128-bit hash of the sorted set); the aggregation is partial, so a group
     of copies holding a large share of the rows is combined map-side.
     """
     keyed = sets.select(
         F.col(id_col).alias("id"), F.col(set_col).alias("set"),
         F.size(set_col).alias("n"),
-        F.xxhash64(F.array_sort(F.col(set_col))).alias("set_key"))
+        F.struct(F.xxhash64(F.array_sort(F.col(set_col))).alias("a"),
+                 F.xxhash64(F.lit(1), F.array_sort(F.col(set_col))).alias("b")).alias("set_key"))
     reps = (keyed.groupBy("n", "set_key")
             .agg(F.min("id").alias("rep"), F.min_by("set", "id").alias("set")))
     members = keyed.select("id", "n", "set_key").join(
@@ -47,13 +50,6 @@ def collapse_equal_sets(sets: DataFrame, id_col: str = "id", set_col: str = "set
     return reps.select(F.col("rep").alias("id"), "set"), members
 
 
-def candidate_volume(prefix: DataFrame) -> int:
-    """Rows the prefix self-join would emit: sum over tokens of C(postings, 2)."""
-    v = (prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("p"))
-         .agg(F.sum(F.col("p") * (F.col("p") - 1) / 2).alias("v")).first()["v"])
-    return int(v or 0)
-
-
 def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
                       set_col: str = "set", prefix: DataFrame | None = None) -> DataFrame:
     """All pairs i < j of non-empty sets with |i & j| / |i | j| >= threshold.
@@ -82,19 +78,24 @@ def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
     return ver.select("i", "j", "overlap", "jaccard")
 
 
+def heavy_tokens(docs: DataFrame, n: int = HEAVY_TOKENS) -> list[int]:
+    """The ``n`` tokens of most sets (held by at least ``HEAVY_SETS``): a bounded list, most frequent first."""
+    df = docs.select(F.explode("set").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    return [r.tok for r in df.where(F.col("df") >= HEAVY_SETS).orderBy(F.desc("df"), "tok").limit(n).collect()]
+
+
 def prefix_table(docs: DataFrame, t: float) -> DataFrame:
-    """(id, n, tok) prefix rows of ``docs(id, set, n)``.
+    """(id, n, tok) prefix rows of ``docs(id, set, n)``, found in each row by itself.
 
-    Prefix positions are counted over all tokens; a token held by one set
-    only (df = 1) cannot form a candidate, so it is dropped after counting.
+    Any global order of the tokens is lossless. Here the bounded list of heavy
+    tokens comes last and all others go by their (hashed) value, so only one
+    partial count of tokens is shuffled, and prefixes need no further join.
     """
-    toks = docs.select("id", "n", F.explode("set").alias("tok"))
-    freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "tok")
-    return (toks.join(freq, "tok")
-            .withColumn("pos", F.row_number().over(w))
-            .where((F.col("pos") <= prefix_length(F.col("n"), t)) & (F.col("df") > 1))
-            .select("id", "n", "tok"))
+    heavy = heavy_tokens(docs)
+    late = (lambda x: x.isin(heavy)) if heavy else (lambda x: F.lit(False))
+    ordered = F.array_sort(F.transform("set", lambda x: F.struct(late(x).alias("late"), x.alias("tok"))))
+    return docs.select("id", "n", F.explode(F.slice(ordered, 1, prefix_length(F.col("n"), t).cast("int"))).alias("p")) \
+        .select("id", "n", F.col("p.tok").alias("tok"))
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, t: float, a: str = "a", b: str = "b") -> DataFrame:

@@ -487,7 +487,8 @@ def char_shingles(spark, sf):
     """Distinct character 5-grams of whole documents."""
     from ..functions.text import char_tokens
     c = TB.documents_corpus(spark, sf)
-    sh = shingles(char_tokens(F.col("files")[0]["file_content"]), 5, sep="")
+    text = F.array_join(F.transform("files", lambda f: F.coalesce(f["file_content"], F.lit(""))), "")
+    sh = shingles(char_tokens(text), 5, sep="")
     return c.select("design_idx", sh.alias("sh")).select(
         "design_idx", F.size("sh").alias("n_shingles"),
         F.aggregate(F.transform("sh", portable_hash31), F.lit(0).cast("bigint"),
@@ -522,14 +523,13 @@ def halstead_q(spark, sf):
 
 @query("size_profile")
 def size_profile(spark, sf):
-    """Code-length quartile bucket of every design and of the selection (skewed clusters)."""
+    """Code-length quartile bucket of every code design and of the curated selection."""
+    from ..operators.curate import keep_listed
     from ..operators.profile import size_buckets
-    pts, picks = _select(spark, sf, True, 30, 34)
-    e = TB.read_table(spark, sf, "embeddings", "vec_id", "embedding")
-    sizes = e.select(F.col("vec_id").alias("design_idx"),
-                     F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0),
-                                 lambda a, x: a + F.abs(x)).alias("size"))
-    sel = picks.select(F.col("id").alias("design_idx"))
+    code = TB.code_corpus(spark, sf)
+    length = F.aggregate("files", F.lit(0).cast("bigint"), lambda a, f: a + F.length(F.coalesce(f["file_content"], F.lit(""))))
+    sizes = code.select("design_idx", length.cast("double").alias("size"))
+    sel = keep_listed(code.drop("files"), TB.curation_list_from_part(spark, sf)).select("design_idx")
     return size_buckets(sizes, sel).select("bucket", "n_all", "n_selected",
                                            F.round("share_selected", 6).alias("share_selected"))
 

@@ -17,7 +17,12 @@ from ..functions.shingles import shingle_keys64, shingles
 from ..functions.text import lexical_tokens
 from ..operators import dedup as D
 from ..operators import minhash as MH
-from ..operators.simjoin import candidate_volume, collapse_equal_sets, jaccard_self_join, prefix_table
+from ..operators.simjoin import collapse_equal_sets
+
+
+# FIXED VALUES: names in the result tables
+MODE_EXACT, MODE_LSH = "Exact", "LSH"
+LSH_PREFIX, LSH_SIMILARITY = "design_", "LSH_match"
 
 
 @dataclass
@@ -54,82 +59,46 @@ def signature_table(corpus: DataFrame, k: int = 5, num_perm: int = 128,
                     hls_aware: bool = True) -> DataFrame:
     """(id, sig array<bigint>) written once; ``sig`` is null for designs without shingles.
 
-    Two materialised steps: the shingle hash arrays (text work, JVM), then the
-    vectorised signature kernel applied to that plain array column.
+    Tokens, shingles and signature are one row-local JVM expression.
     """
-    sh = shingle_sets(corpus, k, hls_aware)
-    hashed = D._checkpoint(sh.select(F.col("design_idx").alias("id"),
-                                     MH.shingle_hashes31(F.col("shingles")).alias("h")))
-    return D._checkpoint(hashed.select("id", MH.signature(F.col("h"), num_perm).alias("sig")))
+    return D._checkpoint(shingle_sets(corpus, k, hls_aware).select(
+        F.col("design_idx").alias("id"),
+        MH.signature(MH.shingle_hashes31(F.col("shingles")), num_perm).alias("sig")))
+
+
+def _resolve(corpus: DataFrame, valid: DataFrame, members: DataFrame, rep_links: DataFrame) -> DedupResult:
+    links = D._checkpoint(D.expand_collapsed_links(members, rep_links))
+    v = valid.select(F.col("id").alias("design_idx"))
+    kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
+    return DedupResult(v, links, kept, MODE_EXACT, corpus.select("design_idx"))
 
 
-def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
-                hls_aware: bool = True, strategy: str = "auto",
-                pairs_per_design: int = 20, min_pair_budget: int = 1_000_000) -> DedupResult:
+def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5, hls_aware: bool = True) -> DedupResult:
     """Exact mode with exact Jaccard of shingle sets as the similarity.
 
-    ``'edges'`` materialises all similar pairs, then runs cheap rounds;
-    ``'lazy'`` verifies neighbours round by round from prefix posting lists
-    (no edge table: a clique of m near copies costs O(m |prefix|) per round,
-    not m^2). ``'auto'`` measures the candidate-join volume on the prefix
-    table and takes ``edges`` only within a linear budget
-    (``max(min_pair_budget, pairs_per_design * n)``). Same result either way.
+    Equal sets are collapsed, the rest is settled in first-wins rounds from
+    prefix posting lists; no table of similar pairs is made.
     """
-    sets = hashed_shingle_sets(corpus, k, hls_aware)
-    valid = sets.where(F.size("set") > 0)
+    valid = hashed_shingle_sets(corpus, k, hls_aware).where(F.size("set") > 0)
     reps, members = collapse_equal_sets(valid)
-    reps = D._checkpoint(reps.withColumn("n", F.size("set")))
-    prefix = D._checkpoint(prefix_table(reps, threshold))
-    if strategy == "auto":
-        budget = max(min_pair_budget, pairs_per_design * reps.count())
-        strategy = "edges" if candidate_volume(prefix) <= budget else "lazy"
-    if strategy == "edges":
-        edges = jaccard_self_join(reps, threshold, prefix=prefix).select("i", "j", F.col("jaccard").alias("sim"))
-        return _resolve(corpus, valid, members, edges, "Exact")
-    _, rep_links = D.first_wins_lazy(reps, threshold, prefix=prefix)
-    links = D._checkpoint(D.expand_collapsed_links(members, rep_links))
-    v = valid.select(F.col("id").alias("design_idx"))
-    kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
-    return DedupResult(v, links, kept, "Exact", corpus.select("design_idx"))
+    _, rep_links = D.first_wins(reps, threshold)
+    return _resolve(corpus, valid, members, rep_links)
 
 
 def minhash_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
-                  num_perm: int = 128, hls_aware: bool = True, strategy: str = "auto",
-                  pairs_per_design: int = 20, min_pair_budget: int = 1_000_000) -> DedupResult:
+                  num_perm: int = 128, hls_aware: bool = True) -> DedupResult:
     """Exact mode with the MinHash estimate (equal positions / num_perm) as the similarity.
 
-    Candidates share one of the pigeonhole bands (lossless for the estimate).
-    As in ``exact_dedup``, the band posting-list volume decides between an
-    edge table (within a linear budget) and the lazy pair-free rounds.
+    Candidates share one of the pigeonhole bands (lossless for the estimate);
+    the rounds are those of ``exact_dedup`` with bands as posting lists.
     """
     sigs = signature_table(corpus, k, num_perm, hls_aware).where(F.col("sig").isNotNull())
-    valid = sigs.select("id")
     reps, members = collapse_equal_sets(sigs, set_col="sig")
     reps = D._checkpoint(reps)
-    postings = D._checkpoint(MH.band_postings(reps, MH.pigeonhole_bands(threshold, num_perm), sig_col="set"))
-    if strategy == "auto":
-        budget = max(min_pair_budget, pairs_per_design * reps.count())
-        strategy = "edges" if candidate_volume(postings) <= budget else "lazy"
-    if strategy == "edges":
-        edges = MH.signature_self_join(reps.withColumnRenamed("set", "sig"), threshold, num_perm) \
-            .select("i", "j", F.col("similarity").alias("sim"))
-        return _resolve(corpus, valid, members, edges, "Exact")
-    _, rep_links = D.first_wins_lazy(reps, threshold, prefix=postings,
-                                     verify=MH.signature_verifier(num_perm), use_length=False)
-    links = D._checkpoint(D.expand_collapsed_links(members, rep_links))
-    v = valid.select(F.col("id").alias("design_idx"))
-    kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
-    return DedupResult(v, links, kept, "Exact", corpus.select("design_idx"))
-
-
-def _resolve(corpus, valid, members, edges, mode) -> DedupResult:
-    edges = D._checkpoint(edges)
-    state = D.first_wins_edges(edges)
-    rep_links = D.links_from_edges(edges, state)
-    links = D._checkpoint(D.expand_collapsed_links(members, rep_links))
-    v = valid.select(F.col("id").alias("design_idx"))
-    kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
-    return DedupResult(v, links, kept, mode, corpus.select("design_idx"))
+    postings = MH.band_postings(reps, MH.pigeonhole_bands(threshold, num_perm), sig_col="set")
+    _, rep_links = D.first_wins(reps, threshold, prefix=postings,
+                                verify=MH.signature_verifier(num_perm), use_length=False)
+    return _resolve(corpus, sigs.select("id"), members, rep_links)
 
 
 def lsh_dedup(corpus: DataFrame, lsh_threshold: float = 0.8, k: int = 5,
@@ -148,11 +117,11 @@ def lsh_dedup(corpus: DataFrame, lsh_threshold: float = 0.8, k: int = 5,
     state = D.first_wins_buckets(members)
     links = D._checkpoint(state.where(F.col("state") == D.DUP).select(
         F.col("node").alias("duplicate_index"),
-        F.concat(F.lit("design_"), F.col("similar_to").cast("string")).alias("similar_to"),
-        F.lit("LSH_match").alias("estimated_similarity")))
+        F.concat(F.lit(LSH_PREFIX), F.col("similar_to").cast("string")).alias("similar_to"),
+        F.lit(LSH_SIMILARITY).alias("estimated_similarity")))
     v = valid.select(F.col("id").alias("design_idx"))
     kept = v.join(links.select(F.col("duplicate_index").alias("design_idx")), "design_idx", "left_anti")
-    return DedupResult(v, links, kept, "LSH", corpus.select("design_idx"))
+    return DedupResult(v, links, kept, MODE_LSH, corpus.select("design_idx"))
 
 
 def dedup_stats(res: DedupResult) -> DataFrame:
@@ -168,7 +137,7 @@ def dedup_stats(res: DedupResult) -> DataFrame:
     out = tagged.agg(*[F.count_if(F.col("t") == tag).alias(name) for tag, name in
                        (("o", "original_count"), ("v", "valid_count"),
                         ("k", "deduplicated_count"), ("d", "duplicate_count"))])
-    valid_col = F.col("valid_count") if res.mode == "Exact" else F.lit(None).cast("bigint")
+    valid_col = F.col("valid_count") if res.mode == MODE_EXACT else F.lit(None).cast("bigint")
     return out.select(
         "original_count", valid_col.alias("valid_count"), "deduplicated_count", "duplicate_count",
         F.lit(res.mode).alias("processing_mode"),
@@ -178,14 +147,14 @@ def dedup_stats(res: DedupResult) -> DataFrame:
 
 
 def kept_designs(corpus: DataFrame, res: DedupResult) -> DataFrame:
-    """The input rows (all columns) of kept designs, in index order."""
-    return corpus.join(res.kept, "design_idx", "left_semi").orderBy("design_idx")
+    """The input rows (all columns) of kept designs; writers sort them."""
+    return corpus.join(res.kept, "design_idx", "left_semi")
 
 
 def deduplicate(corpus: DataFrame, similarity_threshold: float = 0.85, enable_lsh: bool = False,
                 lsh_threshold: float = 0.8, k: int = 5, num_perm: int = 128, hls_aware: bool = True,
-                similarity: str = "exact") -> DedupResult:
-    """Mode switch: LSH mode, or exact mode with ``similarity`` = 'exact' (Jaccard) or 'minhash' (estimate)."""
+                similarity: str = "minhash") -> DedupResult:
+    """Mode switch: LSH mode, or exact mode with ``similarity`` = 'minhash' (the estimate) or 'exact' (Jaccard)."""
     if enable_lsh:
         return lsh_dedup(corpus, lsh_threshold, k, num_perm, hls_aware)
     if similarity == "minhash":

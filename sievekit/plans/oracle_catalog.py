@@ -437,11 +437,13 @@ SELECT d.design_idx, coalesce(d_op, 0)::INTEGER AS distinct_operators, coalesce(
        coalesce(t_op, 0)::INTEGER AS total_operators, coalesce(t_od, 0)::INTEGER AS total_operands
 FROM designs d LEFT JOIN agg USING (design_idx)"""
 
-SQL["size_profile"] = "WITH " + _selection_sql(True, 30, 34) + """,
-sz AS (SELECT vec_id AS design_idx, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS size FROM embeddings),
+SQL["size_profile"] = _CUR + """,
+sz AS (SELECT d.design_idx, coalesce(sum(length(f.file_content)), 0)::DOUBLE AS size
+       FROM designs d LEFT JOIN files f USING (design_idx) GROUP BY d.design_idx),
+chosen AS (""" + SQL["curated_semi"][len(_CUR):] + """),
 qq AS (SELECT quantile_cont(size, [0.25, 0.5, 0.75]) AS q FROM sz),
 bk AS (SELECT sz.design_idx, CASE WHEN size <= q[1] THEN 1 WHEN size <= q[2] THEN 2 WHEN size <= q[3] THEN 3 ELSE 4 END AS bucket,
-              sz.design_idx IN (SELECT id FROM sel) AS s FROM sz, qq)
+              sz.design_idx IN (SELECT design_idx FROM chosen) AS s FROM sz, qq)
 SELECT bucket, count(*)::BIGINT AS n_all, count(*) FILTER (WHERE s)::BIGINT AS n_selected,
        round(count(*) FILTER (WHERE s) / count(*), 6) AS share_selected FROM bk GROUP BY bucket"""
 

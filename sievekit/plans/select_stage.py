@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as CL
 from ..operators import select as SEL
-from .features import design_features
+from .features import MODES, design_features
 
 
 @dataclass
@@ -49,3 +49,15 @@ def compare_modes(corpus: DataFrame, n_init: int = CL.N_INIT, k_step: int = 1, t
         _, k, score, _ = CL.cluster(fs.vectors, n_init, k_step, threads)
         rows.append((mode, k, float(score), fs.vectors.count(), fs.n_dims))
     return corpus.sparkSession.createDataFrame(rows, "mode string, k int, silhouette double, n_rows long, n_dims int")
+
+
+def best_mode(scores: DataFrame) -> str:
+    """The mode of highest silhouette in the table of ``compare_modes``; the first in MODES order on a tie."""
+    return max(sorted(scores.collect(), key=lambda r: MODES.index(r["mode"])), key=lambda r: r["silhouette"])["mode"]
+
+
+def run_best_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120, n_init: int = CL.N_INIT,
+                       k_step: int = 1, threads: int | None = None) -> SelectionResult:
+    """Compare the feature modes, then select with the best one."""
+    mode = best_mode(compare_modes(corpus, n_init, k_step, threads))
+    return run_selection(corpus, target_min, target_max, mode, n_init, k_step, threads)

@@ -33,7 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    as is. Only a local master may leave it unset: then a scratch folder is
+    made, since driver and tasks share one disk.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="sievekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -51,3 +54,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def _on_path(spark: SparkSession, path: str, act):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return act(p.getFileSystem(sc._jsc.hadoopConfiguration()), p)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate table when the driver's JVM ends."""
+    _on_path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate table that no later step reads."""
+    _on_path(spark, path, lambda fs, p: fs.delete(p, True))

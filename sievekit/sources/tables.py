@@ -48,18 +48,6 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` as single-file designs; the URL is the file name."""
-    pages = spread(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return pages.select(
-        F.col("page_id").alias("design_idx"),
-        F.col("url").alias("algo_name"),
-        F.lit("pages").alias("source_name"),
-        F.array(F.struct(F.col("url").alias("file_name"),
-                         F.col("html").alias("file_content"))).alias("files"),
-    )
-
-
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The C++/HLS corpus derived row by row from ``part`` (see ``code_corpus``)."""
     part = spread(read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size"))
@@ -111,5 +99,5 @@ def embedding_points(spark: SparkSession, sf_dir: str, skewed: bool = False,
         from ..functions.shingles import let
         norm = F.sqrt(F.aggregate(feats, F.lit(0.0), lambda a, x: a + x * x))
         feats = let(F.struct(feats.alias("f"), norm.alias("n")),
-                    lambda s: F.transform(s["f"], lambda x: x / s["n"]))
+                    lambda s: F.when(s["n"] > 0, F.transform(s["f"], lambda x: x / s["n"])).otherwise(s["f"]))
     return e.select(F.col("vec_id").alias("id"), cluster.alias("cluster"), feats.alias("features"))

@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +38,10 @@ class IncrementalDedup:
         self.bands = MH.lsh_bands(*MH.optimal_bands(lsh_threshold, num_perm))
 
     def _index(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        try:
-            idx = spark.read.parquet(self.index_dir)
-        except AnalysisException:  # nothing indexed yet
+        if batch_id == 0:  # nothing indexed yet
             return None
+        # a later batch without an index has lost it: the read fails, so that no duplicate is kept unseen
+        idx = spark.read.parquet(self.index_dir)
         return idx.where(F.col("batch_id") < batch_id).select("bucket", F.col("node").alias("kept_node"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:

@@ -75,35 +75,62 @@ def test_near_copy_links_to_smallest_kept(spark):
     assert (link[0], link[1]) == (6, 5) and 0.8 <= link[2] < 1.0
 
 
-def test_lazy_rounds_equal_edge_rounds(spark):
+def walked(rows, similar):
+    """{duplicate: smallest kept neighbour} of a walk in ascending index."""
+    kept, links = [], {}
+    for i, x in rows:
+        near = [k for k, y in kept if similar(y, x)]
+        if near:
+            links[i] = near[0]
+        else:
+            kept.append((i, x))
+    return links
+
+
+def test_rounds_equal_walk(spark):
     rnd = random.Random(21)
     vocab = [f"v{i}" for i in range(40)]
     rows = []
     for i in range(40):
         base = vocab[(i % 4) * 5:(i % 4) * 5 + 25]
-        words = [w if rnd.random() > 0.08 else f"z{i}_{j}" for j, w in enumerate(base)]
-        rows.append((i, [" ".join(words)]))
-    c = corpus_df(spark, rows)
+        rows.append((i, [w if rnd.random() > 0.08 else f"z{i}_{j}" for j, w in enumerate(base)]))
+    c = corpus_df(spark, [(i, [" ".join(w)]) for i, w in rows])
+    sets = [(i, set(zip(w, w[1:], w[2:]))) for i, w in rows]
     for t in (0.5, 0.8):
-        lazy = DS.exact_dedup(c, t, 3, strategy="lazy")
-        edges = DS.exact_dedup(c, t, 3, strategy="edges")
-        assert {r[0] for r in lazy.kept.collect()} == {r[0] for r in edges.kept.collect()}
-        fix = lambda rows: {(r[0], r[1], round(r[2], 9)) for r in rows}
-        assert fix(lazy.links.collect()) == fix(edges.links.collect())
+        got = {r[0]: r[1] for r in DS.exact_dedup(c, t, 3).links.collect()}
+        assert got == walked(sets, lambda a, b: len(a & b) / len(a | b) >= t)
 
 
-def test_minhash_lazy_equals_edges(spark):
+def test_minhash_rounds_equal_walk(spark):
     rnd = random.Random(4)
     vocab = [f"m{i}" for i in range(60)]
     rows = []
     for i in range(36):
         base = vocab[(i % 3) * 10:(i % 3) * 10 + 40]
-        words = [w if rnd.random() > 0.05 else f"q{i}_{j}" for j, w in enumerate(base)]
-        rows.append((i, [" ".join(words)]))
+        rows.append((i, [" ".join(w if rnd.random() > 0.05 else f"q{i}_{j}" for j, w in enumerate(base))]))
     c = corpus_df(spark, rows)
-    lazy = DS.minhash_dedup(c, 0.7, 3, strategy="lazy")
-    edges = DS.minhash_dedup(c, 0.7, 3, strategy="edges")
-    assert {r[0] for r in lazy.kept.collect()} == {r[0] for r in edges.kept.collect()}
-    fix = lambda rows: {(r[0], r[1], round(r[2], 9)) for r in rows}
-    assert fix(lazy.links.collect()) == fix(edges.links.collect())
-    assert lazy.links.count() > 0
+    sigs = sorted((r.id, r.sig) for r in DS.signature_table(c, 3).collect())
+    got = {r[0]: r[1] for r in DS.minhash_dedup(c, 0.7, 3).links.collect()}
+    assert got == walked(sigs, lambda a, b: sum(x == y for x, y in zip(a, b)) / len(a) >= 0.7) and got
+
+
+def test_chain_of_revisions(spark):
+    """Each revision resembles the one before it alone: every second one is kept."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, [" ".join(words[8 * i:8 * i + 84])]) for i in range(14)]
+    res = DS.exact_dedup(corpus_df(spark, rows), 0.8, 5)
+    assert {r[0] for r in res.kept.collect()} == {i for i in range(14) if i % 2 == 0}
+
+
+def test_candidates_stay_below_pairs(spark):
+    """Sets of 10 tokens out of 40 (t = 0.8): hardly any is similar, and few pairs are looked at."""
+    from sievekit.operators.simjoin import prefix_table
+    rnd = random.Random(5)
+    rows = [(i, sorted(rnd.sample(range(40), 10)), 10) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, set array<bigint>, n int")
+    p = prefix_table(docs, 0.8)
+    lists = p.groupBy("tok").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+    assert lists <= 400 * 399 / 2
+    state, _ = D.first_wins(docs.select("id", "set"), 0.8)
+    assert state.where(F.col("state") == D.KEPT).count() == 400 - len(walked(
+        [(i, set(s)) for i, s, _ in rows], lambda a, b: len(a & b) / len(a | b) >= 0.8))
