@@ -1,9 +1,7 @@
 """Corpus and curation-list readers, result writers.
 
-* JSON corpus: an explicit schema (no inference); JSON Lines by default,
-  ``multi_line=True`` for one JSON array per file (not splittable: fine for
-  small inputs only). ``design_idx`` is the position of the design in the
-  array (``posexplode``); JSON Lines carry an explicit ``design_idx``.
+* JSON corpus: JSON Lines (splittable, with an explicit ``design_idx``), or
+  one JSON array per file, whose elements are numbered over all files.
 * Bare-string files (``source_code: array<string>``) are normalised to the
   struct form with a null file name.
 * Outputs are partitioned Parquet / JSON Lines / CSV written by executors.
@@ -13,10 +11,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.curate import SOURCE_KEYS
+from ..operators.dedup import _checkpoint
+
 FILE = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("file_content", T.StringType())])
 DESIGN_SCHEMA = T.StructType([
     T.StructField("design_idx", T.LongType()),
@@ -37,21 +38,42 @@ def load_guard(df: DataFrame, what: str = "input") -> DataFrame:
 
 
 def read_design_array(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file -> rows in array order, ``design_idx`` = position.
+    """JSON arrays of designs, one array per file (a file, a folder or a glob); see ``read_designs_and_rejects``."""
+    return read_designs_and_rejects(spark, path)[0]
+
 
-    Files are read whole as variants and exploded with their position, so
-    struct files and bare-string files may be mixed in one array.
+def read_designs_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(designs, rejects) of JSON arrays.
+
+    Each element is a row of its own, so a file may be larger than any value
+    may be. ``design_idx`` numbers all elements in the order of paths and
+    positions. Keys other than the known ones are carried through as variants
+    (those named like a column made here get the prefix ``input_``). Elements
+    whose ``source_code`` is no list are rejects (``design_idx``, ``reason``);
+    text that is no JSON ends the read.
     """
-    v = spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path)
-    rows = v.select(F.posexplode(F.expr("cast(v as array<variant>)")).alias("design_idx", "d"))
-    files = F.expr("cast(variant_get(d, '$.source_code', 'array<variant>') as array<variant>)")
-    out = rows.select(
-        F.col("design_idx").cast("long").alias("design_idx"),
-        F.expr("variant_get(d, '$.algo_name', 'string')").alias("algo_name"),
-        F.expr("variant_get(d, '$.source_name', 'string')").alias("source_name"),
-        F.transform(files, _file_struct).alias("files"),
-    )
-    return load_guard(out, path)
+    load_guard(spark.read.text(path), path)
+    found = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(path).columns
+    extra = [c for c in found if c not in ("algo_name", "source_name", "source_code")]
+    schema = T.StructType([T.StructField("algo_name", T.StringType()), T.StructField("source_name", T.StringType()),
+                           T.StructField("source_code", T.VariantType()), *(T.StructField(c, T.VariantType()) for c in extra)])
+    renamed = {c: f"input_{c}" for c in extra if c in ("design_idx", "files")}
+    raw = (spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
+           .select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_row"))
+           .withColumnsRenamed(renamed))
+    # one task reads a file from its start to its end; written, as such a file cannot be split again
+    rows = load_guard(_checkpoint(raw), path)
+    files = rows.groupBy("_path").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("_path", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = rows.join(files, "_path").withColumn("design_idx", F.col("_row") - F.col("_first") + F.col("_before"))
+    parts = F.expr("try_variant_get(source_code, '$', 'array<variant>')")
+    bad = F.col("source_code").isNotNull() & ~F.expr("is_variant_null(source_code)") & parts.isNull()
+    designs = numbered.where(~bad).select(
+        "design_idx", "algo_name", "source_name", F.transform(parts, _file_struct).alias("files"),
+        *(renamed.get(c, c) for c in extra))
+    rejects = numbered.where(bad).select("design_idx", F.lit("source_code is no list").alias("reason"))
+    return designs, rejects
 
 
 def _file_struct(f):
@@ -64,9 +86,25 @@ def _file_struct(f):
 
 
 def read_design_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines corpus written by ``write_designs`` (keeps ``design_idx``); splittable."""
-    df = spark.read.schema(DESIGN_SCHEMA).json(path)
-    return load_guard(df.withColumnRenamed("source_code", "files"), path)
+    """JSON Lines corpus written by ``write_designs`` (keeps ``design_idx`` and further keys); splittable."""
+    load_guard(spark.read.text(path), path)
+    known = {f.name for f in DESIGN_SCHEMA}
+    found = spark.read.option("mode", "FAILFAST").option("primitivesAsString", True).json(path).schema
+    schema = T.StructType([*DESIGN_SCHEMA, *(f for f in found if f.name not in known)])
+    return spark.read.option("mode", "FAILFAST").schema(schema).json(path).withColumnRenamed("source_code", "files")
+
+
+def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
+    """Keyed JSON objects ``{name: value}`` to rows ``(key, source, is_struct)``.
+
+    A value that is an object gives its source by the first of SOURCE_KEYS that
+    it has; other values have none. Each file is one object in one value.
+    """
+    whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
+    pairs = whole.select(F.explode(F.expr("cast(v as map<string, variant>)")).alias("key", "value"))
+    is_struct = F.expr("schema_of_variant(value)").startswith("OBJECT")
+    source = F.coalesce(*(F.expr(f"try_variant_get(value, '$.{k}', 'string')") for k in SOURCE_KEYS))
+    return pairs.select("key", F.when(is_struct, source).alias("source"), is_struct.alias("is_struct"))
 
 
 def read_curation_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -49,3 +49,42 @@ def test_json_lines_round_trip_and_csv(spark, tmp_path):
     IO.write_name_source_csv(code, csv_out)
     sel = IO.read_curation_csv(spark, csv_out)
     assert sel.count() == 30 and sel.columns == ["algo_name", "source_name"]
+
+
+def test_array_of_bad_rows_extra_keys_and_two_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    body = " ".join(f"w{i}" for i in range(30))
+    (tmp_path / "in" / "a.json").write_text(json.dumps([
+        {"algo_name": "a", "source_name": "s", "source_code": [body], "stars": 3, "design_idx": "mine"},
+        {"algo_name": "b", "source_name": "s", "source_code": "no list"},
+        {"algo_name": "c", "source_code": None}]))
+    (tmp_path / "in" / "b.json").write_text(json.dumps([{"algo_name": "d", "source_code": [], "license": {"id": "MIT"}}]))
+    designs, rejects = IO.read_designs_and_rejects(spark, str(tmp_path / "in"))
+    assert {(r.design_idx, r.algo_name) for r in designs.collect()} == {(0, "a"), (2, "c"), (3, "d")}
+    assert [(r.design_idx, r.reason) for r in rejects.collect()] == [(1, "source_code is no list")]
+    extra = {r.design_idx: (r.stars, r.input_design_idx, r.license) for r in designs.selectExpr(
+        "design_idx", "to_json(stars) stars", "to_json(input_design_idx) input_design_idx", "to_json(license) license").collect()}
+    assert extra[0] == ("3", '"mine"', None) and extra[3][2] == '{"id":"MIT"}'
+
+
+def test_array_larger_than_one_value_may_be(spark, tmp_path):
+    """An array file of over 128 MiB keeps all its designs."""
+    body = "x" * 1_000_000
+    with open(tmp_path / "big.json", "w") as f:
+        f.write("[")
+        for i in range(140):
+            f.write(("," if i else "") + json.dumps({"algo_name": f"n{i}", "source_code": [body]}))
+        f.write("]")
+    got = IO.read_design_array(spark, str(tmp_path / "big.json"))
+    assert got.selectExpr("count(*)", "min(design_idx)", "max(design_idx)", "sum(length(files[0].file_content))").first()[:] == (140, 0, 139, 140_000_000)
+
+
+def test_keyed_json_and_key_fallback(spark, tmp_path):
+    from sievekit.operators import curate as CU
+    (tmp_path / "k.json").write_text(json.dumps({"a": {"dataset": "s1"}, "b": {"source": "", "x": 1}, "c": "text", "d": {"benchmark": "other"}}))
+    keyed = IO.read_keyed_json(spark, str(tmp_path / "k.json"))
+    assert {(r.key, r.source, r.is_struct) for r in keyed.collect()} == {("a", "s1", True), ("b", "", True), ("c", None, False), ("d", "other", True)}
+    sel = spark.createDataFrame([(k, "s1") for k in "abcd"], "algo_name string, source_name string")
+    assert {r.key for r in CU.keyed_filter(keyed, sel).collect()} == {"a", "b", "c"}
+    other = spark.createDataFrame([(0, "a", None, "s1"), (1, "z", None, "s1"), (2, None, "a", "s1")], "id int, kernel_name string, design_name string, benchmark string")
+    assert {r.id for r in CU.keep_listed(other, sel).collect()} == {0, 2}
