@@ -199,3 +199,16 @@ def assign_nearest(points: DataFrame, centres_df: DataFrame) -> DataFrame:
     met = meet_clusters(points.select("id", "features"), centres_df.select(F.col("cluster").alias("c"), "centre"))
     return (met.select("id", near.alias("b")).groupBy("id").agg(F.min("b").alias("b"))
             .select("id", F.col("b.c").alias("cluster")))
+
+
+def first_best(scores: DataFrame) -> DataFrame:
+    """The row of highest ``silhouette`` in ``scores(k, silhouette)``, lowest k on a tie."""
+    return scores.orderBy(F.desc("silhouette"), "k").limit(1)
+
+
+def selection_metrics(picks: DataFrame, points: DataFrame) -> DataFrame:
+    """input_count, selected_count, selection_ratio_pct, reduction_pct (one row; ratios are 0 and 100 without input)."""
+    tagged = points.select(F.lit(0).alias("sel")).unionByName(picks.select(F.lit(1).alias("sel")))
+    ratio = F.when(F.col("input_count") > 0, F.col("selected_count") / F.col("input_count") * 100).otherwise(F.lit(0.0))
+    return tagged.agg(F.count_if(F.col("sel") == 0).alias("input_count"), F.count_if(F.col("sel") == 1).alias("selected_count")).select(
+        "input_count", "selected_count", F.round(ratio, 6).alias("selection_ratio_pct"), F.round(100 - ratio, 6).alias("reduction_pct"))

@@ -549,3 +549,93 @@ def global_farthest(spark, sf):
     pts = _points(spark, sf).withColumn("cluster", F.lit(0))
     q = pts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("quota", F.lit(10))
     return SEL.select_representatives(pts, q)
+
+
+# ---- sources and sinks: what was written is read back (O1-O6) ---------------
+
+def _written(spark, name: str) -> str:
+    import uuid
+
+    from ..session import drop_at_exit, scratch_path
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    drop_at_exit(spark, path)
+    return path
+
+
+@query("designs_json_roundtrip")
+def designs_json_roundtrip(spark, sf):
+    """The code corpus written as JSON Lines and read back."""
+    from ..sources import io as IO
+    path = _written(spark, "designs")
+    IO.write_designs(TB.code_corpus(spark, sf), path, "json")
+    text = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["file_name"], f["file_content"])), "|")
+    return IO.read_design_lines(spark, path).select(
+        "design_idx", "algo_name", "source_name", F.size("files").cast("int").alias("n_files"), F.md5(text).alias("files_md5"))
+
+
+@query("names_csv_roundtrip")
+def names_csv_roundtrip(spark, sf):
+    """Names and sources of the code corpus written as CSV and read back; rows per pair."""
+    from ..sources import io as IO
+    path = _written(spark, "names")
+    IO.write_name_source_csv(TB.code_corpus(spark, sf), path)
+    return IO.read_curation_csv(spark, path).groupBy("algo_name", "source_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("dedup_report_roundtrip")
+def dedup_report_roundtrip(spark, sf):
+    """The full run report of the code corpus, its metrics read back."""
+    from ..sources import io as IO
+    code = TB.code_corpus(spark, sf)
+    path = _written(spark, "report")
+    IO.write_dedup_report(spark, path, {"similarity_threshold": DEDUP_THRESHOLD}, DS.exact_dedup(code, DEDUP_THRESHOLD, K_SHINGLE), code)
+    kept = spark.read.parquet(path + "/kept").agg(F.count(F.lit(1)).alias("kept_rows"))
+    metrics = spark.read.schema("original_count bigint, valid_count bigint, deduplicated_count bigint, duplicate_count bigint").json(path + "/metrics")
+    return metrics.withColumn("one", F.lit(1)).join(kept.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("curated_fallback")
+def curated_fallback(spark, sf):
+    """Curation of a corpus whose key columns have other names."""
+    from ..operators.curate import keep_listed
+    corpus, sel = _curation(spark, sf)
+    other = corpus.withColumnsRenamed({"algo_name": "kernel_name", "source_name": "benchmark"})
+    return keep_listed(other, sel).select("design_idx", F.col("kernel_name").alias("algo_name"), F.col("benchmark").alias("source_name"))
+
+
+# ---- single feature modes, choice of k, report of a selection ---------------
+
+@query("features_structural_only")
+def features_structural_only(spark, sf):
+    from .features import design_features
+    fs = design_features(TB.code_corpus(spark, sf), "structural_only")
+    return fs.long.select("design_idx", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("features_semantic_only")
+def features_semantic_only(spark, sf):
+    from .features import design_features
+    fs = design_features(TB.code_corpus(spark, sf), "semantic_only")
+    return fs.long.select("design_idx", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("best_k_choice")
+def best_k_choice(spark, sf):
+    """The rule that picks k: the first highest score. Scores come from the given labels (mean of the first dimension, in tenths)."""
+    from ..operators.select import first_best
+    scores = _points(spark, sf).groupBy(F.col("cluster").alias("k")).agg(
+        F.round(F.avg(F.element_at("features", 1)), 1).alias("silhouette"))
+    return first_best(scores)
+
+
+@query("selection_ratio")
+def selection_ratio(spark, sf):
+    from ..operators.select import selection_metrics
+    pts, picks = _select(spark, sf, True, 30, 34)
+    return selection_metrics(picks, pts)
+
+
+@query("picks_per_cluster")
+def picks_per_cluster(spark, sf):
+    _, picks = _select(spark, sf, True, 30, 34)
+    return picks.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_picks"))

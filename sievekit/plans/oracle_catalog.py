@@ -453,3 +453,40 @@ _GLOBAL_HEAD = _pts(False, one_cluster=True) + """,
 final AS (SELECT 0 AS cluster, count(*) AS size, 10 AS quota FROM pts)"""
 SQL["global_farthest"] = "WITH " + _selection_sql(False, 0, 0, head=_GLOBAL_HEAD, rounds=10) + \
     "\nSELECT id, cluster, pick_rank::INTEGER AS pick_rank FROM sel"
+
+# ---- read back, single modes, choices --------------------------------------------
+
+SQL["designs_json_roundtrip"] = f"""WITH {O.corpus_ctes('code')}
+SELECT d.design_idx, any_value(d.algo_name) AS algo_name, any_value(d.source_name) AS source_name,
+       count(f.design_idx)::INTEGER AS n_files,
+       md5(coalesce(string_agg(concat_ws(':', f.file_name, f.file_content), '|' ORDER BY f.file_pos), '')) AS files_md5
+FROM designs d LEFT JOIN files f USING (design_idx) GROUP BY d.design_idx"""
+
+SQL["names_csv_roundtrip"] = f"""WITH {O.corpus_ctes('code')}
+SELECT coalesce(algo_name, 'Unknown') AS algo_name, coalesce(source_name, 'Unknown') AS source_name, count(*)::BIGINT AS n_rows
+FROM designs GROUP BY ALL"""
+
+SQL["dedup_report_roundtrip"] = O.with_recursive(_EXACT_CODE + O.first_wins_ctes()) + """
+SELECT (SELECT count(*) FROM designs)::BIGINT AS original_count, (SELECT count(*) FROM sets)::BIGINT AS valid_count,
+       (SELECT count(*) FROM kept)::BIGINT AS deduplicated_count, (SELECT count(*) FROM links)::BIGINT AS duplicate_count,
+       (SELECT count(*) FROM kept)::BIGINT AS kept_rows"""
+
+SQL["curated_fallback"] = SQL["curated_semi"]
+
+SQL["features_structural_only"] = _RAW + f"""
+SELECT design_idx, d.i::INTEGER AS dim, round(d.v, 6) AS value
+FROM rs, LATERAL (SELECT unnest(range(0, {len(_FEATS)})) AS i, unnest([{', '.join('rs.' + n for n in _FEATS)}]) AS v) d WHERE d.v <> 0"""
+
+SQL["features_semantic_only"] = "WITH " + _tfidf("code") + """
+SELECT design_idx, dim::INTEGER AS dim, round(weight, 6) AS value FROM wts WHERE weight <> 0"""
+
+SQL["best_k_choice"] = "WITH " + _pts(False) + """
+SELECT cluster AS k, round(avg(f[1]), 1) AS silhouette FROM pts GROUP BY cluster ORDER BY 2 DESC, 1 LIMIT 1"""
+
+SQL["selection_ratio"] = "WITH " + _selection_sql(True, 30, 34) + """
+SELECT (SELECT count(*) FROM pts)::BIGINT AS input_count, (SELECT count(*) FROM sel)::BIGINT AS selected_count,
+       round((SELECT count(*) FROM sel) / (SELECT count(*) FROM pts) * 100, 6) AS selection_ratio_pct,
+       round(100 - (SELECT count(*) FROM sel) / (SELECT count(*) FROM pts) * 100, 6) AS reduction_pct"""
+
+SQL["picks_per_cluster"] = "WITH " + _selection_sql(True, 30, 34) + """
+SELECT cluster, count(*)::BIGINT AS n_picks FROM sel GROUP BY cluster"""

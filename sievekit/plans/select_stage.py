@@ -31,12 +31,9 @@ def run_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120
            .select(F.col("design_idx").alias("id"), "cluster", "features"))
     q = SEL.quotas(pts, target_min, target_max)
     picks = SEL.select_representatives(pts, q)
-    n_input = pts.count()
-    analysis = SEL.selection_analysis(picks, pts, target_min, target_max).select(
-        "*", F.lit(k).alias("optimal_k"), F.lit(float(score)).alias("silhouette_score"),
-        F.lit(n_input).cast("bigint").alias("input_count"),
-        F.round(F.col("selected_count") / F.lit(max(n_input, 1)) * 100, 6).alias("selection_ratio_pct"),
-        F.round(100 - F.col("selected_count") / F.lit(max(n_input, 1)) * 100, 6).alias("reduction_pct"))
+    analysis = (SEL.selection_analysis(picks, pts, target_min, target_max)
+                .join(SEL.selection_metrics(picks, pts), "selected_count")
+                .select("*", F.lit(k).alias("optimal_k"), F.lit(float(score)).alias("silhouette_score")))
     selected = picks.select(F.col("id").alias("design_idx"), "cluster", "pick_rank")
     return SelectionResult(selected, labels, k, score, sweep, analysis)
 
