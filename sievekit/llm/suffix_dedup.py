@@ -39,12 +39,14 @@ from .common import Scratch, mix64, partitions, read_table, texts_of
 
 LENGTH = 400
 GRAM = 64
-#: Bytes that are hashed at once; longer texts are taken in overlapping segments.
-SEGMENT = 1 << 22
+#: Bytes that are hashed at once, so that the work arrays stay in the processor's cache; longer texts are taken in
+#: overlapping segments.
+SEGMENT = 1 << 17
 #: Bytes of contexts in a shard, on average, and occurrences of an anchor in a shard.
-SHARD_BYTES, SHARD_OCCURRENCES = 1 << 21, 2000
+SHARD_BYTES, SHARD_OCCURRENCES = 1 << 18, 400
 _PLACE = np.uint64((1 << 24) - 1)
 _U = np.uint64
+_WIDE = 128
 
 
 def gram_hashes(raw: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
@@ -53,7 +55,9 @@ def gram_hashes(raw: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     k = 1
     while k < size:
         factor = mix64(np.array([k + 1000 * seed], np.uint64))[0] | _U(1)
-        h = h[:-k] * factor + h[k:]
+        more = h[:-k] * factor
+        more += h[k:]
+        h = more
         k *= 2
     return mix64(h)
 
@@ -105,6 +109,11 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int = GRAM)
     return doc, lo - bounds[doc], hi - lo, hashes[chosen[lo].astype(np.int64)].view(np.int64)
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers that sort as the bytes do."""
+    return np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,)).astype(np.uint64)
+
+
 def suffix_order(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, place of each suffix in that order).
 
@@ -113,10 +122,7 @@ def suffix_order(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start as many bytes on as are sorted so far.
     """
     n = len(raw)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    for k in range(8):
-        key = (key << _U(8)) | padded[k:k + n]
+    key = _eights(np.concatenate([raw, np.zeros(7, np.uint8)]))
     order = np.argsort(key)
     ranked = key[order]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -150,10 +156,8 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, place: np.ndarray, start
     All contexts (``starts``, ``sizes``) advance together, one suffix a step.
     """
     n = len(raw)
-    padded = np.concatenate([raw, np.zeros(limit + 16, np.uint8)])
-    eight = np.zeros(len(padded) - 8, np.uint64)
-    for k in range(8):
-        eight = (eight << _U(8)) | padded[k:k + len(eight)]
+    padded = np.concatenate([raw, np.zeros(limit + _WIDE + 8, np.uint8)])
+    eight, wide = _eights(padded), np.lib.stride_tricks.sliding_window_view(padded, _WIDE)
     steps = np.array([1 << (8 * k) for k in range(1, 8)], np.uint64)
     out = np.zeros(n, np.int64)
     by_size = np.argsort(-sizes)
@@ -167,12 +171,15 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, place: np.ndarray, start
         got = np.maximum(length[:live] - 1, 0)
         got[at == 0] = 0
         todo = np.flatnonzero((at > 0) & (got < limit))
-        while len(todo):
-            a, b = here[todo] + got[todo], other[todo] + got[todo]
-            differ = eight[np.minimum(a, n)] ^ eight[np.minimum(b, n)]
-            same = np.where(differ == 0, 8, 7 - np.searchsorted(steps, differ, side="right"))
+        a, b = here[todo] + got[todo], other[todo] + got[todo]
+        differ = eight[a] ^ eight[b]
+        got[todo] += np.where(differ == 0, 8, 7 - np.searchsorted(steps, differ, side="right"))
+        todo = todo[(differ == 0) & (got[todo] < limit)]
+        while len(todo):  # a few suffixes just passed a difference and match for long again
+            differ = wide[here[todo] + got[todo]] != wide[other[todo] + got[todo]]
+            same = np.where(differ.any(1), differ.argmax(1), _WIDE)
             got[todo] += same
-            todo = todo[(same == 8) & (got[todo] < limit)]
+            todo = todo[(same == _WIDE) & (got[todo] < limit)]
         got = np.minimum(got, limit)
         out[at] = got
         length[:live] = got
@@ -368,15 +375,18 @@ def _merge_rows():
 def _split_spans(length: int):
     """Rows sorted by (anchor, shard), merged keys before contexts: spans of windows that other shards have too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, keys, ready = None, [], np.zeros(0, np.uint64)
+        group, keys, ready, done = None, [], None, None
         for b in batches:
             rows = []
             for h, sub, key, d1, d2, context in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if (h, sub) != group:
-                    group, keys, ready = (h, sub), [], None
+                    group, keys, ready, done = (h, sub), [], None, None
                 if context is None:
                     keys.append(np.frombuffer(key, np.uint64))
                     continue
+                if (d1, d2) == done:  # a context comes once from each batch that met it
+                    continue
+                done = d1, d2
                 if ready is None:
                     ready = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
                 own = window_keys(np.frombuffer(context, np.uint8), length)[0]
@@ -463,9 +473,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
               .mapInArrow(_merge_rows(), "h long, sub int, keys binary"))
     split = contexts.where("subs > 1").select("h", "sub", "d1", "d2", "context")
     across = (shared.unionByName(split, allowMissingColumns=True).select("h", "sub", "keys", "d1", "d2", "context")
-              .repartition(n, "h", "sub").sortWithinPartitions("h", "sub", F.col("context").isNotNull())
+              .repartition(n, "h", "sub").sortWithinPartitions("h", "sub", F.col("context").isNotNull(), "d1", "d2")
               .mapInArrow(_split_spans(length), f"h long, d1 long, d2 long, spans {_SPAN}"))
-    spans = judged.where("spans is not null").select("h", "d1", "d2", "spans").unionByName(across)
+    # a context's spans may come from its own shard and from the merge
+    spans = (judged.where("spans is not null").select("h", "d1", "d2", "spans").unionByName(across)
+             .groupBy("h", "d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     cuts = (found.where("kind = 1").select("k1", "k2", "lo", "h", "d1", "d2").join(spans, ["h", "d1", "d2"])
             .select("k1", "k2", "lo", F.explode("spans").alias("x"))
             .select("k1", "k2", (F.col("lo") + F.col("x.s")).cast("long").alias("s"),
