@@ -92,3 +92,34 @@ def test_silhouette_closed_form_matches_pairs(spark):
         a = sum(own) / len(own)
         s.append((other - a) / max(a, other))
     assert abs(got - sum(s) / len(s)) < 1e-9
+
+
+def test_silhouette_guards(spark):
+    same = spark.createDataFrame([(i, i % 2, [1.0, 2.0]) for i in range(6)], "id int, cluster int, features array<double>")
+    assert SEL.silhouette_sq_euclidean(same).first()[0] == 0.0
+    one = spark.createDataFrame([(i, 0, [float(i)]) for i in range(4)], "id int, cluster int, features array<double>")
+    assert SEL.silhouette_sq_euclidean(one).first()[0] == 0.0
+    assert SEL.silhouette_sq_euclidean(one.limit(0)).first()[0] == 0.0
+
+
+def test_more_clusters_than_a_block(spark, monkeypatch):
+    rows = [(i, i % 7, [float(i % 7), float(i)]) for i in range(70)]
+    pts = spark.createDataFrame(rows, "id int, cluster int, features array<double>")
+    whole = SEL.silhouette_sq_euclidean(pts).first()[0]
+    near = {r.id: r.cluster for r in SEL.assign_nearest(pts, SEL.centres(pts)).collect()}
+    monkeypatch.setattr(SEL, "BLOCK_CLUSTERS", 2)
+    assert abs(SEL.silhouette_sq_euclidean(pts).first()[0] - whole) < 1e-12
+    assert {r.id: r.cluster for r in SEL.assign_nearest(pts, SEL.centres(pts)).collect()} == near
+
+
+def test_empty_selection_is_reported(spark):
+    pts = spark.createDataFrame([], "id int, cluster int, features array<double>")
+    picks = spark.createDataFrame([], "id int, cluster int, pick_rank int")
+    r = SEL.selection_analysis(picks, pts, 1, 2).first()
+    assert (r.selected_count, r.coverage_ratio, r.target_met) == (0, 0.0, False)
+    assert SEL.selection_metrics(picks, pts).first()[:] == (0, 0, 0.0, 100.0)
+
+
+def test_first_best_takes_the_lowest_k(spark):
+    scores = spark.createDataFrame([(5, 0.3), (3, 0.3), (9, 0.1)], "k int, silhouette double")
+    assert SEL.first_best(scores).first()["k"] == 3
