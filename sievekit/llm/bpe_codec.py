@@ -36,12 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, mix64, read_table, texts_of
+from .common import BoundedCache, mix64, read_table, slices, texts_of
 
 #: A chunk ends where the low bits of the rolling hash are 0: 512 bytes on average.
 CHUNK_BITS = 9
 #: Entries of a cache's young half; the other half holds at most as many.
-PIECES, CHUNKS = 300_000, 20_000
+PIECES, WORDS, CHUNKS = 150_000, 40_000, 4_000
 #: Places where encodings agree: before such a space.
 _AGREE = re.compile(rb" (?=[^\t-\r \x1c-\x1f\xc2\xe1\xe2\xe3\xef])")
 _ODD = re.compile(rb" (?:[\t-\r \x1c-\x1f\xc2\xe1\xe2\xe3\xef]|\Z)")
@@ -49,6 +49,7 @@ _ODD = re.compile(rb" (?:[\t-\r \x1c-\x1f\xc2\xe1\xe2\xe3\xef]|\Z)")
 #: Unicode: on characters below U+0250 other than controls and non-ASCII spaces.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _STABLE = re.compile(r"[\t-\r -~¡-ɏ]*")
+_MARKS = frozenset(",.;:!?")
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -92,10 +93,19 @@ class ChunkEncoder:
             raise ValueError("joins are proven for plain byte-level vocabularies only")
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.words = BoundedCache(self._word, PIECES)
-        self.first = BoundedCache(self._ids, PIECES // 10)  # a text's first piece has no space before it
-        self.pieces = BoundedCache(lambda p: self._ids(b" " + p), PIECES)
-        self.chunks = BoundedCache(self._chunk, CHUNKS)
+        self.words = BoundedCache(self._word, WORDS)
+        self.first = BoundedCache(self._ids, WORDS)  # a text's first piece has no space before it
+        self.pieces = BoundedCache(self._spaced_ids, PIECES)
+        self.chunks = BoundedCache(None, CHUNKS)
+
+    def _spaced_ids(self, piece: bytes) -> bytes:
+        """Ids of a piece after its space; most are a word, or one with a mark behind it."""
+        text = piece.decode()
+        if text.isalpha() and max(text) < "ɐ":
+            return self._word(" " + text)
+        if text[-1:] in _MARKS and text[:-1].isalpha() and max(text) < "ɐ":
+            return self.pieces[text[:-1].encode()] + self.words[text[-1]]
+        return self._ids(b" " + piece)
 
     def _ids(self, piece: bytes) -> bytes:
         text = piece.decode()
@@ -105,7 +115,7 @@ class ChunkEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one match of the pre-tokenizer's pattern."""
-        mapped = word.encode().decode("latin-1").translate(self.alphabet)
+        mapped = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalnum() else word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _stretch(self, text: bytes) -> bytes:
@@ -129,7 +139,11 @@ class ChunkEncoder:
         for end in content_cuts(text):
             chunk = text[start:end]
             start = end
-            head, ids, tail = self.chunks[chunk]
+            digest = hashlib.blake2b(chunk, digest_size=16).digest()
+            found = self.chunks.find(digest)
+            if found is None:
+                found = self.chunks.keep(digest, self._chunk(chunk))
+            head, ids, tail = found
             if head < 0:  # no place to agree: the join goes on over the next chunk
                 carry += chunk
                 continue
@@ -181,7 +195,7 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [encoder.encode(t) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
@@ -195,7 +209,7 @@ def decode_ids(encoded: DataFrame, tokenizer_json: str, id_col: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(shared.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [np.frombuffer(x, "<u4").tolist() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([decoder.listed(x) for x in ids], pa.string()),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -79,6 +80,13 @@ class Scratch:
             self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Short slices of batches, so that a worker holds the results of few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
@@ -104,8 +112,14 @@ class BoundedCache(dict):
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.keep(key, self.make(key) if value is None else value)
+
+    def find(self, key):
+        """The value if it is held, else None; for values that are made from more than the key."""
+        value = self.get(key)
+        return self.old.get(key) if value is None else value
+
+    def keep(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, partitions, read_table, texts_of, word_keys
+from .common import Scratch, mix64, partitions, read_table, slices, texts_of, word_keys
 from .suffix_dedup import document_key
 
 WORDS = 5
@@ -79,7 +79,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "k1", "k2", "node", "n_shingles", "signature"]
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(t) for t in texts_of(b.column(3))]
         yield pa.RecordBatch.from_arrays(
             [*b.columns[:3],

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, read_table, texts_of
+from .common import BoundedCache, read_table, slices, texts_of
 
 LIMIT = 4096
 STRETCHES = 400_000
@@ -141,7 +141,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(shared.value)
-        for b in batches:
+        for b in slices(batches):
             texts = texts_of(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(counter.count, texts), pa.int64())],
