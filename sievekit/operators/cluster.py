@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import _checkpoint
+
 SEED = 42      # FIXED VALUE: base seed of the restarts
 N_INIT = 10    # FIXED VALUE: restarts per k
 
@@ -101,16 +103,18 @@ def cluster(vectors: DataFrame, n_init: int = N_INIT, k_step: int = 1, threads:
     """-> (labels DataFrame(design_idx, cluster), k, silhouette, sweep table)."""
     n = vectors.count()
     # range-partitioned and sorted by id so every fit sees the same partition
-    # contents and the seeded initialisation is reproducible
-    want = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vec = as_vectors(vectors.repartitionByRange(want, "design_idx").sortWithinPartitions("design_idx"))
+    # contents and the seeded initialisation is reproducible; without a number
+    # of its own the exchange follows the session's partitions and is coalesced
+    # by measured bytes (AQE), so tiny inputs do not pay a task per core and step
+    vec = as_vectors(vectors.repartitionByRange("design_idx").sortWithinPartitions("design_idx"))
     best, fits = best_k(vec, n, n_init, k_step, threads)
     if best is None:
         k = k_range(n)[0]
         best = fit_kmeans(vec, k, n_init, threads=threads)
         best = Fit(k, best.model, best.cost, -1.0)  # empty sweep range: score -1
-    labels = best.model.transform(vec).select("design_idx", F.col("cluster").cast("int").alias("cluster"))
     spark = vectors.sparkSession
+    labels = _checkpoint(best.model.transform(vec).select("design_idx", F.col("cluster").cast("int").alias("cluster")))
+    vec.unpersist()
     sweep = spark.createDataFrame([(f.k, float(f.silhouette), float(f.cost)) for f in fits],
                                   "k int, silhouette double, cost double")
     return labels, best.k, best.silhouette, sweep
