@@ -5,9 +5,9 @@ vocabulary = terms with df >= min_df and df <= max_df * n, then the
 ``max_features`` terms of highest corpus frequency (ties: term ascending),
 sublinear tf ``1 + ln tf``, smooth idf ``ln((1+n)/(1+df)) + 1``, row L2 norm.
 
-Plan: explode n-grams -> (design, term) counts (partial aggregation) ->
-term statistics -> top-``max_features`` (TakeOrderedAndProject, bounded) ->
-broadcast of the bounded vocabulary -> weights -> per-design norm.
+Plan: n-grams are counted in the row (written once) -> term statistics (the only
+shuffle: partial sums per term) -> top-``max_features`` (TakeOrderedAndProject,
+bounded) -> weights and norm in the row, from the bounded vocabulary.
 """
 
 from __future__ import annotations
@@ -46,24 +46,51 @@ def fit_transform(docs: DataFrame, tokens_col: str = "tokens", max_features: int
                   min_df: int = 2, max_df: float = 0.95, n_min: int = 1, n_max: int = 3) -> TfidfModel:
     """``docs(design_idx, tokens array<string>)`` -> vocabulary and L2-normalised weights."""
     from ..operators.dedup import _checkpoint
-    n_docs = docs.count()
-    terms = docs.select("design_idx", F.explode(word_ngrams(F.transform(F.col(tokens_col), F.lower),
-                                                           n_min, n_max)).alias("term"))
-    tf = _checkpoint(terms.groupBy("design_idx", "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("sum_tf"))
+    grams = word_ngrams(F.transform(F.col(tokens_col), F.lower), n_min, n_max)
+    counted = _checkpoint(docs.select("design_idx", term_counts(grams).alias("terms")))
+    n_docs = counted.count()
+    stats = (counted.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term"))
+             .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("sum_tf")))
     eligible = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     top = eligible.orderBy(F.desc("sum_tf"), "term").limit(max_features)
     vocab = _checkpoint(top.withColumn(
         "idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
     # dimension = alphabetical rank inside the (bounded) vocabulary
     vocab = vocab.withColumn("dim", F.row_number().over(Window.orderBy("term")) - 1)
-    w = (tf.join(F.broadcast(vocab.select("term", "dim", "idf")), "term")
-         .withColumn("raw", (1.0 + F.log(F.col("tf"))) * F.col("idf")))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("design_idx")))
-    weights = w.withColumn("weight", F.col("raw") / norm).select("design_idx", "term", "dim", "weight")
+    rows = vocab.select("term", "dim", "idf").collect()  # at most max_features
+    weights = counted.select("design_idx", F.explode(row_weights(F.col("terms"), rows)).alias("w")).select(
+        "design_idx", "w.term", "w.dim", "w.weight")
     return TfidfModel(vocab.select("term", "dim", "df", "sum_tf", "idf"), weights, n_docs)
 
 
+def term_counts(terms: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array of terms with repeats: runs of the sorted array, found in the row."""
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
+                          lambda i: F.when(F.size(t) == 0, F.lit(False)).when(i == 1, F.lit(True))
+                          .otherwise(F.get(t, i - 1) != F.get(t, i - 2)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(t, i - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - i).cast("bigint").alias("tf"))))
+    return let(F.array_sort(terms), runs)
+
+
+def row_weights(terms: Column, vocab: list) -> Column:
+    """``array<struct<term, dim, weight>>`` of a row's counted terms that are in the bounded vocabulary, L2-normalised."""
+    if not vocab:
+        return F.array().cast("array<struct<term:string,dim:int,weight:double>>")
+    known = [r["term"] for r in vocab]
+    table = F.create_map(*[x for r in vocab for x in (
+        F.lit(r["term"]), F.struct(F.lit(int(r["dim"])).alias("dim"), F.lit(float(r["idf"])).alias("idf")))])
+
+    def weigh(found: Column) -> Column:
+        raw = F.transform(found, lambda t: F.struct(
+            t["term"].alias("term"), table[t["term"]]["dim"].alias("dim"), ((1.0 + F.log(t["tf"])) * table[t["term"]]["idf"]).alias("raw")))
+        return let(raw, lambda ws: let(F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, w: a + w["raw"] * w["raw"])),
+                                       lambda n: F.transform(ws, lambda w: F.struct(
+                                           w["term"].alias("term"), w["dim"].alias("dim"), (w["raw"] / n).alias("weight")))))
+    return let(F.filter(terms, lambda t: t["term"].isin(known)), weigh)
+
+
 def sparsity(weights: DataFrame, n_docs: int, n_cols: int) -> DataFrame:
     """1 - nnz / (rows * cols) of the weight matrix."""
     return weights.agg(F.count(F.lit(1)).alias("nnz")).select(
