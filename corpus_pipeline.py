@@ -18,11 +18,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the isolation forest keep.
-
-    The verdict depends on a text alone, so it is found by document key; rows
-    of one key have one text and one verdict.
-    """
+    """Documents that the base rules and the isolation forest keep; each row goes through with its own verdict."""
     judged = quality.judge_quality(docs, read_table(spark, sf_dir, "labels"), carry=True)
     return judged.where("kept").select("row.*")
 
