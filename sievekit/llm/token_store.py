@@ -23,14 +23,15 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,12 @@ from .bpe_codec import byte_alphabet, tokenizer_text
 from .common import BoundedCache, Scratch, partitions, read_table, texts_of
 
 END_ID = 1
-WORDS = 400_000
+WORDS, PARTS = 400_000, 50_000
+#: Words without other characters are the same to every version of Unicode, and composed already.
+_STABLE = re.compile("[!-~¡-ɏ]*")
+_MARKS = frozenset(",.;:!?")
 #: Ids after which a block is closed; documents are not split.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 19
 #: A pair that occurs less often is not worth a rule.
 MIN_PAIRS = 8
 #: Rounds go on while they shorten the block by this share at least.
@@ -67,18 +71,31 @@ class WordEncoder:
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.first_free = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.words = BoundedCache(self._ids, WORDS)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.words, self.parts = BoundedCache(self._ids, WORDS), BoundedCache(self._part, PARTS)
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode()
         low = text.lower()
-        if text.isalpha() and low.isalpha() and max(text) < "ɐ" and unicodedata.is_normalized("NFC", text):
-            mapped = low.encode().decode("latin-1").translate(self.alphabet)
-            return array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        if max(low) < "ɐ":  # most words are letters, or letters and a mark behind them
+            if low.isalpha():
+                return self._part(low)
+            if low[-1] in _MARKS and low[:-1].isalpha():
+                return self.words[word[:-1]] + self.parts[low[-1]]
+        if _STABLE.fullmatch(low) and not any(t in text for t in self.special):
+            return b"".join(map(self.parts.__getitem__, self.pattern.findall(low)))
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one match of the vocabulary's pattern."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -88,39 +105,44 @@ def _encoder(tokenizer_json: str) -> WordEncoder:
     return WordEncoder(tokenizer_json)
 
 
-def re_pair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): nonterminal first + k stands for the two symbols of rules[k]."""
+def re_pair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): nonterminal base + k stands for the two symbols of rules[k]."""
     s = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
     while len(s) > 2 * MIN_PAIRS:
-        key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        ranked = np.sort(key)
+        # ids of a block mostly fit 16 bits, with its nonterminals too
+        bits, wide = (16, np.uint32) if base + n_rules <= 1 << 16 else (32, np.uint64)
+        key = (s[:-1].astype(wide) << wide(bits)) | s[1:]
+        order = np.argsort(key)
+        ranked = key[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         counts = np.diff(np.append(starts, len(ranked)))
         most = int(counts.max())
         if most < MIN_PAIRS:
             break
         good = counts >= max(MIN_PAIRS, most // 32)
-        pairs, counts = ranked[starts[good]], counts[good]
-        at = np.searchsorted(pairs, key)
-        at[at == len(pairs)] = 0
-        hit = pairs[at] == key
-        # in a run of equal pairs every second one; of overlapping pairs the more frequent, then the left one
-        same = np.concatenate([[False], key[1:] == key[:-1]])
-        place = np.arange(len(key))
-        run = place - np.maximum.accumulate(np.where(same, 0, place))
-        hit &= run % 2 == 0
-        weight = np.where(hit, counts[at], 0)
-        before, after = np.concatenate([[0], weight[:-1]]), np.concatenate([weight[1:], [0]])
-        take = hit & (weight > before) & (weight >= after)
-        chosen = np.flatnonzero(take)
-        used, which, times = np.unique(at[chosen], return_inverse=True, return_counts=True)
-        worth = times >= MIN_PAIRS // 2
+        pairs, places = ranked[starts[good]], order[np.repeat(good, counts)]
+        which = np.repeat(np.arange(len(pairs)), counts[good])
+        weight = np.zeros(len(key) + 2, np.int64)  # of the pair at each place, with a margin on both sides
+        weight[places + 1] = np.repeat(counts[good], counts[good])
+        double = np.flatnonzero(s[:-1] == s[1:])
+        if len(double):  # in a run of equal ids every second pair
+            first = np.concatenate([[True], double[1:] != double[:-1] + 1])
+            run = double - double[np.maximum.accumulate(np.where(first, np.arange(len(double)), 0))]
+            weight[double[run % 2 == 1] + 1] = 0
+        # of overlapping pairs the more frequent, then the left one
+        mine = weight[places + 1]
+        take = (mine > 0) & (mine > weight[places]) & (mine >= weight[places + 2])
+        chosen, which = places[take], which[take]
+        times = np.bincount(which, minlength=len(pairs))
+        used = np.flatnonzero(times)
+        worth = times[used] >= MIN_PAIRS // 2
         if not worth.any():
             break
-        number = np.cumsum(worth) - 1 + first + n_rules
-        keep = worth[which]
+        number = np.zeros(len(pairs), np.int64)
+        number[used[worth]] = np.arange(int(worth.sum())) + base + n_rules
+        keep = number[which] > 0
         chosen, which = chosen[keep], which[keep]
         gain = len(chosen) / len(s)
         s = s.copy()
@@ -129,7 +151,7 @@ def re_pair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         left[chosen + 1] = False
         s = s[left]
         made = pairs[used[worth]]
-        rules.append(np.column_stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).astype("<u4"))
+        rules.append(np.column_stack([made >> wide(bits), made & wide((1 << bits) - 1)]).astype("<u4"))
         n_rules += len(made)
         if gain < MIN_GAIN:
             break
@@ -245,14 +267,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_col: str = "do
 
 def read_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, ids): every document of the files in order, ``ids`` as little-endian uint32 bytes."""
-    files = spark.read.parquet(path)
+    files, scratch = spark.read.parquet(path), Scratch(spark, "token-store-places")
     kind = files.schema["ids_of"].dataType.elementType.simpleString()
     totals = files.groupBy("range").agg(F.sum("n_ids").alias("n"))
     ranges = totals.select("range", F.coalesce(F.sum("n").over(
         Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    blocks = files.select("range", "block", "n_ids").join(ranges, "range").select(
+    # written, so that its size is known and it need not be shuffled with the blocks
+    blocks = scratch.write(files.select("range", "block", "n_ids").join(ranges, "range").select(
         "range", "block", (F.col("base") + F.coalesce(F.sum("n_ids").over(
-            Window.partitionBy("range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
+            Window.partitionBy("range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base")), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
