@@ -7,6 +7,8 @@ are in any case removed when the driver's JVM ends.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import zipfile
@@ -69,10 +71,19 @@ class Scratch:
         path = sc._jvm.org.apache.hadoop.fs.Path(where)
         return act(path.getFileSystem(sc._jsc.hadoopConfiguration()), path)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: cuts the lineage, and lost executors cost no recomputation."""
-        where = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(where)
+    def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: cuts the lineage, and lost executors cost no recomputation.
+
+        ``batch_rows`` bounds the Arrow batches of this write alone, for rows of some MB each.
+        """
+        where, conf, key = f"{self.root}/{name}", self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        try:
+            if batch_rows:
+                conf.set(key, str(batch_rows))
+            df.write.option("compression", "zstd").parquet(where)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
@@ -80,6 +91,26 @@ class Scratch:
             self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))
 
 
+def tidy(run):
+    """A task function that gives freed memory back to the system at its end.
+
+    Workers outlive tasks, and the C library keeps what numpy and Arrow freed;
+    the workers of earlier stages would hold it while later ones run.
+    """
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _WORD_KEYS.clear()
+            _WORD_KEYS.old = {}
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+    return tidied
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short slices of batches, so that a worker holds the results of few texts at a time."""
     for b in batches:
@@ -128,7 +159,7 @@ class BoundedCache(dict):
 
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_WORD_KEYS = BoundedCache(xxhash.xxh3_64_intdigest, 300_000)
+_WORD_KEYS = BoundedCache(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def word_keys(text: bytes) -> np.ndarray:

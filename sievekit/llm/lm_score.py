@@ -8,10 +8,11 @@ held-out documents' counts.
 
 Work is laid out for few and small rows: documents become blocks of word
 numbers with the block's sorted word keys; each block asks for the counts of
-its distinct words and word pairs (64-bit keys) in one sorted list per key
+its distinct words and word pairs (hashed keys) in one sorted list per key
 range, and gets its answers in the same order. A key comes once from each
-block, however frequent it is, so no key is hot. Keys of two words of a
-corpus collide with a chance of n**2 / 2**65; a collision adds two counts.
+block, however frequent it is, so no key is hot. Among n different words some
+two collide with a chance of n**2 / 2**65, among n pairs of n**2 / 2**57; a
+collision adds two counts.
 
 Defined cases: a null text is empty and has the end token alone; a null id
 counts as the empty string for the split; without held-out documents the
@@ -33,18 +34,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, from_planes, mix64, partitions, planes, read_table, texts_of, word_keys
+from .common import LOWER, Scratch, from_planes, mix64, partitions, planes, read_table, texts_of, tidy, word_keys
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 ADD = 0.5
 #: Tokens of a block, and keys of a range, at which they are closed.
-BLOCK_TOKENS, RANGE_KEYS = 2_500_000, 3_000_000
+BLOCK_TOKENS, RANGE_KEYS = 500_000, 1_000_000
+#: Blocks that a task takes from Spark at once.
+BATCH_ROWS = 8
 BUCKETS = 66
 START_WEIGHTS = (0.4, 0.4, 0.2)
 EM_ROUNDS, EM_GAIN = 40, 1e-6
 #: Keys of the end token and of the text's start: white space, so that no word has them.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\r"))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs are known by 56 bits: a seventh less to move, and a collision only adds two pair counts.
+_PAIR_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 WORD, PAIR = 0, 1
 
 
@@ -53,9 +58,10 @@ def _pairs(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = START
-    return mix64(before * _PAIR + words)
+    return mix64(before * _PAIR + words) & _PAIR_BITS
 
 
+@tidy
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, held_out, text) to blocks, of training and of held-out documents apart."""
     parts: dict[bool, list] = {True: [], False: []}
@@ -101,6 +107,7 @@ def _unpack(lengths: bytes, keys: bytes, by_rank: bytes, tokens: bytes) -> tuple
 
 def _request_rows(ranges: dict[int, int]):
     """Blocks to lists of their distinct keys with training counts, by kind and key range."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -131,6 +138,7 @@ def range_starts(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(n)], np.uint64)
 
 
+@tidy
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, range): the training counts of each block's keys; a row of totals for each range (block null)."""
     group, held = None, []
@@ -176,6 +184,7 @@ def estimates(context: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens: i
 
 def _answered(judge, schema: pa.Schema, train_documents: int):
     """Rows sorted by (block, answers before the block, kind, range): ``judge`` gets each block with its counts."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, got = None, {WORD: [], PAIR: []}
         for b in batches:
@@ -214,6 +223,7 @@ def _held_out_counts(held, ids, lengths, starts, context, pair, word):
 
 def _expected(weights: np.ndarray, tokens: int, types: int):
     """One step of expectation: expected tokens of each estimate and the log likelihood, by bucket."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, 4))
         for b in batches:
@@ -265,7 +275,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         blocks.select("block", "held_out", "lengths", "keys", "by_rank", "tokens")
         .mapInArrow(_request_rows(ranges), "kind int, range int, block long, keys binary, counts binary")
         .repartition(n, "kind", "range").sortWithinPartitions("kind", "range", "block")
-        .mapInArrow(_count_rows, "kind int, range int, block long, answer binary, n_distinct long, n_total long"), "counts")
+        .mapInArrow(_count_rows, "kind int, range int, block long, answer binary, n_distinct long, n_total long"), "counts", BATCH_ROWS)
     totals = counts.where(f"block is null and kind = {WORD}").agg(F.sum("n_distinct").alias("types"), F.sum("n_total").alias("tokens")).first()
     types, tokens = totals.types or 0, totals.tokens or 0
     documents = size.documents or 0
@@ -280,7 +290,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     binary = pa.schema([(c, pa.binary()) for c in ("context", "pair", "word", "n")])
     held = scratch.write(
         with_answers(aside, answers.join(aside.select("block"), "block", "left_semi"))
-        .mapInArrow(_answered(_held_out_counts, binary, documents), "context binary, pair binary, word binary, n binary"), "held-out")
+        .mapInArrow(_answered(_held_out_counts, binary, documents), "context binary, pair binary, word binary, n binary"), "held-out", BATCH_ROWS)
     weights = learn_weights(held, tokens, types)
     base = math.log10(tokens + ADD * (types + 1)) if types else 0.0
 
@@ -294,9 +304,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_type
     out = pa.schema([("doc_id", to_arrow_type(id_type)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return with_answers(blocks, answers).mapInArrow(
+    scored = scratch.write(with_answers(blocks, answers).mapInArrow(
         _answered(scores, out, documents),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"),
+        "scores", BATCH_ROWS)
+    scratch.drop("blocks", "counts", "held-out")
+    return scored
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
