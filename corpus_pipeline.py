@@ -67,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     spec = bpe_codec.tokenizer_text(public_tokenizers.path(TOKENIZER))
-    return bpe_codec.decode_ids(bpe_codec.encode_texts(docs, spec), spec).select(
+    return bpe_codec.round_trip(docs, spec).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("listed", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

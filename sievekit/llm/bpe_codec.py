@@ -41,7 +41,7 @@ from .common import BoundedCache, mix64, read_table, slices, texts_of
 #: A chunk ends where the low bits of the rolling hash are 0: 512 bytes on average.
 CHUNK_BITS = 9
 #: Entries of a cache's young half; the other half holds at most as many.
-PIECES, WORDS, CHUNKS = 150_000, 40_000, 4_000
+PIECES, WORDS, CHUNKS = 100_000, 20_000, 4_000
 #: Places where encodings agree: before such a space.
 _AGREE = re.compile(rb" (?=[^\t-\r \x1c-\x1f\xc2\xe1\xe2\xe3\xef])")
 _ODD = re.compile(rb" (?:[\t-\r \x1c-\x1f\xc2\xe1\xe2\xe3\xef]|\Z)")
@@ -219,12 +219,29 @@ def decode_ids(encoded: DataFrame, tokenizer_json: str, id_col: str = "doc_id")
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, ids binary, listed string, text string")
 
 
+def round_trip(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, listed, text): ``encode_texts`` and ``decode_ids`` in one pass, so that the ids of a text
+    are decoded by the worker that made them."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(shared.value), _decoder(shared.value)
+        for b in slices(batches, 256):
+            raw = [encoder.encode(t) for t in texts_of(b.column(1))]
+            ids = [np.frombuffer(x, "<u4").tolist() for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(raw, pa.binary()), pa.array([decoder.listed(x) for x in ids], pa.string()),
+                 pa.array([decoder.decode(x) for x in ids], pa.string())], names=[id_col, "ids", "listed", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids binary, listed string, text string")
+
+
 def op2_bpe_codec(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     spec = tokenizer_text(path or public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = encode_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), spec)
-    return decode_ids(encoded, spec).select(
+    return round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"), spec).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("listed", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

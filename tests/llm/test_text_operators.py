@@ -53,6 +53,7 @@ def test_bpe_codec_rows(spark):
         ids = tok.encode(text or "", add_special_tokens=False).ids
         want.append(bpe_codec.digests(ids, tok.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
+    assert sorted(map(tuple, bpe_codec.round_trip(frame(spark, ROWS), spec).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
     assert bpe_codec.encode_texts(frame(spark, []), spec).count() == 0
 
 
