@@ -46,9 +46,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A character that a cut splits is dropped with it.
     """
     k1, k2 = suffix_dedup.document_key("doc_id", "text")
-    cut = suffix_dedup.repeated_passages(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.replace(
-        F.try_validate_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    cut = suffix_dedup.repeated_passages(docs, characters=True).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept")
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
     whole = docs.withColumns({"_k1": k1, "_k2": k2}).join(cut, ["_k1", "_k2"], "left")
     return (whole.withColumn("text", text)
             .withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))

@@ -413,8 +413,26 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_rows():
-    """Rows sorted by document key, spans before the text: the maximal spans and the bytes that stay."""
+def character_bounds(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans widened to the bounds of the characters that they split; nothing else of the text is covered."""
+    def inside(p: int) -> bool:
+        return p < len(text) and text[p] & 0xC0 == 0x80
+
+    out = []
+    for s, e in spans:
+        while inside(s) and s > 0:
+            s -= 1
+        while inside(e):
+            e += 1
+        out.append((s, e))
+    return merge_spans(out)
+
+
+def _cut_rows(characters: bool):
+    """Rows sorted by document key, spans before the text: the maximal spans and the bytes that stay.
+
+    With ``characters`` the rest of a character that a cut splits does not stay.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, spans = None, []
         for b in batches:
@@ -426,8 +444,9 @@ def _cut_rows():
                     spans.append((s, e))
                 elif spans:
                     cut = merge_spans(spans)
-                    ends = [0, *(x[1] for x in cut)]
-                    kept = b"".join(text[a:z] for a, z in zip(ends, [*(x[0] for x in cut), len(text)]))
+                    gone = character_bounds(text, cut) if characters else cut
+                    ends = [0, *(x[1] for x in gone)]
+                    kept = b"".join(text[a:z] for a, z in zip(ends, [*(x[0] for x in gone), len(text)]))
                     rows.append((k1, k2, [{"s": a, "e": z} for a, z in cut], kept))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(
@@ -436,10 +455,11 @@ def _cut_rows():
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                      shard_bytes: int = SHARD_BYTES, shard_occurrences: int = SHARD_OCCURRENCES) -> DataFrame:
+                      shard_bytes: int = SHARD_BYTES, shard_occurrences: int = SHARD_OCCURRENCES, characters: bool = False) -> DataFrame:
     """(k1, k2, spans, kept) of every document that loses bytes, by its key (see ``document_key``).
 
-    ``spans`` are the maximal removed runs as byte offsets, ``kept`` the bytes that stay.
+    ``spans`` are the maximal removed runs as byte offsets, ``kept`` the bytes that stay; with ``characters``
+    ``kept`` lacks the rest of characters that a cut splits too, and is valid UTF-8 if the text is.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
@@ -484,7 +504,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     (F.col("lo") + F.col("x.e")).cast("long").alias("e"), F.lit(None).cast("binary").alias("text")))
     return (cuts.unionByName(found.where("kind = 0").select("k1", "k2", "text"), allowMissingColumns=True)
             .repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", F.col("text").isNotNull())
-            .mapInArrow(_cut_rows(), f"k1 long, k2 long, spans {_SPAN}, kept binary"))
+            .mapInArrow(_cut_rows(characters), f"k1 long, k2 long, spans {_SPAN}, kept binary"))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,3 +70,35 @@ def test_near_duplicate_stage_keeps_one_of_equal_rows(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in got) == [0, 5, 6]
+
+
+def test_passage_stage_drops_only_split_characters(spark):
+    words = lambda start, seed: " ".join("".join(chr(start + (i * i * seed + 7 * i + j * 5) % 30) for j in range(6)) for i in range(60))
+    cyrillic, cjk, own = words(0x430, 11), words(0x4E00, 13), lambda start, n: "".join(chr(start + (n * j) % 29) for j in range(1, 20))
+    rows = [
+        # the next letters share the lead byte 0xD0, so the cut ends inside them
+        (1, "first " + cyrillic + "абв one"), (2, "second " + cyrillic + "где two"),
+        # the letters before it share the last bytes (0xD0 0xB1 and 0xD1 0xB1), so the cut begins inside them
+        (3, "three \u0431" + words(0x61, 3) + " three"), (4, "four \u0471" + words(0x61, 3) + " four"),
+        (5, own(0x4E00, 3) + cjk + "\u4e01 five \ufffd"), (6, own(0x4E00, 5) + cjk + "\u4e02 six"),
+        (7, "seven \ufffd ж"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.passage_dedup(spark, docs, SF).collect()}
+    assert sorted(got) == list(range(1, 9))
+    cut = 0
+    for i, text in rows:
+        raw = (text or "").encode()
+        others = [(t or "").encode() for j, t in rows if j != i]
+        gone = set()
+        for p in range(len(raw) - suffix_dedup.LENGTH + 1):
+            if any(raw[p:p + suffix_dedup.LENGTH] in t for t in others):
+                gone.update(range(p, p + suffix_dedup.LENGTH))
+        at, want = 0, ""
+        for c in text or "":
+            size = len(c.encode())
+            want += c if gone.isdisjoint(range(at, at + size)) else ""
+            at += size
+        cut += bool(gone)
+        assert (got[i].text or "") == want
+        assert got[i].n_chars == (len(want) if gone else 1)
+    assert cut == 6 and got[5].text.endswith("five \ufffd")
