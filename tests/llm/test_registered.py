@@ -1,11 +1,15 @@
 """Registered queries and the pipeline on the smallest tables."""
 
+import hashlib
+from collections import Counter
+
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from sievekit.llm import lsh_forest, queries, suffix_dedup
+from sievekit.llm import bpe_codec, lsh_forest, mixing, quality, queries, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "labels")
@@ -72,6 +76,27 @@ def test_near_duplicate_stage_keeps_one_of_equal_rows(spark):
     assert sorted(r.doc_id for r in got) == [0, 5, 6]
 
 
+def cut_passages(rows):
+    """By id: the text without the characters that any repeated window touches, and whether there is such a window."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    size = suffix_dedup.LENGTH
+    count = Counter(t[p:p + size] for _, t in raw for p in range(len(t) - size + 1))
+    out = {}
+    for (i, text), (_, t) in zip(rows, raw):
+        gone = bytearray(len(t))
+        for p in range(len(t) - size + 1):
+            if count[t[p:p + size]] > 1:
+                gone[p:p + size] = b"\1" * size
+        at, left = 0, []
+        for c in text or "":
+            n = len(c.encode())
+            if not any(gone[at:at + n]):
+                left.append(c)
+            at += n
+        out[i] = "".join(left), any(gone)
+    return out
+
+
 def test_passage_stage_drops_only_split_characters(spark):
     words = lambda start, seed: " ".join("".join(chr(start + (i * i * seed + 7 * i + j * 5) % 30) for j in range(6)) for i in range(60))
     cyrillic, cjk, own = words(0x430, 11), words(0x4E00, 13), lambda start, n: "".join(chr(start + (n * j) % 29) for j in range(1, 20))
@@ -85,20 +110,80 @@ def test_passage_stage_drops_only_split_characters(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in corpus_pipeline.passage_dedup(spark, docs, SF).collect()}
     assert sorted(got) == list(range(1, 9))
-    cut = 0
-    for i, text in rows:
-        raw = (text or "").encode()
-        others = [(t or "").encode() for j, t in rows if j != i]
-        gone = set()
-        for p in range(len(raw) - suffix_dedup.LENGTH + 1):
-            if any(raw[p:p + suffix_dedup.LENGTH] in t for t in others):
-                gone.update(range(p, p + suffix_dedup.LENGTH))
-        at, want = 0, ""
-        for c in text or "":
-            size = len(c.encode())
-            want += c if gone.isdisjoint(range(at, at + size)) else ""
-            at += size
-        cut += bool(gone)
-        assert (got[i].text or "") == want
-        assert got[i].n_chars == (len(want) if gone else 1)
-    assert cut == 6 and got[5].text.endswith("five \ufffd")
+    want = cut_passages(rows)
+    assert {i: got[i].text or "" for i in got} == {i: t for i, (t, _) in want.items()}
+    assert all(got[i].n_chars == (len(t) if gone else 1) for i, (t, gone) in want.items())
+    assert sum(gone for _, gone in want.values()) == 6 and got[5].text.endswith("five \ufffd")
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Whole row sets of every stage, each computed from the rows that the stage got."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, inputs, outputs = spark.read.parquet(f"{SF}/documents.parquet"), {}, {}
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        if name == "suffix-array dedup":  # two texts whose cut ends inside letters of one lead byte
+            passage = " ".join("абвгдежзик"[i % 10:] + "лмнопрстуф"[i % 7:] for i in range(60))
+            more = [(10 ** 9 + i, f"own{i} " + passage + end, "ru", "s", 1) for i, end in enumerate(("аб один", "вг два"))]
+            docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+        inputs[name] = [r.asDict() for r in docs.collect()]
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        outputs[name] = [r.asDict() for r in docs.collect()]
+    whole = lambda rows: sorted((tuple(r[c] for c in columns) for r in rows), key=repr)
+
+    # quality: base rules and the forest's cut-off from labelled rows, in plain Python
+    rows = inputs["quality rules"]
+    names = quality._names(quality.STATS, quality.MORE)
+    stats = pd.DataFrame([quality.text_stats((r["text"] or "").encode()) for r in rows], columns=names)
+    passed = ((stats.n_words >= quality.MIN_WORDS) & (stats.n_repeat_words * 100 <= stats.n_words * quality.MAX_REPEAT_PERCENT)).tolist()
+    good = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.doc_id is not None and r.quality is not None:
+            good[r.doc_id] = min(r.quality, good.get(r.doc_id, r.quality))
+    marked = [i for i, r in enumerate(rows) if passed[i] and r["doc_id"] in good]
+    grown = sorted((i for i in marked if good[rows[i]["doc_id"]] == 1), key=lambda i: (
+        hashlib.md5(str(rows[i]["doc_id"]).encode()).hexdigest(), *stats.iloc[i]))[:quality.FIT_ROWS]
+    assert len(grown) > 1
+    score = quality.IsolationForest(quality.features(stats.iloc[grown])).score(quality.features(stats))
+    bins = np.floor(score * quality.SCORE_BINS).astype(int)
+    of = lambda kind, least: sum(bins[i] >= least for i in marked if (good[rows[i]["doc_id"]] > 0) == kind)
+    best, limit = 0.0, 1.0
+    for least in sorted({int(bins[i]) for i in marked}, reverse=True):
+        gain = of(False, least) / max(1, of(False, -1)) - of(True, least) / max(1, of(True, -1))
+        if gain > best:
+            best, limit = gain, least / quality.SCORE_BINS
+    assert whole(outputs["quality rules"]) == whole(r for i, r in enumerate(rows) if passed[i] and score[i] < limit)
+
+    # near duplicates: the row of each class with the least id; texts without words all stay
+    rows = inputs["n-gram Jaccard join"]
+    worded = [r for r in rows if (r["text"] or "").encode().split()]
+    first = {c for _, c, *_ in lsh_forest.brute_force([(r["doc_id"], r["text"]) for r in worded])[1]}
+    assert whole(outputs["n-gram Jaccard join"]) == whole(r for r in rows if r not in worded or r["doc_id"] in first)
+
+    # passages: texts less every character that a repeated window touches; gone only without a word left
+    rows = inputs["suffix-array dedup"]
+    want = cut_passages([(r["doc_id"], r["text"]) for r in rows])
+    left = [r | {"text": want[r["doc_id"]][0], "n_chars": len(want[r["doc_id"]][0])} if want[r["doc_id"]][1] else r for r in rows]
+    assert whole(outputs["suffix-array dedup"]) == whole(
+        r for r in left if not want[r["doc_id"]][1] or r["text"].encode().split())
+
+    # mix: whole copies by the SQL of operator 10
+    rows = inputs["mixing sources to target weights"]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows))
+    copies = {i: n for i, n in con.execute(f"SELECT doc_id, copies FROM ({mixing.mixing_sql('given')})").fetchall()}
+    assert whole(outputs["mixing sources to target weights"]) == whole(r for r in rows for _ in range(copies[r["doc_id"]]))
+
+    # token ids of the library, of every copy
+    tok = Tokenizer.from_file(str(public_tokenizers.path(corpus_pipeline.TOKENIZER)))
+    ended = []
+    for r in inputs["BPE encoding and decoding"]:
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        n, listed, decoded = bpe_codec.digests(ids, tok.decode(ids, skip_special_tokens=False))
+        ended.append((r["doc_id"], n, np.array(ids, "<u4").tobytes(), listed, decoded))
+    assert sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["ids_sha256"], r["decoded_sha256"])
+                  for r in outputs["BPE encoding and decoding"]) == sorted(ended)
