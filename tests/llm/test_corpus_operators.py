@@ -125,6 +125,14 @@ def test_search_equals_brute_force(spark, documents, monkeypatch):
     assert bm25_search.search(table(spark, []), table(spark, rows)).count() == 0
 
 
+def test_queries_of_equal_id_and_different_texts(spark):
+    docs = table(spark, [(i, f"{'red' if i < 20 else 'blue'} w{i}") for i in range(40)])
+    asked = lambda *rows: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in bm25_search.search(docs, table(spark, rows)).collect())
+    red, blue = asked((7, "red w3")), asked((7, "blue w3"))
+    assert len(red) == 10 and len(blue) == 10 and red != blue
+    assert asked((7, "red w3"), (7, "blue w3"), (7, "red w3")) == sorted(red + blue)
+
+
 # --- Jaccard join ---------------------------------------------------------------------------------------------
 
 def near_copies(n, seed=3):
