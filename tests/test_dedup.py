@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators import dedup as D
 from sievekit.plans import dedup_stage as DS
-from conftest import corpus_df
+from helpers import corpus_df
 
 
 def greedy(n_nodes, edges):

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from conftest import SF001
+from helpers import SF001
 
 FAST = ("name_source_list", "count_per_source", "tokens_lexical", "shingles", "structural_features",
         "extension_top5", "curated_semi", "curated_missing", "quota_filled", "cluster_center_member",

@@ -38,7 +38,7 @@ def test_json_array_mixed_files_and_guard(spark, tmp_path):
 
 def test_json_lines_round_trip_and_csv(spark, tmp_path):
     from sievekit.sources import tables as TB
-    from conftest import SF001
+    from helpers import SF001
     code = TB.code_corpus(spark, SF001).where("design_idx < 30")
     out = str(tmp_path / "designs")
     IO.write_designs(code, out, fmt="json")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators.simjoin import collapse_equal_sets, jaccard_self_join
 from sievekit.plans import dedup_stage as DS
-from conftest import corpus_df
+from helpers import corpus_df
 
 
 def _shingles(text, k=5):

@@ -3,7 +3,7 @@
 from sievekit.plans import dedup_stage as DS
 from sievekit.sources import tables as TB
 from sievekit.streaming.incremental import run_incremental
-from conftest import SF001
+from helpers import SF001
 
 
 def test_incremental_equals_batch_walk(spark):
