@@ -2,9 +2,12 @@
 
 A bigram model: maximum-likelihood estimates of a word after the one before
 it, of the word alone, and a uniform share, mixed with weights that depend on
-how often the word before was seen (a bucket for each power of two). Counts come
-from the training documents, the weights from expectation-maximisation over the
-held-out documents' counts.
+how often the word before was seen (a bucket for each power of two). All of it is
+learnt from the training documents: a part of them (one more remainder of the
+same hash) is set aside, expectation-maximisation over its tokens finds the
+weights, with counts of the other training documents; scores then take those
+weights and the counts of all training documents. The documents that must not
+be learnt from change neither.
 
 Work is laid out for few and small rows: documents become blocks of word
 numbers with the block's sorted word keys; each block asks for the counts of
@@ -15,7 +18,7 @@ two collide with a chance of n**2 / 2**65, among n pairs of n**2 / 2**57; a
 collision adds two counts.
 
 Defined cases: a null text is empty and has the end token alone; a null id
-counts as the empty string for the split; without held-out documents the
+counts as the empty string for the split; without documents set aside the
 weights stay at their start values; repeated rows are documents of their own;
 an empty table gives an empty result; only the id and text columns are read.
 """
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, from_planes, mix64, partitions, planes, read_table, texts_of, tidy, word_keys
 
-FOLDS, HELD_OUT_FOLD = 5, 1
+#: Remainders of documents that are not learnt from, and of training documents set aside for the weights.
+FOLDS, HELD_OUT_FOLD, ASIDE_FOLD = 5, 1, 2
+TRAIN, HELD_OUT, ASIDE = 0, 1, 2
 ADD = 0.5
 #: Tokens of a block, and keys of a range, at which they are closed.
 BLOCK_TOKENS, RANGE_KEYS = 500_000, 1_000_000
@@ -63,40 +68,40 @@ def _pairs(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @tidy
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, text) to blocks, of training and of held-out documents apart."""
-    parts: dict[bool, list] = {True: [], False: []}
-    sizes = {True: 0, False: 0}
+    """(doc_id, role, text) to blocks of documents of one role."""
+    parts: dict[int, list] = {TRAIN: [], HELD_OUT: [], ASIDE: []}
+    sizes = dict.fromkeys(parts, 0)
     number = TaskContext.get().partitionId() << 32
 
-    def block(held: bool) -> pa.RecordBatch:
+    def block(role: int) -> pa.RecordBatch:
         nonlocal number
         number += 1
-        words = np.concatenate([p[1] for p in parts[held]])
+        words = np.concatenate([p[1] for p in parts[role]])
         keys, where, count = np.unique(words, return_inverse=True, return_counts=True)
         rank = np.empty(len(keys), np.uint32)  # frequent words get small numbers
         by = np.argsort(-count, kind="stable")
         rank[by] = np.arange(len(keys), dtype=np.uint32)
         out = pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([held]), pa.array([len(words)], pa.int64()),
-             pa.array([[p[0] for p in parts[held]]], pa.list_(kind)),
-             pa.array([planes(np.array([len(p[1]) for p in parts[held]], np.uint32))], pa.binary()),
+            [pa.array([number], pa.int64()), pa.array([role], pa.int32()), pa.array([len(words)], pa.int64()),
+             pa.array([[p[0] for p in parts[role]]], pa.list_(kind)),
+             pa.array([planes(np.array([len(p[1]) for p in parts[role]], np.uint32))], pa.binary()),
              pa.array([planes(np.diff(keys, prepend=np.uint64(0)))], pa.binary()),
              pa.array([planes(by.astype(np.uint32))], pa.binary()), pa.array([planes(rank[where])], pa.binary())],
-            names=["block", "held_out", "n_tokens", "ids", "lengths", "keys", "by_rank", "tokens"])
-        parts[held], sizes[held] = [], 0
+            names=["block", "role", "n_tokens", "ids", "lengths", "keys", "by_rank", "tokens"])
+        parts[role], sizes[role] = [], 0
         return out
 
     for b in batches:
         kind = b.column(0).type
-        for ident, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+        for ident, role, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
             keys = np.append(word_keys(text.translate(LOWER)), np.uint64(END))
-            parts[held].append((ident, keys))
-            sizes[held] += len(keys)
-            if sizes[held] >= BLOCK_TOKENS:
-                yield block(held)
-    for held in parts:
-        if parts[held]:
-            yield block(held)
+            parts[role].append((ident, keys))
+            sizes[role] += len(keys)
+            if sizes[role] >= BLOCK_TOKENS:
+                yield block(role)
+    for role in parts:
+        if parts[role]:
+            yield block(role)
 
 
 def _unpack(lengths: bytes, keys: bytes, by_rank: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +116,7 @@ def _request_rows(ranges: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                block, held, *packed = (c[k].as_py() for c in b.columns)
+                block, role, *packed = (c[k].as_py() for c in b.columns)
                 lengths, words, place = _unpack(*packed)
                 rows = []
                 for kind in (WORD, PAIR):
@@ -122,14 +127,14 @@ def _request_rows(ranges: dict[int, int]):
                     bounds = np.searchsorted(keys, range_starts(ranges[kind]))
                     for r, (a, z) in enumerate(zip(bounds, [*bounds[1:], len(keys)])):
                         if a < z:
-                            rows.append((kind, r, block, planes(np.diff(keys[a:z], prepend=np.uint64(0))),
-                                         None if held else planes(count[a:z].astype(np.uint32))))
+                            rows.append((kind, r, block, role, planes(np.diff(keys[a:z], prepend=np.uint64(0))),
+                                         None if role == HELD_OUT else planes(count[a:z].astype(np.uint32))))
                 for i in range(0, len(rows), 64):
                     part = rows[i:i + 64]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[c] for x in part], t) for c, t in
-                         enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                        names=["kind", "range", "block", "keys", "counts"])
+                         enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                        names=["kind", "range", "block", "role", "keys", "counts"])
     return run
 
 
@@ -140,34 +145,41 @@ def range_starts(n: int) -> np.ndarray:
 
 @tidy
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, range): the training counts of each block's keys; a row of totals for each range (block null)."""
+    """Rows sorted by (kind, range): the training counts of each block's keys; a row of totals for each range (block null).
+
+    Blocks set aside get the counts without their part (``rest``) too, and so do the totals.
+    """
     group, held = None, []
 
     def answers() -> pa.RecordBatch:
-        keys = np.concatenate([x[1] for x in held])
-        counts = np.concatenate([x[2] for x in held])
+        keys = np.concatenate([x[2] for x in held])
+        counts = np.concatenate([x[3] for x in held])
+        aside = np.repeat([x[1] == ASIDE for x in held], [len(x[2]) for x in held])
         _, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, counts, minlength=int(where.max()) + 1).astype(np.uint64)
-        mine = total[where]
+        n = int(where.max()) + 1
+        total = np.bincount(where, counts, minlength=n).astype(np.uint64)
+        rest = np.bincount(where[~aside], counts[~aside], minlength=n).astype(np.uint64)
         rows, at = [], 0
-        for block, own, _ in held:
-            rows.append((block, planes(mine[at:at + len(own)]), None, None))
+        for block, role, own, _ in held:
+            mine = where[at:at + len(own)]
+            rows.append((block, planes(total[mine]), planes(rest[mine]) if role == ASIDE else None, None, None, None, None))
             at += len(own)
-        rows.append((None, None, int((total > 0).sum()), int(total.sum())))
+        rows.append((None, None, None, *(int(f(x)) for x in (total, rest) for f in (np.count_nonzero, np.sum))))
         kind, r = group
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array([kind] * len(rows), pa.int32()), pa.array([r] * len(rows), pa.int32()),
-             *(pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64())))],
-            names=["kind", "range", "block", "answer", "n_distinct", "n_total"])
+             *(pa.array([x[c] for x in rows], t) for c, t in enumerate(types))],
+            names=["kind", "range", "block", "answer", "rest", "n_distinct", "n_total", "rest_distinct", "rest_total"])
 
     for b in batches:
-        for kind, r, block, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for kind, r, block, role, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (kind, r) != group:
                 if held:
                     yield answers()
                 group, held = (kind, r), []
             own = np.cumsum(from_planes(keys, np.uint64), dtype=np.uint64)
-            held.append((block, own, from_planes(counts, np.uint32) if counts is not None else np.zeros(len(own), np.uint32)))
+            held.append((block, role, own, from_planes(counts, np.uint32) if counts is not None else np.zeros(len(own), np.uint32)))
     if held:
         yield answers()
 
@@ -189,7 +201,7 @@ def _answered(judge, schema: pa.Schema, train_documents: int):
         block, got = None, {WORD: [], PAIR: []}
         for b in batches:
             for k in range(b.num_rows):
-                number, kind, answer, held, ids, *packed = (b.column(c)[k] for c in (0, 1, 3, 4, 5, 6, 7, 8, 9))
+                number, kind, answer, role, ids, *packed = (b.column(c)[k] for c in (0, 1, 3, 4, 5, 6, 7, 8, 9))
                 number = number.as_py()
                 if number != block:
                     block, got = number, {WORD: [], PAIR: []}
@@ -205,13 +217,13 @@ def _answered(judge, schema: pa.Schema, train_documents: int):
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 context[starts] = train_documents
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip(judge(held.as_py(), ids.values, lengths, starts, context, pair, word),
+                    [pa.array(x, f.type) for x, f in zip(judge(role.as_py(), ids.values, lengths, starts, context, pair, word),
                                                          schema, strict=True)], schema=schema)
                 block = None
     return run
 
 
-def _held_out_counts(held, ids, lengths, starts, context, pair, word):
+def _distinct_counts(role, ids, lengths, starts, context, pair, word):
     """The distinct (context, pair, word) counts of a block, each with its number of tokens."""
     rows = np.column_stack([context, pair, word])
     by = np.lexsort(rows.T)
@@ -240,11 +252,11 @@ def _expected(weights: np.ndarray, tokens: int, types: int):
     return run
 
 
-def learn_weights(held: DataFrame, tokens: int, types: int) -> np.ndarray:
+def learn_weights(aside: DataFrame, tokens: int, types: int) -> np.ndarray:
     """Mixture weights by bucket; the driver gets BUCKETS rows of sums a round. One expected token is added to each."""
     weights, last = np.tile(START_WEIGHTS, (BUCKETS, 1)), -math.inf
     for _ in range(EM_ROUNDS):
-        sums = (held.mapInArrow(_expected(weights, tokens, types), "bucket int, e0 double, e1 double, e2 double, likelihood double")
+        sums = (aside.mapInArrow(_expected(weights, tokens, types), "bucket int, e0 double, e1 double, e2 double, likelihood double")
                 .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("e0", "e1", "e2", "likelihood"))).collect())
         expected = np.zeros((BUCKETS, 3))
         for r in sums:
@@ -258,45 +270,49 @@ def learn_weights(held: DataFrame, tokens: int, types: int) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS,
-                held_out_fold: int = HELD_OUT_FOLD) -> DataFrame:
+                held_out_fold: int = HELD_OUT_FOLD, aside_fold: int = ASIDE_FOLD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "lm"), partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    split = docs.select(F.col(id_col).alias("doc_id"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
-                                                        == held_out_fold).alias("held_out"), F.col(text_col))
+    fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
+    role = F.when(fold == held_out_fold, HELD_OUT).when(fold == aside_fold, ASIDE).otherwise(TRAIN)
+    split = docs.select(F.col(id_col).alias("doc_id"), role.alias("role"), F.col(text_col))
     blocks = scratch.write(split.mapInArrow(
-        _block_rows, f"block long, held_out boolean, n_tokens long, ids array<{kind}>, lengths binary, keys binary, "
+        _block_rows, f"block long, role int, n_tokens long, ids array<{kind}>, lengths binary, keys binary, "
                      f"by_rank binary, tokens binary"), "blocks")
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum(F.length("keys") / 8).alias("words"),
-                      F.sum(F.when(~F.col("held_out"), F.size("ids"))).alias("documents")).first()
+                      *(F.sum(F.when(of, F.size("ids"))).alias(c) for c, of in
+                        (("documents", F.col("role") != HELD_OUT), ("rest", F.col("role") == TRAIN)))).first()
     ranges = {WORD: max(1, int((size.words or 0) / RANGE_KEYS)), PAIR: max(1, int((size.tokens or 0) / RANGE_KEYS))}
     counts = scratch.write(
-        blocks.select("block", "held_out", "lengths", "keys", "by_rank", "tokens")
-        .mapInArrow(_request_rows(ranges), "kind int, range int, block long, keys binary, counts binary")
+        blocks.select("block", "role", "lengths", "keys", "by_rank", "tokens")
+        .mapInArrow(_request_rows(ranges), "kind int, range int, block long, role int, keys binary, counts binary")
         .repartition(n, "kind", "range").sortWithinPartitions("kind", "range", "block")
-        .mapInArrow(_count_rows, "kind int, range int, block long, answer binary, n_distinct long, n_total long"), "counts", BATCH_ROWS)
-    totals = counts.where(f"block is null and kind = {WORD}").agg(F.sum("n_distinct").alias("types"), F.sum("n_total").alias("tokens")).first()
-    types, tokens = totals.types or 0, totals.tokens or 0
-    documents = size.documents or 0
-    columns = ["block", "kind", "range", "answer", "held_out", "ids", "lengths", "keys", "by_rank", "tokens"]
-    answers = counts.where("block is not null").select("block", "kind", "range", "answer")
+        .mapInArrow(_count_rows, "kind int, range int, block long, answer binary, rest binary, n_distinct long, n_total long, "
+                                 "rest_distinct long, rest_total long"), "counts", BATCH_ROWS)
+    totals = counts.where(f"block is null and kind = {WORD}").agg(
+        *(F.sum(c).alias(c) for c in ("n_distinct", "n_total", "rest_distinct", "rest_total"))).first()
+    types, tokens, rest_types, rest_tokens = (x or 0 for x in totals)
+    documents, rest_documents = size.documents or 0, size.rest or 0
+    columns = ["block", "kind", "range", "answer", "role", "ids", "lengths", "keys", "by_rank", "tokens"]
+    answers = counts.where("block is not null").select("block", "kind", "range", "answer", "rest")
 
     def with_answers(some: DataFrame, of: DataFrame) -> DataFrame:
         return (of.unionByName(some.drop("n_tokens"), allowMissingColumns=True).select(*columns)
                 .repartition(n, "block").sortWithinPartitions("block", F.col("answer").isNull(), "kind", "range"))
 
-    aside = blocks.where("held_out")
+    blocks_aside = blocks.where(F.col("role") == ASIDE)
     binary = pa.schema([(c, pa.binary()) for c in ("context", "pair", "word", "n")])
-    held = scratch.write(
-        with_answers(aside, answers.join(aside.select("block"), "block", "left_semi"))
-        .mapInArrow(_answered(_held_out_counts, binary, documents), "context binary, pair binary, word binary, n binary"), "held-out", BATCH_ROWS)
-    weights = learn_weights(held, tokens, types)
+    aside = scratch.write(
+        with_answers(blocks_aside, answers.where("rest is not null").select("block", "kind", "range", F.col("rest").alias("answer")))
+        .mapInArrow(_answered(_distinct_counts, binary, rest_documents), "context binary, pair binary, word binary, n binary"), "aside", BATCH_ROWS)
+    weights = learn_weights(aside, rest_tokens, rest_types)
     base = math.log10(tokens + ADD * (types + 1)) if types else 0.0
 
-    def scores(held, ids, lengths, starts, context, pair, word):
+    def scores(role, ids, lengths, starts, context, pair, word):
         p = (weights[bucket_of(context)].T * estimates(context, pair, word, tokens, types)).sum(0)
-        return (ids, np.full(len(lengths), held), lengths, np.add.reduceat((word > 0).astype(np.int64), starts),
+        return (ids, np.full(len(lengths), role == HELD_OUT), lengths, np.add.reduceat((word > 0).astype(np.int64), starts),
                 np.full(len(lengths), tokens), np.add.reduceat(np.log10(word + ADD) - base, starts),
                 np.add.reduceat(np.log10(p), starts))
 
@@ -304,11 +320,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_type
     out = pa.schema([("doc_id", to_arrow_type(id_type)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    scored = scratch.write(with_answers(blocks, answers).mapInArrow(
+    scored = scratch.write(with_answers(blocks, answers.drop("rest")).mapInArrow(
         _answered(scores, out, documents),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"),
         "scores", BATCH_ROWS)
-    scratch.drop("blocks", "counts", "held-out")
+    scratch.drop("blocks", "counts", "aside")
     return scored
 
 
@@ -318,23 +334,25 @@ def op6_lm_score(spark, sf_dir: str) -> DataFrame:
 
 def brute_force(documents: list[tuple[int, str]]) -> list[tuple]:
     """The query's rows by plain dictionaries, for tests."""
-    texts = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS == HELD_OUT_FOLD,
+    texts = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS,
               [*(t or "").encode().translate(LOWER).split(), b"\n"]) for i, t in documents]
-    word, pair, before, n_docs = Counter(), Counter(), Counter(), 0
-    for _, held, w in texts:
-        if not held:
+
+    def model(of: list[list[bytes]]):
+        word, pair = Counter(), Counter()
+        for w in of:
             word.update(w)
             pair.update(zip([b"\r", *w], w))
-            n_docs += 1
-    before = word | Counter({b"\r": n_docs})
-    tokens, types = sum(word.values()), len(word)
+        before = word | Counter({b"\r": len(of)})
+        tokens, types = sum(word.values()), len(word)
+        return word, tokens, types, before, lambda h, w: (pair[h, w] / max(before[h], 1), word[w] / max(tokens, 1), 1 / (types + 1))
+
     bucket = lambda c: c.bit_length()
-    probs = lambda h, w: (pair[h, w] / max(before[h], 1), word[w] / max(tokens, 1), 1 / (types + 1))
+    *_, before, probs = model([w for _, fold, w in texts if fold not in (HELD_OUT_FOLD, ASIDE_FOLD)])
     weights, last = {b: START_WEIGHTS for b in range(BUCKETS)}, -math.inf
     for _ in range(EM_ROUNDS):
         expected, likelihood = {}, 0.0
-        for _, held, w in texts:
-            for a, b in zip([b"\r", *w], w) if held else ():
+        for _, fold, w in texts:
+            for a, b in zip([b"\r", *w], w) if fold == ASIDE_FOLD else ():
                 k = bucket(before[a])
                 part = [x * y for x, y in zip(weights[k], probs(a, b))]
                 likelihood += math.log(sum(part))
@@ -346,10 +364,11 @@ def brute_force(documents: list[tuple[int, str]]) -> list[tuple]:
         last = likelihood
         weights = {b: [(x + s) / (sum(expected.get(b, [0] * 3)) + sum(START_WEIGHTS)) for x, s in
                        zip(expected.get(b, [0.0] * 3), START_WEIGHTS)] for b in range(BUCKETS)}
+    word, tokens, types, before, probs = model([w for _, fold, w in texts if fold != HELD_OUT_FOLD])
     out = []
-    for i, held, w in texts:
+    for i, fold, w in texts:
         score = sum(math.log10(sum(x * y for x, y in zip(weights[bucket(before[a])], probs(a, b))))
                     for a, b in zip([b"\r", *w], w))
         base = sum(math.log10((word[x] + ADD) / (tokens + ADD * (types + 1))) for x in w)
-        out.append((i, held, len(w), sum(word[x] > 0 for x in w), tokens, base, score))
+        out.append((i, fold == HELD_OUT_FOLD, len(w), sum(word[x] > 0 for x in w), tokens, base, score))
     return out

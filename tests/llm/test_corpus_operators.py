@@ -180,6 +180,21 @@ def test_mixing_beats_the_base_model_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+def test_texts_not_to_learn_from_change_no_score_of_others(spark, documents):
+    import zlib
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    rows = documents[:120]
+    other = [(i, "quite another text " + str(i) if held(i) else t) for i, t in rows]
+    scores = [{r.doc_id: r for r in lm_score.score_texts(table(spark, x)).collect()} for x in (rows, other)]
+    assert sum(map(held, scores[0])) > 5
+    for i in scores[0]:
+        a, b = scores[0][i], scores[1][i]
+        assert a.train_tokens == b.train_tokens
+        if not held(i):
+            assert (a.score, a.base_score) == (b.score, b.base_score)
+
+
 # --- suffix arrays --------------------------------------------------------------------------------------------
 
 def passages(seed=3):
