@@ -39,6 +39,11 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(sq_dist(a, b))
 
 
+def compared(dist: Column) -> Column:
+    """A distance as it is compared: rounded, so that equal distances tie however they were added up."""
+    return F.round(dist, 9)
+
+
 def cluster_sizes(points: DataFrame) -> DataFrame:
     return points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
@@ -100,7 +105,7 @@ def centre_members(points: DataFrame) -> DataFrame:
     """(cluster, id, dist): the member nearest to its cluster mean, lowest id on a tie."""
     d = join_per_cluster(points, _checkpoint(centres(points))).select(
         "cluster", "id", euclid(F.col("features"), F.col("centre")).alias("dist"))
-    best = d.groupBy("cluster").agg(F.min(F.struct("dist", "id")).alias("b"))
+    best = d.groupBy("cluster").agg(F.min(F.struct(compared(F.col("dist")).alias("by"), "id", "dist")).alias("b"))
     return best.select("cluster", F.col("b.id").alias("id"), F.col("b.dist").alias("dist"))
 
 
@@ -126,7 +131,7 @@ def select_representatives(points: DataFrame, q: DataFrame) -> DataFrame:
         near = F.array_min(F.transform("pf", lambda p: euclid(F.col("features"), p)))
         cand = (join_per_cluster(rest.where(F.col("quota") >= r), held)
                 .where(~F.array_contains("pid", F.col("id")))
-                .select("cluster", "id", near.alias("min_dist")))
+                .select("cluster", "id", compared(near).alias("min_dist")))
         best = cand.groupBy("cluster").agg(F.max(F.struct("min_dist", (-F.col("id")).alias("neg"))).alias("b"))
         new = best.select("cluster", (-F.col("b.neg")).alias("id"))
         more = rest.join(new, ["cluster", "id"]).select("cluster", "id", F.lit(r).alias("pick_rank"), "features")
@@ -203,7 +208,7 @@ def assign_nearest(points: DataFrame, centres_df: DataFrame) -> DataFrame:
 
 def first_best(scores: DataFrame) -> DataFrame:
     """The row of highest ``silhouette`` in ``scores(k, silhouette)``, lowest k on a tie."""
-    return scores.orderBy(F.desc("silhouette"), "k").limit(1)
+    return scores.orderBy(F.desc(F.round("silhouette", 9)), "k").limit(1)
 
 
 def selection_metrics(picks: DataFrame, points: DataFrame) -> DataFrame:

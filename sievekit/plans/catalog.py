@@ -415,7 +415,7 @@ def assign_nearest_q(spark, sf):
     return assign_nearest(pts, centres(pts))
 
 
-# ---- clustering and the end-to-end flow (O55, O57, O58, O60, O61) -- rows-only
+# ---- clustering and the end-to-end flow
 
 def _kept_code(spark, sf):
     code = TB.code_corpus(spark, sf)
@@ -423,28 +423,37 @@ def _kept_code(spark, sf):
     return DS.kept_designs(code, res)
 
 
+def _kept_vectors(spark, sf):
+    from ..operators.dedup import _checkpoint
+    from .features import design_features
+    return _checkpoint(design_features(_kept_code(spark, sf), "combined").vectors)
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
     from ..operators import cluster as CL
-    from .features import design_features
-    fs = design_features(_kept_code(spark, sf), "combined")
-    labels, _, _, _ = CL.cluster(fs.vectors)
-    return labels
+    return CL.cluster(_kept_vectors(spark, sf))[0]
 
 
 @query("best_k")
 def best_k_q(spark, sf):
+    """The sweep: every k of the range with the silhouette and cost of its best restart."""
     from ..operators import cluster as CL
-    from .features import design_features
-    fs = design_features(_kept_code(spark, sf), "combined")
-    _, _, _, sweep = CL.cluster(fs.vectors)
-    return sweep
+    return CL.cluster(_kept_vectors(spark, sf))[3].select("k", F.round("silhouette", 6).alias("silhouette"), F.round("cost", 6).alias("cost"))
+
+
+@query("best_k_choice")
+def best_k_choice(spark, sf):
+    """The k that the sweep chooses: first highest silhouette."""
+    from ..operators import cluster as CL
+    from ..operators.select import first_best
+    return first_best(CL.cluster(_kept_vectors(spark, sf))[3]).select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("mode_comparison")
 def mode_comparison(spark, sf):
     from .select_stage import compare_modes
-    return compare_modes(_kept_code(spark, sf))
+    return compare_modes(_kept_code(spark, sf)).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("pca_points")
@@ -457,7 +466,8 @@ def pca_points_q(spark, sf):
     flags = picks.select(F.col("id").alias("design_idx"), F.lit(True).alias("selected"))
     return (coords.join(pts.select(F.col("id").alias("design_idx"), "cluster"), "design_idx")
             .join(flags, "design_idx", "left")
-            .select("design_idx", "pc1", "pc2", "cluster", F.coalesce("selected", F.lit(False)).alias("selected")))
+            .select("design_idx", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"), "cluster",
+                    F.coalesce("selected", F.lit(False)).alias("selected")))
 
 
 @query("pipeline_end_to_end")
@@ -619,15 +629,6 @@ def features_semantic_only(spark, sf):
     return fs.long.select("design_idx", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query("best_k_choice")
-def best_k_choice(spark, sf):
-    """The rule that picks k: the first highest score. Scores come from the given labels (mean of the first dimension, in tenths)."""
-    from ..operators.select import first_best
-    scores = _points(spark, sf).groupBy(F.col("cluster").alias("k")).agg(
-        F.round(F.avg(F.element_at("features", 1)), 1).alias("silhouette"))
-    return first_best(scores)
-
-
 @query("selection_ratio")
 def selection_ratio(spark, sf):
     from ..operators.select import selection_metrics

@@ -347,7 +347,7 @@ SQL["quota_filled"] = "WITH " + _quota_sql(True, 30, 34) + "\nSELECT cluster, si
 SQL["cluster_center_member"] = "WITH " + _pts(False) + ",\n" + _CENT.format(src="pts") + """
 SELECT cluster, id, round(dist, 6) AS dist FROM (
   SELECT p.cluster, p.id, list_distance(p.f, c.centre) AS dist,
-         row_number() OVER (PARTITION BY p.cluster ORDER BY list_distance(p.f, c.centre), p.id) AS rn
+         row_number() OVER (PARTITION BY p.cluster ORDER BY round(list_distance(p.f, c.centre), 9), p.id) AS rn
   FROM pts p JOIN cent c USING (cluster)) WHERE rn = 1"""
 
 
@@ -359,11 +359,11 @@ takeall AS (SELECT p.id, p.cluster, row_number() OVER (PARTITION BY p.cluster OR
 rest AS (SELECT p.id, p.cluster, p.f, q.quota FROM pts p JOIN final q USING (cluster) WHERE q.quota < q.size AND q.quota > 0),
 """ + _CENT.format(src="rest") + """,
 picks1 AS (SELECT cluster, id, 1 AS pick_rank FROM (
-  SELECT r.cluster, r.id, row_number() OVER (PARTITION BY r.cluster ORDER BY list_distance(r.f, c.centre), r.id) AS rn
+  SELECT r.cluster, r.id, row_number() OVER (PARTITION BY r.cluster ORDER BY round(list_distance(r.f, c.centre), 9), r.id) AS rn
   FROM rest r JOIN cent c USING (cluster)) WHERE rn = 1)"""
     for k in range(2, rounds + 1):
         s += f""",
-md{k} AS (SELECT r.cluster, r.id, min(list_distance(r.f, pf.f)) AS md
+md{k} AS (SELECT r.cluster, r.id, min(round(list_distance(r.f, pf.f), 9)) AS md
           FROM rest r JOIN picks{k - 1} pk ON pk.cluster = r.cluster JOIN rest pf ON pf.id = pk.id
           WHERE r.quota >= {k} AND r.id NOT IN (SELECT id FROM picks{k - 1}) GROUP BY r.cluster, r.id),
 picks{k} AS (SELECT * FROM picks{k - 1} UNION ALL
@@ -480,9 +480,6 @@ FROM rs, LATERAL (SELECT unnest(range(0, {len(_FEATS)})) AS i, unnest([{', '.joi
 SQL["features_semantic_only"] = "WITH " + _tfidf("code") + """
 SELECT design_idx, dim::INTEGER AS dim, round(weight, 6) AS value FROM wts WHERE weight <> 0"""
 
-SQL["best_k_choice"] = "WITH " + _pts(False) + """
-SELECT cluster AS k, round(avg(f[1]), 1) AS silhouette FROM pts GROUP BY cluster ORDER BY 2 DESC, 1 LIMIT 1"""
-
 SQL["selection_ratio"] = "WITH " + _selection_sql(True, 30, 34) + """
 SELECT (SELECT count(*) FROM pts)::BIGINT AS input_count, (SELECT count(*) FROM sel)::BIGINT AS selected_count,
        round((SELECT count(*) FROM sel) / (SELECT count(*) FROM pts) * 100, 6) AS selection_ratio_pct,
@@ -490,3 +487,39 @@ SELECT (SELECT count(*) FROM pts)::BIGINT AS input_count, (SELECT count(*) FROM
 
 SQL["picks_per_cluster"] = "WITH " + _selection_sql(True, 30, 34) + """
 SELECT cluster, count(*)::BIGINT AS n_picks FROM sel GROUP BY cluster"""
+
+
+# ---- clustering, projection and the end-to-end flow ------------------------------
+from . import oracle_cluster as OC  # noqa: E402
+
+_STRUCT_CTES = _RAW.split(",\nfx AS", 1)
+_KEPT = OC.kept_code(_EXACT_CODE)
+
+
+def _vectors(mode: str) -> str:
+    return OC.vectors(mode, "fx AS" + _STRUCT_CTES[1], "ft AS" + _tfidf("code").split(",\nft AS", 1)[1], _FEATS, ("kdesigns", "kfiles"))
+
+
+_SWEEP = O.with_recursive(_KEPT + ",\n" + _vectors("combined") + "," + OC.sweep())
+SQL["kmeans_labels"] = _SWEEP + """
+SELECT id AS design_idx, cluster::INTEGER AS cluster FROM labels JOIN chosen USING (k)"""
+SQL["best_k"] = _SWEEP + """
+SELECT k::INTEGER AS k, round(silhouette, 6) AS silhouette, round(cost, 6) AS cost FROM fits WHERE swept"""
+SQL["best_k_choice"] = _SWEEP + """
+SELECT k::INTEGER AS k, round(silhouette, 6) AS silhouette FROM chosen"""
+
+
+def _one_mode(mode: str) -> str:
+    return f"""SELECT '{mode}' AS mode, * FROM ({O.with_recursive(_KEPT + ',' + chr(10) + _vectors(mode) + ',' + OC.sweep())}
+SELECT k::INTEGER AS k, round(silhouette, 6) AS silhouette, (SELECT count(*) FROM vec)::BIGINT AS n_rows,
+       (SELECT max(len(f)) FROM vec)::INTEGER AS n_dims FROM chosen)"""
+
+
+SQL["mode_comparison"] = "\nUNION ALL\n".join(_one_mode(m) for m in OC.MODES)
+
+_CODE_HEAD = _quota_sql(False, 80, 120).replace(_pts(False), "pts AS (SELECT id, cluster::INTEGER AS cluster, f FROM labels JOIN chosen USING (k) JOIN vec USING (id))")
+SQL["pipeline_end_to_end"] = _SWEEP + ",\n" + _selection_sql(False, 80, 120, head=_CODE_HEAD) + """
+SELECT sel.id AS design_idx, sel.cluster, sel.pick_rank::INTEGER AS pick_rank, d.algo_name, d.source_name FROM sel JOIN designs d ON d.design_idx = sel.id"""
+
+SQL["pca_points"] = "WITH RECURSIVE " + _selection_sql(False, 80, 120) + "," + OC.pca("pts") + """
+SELECT p.id AS design_idx, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2, p.cluster, p.id IN (SELECT id FROM sel) AS selected FROM pcs JOIN pts p USING (id)"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as CL
 from ..operators import select as SEL
+from ..operators.dedup import _checkpoint, release
 from .features import MODES, design_features
 
 
@@ -23,11 +24,10 @@ class SelectionResult:
 
 
 def run_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120,
-                  mode: str = "combined", n_init: int = CL.N_INIT, k_step: int = 1,
-                  threads: int | None = None) -> SelectionResult:
-    fs = design_features(corpus, mode)
-    labels, k, score, sweep = CL.cluster(fs.vectors, n_init, k_step, threads)
-    pts = (fs.vectors.join(labels, "design_idx")
+                  mode: str = "combined", n_init: int = CL.N_INIT, k_step: int = 1) -> SelectionResult:
+    vectors = _checkpoint(design_features(corpus, mode).vectors)
+    labels, k, score, sweep = CL.cluster(vectors, n_init, k_step)
+    pts = (vectors.join(labels, "design_idx")
            .select(F.col("design_idx").alias("id"), "cluster", "features"))
     q = SEL.quotas(pts, target_min, target_max)
     picks = SEL.select_representatives(pts, q)
@@ -38,13 +38,15 @@ def run_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120
     return SelectionResult(selected, labels, k, score, sweep, analysis)
 
 
-def compare_modes(corpus: DataFrame, n_init: int = CL.N_INIT, k_step: int = 1, threads: int | None = None) -> DataFrame:
+def compare_modes(corpus: DataFrame, n_init: int = CL.N_INIT, k_step: int = 1) -> DataFrame:
     """(mode, k, silhouette, n_rows, n_dims) for the three feature modes; best = first highest score."""
     rows = []
     for mode in ("structural_only", "semantic_only", "combined"):
         fs = design_features(corpus, mode)
-        _, k, score, _ = CL.cluster(fs.vectors, n_init, k_step, threads)
-        rows.append((mode, k, float(score), fs.vectors.count(), fs.n_dims))
+        vectors = _checkpoint(fs.vectors)
+        _, k, score, _ = CL.cluster(vectors, n_init, k_step)
+        rows.append((mode, k, float(score), vectors.count(), fs.n_dims))
+        release(vectors)
     return corpus.sparkSession.createDataFrame(rows, "mode string, k int, silhouette double, n_rows long, n_dims int")
 
 
@@ -54,7 +56,7 @@ def best_mode(scores: DataFrame) -> str:
 
 
 def run_best_selection(corpus: DataFrame, target_min: int = 80, target_max: int = 120, n_init: int = CL.N_INIT,
-                       k_step: int = 1, threads: int | None = None) -> SelectionResult:
+                       k_step: int = 1) -> SelectionResult:
     """Compare the feature modes, then select with the best one."""
-    mode = best_mode(compare_modes(corpus, n_init, k_step, threads))
-    return run_selection(corpus, target_min, target_max, mode, n_init, k_step, threads)
+    mode = best_mode(compare_modes(corpus, n_init, k_step))
+    return run_selection(corpus, target_min, target_max, mode, n_init, k_step)
