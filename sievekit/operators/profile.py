@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import _checkpoint
+from .quantile import quantiles
+
 
 def name_source_list(corpus: DataFrame) -> DataFrame:
     """(algo_name, source_name), 'Unknown' when missing, input order kept by design_idx."""
@@ -42,9 +45,8 @@ def extension_top(corpus: DataFrame, n: int = 5) -> DataFrame:
 
 def size_buckets(sizes: DataFrame, selected: DataFrame) -> DataFrame:
     """Quartile bucket (1-4) by ``size`` with exact cut points; counts overall and in the selection."""
-    cuts = sizes.agg(F.percentile(F.col("size").cast("double"),
-                                  F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
-    q1, q2, q3 = (float(x) for x in cuts)
+    sizes = _checkpoint(sizes)
+    q1, q2, q3 = quantiles(sizes, ["size"], [0.25, 0.5, 0.75])["size"] or (0.0, 0.0, 0.0)
     b = (F.when(F.col("size") <= q1, 1).when(F.col("size") <= q2, 2)
          .when(F.col("size") <= q3, 3).otherwise(4))
     flagged = sizes.join(selected.select("design_idx", F.lit(1).alias("sel")), "design_idx", "left")

@@ -1,6 +1,5 @@
-"""Column scalers fitted by one aggregate each; the fitted statistics are a
-bounded one-row result (3 numbers per column), applied as literals - the
-same shape as a fitted MLlib scaler model.
+"""Column scalers; the fitted statistics are a bounded result (3 numbers per
+column), applied as literals - the same shape as a fitted MLlib scaler model.
 """
 
 from __future__ import annotations
@@ -8,24 +7,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantile import quantiles
 
-def fit_robust(df: DataFrame, cols: list[str], approx: bool = False,
-               accuracy: int = 1_000_000) -> dict[str, tuple[float, float]]:
-    """(median, divisor) per column; divisor = IQR, or 1 when the IQR is 0.
 
-    Exact ``percentile`` interpolates linearly like numpy; it aggregates
-    value counts map-side, so memory follows distinct values, not rows. For
-    high-cardinality columns at scale pass ``approx=True``.
-    """
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggs = [(F.percentile_approx(c, probs, accuracy) if approx else F.percentile(F.col(c).cast("double"), probs))
-            .alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+def fit_robust(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """(median, divisor) per column; divisor = IQR, or 1 when the IQR is 0. Exact quantiles, interpolated linearly."""
     out = {}
-    for c in cols:
-        q1, med, q3 = (float(x) for x in row[c]) if row[c] is not None else (0.0, 0.0, 0.0)
-        iqr = q3 - q1
-        out[c] = (med, iqr if iqr != 0 else 1.0)
+    for c, found in quantiles(df, cols, [0.25, 0.5, 0.75]).items():
+        q1, med, q3 = found or (0.0, 0.0, 0.0)
+        out[c] = (med, q3 - q1 if q3 != q1 else 1.0)
     return out
 
 
@@ -34,8 +24,8 @@ def apply_robust(df: DataFrame, stats: dict[str, tuple[float, float]], keep: lis
     return df.select(*keep, *[((F.col(c) - F.lit(m)) / F.lit(d)).alias(c) for c, (m, d) in stats.items()])
 
 
-def robust_scale(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    return apply_robust(df, fit_robust(df, cols, approx))
+def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
+    return apply_robust(df, fit_robust(df, cols))
 
 
 def fit_maxabs(df: DataFrame, cols: list[str]) -> dict[str, float]:

@@ -31,10 +31,10 @@ class FeatureSet:
     vocabulary: DataFrame | None
 
 
-def structural_scaled(corpus: DataFrame, approx: bool = False) -> DataFrame:
+def structural_scaled(corpus: DataFrame) -> DataFrame:
     """(design_idx, 23 robust-scaled structural columns), checkpointed."""
     raw = _checkpoint(with_structural(corpus.select("design_idx", "files")).drop("files"))
-    return S.apply_robust(raw, S.fit_robust(raw, list(ENHANCED_FEATURES), approx), ["design_idx"])
+    return S.apply_robust(raw, S.fit_robust(raw, list(ENHANCED_FEATURES)), ["design_idx"])
 
 
 def tfidf_model(corpus: DataFrame, max_features: int = 200) -> TF.TfidfModel:
