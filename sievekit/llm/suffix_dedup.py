@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, partitions, read_table, texts_of
+from .common import Scratch, mix64, partitions, read_table, texts_of, tidy
 
 LENGTH = 400
 GRAM = 64
@@ -44,6 +44,8 @@ GRAM = 64
 SEGMENT = 1 << 17
 #: Bytes of contexts in a shard, on average, and occurrences of an anchor in a shard.
 SHARD_BYTES, SHARD_OCCURRENCES = 1 << 18, 400
+#: Anchors of more occurrences are hot, unless that would make more than HOT_ANCHORS.
+HOT_OCCURRENCES, HOT_ANCHORS = 5_000, 20_000
 _PLACE = np.uint64((1 << 24) - 1)
 _U = np.uint64
 _WIDE = 128
@@ -218,6 +220,7 @@ def document_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def _anchor_rows(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2 = (b.column(k).to_numpy() for k in (0, 1))
@@ -248,6 +251,7 @@ def _anchor_rows(length: int):
 
 def _context_rows(length: int, schema: pa.Schema):
     """Rows sorted by document key, anchors before texts: contexts of the texts that have anchors."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, runs = None, []
         for b in batches:
@@ -289,6 +293,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 def _shard_rows(length: int):
     """Rows sorted by (shard, context): spans of each context; sorted window keys of those whose anchor is split."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, {}
 
@@ -348,6 +353,7 @@ def _merge_rows():
                 out.append((h, sub, own.tobytes()))
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, runs, rows = None, [], []
 
@@ -374,6 +380,7 @@ def _merge_rows():
 
 def _split_spans(length: int):
     """Rows sorted by (anchor, shard), merged keys before contexts: spans of windows that other shards have too."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, keys, ready, done = None, [], None, None
         for b in batches:
@@ -428,11 +435,13 @@ def character_bounds(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return merge_spans(out)
 
 
-def _cut_rows(characters: bool):
+def _cut_rows(characters: bool, min_words: int):
     """Rows sorted by document key, spans before the text: the maximal spans and the bytes that stay.
 
-    With ``characters`` the rest of a character that a cut splits does not stay.
+    With ``characters`` the rest of a character that a cut splits does not stay; maximal spans of fewer
+    words than ``min_words`` stay.
     """
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, spans = None, []
         for b in batches:
@@ -443,7 +452,9 @@ def _cut_rows(characters: bool):
                 if text is None:
                     spans.append((s, e))
                 elif spans:
-                    cut = merge_spans(spans)
+                    cut = [(a, z) for a, z in merge_spans(spans) if not min_words or len(text[a:z].split()) >= min_words]
+                    if not cut:
+                        continue
                     gone = character_bounds(text, cut) if characters else cut
                     ends = [0, *(x[1] for x in gone)]
                     kept = b"".join(text[a:z] for a, z in zip(ends, [*(x[0] for x in gone), len(text)]))
@@ -455,11 +466,13 @@ def _cut_rows(characters: bool):
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                      shard_bytes: int = SHARD_BYTES, shard_occurrences: int = SHARD_OCCURRENCES, characters: bool = False) -> DataFrame:
+                      shard_bytes: int = SHARD_BYTES, shard_occurrences: int = SHARD_OCCURRENCES, characters: bool = False,
+                      min_words: int = 0, hot_occurrences: int = HOT_OCCURRENCES) -> DataFrame:
     """(k1, k2, spans, kept) of every document that loses bytes, by its key (see ``document_key``).
 
     ``spans`` are the maximal removed runs as byte offsets, ``kept`` the bytes that stay; with ``characters``
-    ``kept`` lacks the rest of characters that a cut splits too, and is valid UTF-8 if the text is.
+    ``kept`` lacks the rest of characters that a cut splits too, and is valid UTF-8 if the text is. With ``min_words``
+    only runs of so many words (parts of words at their ends included) are removed.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
@@ -468,9 +481,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = (docs.where(F.octet_length(text_col) >= length)
              .select(*document_key(id_col, text_col), F.col(text_col).alias("text")))
     runs = scratch.write(texts.mapInArrow(_anchor_rows(length), "k1 long, k2 long, lo long, n int, h long"), "anchors")
-    often = runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    often = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    # at most HOT_ANCHORS anchors are hot by this bound; they are sent to the rows, the rows of others to them
+    hot_from = max(hot_occurrences, runs.count() // HOT_ANCHORS)
+    hot = F.broadcast(often.where(F.col("c") > hot_from))
+    cold = runs.join(hot, "h", "left_anti").join(often.where(F.col("c") <= hot_from), "h")
     # rows that repeat would bring each anchor again
-    candidates = runs.join(often, "h").dropDuplicates(["k1", "k2", "lo"])
+    candidates = cold.unionByName(runs.join(hot, "h")).dropDuplicates(["k1", "k2", "lo"])
     both = candidates.select("k1", "k2", "lo", "n", "h", "c", F.lit(None).cast("binary").alias("text")).unionByName(
         texts.select("k1", "k2", F.col("text").cast("binary").alias("text")), allowMissingColumns=True)
     fields = "kind int, k1 long, k2 long, lo long, h long, c long, d1 long, d2 long, times long, context binary, text binary"
@@ -479,7 +496,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = scratch.write(
         both.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", F.col("text").isNotNull())
         .mapInArrow(_context_rows(length, arrow), fields), "contexts")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "often")
     contexts = found.where("context is not null").withColumn(
         "subs", F.ceil(F.col("c") / shard_occurrences).cast("int")).withColumn("sub", F.pmod("d1", "subs").cast("int"))
     total = contexts.agg(F.sum(F.length("context"))).first()[0] or 0
@@ -504,7 +521,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     (F.col("lo") + F.col("x.e")).cast("long").alias("e"), F.lit(None).cast("binary").alias("text")))
     return (cuts.unionByName(found.where("kind = 0").select("k1", "k2", "text"), allowMissingColumns=True)
             .repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", F.col("text").isNotNull())
-            .mapInArrow(_cut_rows(characters), f"k1 long, k2 long, spans {_SPAN}, kept binary"))
+            .mapInArrow(_cut_rows(characters, min_words), f"k1 long, k2 long, spans {_SPAN}, kept binary"))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
