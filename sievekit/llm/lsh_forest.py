@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, partitions, read_table, slices, texts_of, word_keys
+from .common import Scratch, mix64, partitions, read_table, slices, texts_of, tidy, word_keys
 from .suffix_dedup import document_key
 
 WORDS = 5
@@ -44,7 +44,7 @@ TARGET_RECALL = 0.995
 MARGIN = 0.15
 #: Bounds of a block of a group: nodes and shingles.
 BLOCK_NODES, BLOCK_SHINGLES = 2000, 1_000_000
-_COLUMNS = 4096
+_COLUMNS = 1024
 _FACTORS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACES = mix64(np.arange(1000, 1000 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -77,6 +77,7 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mix64(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+@tidy
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "k1", "k2", "node", "n_shingles", "signature"]
     for b in slices(batches):
@@ -105,6 +106,7 @@ def _neighbour_rows(depth: int, floor: float):
             active = active[active >= lag]
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, nodes, signatures, out = None, [], [], []
         ends = []  # the first and last node of this range, for the next range's run may go on with this one's
@@ -174,8 +176,10 @@ def count_links(left: list[np.ndarray], right: list[np.ndarray] | None, similari
         m = np.zeros((len(sets), min(_COLUMNS, int(column[z - 1]) - lo + 1)), np.float32)
         m[owner[a:z], column[a:z] - lo] = 1
         both += m[:len(left)] @ (m[len(left):] if right else m).T
-    union = size[:len(left), None] + (size[len(left):] if right else size)[None, :] - both
-    return both >= similarity * union - 1e-6
+    linked = np.empty(both.shape, bool)
+    for i, row in enumerate(both):
+        linked[i] = row >= similarity * (size[i] + (size[len(left):] if right else size) - row) - 1e-6
+    return linked
 
 
 def _verified_rows(similarity: float):
@@ -208,6 +212,7 @@ def _verified_rows(similarity: float):
                 front += near.tolist()
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, rows = None, [], []
         for b in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, read_table, slices, texts_of
+from .common import Scratch, read_table, slices, texts_of, tidy
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 TREES, TREE_ROWS = 100, 256
@@ -77,6 +77,7 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, STATS, MORE) of every row; ``carry`` adds the input row as the struct column ``row``."""
     names = _names(STATS, MORE)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = np.array([text_stats(t) for t in texts_of(b.column(1))], np.int64).reshape(-1, len(names))
