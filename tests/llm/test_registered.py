@@ -43,10 +43,9 @@ def test_near_duplicate_stage_keeps_one_of_equal_rows(spark):
     assert sorted(r.doc_id for r in got) == [0, 5, 6]
 
 
-def cut_passages(rows):
-    """By id: the text without the characters that any repeated window touches, and whether there is such a window."""
+def cut_passages(rows, size=corpus_pipeline.PASSAGE_BYTES, words=corpus_pipeline.PASSAGE_WORDS):
+    """By id: the text without the characters that a run of repeated windows touches, and whether there is such a run."""
     raw = [(i, (t or "").encode()) for i, t in rows]
-    size = suffix_dedup.LENGTH
     count = Counter(t[p:p + size] for _, t in raw for p in range(len(t) - size + 1))
     out = {}
     for (i, text), (_, t) in zip(rows, raw):
@@ -54,6 +53,12 @@ def cut_passages(rows):
         for p in range(len(t) - size + 1):
             if count[t[p:p + size]] > 1:
                 gone[p:p + size] = b"\1" * size
+        at = 0
+        while (a := gone.find(1, at)) >= 0:
+            at = gone.find(0, a)
+            at = len(t) if at < 0 else at
+            if len(t[a:at].split()) < words:
+                gone[a:at] = bytes(at - a)
         at, left = 0, []
         for c in text or "":
             n = len(c.encode())
@@ -83,6 +88,53 @@ def test_passage_stage_drops_only_split_characters(spark):
     assert sum(gone for _, gone in want.values()) == 6 and got[5].text.endswith("five \ufffd")
 
 
+def test_passages_of_51_words_go_and_shorter_ones_stay(spark):
+    rng = __import__("random").Random(4)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for k, n in enumerate((51, 55, 60, 70, 80, 47, 40, 30)):
+        passage = text(n)
+        assert len(passage.encode()) >= corpus_pipeline.PASSAGE_BYTES or n < 49
+        for i in (2 * k, 2 * k + 1):
+            before, after = text(60) + f" q{i}z", f"z{i}q " + text(60)
+            rows.append((i, f"{before} {passage} {after}"))
+            planted[i] = (n, before, after)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.passage_dedup(spark, docs, SF).collect()}
+    for i, t in rows:
+        n, before, after = planted[i]
+        if n <= 50:
+            assert got[i] == t
+        else:  # letters next to the passage go with it where both texts have the same
+            assert got[i].startswith(before[:-2]) and got[i].endswith(after[2:]) and len(got[i]) <= len(before + after)
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, repeated rows, nulls, and columns that have the names used inside."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 1)] * 3 + [(None, None, None, None, None), (2, "", "en", "s", 0), (3, text[::-1], "en", None, 2)]
+    clash = [*("kept _kept _k1 _k2 _copy k1 k2 class row copies spans h score words size".split())]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, columns).selectExpr("*", *(f"{n} as `{c}`" for n, c in enumerate(clash)))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                assert all(list(r)[5:] == list(range(len(clash))) for r in got)
+            ids = Counter(r.doc_id for r in got)
+            if name == "n-gram Jaccard join" and given:
+                assert ids == {1: 1, None: 1, 2: 1, 3: 1}
+            elif name == "suffix-array dedup" and given:
+                assert ids == {None: 1, 2: 1, 3: 1}  # what repeats as a whole goes
+            elif name == "BPE encoding and decoding":
+                assert sum(ids.values()) == len(given)
+            elif not given:
+                assert not got
+
+
 def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     """Whole row sets of every stage, each computed from the rows that the stage got."""
     import numpy as np
