@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,10 @@ END_ID = 1
 WORDS, PARTS = 400_000, 50_000
 #: Words without other characters are the same to every version of Unicode, and composed already.
 _STABLE = re.compile("[!-~¡-ɏ]*")
+#: Whole texts of such words and ASCII white space, less the one capital whose small form is two characters.
+_STABLE_TEXT = "^[\t-\r -~¡-įı-ɏ]*$"
+#: Bytes of text whose words are looked up together.
+LOOKUP_BYTES = 1 << 24
 _MARKS = frozenset(",.;:!?")
 #: Ids after which a block is closed; documents are not split.
 BLOCK_IDS = 1 << 19
@@ -49,6 +54,8 @@ BLOCK_IDS = 1 << 19
 MIN_PAIRS = 8
 #: Rounds go on while they shorten the block by this share at least.
 MIN_GAIN = 0.01
+#: Buckets of pairs, as a power of two.
+BUCKET_BITS = 18
 HEADER, MAGIC, VERSION = struct.Struct("<4sIIIII"), b"IDRP", 1
 
 
@@ -77,17 +84,12 @@ class WordEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.words, self.parts = BoundedCache(self._ids, WORDS), BoundedCache(self._part, PARTS)
+        self.small = SmallWords(self, WORDS)
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode()
-        low = text.lower()
-        if max(low) < "ɐ":  # most words are letters, or letters and a mark behind them
-            if low.isalpha():
-                return self._part(low)
-            if low[-1] in _MARKS and low[:-1].isalpha():
-                return self.words[word[:-1]] + self.parts[low[-1]]
-        if _STABLE.fullmatch(low) and not any(t in text for t in self.special):
-            return b"".join(map(self.parts.__getitem__, self.pattern.findall(low)))
+        if _STABLE.fullmatch(text) and "İ" not in text and not any(t in text for t in self.special):
+            return self.small[text.lower()]
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
@@ -99,12 +101,96 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split()))
 
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. Words of stable texts are found as numbers of distinct words, and only those are looked up."""
+        column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        stable = pc.match_substring_regex(column, _STABLE_TEXT)
+        for t in self.special:
+            stable = pc.and_not(stable, pc.match_substring(column, t))
+        words = pc.ascii_split_whitespace(pc.utf8_lower(column.filter(stable)))
+        coded = words.flatten().dictionary_encode()
+        small = self.small
+        table = [small[w] if w else b"" for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        out, ends = joined(flat, starts, sizes, coded.indices.to_numpy())
+        bounds = np.concatenate([[0], ends])[words.offsets.to_numpy()].tolist()
+        found = iter(zip(bounds, bounds[1:]))
+        return [out[slice(*next(found))].tobytes() if s else self.encode(t) for s, t in zip(stable.to_pylist(), texts)]
+
+
+class SmallWords(dict):
+    """Ids of stable words in small letters, made when missing; drops its older half when full."""
+
+    def __init__(self, encoder: WordEncoder, limit: int):
+        super().__init__()
+        self.encoder, self.limit, self.old = encoder, limit, {}
+        self.tokenize, self.alphabet = encoder.model.tokenize, encoder.alphabet
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            if word.isalpha():
+                part = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+                value = array("I", [t.id for t in self.tokenize(part)]).tobytes()
+            elif word[-1] in _MARKS and word[:-1].isalpha():
+                value = self[word[:-1]] + self.encoder.parts[word[-1]]
+            else:
+                value = b"".join(map(self.encoder.parts.__getitem__, self.encoder.pattern.findall(word)))
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
+def joined(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` (they begin at ``starts``) one after another, and where each ends."""
+    size = sizes[which]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts[which] - ends + size).astype(kind), size) + np.arange(total, dtype=kind)], ends
+
+
+def by_bytes(values: list[bytes], limit: int) -> Iterator[list[bytes]]:
+    """The values in order, in lists of about so many bytes."""
+    part, size = [], 0
+    for v in values:
+        part.append(v)
+        size += len(v)
+        if size >= limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
 
 @functools.lru_cache(2)
 def _encoder(tokenizer_json: str) -> WordEncoder:
     return WordEncoder(tokenizer_json)
 
 
+def _frequent_pairs(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(keys, counts, places by key) of pairs that are frequent next to the most frequent one; None if no pair is.
+
+    A pair is at most as frequent as its bucket, so only places of full buckets are sorted.
+    """
+    spread = key.dtype.type(0x9E3779B97F4A7C15 >> 64 - bits | 1)
+    bucket = ((key * spread) >> key.dtype.type(bits - BUCKET_BITS)).astype(np.int64)
+    full = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+    for least in sorted({max(MIN_PAIRS, int(full.max()) // 32), MIN_PAIRS}, reverse=True):
+        places = np.flatnonzero((full >= least)[bucket])
+        places = places[np.argsort(key[places])]
+        ranked = key[places]
+        starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[:len(ranked)])
+        counts = np.diff(np.append(starts, len(ranked)))
+        good = counts >= max(MIN_PAIRS, int(counts.max(initial=0)) // 32)
+        if good.any():
+            return ranked[starts[good]], counts[good], places[np.repeat(good, counts)]
+    return None
+
+
 def re_pair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): nonterminal base + k stands for the two symbols of rules[k]."""
     s = ids.astype(np.uint32)
@@ -114,18 +200,13 @@ def re_pair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         # ids of a block mostly fit 16 bits, with its nonterminals too
         bits, wide = (16, np.uint32) if base + n_rules <= 1 << 16 else (32, np.uint64)
         key = (s[:-1].astype(wide) << wide(bits)) | s[1:]
-        order = np.argsort(key)
-        ranked = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        counts = np.diff(np.append(starts, len(ranked)))
-        most = int(counts.max())
-        if most < MIN_PAIRS:
+        found = _frequent_pairs(key, 2 * bits)
+        if found is None:
             break
-        good = counts >= max(MIN_PAIRS, most // 32)
-        pairs, places = ranked[starts[good]], order[np.repeat(good, counts)]
-        which = np.repeat(np.arange(len(pairs)), counts[good])
+        pairs, counts, places = found
+        which = np.repeat(np.arange(len(pairs)), counts)
         weight = np.zeros(len(key) + 2, np.int64)  # of the pair at each place, with a margin on both sides
-        weight[places + 1] = np.repeat(counts[good], counts[good])
+        weight[places + 1] = np.repeat(counts, counts)
         double = np.flatnonzero(s[:-1] == s[1:])
         if len(double):  # in a run of equal ids every second pair
             first = np.concatenate([[True], double[1:] != double[:-1] + 1])
@@ -197,27 +278,36 @@ class Block:
         at += 8 * n_docs
         self.symbols = take("<u4", n_symbols)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.ends = np.cumsum(self._size(self.symbols))
-
-    def _size(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        deep = symbols >= self.first
-        out[deep] = self.sizes[symbols[deep] - self.first]
-        return out
+        #: ids that each symbol stands for, the vocabulary's own ones included
+        self.size_of = np.concatenate([np.ones(self.first, np.int64), self.sizes.astype(np.int64)])
+        self.ends = np.cumsum(self.size_of[self.symbols])
+
+    @functools.cached_property
+    def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids that the symbols stand for, one after another; where each symbol's begin), rules level by level."""
+        begin = np.cumsum(self.size_of) - self.size_of
+        flat = np.empty(int(self.size_of.sum()), np.uint32)
+        flat[:self.first] = np.arange(self.first)
+        done = np.zeros(len(self.size_of), bool)
+        done[:self.first] = True
+        todo = np.arange(len(self.rules))
+        while len(todo):
+            ready = done[self.rules[todo]].all(1)
+            now = todo[ready]
+            size = self.size_of[self.first + now]
+            there = np.repeat(begin[self.first + now] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            flat[there] = joined(flat, begin, self.size_of, self.rules[now].ravel())[0]
+            done[self.first + now] = True
+            todo = todo[~ready]
+        return flat, begin
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if start >= end:
             return np.zeros(0, "<u4")
         lo, hi = np.searchsorted(self.ends, [start, end - 1], side="right")
-        s, skipped = self.symbols[lo:hi + 1], int(self.ends[lo - 1]) if lo else 0
-        while (deep := s >= self.first).any():
-            where = np.cumsum(1 + deep) - 1 - deep
-            out = np.empty(len(s) + int(deep.sum()), np.uint32)
-            out[where] = s
-            pair = self.rules[s[deep] - self.first]
-            out[where[deep]], out[where[deep] + 1] = pair[:, 0], pair[:, 1]
-            s = out
-        return s[start - skipped:end - skipped].astype("<u4")
+        skipped = int(self.ends[lo - 1]) if lo else 0
+        flat, begin = self._expanded
+        return joined(flat, begin, self.size_of, self.symbols[lo:hi + 1])[0][start - skipped:end - skipped].astype("<u4", copy=False)
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
@@ -232,24 +322,25 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         end = np.array([end_id], "<u4").tobytes()
-        part, number, held, idents, total = None, 0, [], [], 0
+        place, number, held, idents, total = None, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
             raw = np.frombuffer(b"".join(held), "<u4")
             packed = pack_block(raw, [len(x) // 4 for x in held], encoder.first_free)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(raw)], pa.int64()),
+                [pa.array([place], pa.int32()), pa.array([number], pa.int64()), pa.array([len(raw)], pa.int64()),
                  pa.array([idents], pa.list_(kind)), pa.array([packed], pa.binary())],
                 names=["range", "block", "n_ids", "ids_of", "packed"])
 
         for b in batches:
             kind = b.column(1).type
-            for p, ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
-                if held and (p != part or total >= block_ids):
+            encoded = (ids for part in by_bytes(texts_of(b.column(2)), LOOKUP_BYTES) for ids in encoder.encode_many(part))
+            for p, ident, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded, strict=True):
+                if held and (p != place or total >= block_ids):
                     yield block()
                     number, held, idents, total = number + 1, [], [], 0
-                part = p
-                held.append(encoder.encode(text) + end)
+                place = p
+                held.append(ids + end)
                 idents.append(ident)
                 total += len(held[-1]) // 4
         if held:
