@@ -3,14 +3,16 @@
 Walking designs in ascending index and keeping every design that has no kept
 smaller neighbour is the lexicographically-first maximal independent set
 (LFMIS) of the similarity graph - not its connected components (A~B, B~C,
-not A~C keeps A and C). It is computed in synchronous rounds:
+not A~C keeps A and C). It splits over components, so ``first_wins`` walks
+each component of candidates in one task. Components too large for that, edge
+tables and buckets are settled in synchronous rounds:
 
 * an undecided node with a kept smaller neighbour becomes a duplicate;
 * an undecided node whose smaller neighbours are all duplicates is kept.
 
-Two graph shapes are supported:
+Two further graph shapes are supported:
 
-* ``first_wins_edges``   - an explicit verified edge table (exact mode);
+* ``first_wins_edges``   - an explicit verified edge table;
 * ``first_wins_buckets`` - bucket membership (LSH mode): members of one
   bucket are pairwise neighbours, but no pair is ever materialised. A bucket
   has at most one kept member, so per round it is enough to aggregate
@@ -22,14 +24,20 @@ checkpoint directory, which cuts lineage and survives executor loss.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import uuid
-
 from ..session import drop_at_exit, drop_path, scratch_path
 
 UNDECIDED, KEPT, DUP = 0, 1, 2
+#: Set elements of a component that one task walks at most.
+GIANT_CELLS = 10_000_000
+LINKS = "duplicate_index long, original_index long, similarity double"
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -152,28 +160,130 @@ def expand_collapsed_links(members: DataFrame, rep_links: DataFrame) -> DataFram
     return rep_links.select("duplicate_index", "original_index", "similarity").unionByName(derived)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each connected component of ``edges(a, b)``.
+
+    A label moves to the least label next to it, and on to that node's own label, so chains shrink by halves.
+    """
+    both = _checkpoint(edges.where("a <> b").select("a", "b")
+                       .unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = _checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    while True:
+        near = (both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
+                .groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")))
+        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
+        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
+        moved = _checkpoint(lower.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        changed = not moved.where("label <> old").isEmpty()
+        release(labels)
+        labels = moved
+        if not changed:
+            release(both)
+            return labels.select("node", "label")
+
+
+def overlap_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def equal_places(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of equal positions of two signatures."""
+    return int((a == b).sum()) / len(a)
+
+
+def _walk_rows(threshold: float, similarity, use_length: bool):
+    """Rows sorted by (component, id): duplicates with their original, the smallest kept design that is similar.
+
+    Only kept designs of the component are held, with their postings; a design meets those that share one with it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept, lists = None, [], {}
+        for b in batches:
+            found = []
+            n_sets, n_toks = b.column(2), b.column(3)
+            for k, (comp, ident) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if comp != group:
+                    group, kept, lists = comp, [], {}
+                values = np.array(n_sets[k].values) if similarity is equal_places else np.sort(np.array(n_sets[k].values))
+                toks = n_toks[k].values.to_pylist()
+                near = sorted({i for t in toks for i in lists.get(t, ())})  # kept ones by id, as they came
+                for i in near:
+                    other, other_id = kept[i]
+                    if use_length and min(len(values), len(other)) < threshold * max(len(values), len(other)) - 1e-9:
+                        continue
+                    sim = similarity(other, values)
+                    if sim >= threshold:
+                        found.append((ident, other_id, sim))
+                        break
+                else:
+                    for t in toks:
+                        lists.setdefault(t, []).append(len(kept))
+                    kept.append((values, ident))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                names=["duplicate_index", "original_index", "similarity"])
+    return run
+
+
 def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = None, verify=None,
-               use_length: bool = True):
-    """First-wins rounds over the similarity graph of ``docs(id, set)`` without an edge table.
+               use_length: bool = True, similarity=overlap_jaccard, giant_cells: int = GIANT_CELLS):
+    """First-wins resolution of the similarity graph of ``docs(id, set)`` without an edge table.
+
+    Designs that share a posting list (a token of their prefixes) are candidates. The walk splits over the
+    connected components of the candidate graph, which star edges (a list's least design to the others) give:
+
+    * a component of at most ``giant_cells`` set elements is walked in index order in one task, however long its
+      chains are; components are packed into tasks by their label;
+    * larger ones, and only they, are settled in rounds over the cluster (``_first_wins_rounds``).
 
-    Neighbours are verified from posting lists; each round looks at undecided
-    designs only, and at designs that the round before kept:
+    Returns ``(state(node, state), links)``. ``prefix(id, n, tok)`` are the posting lists (default: Jaccard
+    prefixes of ``docs``); ``similarity(a, b)`` compares two sets in a task, ``verify(pairs, docs, t, a, b)`` keeps
+    the similar pairs of a table; ``use_length`` applies the Jaccard length filter.
+    """
+    from .simjoin import prefix_table
+    docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
+    pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, float(threshold)))
+    # designs alone on all their lists have no neighbour
+    lists = pre.groupBy("tok").agg(F.count(F.lit(1)).alias("p"), F.min("id").alias("first")).where("p > 1")
+    pre = _checkpoint(pre.join(lists.select("tok", "first"), "tok"))
+    groups = components(pre.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    cells = (docs.select(F.col("id").alias("node"), "n").join(groups, "node").groupBy("label")
+             .agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("designs")))
+    groups = _checkpoint(groups.join(cells, "label").select(F.col("node").alias("id"), "label", (F.col("cells") > giant_cells).alias("giant")))
+    toks = (pre.select("id", "tok").join(groups.where("not giant"), "id").groupBy("id", "label")
+            .agg(F.collect_list("tok").alias("toks")))
+    walked = (docs.select("id", "set").join(toks, "id").select("label", "id", "set", "toks")
+              .repartition(F.col("label")).sortWithinPartitions("label", "id")
+              .mapInArrow(_walk_rows(float(threshold), similarity, use_length), LINKS))
+    links = [_checkpoint(walked)]
+    giants = groups.where("giant").select("id")
+    if not giants.isEmpty():
+        links.append(_first_wins_rounds(docs.join(giants, "id", "left_semi"), pre.drop("first").join(giants, "id", "left_semi"),
+                                        float(threshold), verify, use_length))
+    links = links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    state = docs.select(F.col("id").alias("node")).join(
+        links.select(F.col("duplicate_index").alias("node"), F.lit(DUP).alias("state")), "node", "left").select(
+        "node", F.coalesce("state", F.lit(KEPT)).alias("state"))
+    return state, links
+
+
+def _first_wins_rounds(docs: DataFrame, pre: DataFrame, t: float, verify, use_length: bool) -> DataFrame:
+    """First-wins links in rounds over posting lists ``pre(id, n, tok)``, for components too large for a task.
+
+    Each round looks at undecided designs only, and at designs that the round before kept:
 
     1. undecided v vs newly kept k < v sharing a token -> duplicates;
     2. the rest vs the smallest undecided member of each of its lists -> blocked;
     3. those not yet blocked vs all smaller undecided candidates -> blocked;
     4. undecided designs that nothing blocks are kept.
 
-    A clique of m near copies is settled by steps 1 and 2: O(m * |prefix|)
-    verifications, not m^2 edges. Returns ``(state(node, state), links)``.
-
-    ``prefix(id, n, tok)`` are the posting lists (default: Jaccard prefixes
-    of ``docs(id, set)``); ``verify(pairs, a, b)`` keeps similar pairs and
-    adds ``sim`` (default: exact Jaccard); ``use_length`` applies the
-    Jaccard length filter to candidates.
+    A clique of m near copies is settled by steps 1 and 2: O(m * |prefix|) verifications, not m^2 edges.
     """
-    from .simjoin import length_ok as jaccard_length_ok, prefix_table, verify_pairs as jaccard_verify
-    t = float(threshold)
+    from .simjoin import length_ok as jaccard_length_ok, verify_pairs as jaccard_verify
     verify_pairs = verify or jaccard_verify
 
     def candidates(right: DataFrame, left: DataFrame, a: str, b: str) -> DataFrame:
@@ -184,11 +294,7 @@ def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = Non
     def lists(p: DataFrame, name: str, n: str) -> DataFrame:
         return p.select("tok", F.col("id").alias(name), F.col("n").alias(n))
 
-    docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
-    pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, t))
-    # designs alone on all their lists have no neighbour
-    shared = pre.groupBy("tok").agg(F.count(F.lit(1)).alias("p")).where("p > 1")
-    pre = _checkpoint(pre.join(shared.select("tok"), "tok", "left_semi"))
+    docs, pre = _checkpoint(docs), _checkpoint(pre)
     undecided, new_kept, kept, dups = pre, None, [], []
     while not undecided.isEmpty():
         if new_kept is not None:
@@ -214,8 +320,6 @@ def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = Non
         return out.distinct()
 
     dup = _checkpoint(ids(dups))
-    state = _checkpoint(docs.select(F.col("id").alias("node")).join(dup.select(F.col("id").alias("node"), F.lit(DUP).alias("state")), "node", "left")
-                        .select("node", F.coalesce("state", F.lit(KEPT)).alias("state")))
     # the original is the smallest kept neighbour overall, which a later round may have kept
     kv = candidates(lists(pre.join(dup, "id", "left_semi"), "v", "nb"),
                     lists(pre.join(ids(kept), "id", "left_semi"), "k", "na"), "k", "v")
@@ -223,4 +327,4 @@ def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = Non
              .agg(F.min(F.struct("k", "sim")).alias("b"))
              .select(F.col("v").alias("duplicate_index"), F.col("b.k").alias("original_index"),
                      F.col("b.sim").alias("similarity")))
-    return state, _checkpoint(links)
+    return _checkpoint(links)

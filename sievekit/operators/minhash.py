@@ -2,20 +2,23 @@
 
 Hash family (portable, so the DuckDB oracle reproduces it bit for bit):
 ``h(s) = int(md5(s)[:8], 16) mod P`` and ``perm_i(h) = (a_i*h + b_i) mod P``
-with P = 2^31-1; all products fit in a signed 64-bit integer. The signature is
-computed row-locally with higher-order functions: no shuffle, no Python worker.
+with P = 2^31-1; all products fit in a signed 64-bit integer. Tokens, shingles
+and hashes are JVM expressions; the minima over all permutations are an Arrow
+kernel on the hash column. No step shuffles.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shingles import MERSENNE_P, let, portable_hash31
+from ..functions.shingles import MERSENNE_P, portable_hash31
 
 # FIXED VALUE: seed of the permutation parameters
 PERM_SEED = 42
@@ -34,22 +37,42 @@ def shingle_hashes31(shingles: Column) -> Column:
     return F.transform(shingles, portable_hash31)
 
 
-def signature(hashes: Column, num_perm: int = 128, seed: int = PERM_SEED) -> Column:
-    """``array<bigint>`` of num_perm minima; null for an empty set.
+#: Hashes that the kernel takes at once, so that its work arrays (one row a permutation) stay in the processor's cache.
+KERNEL_HASHES = 2048
 
-    The hash array is bound once (``let``): an expression referenced inside the
-    per-permutation lambda would otherwise be re-evaluated num_perm times.
+
+def signature_values(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima of (a * h + b) mod P over a set's hashes, for all permutations."""
+    least = np.full(len(a), MERSENNE_P, np.uint64)
+    p, bits = np.uint64(MERSENNE_P), np.uint64(31)
+    for i in range(0, len(hashes), KERNEL_HASHES):
+        x = a[:, None] * hashes[None, i:i + KERNEL_HASHES].astype(np.uint64) + b[:, None]
+        x = (x & p) + (x >> bits)  # modulo 2^31 - 1: the high bits are added to the low ones, twice
+        x = (x & p) + (x >> bits)
+        x[x == p] = 0
+        np.minimum(least, x.min(1), out=least)
+    return least
+
+
+def signatures(sets: DataFrame, num_perm: int = 128, seed: int = PERM_SEED) -> DataFrame:
+    """``sets(id, hashes)`` -> (id, sig array<bigint>): num_perm minima; null for an empty (or null) set.
+
+    The hashes are computed by the JVM in the same pass, whatever expression they are; batches of them go through an
+    Arrow kernel, no rows.
     """
-    a, b = permutations(num_perm, seed)
-    params = F.arrays_zip(F.array(*[F.lit(x) for x in a]).alias("a"),
-                          F.array(*[F.lit(x) for x in b]).alias("b"))
-    p = F.lit(MERSENNE_P)
-
-    def sig(hs: Column) -> Column:
-        mins = F.transform(params, lambda ab: F.aggregate(
-            hs, F.lit(MERSENNE_P).cast("bigint"), lambda acc, h: F.least(acc, (ab["a"] * h + ab["b"]) % p)))
-        return F.when(F.size(hs) > 0, mins)
-    return let(hashes, sig)
+    params = [np.array(x, np.uint64) for x in permutations(num_perm, seed)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = b.column(1)
+            ends = np.asarray(hashes.offsets)
+            flat, n = np.asarray(hashes.values), np.where(np.asarray(hashes.is_valid()), np.diff(ends), 0)
+            rows = [signature_values(flat[s:s + k], *params) for s, k in zip(ends[:-1].tolist(), n.tolist()) if k]
+            starts = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, num_perm, 0))]), pa.int32(), mask=np.append(n == 0, False))
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(starts, values)], names=["id", "sig"])
+
+    return sets.select("id", "hashes").mapInArrow(run, "id long, sig array<bigint>")
 
 
 def matches(sig_a: Column, sig_b: Column) -> Column:

@@ -7,8 +7,10 @@ length ``|x| - ceil(t|x|) + 1``. Frequent tokens (boilerplate) sort last and
 so rarely enter a prefix, which keeps hot posting lists out of the join.
 
 Physical plan: one partial count of tokens for the bounded list of heavy ones
--> row-local prefixes -> prefix self-join on token (AQE splits skewed tokens)
--> distinct pairs -> verify on the full sorted sets.
+-> row-local prefixes with positions -> prefix self-join on token (AQE splits
+skewed tokens) -> pairs, each with its common prefix tokens and the last of
+their positions, which bound the overlap -> verify those that can reach the
+threshold on the full sorted sets.
 """
 
 from __future__ import annotations
@@ -63,12 +65,7 @@ def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
             .withColumn("n", F.size("set")).where(F.col("n") > 0))
     if prefix is None:
         prefix = prefix_table(docs, t)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, F.col("a.tok") == F.col("b.tok"))
-            .where(F.col("a.id") < F.col("b.id"))
-            .where(F.least("a.n", "b.n") >= min_overlap_size(F.greatest("a.n", "b.n"), t))
-            .select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
-            .distinct())
+    cand = candidate_pairs(prefix, t)
     left = docs.select(F.col("id").alias("i"), F.col("set").alias("set_i"), F.col("n").alias("n_i"))
     right = docs.select(F.col("id").alias("j"), F.col("set").alias("set_j"), F.col("n").alias("n_j"))
     ver = (cand.join(left, "i").join(right, "j")
@@ -78,6 +75,24 @@ def jaccard_self_join(sets: DataFrame, threshold: float, id_col: str = "id",
     return ver.select("i", "j", "overlap", "jaccard")
 
 
+def candidate_pairs(prefix: DataFrame, t: float) -> DataFrame:
+    """Pairs (i, j) of ``prefix(id, n, pos, tok)`` that share a prefix token, have sizes and can have the overlap for Jaccard >= t.
+
+    After its last common prefix token a pair can share the rest of the smaller remainder at most, so its common
+    tokens plus that remainder bound the overlap. The bound comes from the grouping that makes pairs distinct.
+    """
+    a, b = prefix.alias("a"), prefix.alias("b")
+    met = (a.join(b, F.col("a.tok") == F.col("b.tok"))
+           .where(F.col("a.id") < F.col("b.id"))
+           .where(F.least("a.n", "b.n") >= min_overlap_size(F.greatest("a.n", "b.n"), t))
+           .select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.n").alias("ni"), F.col("b.n").alias("nj"),
+                   F.col("a.pos").alias("pi"), F.col("b.pos").alias("pj")))
+    pairs = met.groupBy("i", "j").agg(F.count(F.lit(1)).alias("common"), F.max("pi").alias("pi"), F.max("pj").alias("pj"),
+                                      F.max("ni").alias("ni"), F.max("nj").alias("nj"))
+    most = F.col("common") + F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj")) - 1
+    return pairs.where(most >= F.ceil(F.lit(t / (1 + t)) * (F.col("ni") + F.col("nj")) - EPS)).select("i", "j")
+
+
 def heavy_tokens(docs: DataFrame, n: int = HEAVY_TOKENS) -> list[int]:
     """The ``n`` tokens of most sets (held by at least ``HEAVY_SETS``): a bounded list, most frequent first."""
     df = docs.select(F.explode("set").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
@@ -85,7 +100,7 @@ def heavy_tokens(docs: DataFrame, n: int = HEAVY_TOKENS) -> list[int]:
 
 
 def prefix_table(docs: DataFrame, t: float) -> DataFrame:
-    """(id, n, tok) prefix rows of ``docs(id, set, n)``, found in each row by itself.
+    """(id, n, pos, tok) prefix rows of ``docs(id, set, n)``, found in each row by itself; ``pos`` counts from 0.
 
     Any global order of the tokens is lossless. Here the bounded list of heavy
     tokens comes last and all others go by their (hashed) value, so only one
@@ -94,8 +109,8 @@ def prefix_table(docs: DataFrame, t: float) -> DataFrame:
     heavy = heavy_tokens(docs)
     late = (lambda x: x.isin(heavy)) if heavy else (lambda x: F.lit(False))
     ordered = F.array_sort(F.transform("set", lambda x: F.struct(late(x).alias("late"), x.alias("tok"))))
-    return docs.select("id", "n", F.explode(F.slice(ordered, 1, prefix_length(F.col("n"), t).cast("int"))).alias("p")) \
-        .select("id", "n", F.col("p.tok").alias("tok"))
+    return docs.select("id", "n", F.posexplode(F.slice(ordered, 1, prefix_length(F.col("n"), t).cast("int"))).alias("pos", "p")) \
+        .select("id", "n", "pos", F.col("p.tok").alias("tok"))
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, t: float, a: str = "a", b: str = "b") -> DataFrame:

@@ -640,3 +640,71 @@ def selection_ratio(spark, sf):
 def picks_per_cluster(spark, sf):
     _, picks = _select(spark, sf, True, 30, 34)
     return picks.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_picks"))
+
+
+# ---- reports, mode switch, fallback, array files (O7, O8, O39, O50, O1, O37) ----
+
+def _lines(spark, text: str) -> DataFrame:
+    """A report as rows of its lines: a page or so, made from bounded results."""
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
+
+
+@query("dedup_summary")
+def dedup_summary_q(spark, sf):
+    from .report import dedup_summary
+    return _lines(spark, dedup_summary(_exact(spark, sf), DEDUP_THRESHOLD))
+
+
+@query("selection_summary")
+def selection_summary(spark, sf):
+    from .report import clustering_summary
+    from .select_stage import run_selection
+    kept = _kept_code(spark, sf)
+    return _lines(spark, clustering_summary(run_selection(kept, 80, 120), kept, kept.count(), 80, 120))
+
+
+@query("dedup_modes")
+def dedup_modes(spark, sf):
+    """The mode switch as a user calls it, both ways."""
+    docs = TB.documents_corpus(spark, sf)
+    out = None
+    for lsh in (False, True):
+        res = DS.deduplicate(docs, DEDUP_THRESHOLD, enable_lsh=lsh, lsh_threshold=LSH_THRESHOLD, k=K_SHINGLE)
+        rows = res.kept.select(F.lit(res.mode).alias("mode"), "design_idx")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("features_fallback")
+def features_fallback(spark, sf):
+    """Combined features of a corpus of which no term is in two designs: the structural ones alone."""
+    from .features import design_features
+    word = F.concat(F.lit("w"), F.translate(F.col("design_idx").cast("string"), "0123456789", "abcdefghij"))
+    file = F.struct(F.lit("one.c").alias("file_name"), word.alias("file_content"))
+    corpus = TB.code_corpus(spark, sf).select("design_idx", "algo_name", "source_name", F.array(file).alias("files"))
+    fs = design_features(corpus, "combined")
+    return fs.long.select("design_idx", F.lit(fs.mode).alias("mode"), F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("designs_array_roundtrip")
+def designs_array_roundtrip(spark, sf):
+    """The code corpus as JSON array files, some with an element whose files are no list and one that is no JSON, read back.
+
+    ``kind`` tells designs from rejected elements (by name, as their numbers follow the files) and rejected files.
+    """
+    from ..sources import io as IO
+    code = TB.code_corpus(spark, sf)
+    path = _written(spark, "arrays")
+    element = F.to_json(F.struct("algo_name", "source_name", F.col("files").alias("source_code")))
+    bad = F.to_json(F.struct("algo_name", "source_name", F.lit("no list").alias("source_code")))
+    rows = code.select((F.col("design_idx") % 8).alias("file"), F.when(F.col("design_idx") % 10 == 0, bad).otherwise(element).alias("e"), "design_idx")
+    arrays = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("design_idx", "e"))).alias("e")).select(
+        F.concat(F.lit("["), F.array_join("e.e", ",\n"), F.lit("]")).alias("value"))
+    broken = arrays.limit(1).select(F.lit("[{\"algo_name\": \"cut off").alias("value"))
+    for k, df in enumerate((arrays.repartition(8, "value"), broken)):
+        df.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    designs, rejects = IO.read_designs_and_rejects(spark, path)
+    text = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["file_name"], f["file_content"])), "|")
+    return designs.select(F.lit("design").alias("kind"), "algo_name", "source_name", F.md5(text).alias("files_md5")).unionByName(
+        rejects.select(F.lit("reject").alias("kind"), F.col("reason").alias("algo_name"), F.lit(None).cast("string").alias("source_name"),
+                       F.lit(None).cast("string").alias("files_md5")))

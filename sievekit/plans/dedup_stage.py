@@ -59,11 +59,10 @@ def signature_table(corpus: DataFrame, k: int = 5, num_perm: int = 128,
                     hls_aware: bool = True) -> DataFrame:
     """(id, sig array<bigint>) written once; ``sig`` is null for designs without shingles.
 
-    Tokens, shingles and signature are one row-local JVM expression.
+    Tokens, shingles and hashes are one row-local JVM expression, signatures an Arrow kernel on them: one pass.
     """
-    return D._checkpoint(shingle_sets(corpus, k, hls_aware).select(
-        F.col("design_idx").alias("id"),
-        MH.signature(MH.shingle_hashes31(F.col("shingles")), num_perm).alias("sig")))
+    return D._checkpoint(MH.signatures(shingle_sets(corpus, k, hls_aware).select(
+        F.col("design_idx").alias("id"), MH.shingle_hashes31(F.col("shingles")).alias("hashes")), num_perm))
 
 
 def _resolve(corpus: DataFrame, valid: DataFrame, members: DataFrame, rep_links: DataFrame) -> DedupResult:
@@ -76,7 +75,7 @@ def _resolve(corpus: DataFrame, valid: DataFrame, members: DataFrame, rep_links:
 def exact_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5, hls_aware: bool = True) -> DedupResult:
     """Exact mode with exact Jaccard of shingle sets as the similarity.
 
-    Equal sets are collapsed, the rest is settled in first-wins rounds from
+    Equal sets are collapsed, the rest is walked component by component from
     prefix posting lists; no table of similar pairs is made.
     """
     valid = hashed_shingle_sets(corpus, k, hls_aware).where(F.size("set") > 0)
@@ -90,14 +89,14 @@ def minhash_dedup(corpus: DataFrame, threshold: float = 0.85, k: int = 5,
     """Exact mode with the MinHash estimate (equal positions / num_perm) as the similarity.
 
     Candidates share one of the pigeonhole bands (lossless for the estimate);
-    the rounds are those of ``exact_dedup`` with bands as posting lists.
+    the walk is that of ``exact_dedup`` with bands as posting lists.
     """
     sigs = signature_table(corpus, k, num_perm, hls_aware).where(F.col("sig").isNotNull())
     reps, members = collapse_equal_sets(sigs, set_col="sig")
     reps = D._checkpoint(reps)
     postings = MH.band_postings(reps, MH.pigeonhole_bands(threshold, num_perm), sig_col="set")
     _, rep_links = D.first_wins(reps, threshold, prefix=postings,
-                                verify=MH.signature_verifier(num_perm), use_length=False)
+                                verify=MH.signature_verifier(num_perm), use_length=False, similarity=D.equal_places)
     return _resolve(corpus, sigs.select("id"), members, rep_links)
 
 

@@ -523,3 +523,50 @@ SELECT sel.id AS design_idx, sel.cluster, sel.pick_rank::INTEGER AS pick_rank, d
 
 SQL["pca_points"] = "WITH RECURSIVE " + _selection_sql(False, 80, 120) + "," + OC.pca("pts") + """
 SELECT p.id AS design_idx, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2, p.cluster, p.id IN (SELECT id FROM sel) AS selected FROM pcs JOIN pts p USING (id)"""
+
+# ---- reports, mode switch, fallback, array files -------------------------------------
+SQL["dedup_modes"] = f"""SELECT 'Exact' AS mode, design_idx FROM ({SQL['dedup_minhash_kept']})
+UNION ALL SELECT 'LSH' AS mode, design_idx FROM ({SQL['dedup_lsh_kept']})"""
+
+
+def _report(lines: list[str]) -> str:
+    """Rows (line, text) of SELECTs of (place, part, text), in order."""
+    return "SELECT (row_number() OVER (ORDER BY place, part) - 1)::INTEGER AS line, text FROM (" + "\nUNION ALL ".join(
+        x if x.startswith("SELECT") else f"SELECT {n} AS place, 0::BIGINT AS part, {x} AS text" for n, x in enumerate(lines)) + ")"
+
+
+_N_KEPT, _N_ALL, _N_DUP = "(SELECT count(*) FROM kept)", "(SELECT count(*) FROM designs)", "(SELECT count(*) FROM links)"
+SQL["dedup_summary"] = O.with_recursive(_EXACT_DOCS + O.first_wins_ctes()) + ",\nlinks10 AS (SELECT *, row_number() OVER (ORDER BY original_index, duplicate_index) AS part FROM links)\n" + _report([
+    "'# Near-duplicate removal'", "''", f"'- similarity threshold: {DEDUP_THRESHOLD}'", "'- mode: Exact'",
+    f"'- input designs: ' || {_N_ALL}", "'- valid designs: ' || (SELECT count(*) FROM sets)", f"'- kept: ' || {_N_KEPT}", f"'- duplicates: ' || {_N_DUP}",
+    f"'- removal rate: ' || printf('%.1f', round((1 - {_N_KEPT} / {_N_ALL}) * 100, 6)) || '%'", "''",
+    f"SELECT 10 AS place, 0::BIGINT AS part, CASE WHEN {_N_DUP} = 0 THEN 'No duplicates found.' ELSE '| duplicate | original | similarity |' END AS text",
+    f"SELECT 11, 0, '|---|---|---|' WHERE {_N_DUP} > 0",
+    "SELECT 12, part, printf('| %d | %d | %.3f |', duplicate_index, original_index, similarity) FROM links10 WHERE part <= 10",
+    f"SELECT 13, 0, '' WHERE {_N_DUP} > 10", f"SELECT 14, 0, printf('(first 10 of %d duplicates)', {_N_DUP}) WHERE {_N_DUP} > 10"])
+
+_N_SEL, _N_VEC, _COV, _TOT = "(SELECT count(*) FROM sel)", "(SELECT count(*) FROM vec)", "(SELECT count(DISTINCT cluster) FROM sel)", "(SELECT count(DISTINCT cluster) FROM pts)"
+SQL["selection_summary"] = _SWEEP + ",\n" + _selection_sql(False, 80, 120, head=_CODE_HEAD) + """,
+exts AS (SELECT lower(string_split(file_name, '.')[-1]) AS ext, count(*) AS n, min((design_idx, file_pos)) AS seen
+         FROM kfiles WHERE contains(file_name, '.') AND design_idx IN (SELECT id FROM sel) GROUP BY 1)
+""" + _report([
+    "'# Clustering-based selection'", "''", "'- target range: 80-120'", f"'- structural dimensions: {len(_FEATS)}'",
+    f"'- input designs: ' || {_N_VEC}", f"'- selected designs: ' || {_N_SEL}", f"printf('- selection ratio: %.2f%%', {_N_SEL} / {_N_VEC} * 100)",
+    f"printf('- reduction: %.1f%%', 100 - {_N_SEL} / {_N_VEC} * 100)", "'- optimal k: ' || (SELECT k FROM chosen)",
+    "printf('- silhouette: %.4f', (SELECT silhouette FROM chosen))",
+    f"printf('- clusters covered: %d of %d (%.2f%%)', {_COV}, {_TOT}, round({_COV} / {_TOT}, 6) * 100)",
+    f"'- target met: ' || CASE WHEN {_N_SEL} BETWEEN 80 AND 120 THEN 'True' ELSE 'False' END", "''", "'## Picks per cluster'",
+    "SELECT 14 AS place, cluster::BIGINT AS part, printf('cluster %d: %d', cluster, count(*)) AS text FROM sel GROUP BY cluster", "''", "'## File types'",
+    "SELECT 17, row_number() OVER (ORDER BY n DESC, seen), ext || ': ' || n FROM exts QUALIFY row_number() OVER (ORDER BY n DESC, seen) <= 5"])
+
+_ONE_WORD = ("SELECT p_partkey AS design_idx, 1 AS file_pos, 'one.c' AS file_name, "
+             "'w' || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS file_content FROM part")
+SQL["features_fallback"] = _RAW.replace(f"files AS ({O.CODE_FILES})", f"files AS ({_ONE_WORD})") + f"""
+SELECT design_idx, 'structural_only' AS mode, d.i::INTEGER AS dim, round(d.v, 6) AS value
+FROM rs, LATERAL (SELECT unnest(range(0, {len(_FEATS)})) AS i, unnest([{', '.join('rs.' + n for n in _FEATS)}]) AS v) d WHERE d.v <> 0"""
+
+SQL["designs_array_roundtrip"] = f"""WITH {O.corpus_ctes('code')}
+SELECT 'design' AS kind, algo_name, source_name, md5(coalesce(string_agg(concat_ws(':', file_name, file_content), '|' ORDER BY file_pos), '')) AS files_md5
+FROM designs LEFT JOIN files USING (design_idx) WHERE design_idx % 10 <> 0 GROUP BY design_idx, algo_name, source_name
+UNION ALL SELECT 'reject', 'source_code is no list', NULL, NULL FROM designs WHERE design_idx % 10 = 0
+UNION ALL SELECT 'reject', 'the file is no JSON', NULL, NULL"""

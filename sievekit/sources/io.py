@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from ..operators.curate import SOURCE_KEYS
 from ..operators.dedup import _checkpoint
 
+#: Column of the JSON reader that tells of text that is no JSON.
+CORRUPT = "_corrupt"
 FILE = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("file_content", T.StringType())])
 DESIGN_SCHEMA = T.StructType([
     T.StructField("design_idx", T.LongType()),
@@ -48,31 +50,37 @@ def read_designs_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame,
     Each element is a row of its own, so a file may be larger than any value
     may be. ``design_idx`` numbers all elements in the order of paths and
     positions. Keys other than the known ones are carried through as variants
-    (those named like a column made here get the prefix ``input_``). Elements
-    whose ``source_code`` is no list are rejects (``design_idx``, ``reason``);
-    text that is no JSON ends the read.
+    (those named like a column made here get the prefix ``input_``). Rejects
+    (``design_idx``, ``reason``, ``path``) end no run: elements whose
+    ``source_code`` is no list, and files that are no JSON (without a
+    ``design_idx``; such a file gives no designs and takes no numbers).
     """
     load_guard(spark.read.text(path), path)
-    found = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(path).columns
-    extra = [c for c in found if c not in ("algo_name", "source_name", "source_code")]
+    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    found = reader.option("primitivesAsString", True).json(path).columns
+    extra = [c for c in found if c not in ("algo_name", "source_name", "source_code", CORRUPT)]
     schema = T.StructType([T.StructField("algo_name", T.StringType()), T.StructField("source_name", T.StringType()),
-                           T.StructField("source_code", T.VariantType()), *(T.StructField(c, T.VariantType()) for c in extra)])
+                           T.StructField("source_code", T.VariantType()), *(T.StructField(c, T.VariantType()) for c in extra),
+                           T.StructField(CORRUPT, T.StringType())])
     renamed = {c: f"input_{c}" for c in extra if c in ("design_idx", "files")}
-    raw = (spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
+    raw = (reader.schema(schema).json(path).withColumn(CORRUPT, F.col(CORRUPT).isNotNull())
            .select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_row"))
            .withColumnsRenamed(renamed))
     # one task reads a file from its start to its end; written, as such a file cannot be split again
     rows = load_guard(_checkpoint(raw), path)
-    files = rows.groupBy("_path").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    broken = rows.where(CORRUPT).select("_path").distinct()
+    whole = rows.join(broken, "_path", "left_anti")
+    files = whole.groupBy("_path").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
     files = files.select("_path", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = rows.join(files, "_path").withColumn("design_idx", F.col("_row") - F.col("_first") + F.col("_before"))
+    numbered = whole.join(files, "_path").withColumn("design_idx", F.col("_row") - F.col("_first") + F.col("_before"))
     parts = F.expr("try_variant_get(source_code, '$', 'array<variant>')")
     bad = F.col("source_code").isNotNull() & ~F.expr("is_variant_null(source_code)") & parts.isNull()
     designs = numbered.where(~bad).select(
         "design_idx", "algo_name", "source_name", F.transform(parts, _file_struct).alias("files"),
         *(renamed.get(c, c) for c in extra))
-    rejects = numbered.where(bad).select("design_idx", F.lit("source_code is no list").alias("reason"))
+    rejects = numbered.where(bad).select("design_idx", F.lit("source_code is no list").alias("reason"), F.col("_path").alias("path")).unionByName(
+        broken.select(F.lit(None).cast("long").alias("design_idx"), F.lit("the file is no JSON").alias("reason"), F.col("_path").alias("path")))
     return designs, rejects
 
 

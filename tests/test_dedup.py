@@ -134,3 +134,24 @@ def test_candidates_stay_below_pairs(spark):
     state, _ = D.first_wins(docs.select("id", "set"), 0.8)
     assert state.where(F.col("state") == D.KEPT).count() == 400 - len(walked(
         [(i, set(s)) for i, s, _ in rows], lambda a, b: len(a & b) / len(a | b) >= 0.8))
+
+
+def test_walk_of_components_equals_rounds(spark):
+    """Every component in rounds, every one in a task, and a mix give the same links."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        base = list(range(100 * (i % 5), 100 * (i % 5) + 20 + 8 * (i % 3)))
+        rows.append((i, sorted({v if rnd.random() > 0.1 else 1000 + rnd.randint(0, 400) for v in base})))
+    docs = spark.createDataFrame(rows, "id long, set array<bigint>")
+    want = walked([(i, set(s)) for i, s in rows], lambda a, b: len(a & b) / len(a | b) >= 0.6)
+    for cells in (0, 300, 10 ** 9):
+        state, links = D.first_wins(docs, 0.6, giant_cells=cells)
+        assert {r.duplicate_index: r.original_index for r in links.collect()} == want
+        assert {r.node for r in state.where(F.col("state") == D.DUP).collect()} == set(want)
+
+
+def test_components(spark):
+    edges = [(9, 8), (8, 7), (7, 1), (20, 21), (30, 30)] + [(100 + i, 101 + i) for i in range(40)]
+    got = {r.node: r.label for r in D.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {9: 1, 8: 1, 7: 1, 1: 1, 20: 20, 21: 20} | {100 + i: 100 for i in range(41)}

@@ -27,12 +27,15 @@ def test_pigeonhole_bands_cover_and_are_lossless():
 def test_signature_estimate_close_to_jaccard(spark):
     a = [f"s{i}" for i in range(400)]
     b = a[:300] + [f"x{i}" for i in range(100)]
-    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
-    h = df.select(MH.shingle_hashes31(F.col("a")).alias("ha"), MH.shingle_hashes31(F.col("b")).alias("hb"))
-    s = h.select(MH.signature(F.col("ha")).alias("sa"), MH.signature(F.col("hb")).alias("sb"))
-    row = s.select("sa", "sb", MH.matches(F.col("sa"), F.col("sb")).alias("m")).first()
+    h = spark.createDataFrame([(0, a), (1, b), (2, [])], "id long, s array<string>").select("id", MH.shingle_hashes31(F.col("s")).alias("hashes"))
+    sig = {r.id: r.sig for r in MH.signatures(h).collect()}
+    hashes = {r.id: r.hashes for r in h.collect()}
+    pa_, pb_ = MH.permutations()
+    assert all(sig[i] == [min((x * v + y) % MH.MERSENNE_P for v in hashes[i]) for x, y in zip(pa_, pb_)] for i in (0, 1))
+    assert sig[2] is None
+    row = spark.createDataFrame([(sig[0], sig[1])], "sa array<bigint>, sb array<bigint>").select(MH.matches(F.col("sa"), F.col("sb")).alias("m")).first()
     m = row["m"]
-    assert m == sum(p == q for p, q in zip(row["sa"], row["sb"]))
+    assert m == sum(p == q for p, q in zip(sig[0], sig[1]))
     j = 300 / 500
     sigma = math.sqrt(j * (1 - j) / 128)
     assert abs(m / 128 - j) < 4 * sigma
