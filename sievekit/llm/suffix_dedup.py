@@ -513,8 +513,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
               .repartition(n, "h", "sub").sortWithinPartitions("h", "sub", F.col("context").isNotNull(), "d1", "d2")
               .mapInArrow(_split_spans(length), f"h long, d1 long, d2 long, spans {_SPAN}"))
     # a context's spans may come from its own shard and from the merge
-    spans = (judged.where("spans is not null").select("h", "d1", "d2", "spans").unionByName(across)
-             .groupBy("h", "d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    # written, so that the join with the places of a hot context is not bound to this grouping and can be split
+    spans = scratch.write(judged.where("spans is not null").select("h", "d1", "d2", "spans").unionByName(across)
+                          .groupBy("h", "d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     cuts = (found.where("kind = 1").select("k1", "k2", "lo", "h", "d1", "d2").join(spans, ["h", "d1", "d2"])
             .select("k1", "k2", "lo", F.explode("spans").alias("x"))
             .select("k1", "k2", (F.col("lo") + F.col("x.s")).cast("long").alias("s"),
