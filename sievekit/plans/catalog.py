@@ -708,3 +708,21 @@ def designs_array_roundtrip(spark, sf):
     return designs.select(F.lit("design").alias("kind"), "algo_name", "source_name", F.md5(text).alias("files_md5")).unionByName(
         rejects.select(F.lit("reject").alias("kind"), F.col("reason").alias("algo_name"), F.lit(None).cast("string").alias("source_name"),
                        F.lit(None).cast("string").alias("files_md5")))
+
+
+@query("kept_in_order")
+def kept_in_order(spark, sf):
+    """The kept code designs written in input order over many files and read back with their places."""
+    from ..sources import io as IO
+    path = _written(spark, "ordered")
+    IO.write_in_order(_kept_code(spark, sf).drop("files"), path, "design_idx", files=7)
+    return IO.read_in_order(spark, path).select("position", "design_idx", "algo_name", "source_name")
+
+
+@query("picks_in_order")
+def picks_in_order(spark, sf):
+    """The representatives written by cluster and pick order and read back with their places."""
+    from ..sources import io as IO
+    path = _written(spark, "picks")
+    IO.write_in_order(_select(spark, sf, True, 30, 34)[1], path, "cluster", "pick_rank", files=4)
+    return IO.read_in_order(spark, path).select("position", "id", "cluster", "pick_rank")

@@ -4,7 +4,8 @@
   one JSON array per file, whose elements are numbered over all files.
 * Bare-string files (``source_code: array<string>``) are normalised to the
   struct form with a null file name.
-* Outputs are partitioned Parquet / JSON Lines / CSV written by executors.
+* Outputs are partitioned Parquet / JSON Lines / CSV written by executors, or
+  Parquet files in one order with a manifest (``write_in_order``).
 """
 
 from __future__ import annotations
@@ -126,6 +127,32 @@ def write_designs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     out.sortWithinPartitions("design_idx").write.mode("overwrite").format(fmt).save(path)
 
 
+MANIFEST = "manifest"
+
+
+def write_in_order(df: DataFrame, path: str, *order: str, files: int | None = None) -> None:
+    """Rows in one order over all files: ``path/rows`` (Parquet, files numbered in that order) and ``path/manifest``.
+
+    Rows are range-partitioned by ``order`` (which should be unique) and sorted within a file, so no task sorts the
+    whole; the manifest has a row a file: name, place of its first row, rows.
+    """
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    where = os.path.join(path, "rows")
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(where)
+    held = df.sparkSession.read.parquet(where).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    before = F.sum("n_rows").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    (held.select("file", F.coalesce(before, F.lit(0)).alias("first"), "n_rows")
+     .coalesce(1).write.mode("overwrite").json(os.path.join(path, MANIFEST)))
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``write_in_order`` with ``position``, their place in the order (from 0): file by file from the manifest."""
+    manifest = spark.read.schema("file string, first long, n_rows long").json(os.path.join(path, MANIFEST))
+    rows = spark.read.parquet(os.path.join(path, "rows"))
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_nth"))
+    return placed.join(manifest, placed["_file"] == manifest["file"]).select(*rows.columns, (F.col("first") + F.col("_nth")).alias("position"))
+
+
 def write_name_source_csv(df: DataFrame, path: str) -> None:
     """Header + one (algo_name, source_name) row per design, 'Unknown' for missing values."""
     (df.select(F.coalesce("algo_name", F.lit("Unknown")).alias("algo_name"),

@@ -88,3 +88,26 @@ def test_keyed_json_and_key_fallback(spark, tmp_path):
     assert {r.key for r in CU.keyed_filter(keyed, sel).collect()} == {"a", "b", "c"}
     other = spark.createDataFrame([(0, "a", None, "s1"), (1, "z", None, "s1"), (2, None, "a", "s1")], "id int, kernel_name string, design_name string, benchmark string")
     assert {r.id for r in CU.keep_listed(other, sel).collect()} == {0, 2}
+
+
+def test_files_in_order(spark, tmp_path):
+    rows = [((i * 37) % 500, f"t{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    for files in (1, 6, 700):
+        where = str(tmp_path / f"o{files}")
+        IO.write_in_order(df, where, "id", files=files)
+        got = IO.read_in_order(spark, where).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(500)) == [r.id for r in got]
+    IO.write_in_order(df.limit(0), str(tmp_path / "none"), "id")
+    assert IO.read_in_order(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_broken_file_is_a_reject(spark, tmp_path):
+    body = " ".join(f"w{i}" for i in range(30))
+    (tmp_path / "a.json").write_text(json.dumps([{"algo_name": "a", "source_code": [body]}, {"algo_name": "b", "source_code": [body]}]))
+    (tmp_path / "b.json").write_text('[{"algo_name": "x", "source_code": ["')
+    (tmp_path / "c.json").write_text(json.dumps([{"algo_name": "c", "source_code": [body]}]))
+    designs, rejects = IO.read_designs_and_rejects(spark, str(tmp_path))
+    assert {(r.design_idx, r.algo_name) for r in designs.collect()} == {(0, "a"), (1, "b"), (2, "c")}
+    (bad,) = rejects.collect()
+    assert bad.design_idx is None and bad.reason == "the file is no JSON" and bad.path.endswith("b.json")
