@@ -229,6 +229,86 @@ def _walk_rows(threshold: float, similarity, use_length: bool):
     return run
 
 
+def candidate_components(docs: DataFrame, threshold: float, prefix: DataFrame | None, giant_cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs with sizes, shared postings, groups(id, label, giant)): the components of designs that share posting lists."""
+    from .simjoin import prefix_table
+    docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
+    pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, float(threshold)))
+    # designs alone on all their lists have no neighbour
+    lists = pre.groupBy("tok").agg(F.count(F.lit(1)).alias("p"), F.min("id").alias("first")).where("p > 1")
+    pre = _checkpoint(pre.join(lists.select("tok", "first"), "tok"))
+    groups = components(pre.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    cells = (docs.select(F.col("id").alias("node"), "n").join(groups, "node").groupBy("label").agg(F.sum("n").alias("cells")))
+    groups = _checkpoint(groups.join(cells, "label").select(F.col("node").alias("id"), "label", (F.col("cells") > giant_cells).alias("giant")))
+    return docs, pre, groups
+
+
+def by_component(docs: DataFrame, pre: DataFrame, groups: DataFrame) -> DataFrame:
+    """(label, id, set, toks) of the components that fit a task, a component's rows together and in index order."""
+    toks = (pre.select("id", "tok").join(groups.where("not giant"), "id").groupBy("id", "label").agg(F.collect_list("tok").alias("toks")))
+    return (docs.select("id", "set").join(toks, "id").select("label", "id", "set", "toks")
+            .repartition(F.col("label")).sortWithinPartitions("label", "id"))
+
+
+def _class_rows(threshold: float):
+    """Rows sorted by (component, id): each design's similar designs, counted, and the least design linked to it over any chain."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets, links, top, lists = None, [], [], [], [], {}
+
+        def root(i: int) -> int:
+            while top[i] != i:
+                top[i] = i = top[top[i]]
+            return i
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[root(i)] for i in range(len(ids))], pa.int64()),
+                                               pa.array(links, pa.int64())], names=["id", "class", "n_links"])
+
+        for b in batches:
+            n_sets, n_toks = b.column(2), b.column(3)
+            for k, (comp, ident) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if comp != group:
+                    yield found()
+                    group, ids, sets, links, top, lists = comp, [], [], [], [], {}
+                v, values, toks = len(ids), np.sort(np.array(n_sets[k].values)), n_toks[k].values.to_pylist()
+                near = {i for t in toks for i in lists.get(t, ())}
+                ids.append(ident)
+                sets.append(values)
+                links.append(0)
+                top.append(v)
+                for t in toks:
+                    lists.setdefault(t, []).append(v)
+                for i in near:
+                    small, large = sorted((len(values), len(sets[i])))
+                    if small >= threshold * large - 1e-9 and overlap_jaccard(sets[i], values) >= threshold:
+                        links[i] += 1
+                        links[v] += 1
+                        a, z = sorted((root(i), root(v)))
+                        top[z] = a
+        yield found()
+    return run
+
+
+def similar_classes(docs: DataFrame, threshold: float, giant_cells: int = GIANT_CELLS) -> DataFrame:
+    """(id, class, n_links) of every design of ``docs(id, set)``: its class is the least design that links of Jaccard >=
+    threshold lead to, ``n_links`` how many designs are that similar to it. No row a pair: m near copies are m rows.
+
+    Components of candidates are counted in a task each; of giants the pairs are joined and counted over the cluster.
+    """
+    from .simjoin import jaccard_self_join
+    docs, pre, groups = candidate_components(docs, threshold, None, giant_cells)
+    out = by_component(docs, pre, groups).mapInArrow(_class_rows(float(threshold)), "id long, class long, n_links long")
+    giants = groups.where("giant").select("id")
+    if not giants.isEmpty():
+        few = docs.join(giants, "id", "left_semi")
+        pairs = _checkpoint(jaccard_self_join(few, threshold, prefix=pre.drop("first").join(giants, "id", "left_semi")).select("i", "j"))
+        links = pairs.select(F.explode(F.array("i", "j")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        classes = components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("class"))
+        out = out.unionByName(classes.join(links, "id"))
+    alone = docs.select("id").join(out, "id", "left")
+    return alone.select("id", F.coalesce("class", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = None, verify=None,
                use_length: bool = True, similarity=overlap_jaccard, giant_cells: int = GIANT_CELLS):
     """First-wins resolution of the similarity graph of ``docs(id, set)`` without an edge table.
@@ -244,22 +324,8 @@ def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = Non
     prefixes of ``docs``); ``similarity(a, b)`` compares two sets in a task, ``verify(pairs, docs, t, a, b)`` keeps
     the similar pairs of a table; ``use_length`` applies the Jaccard length filter.
     """
-    from .simjoin import prefix_table
-    docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
-    pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, float(threshold)))
-    # designs alone on all their lists have no neighbour
-    lists = pre.groupBy("tok").agg(F.count(F.lit(1)).alias("p"), F.min("id").alias("first")).where("p > 1")
-    pre = _checkpoint(pre.join(lists.select("tok", "first"), "tok"))
-    groups = components(pre.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    cells = (docs.select(F.col("id").alias("node"), "n").join(groups, "node").groupBy("label")
-             .agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("designs")))
-    groups = _checkpoint(groups.join(cells, "label").select(F.col("node").alias("id"), "label", (F.col("cells") > giant_cells).alias("giant")))
-    toks = (pre.select("id", "tok").join(groups.where("not giant"), "id").groupBy("id", "label")
-            .agg(F.collect_list("tok").alias("toks")))
-    walked = (docs.select("id", "set").join(toks, "id").select("label", "id", "set", "toks")
-              .repartition(F.col("label")).sortWithinPartitions("label", "id")
-              .mapInArrow(_walk_rows(float(threshold), similarity, use_length), LINKS))
-    links = [_checkpoint(walked)]
+    docs, pre, groups = candidate_components(docs, threshold, prefix, giant_cells)
+    links = [_checkpoint(by_component(docs, pre, groups).mapInArrow(_walk_rows(float(threshold), similarity, use_length), LINKS))]
     giants = groups.where("giant").select("id")
     if not giants.isEmpty():
         links.append(_first_wins_rounds(docs.join(giants, "id", "left_semi"), pre.drop("first").join(giants, "id", "left_semi"),

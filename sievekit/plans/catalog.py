@@ -726,3 +726,13 @@ def picks_in_order(spark, sf):
     path = _written(spark, "picks")
     IO.write_in_order(_select(spark, sf, True, 30, 34)[1], path, "cluster", "pick_rank", files=4)
     return IO.read_in_order(spark, path).select("position", "id", "cluster", "pick_rank")
+
+
+@query("similar_classes")
+def similar_classes_q(spark, sf):
+    """Similar documents as class rows with exact numbers of links, in place of pairs."""
+    from ..operators.dedup import similar_classes
+    from ..operators.simjoin import collapse_equal_sets
+    reps, members = collapse_equal_sets(DS.hashed_shingle_sets(TB.documents_corpus(spark, sf), K_SHINGLE).where(F.size("set") > 0))
+    found = similar_classes(reps, DEDUP_THRESHOLD).withColumnRenamed("id", "rep")
+    return members.join(found, "rep").select(F.col("id").alias("design_idx"), "class", "n_links")

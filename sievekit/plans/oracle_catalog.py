@@ -574,3 +574,10 @@ SQL["kept_in_order"] = O.with_recursive(_EXACT_CODE + O.first_wins_ctes()) + """
 SELECT row_number() OVER (ORDER BY design_idx) - 1 AS position, design_idx, algo_name, source_name FROM designs SEMI JOIN kept USING (design_idx)"""
 SQL["picks_in_order"] = "WITH " + _selection_sql(True, 30, 34) + """
 SELECT row_number() OVER (ORDER BY cluster, pick_rank) - 1 AS position, id, cluster, pick_rank::INTEGER AS pick_rank FROM sel"""
+SQL["similar_classes"] = O.with_recursive(_EXACT_DOCS) + """,
+twoway AS (SELECT i AS a, j AS b FROM edges UNION ALL SELECT j, i FROM edges),
+reach AS (SELECT a, b FROM twoway UNION SELECT r.a, n.b FROM reach r JOIN twoway n ON n.a = r.b),
+class AS (SELECT a, least(a, min(b)) AS class FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM twoway GROUP BY a)
+SELECT m.id AS design_idx, coalesce(class, m.rep) AS class, coalesce(n_links, 0)::BIGINT AS n_links
+FROM members m LEFT JOIN class c ON c.a = m.rep LEFT JOIN degree d ON d.a = m.rep"""

@@ -155,3 +155,23 @@ def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 1), (20, 21), (30, 30)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.label for r in D.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {9: 1, 8: 1, 7: 1, 1: 1, 20: 20, 21: 20} | {100 + i: 100 for i in range(41)}
+
+
+def test_similar_classes(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(50):
+        base = list(range(100 * (i % 4), 100 * (i % 4) + 24))
+        rows.append((i, sorted({v if rnd.random() > 0.08 else 1000 + rnd.randint(0, 400) for v in base})))
+    rows.append((90, [5000, 5001]))
+    near = {i: {j for j, b in rows if j != i and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.7} for i, a in rows}
+    least = {}
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in near[todo.pop()] if j not in seen and not seen.add(j)]
+        least[i] = min(seen)
+    docs = spark.createDataFrame(rows, "id long, set array<bigint>")
+    for cells in (0, 10 ** 9):
+        got = {r.id: (r["class"], r.n_links) for r in D.similar_classes(docs, 0.7, giant_cells=cells).collect()}
+        assert got == {i: (least[i], len(near[i])) for i in near}

@@ -8,7 +8,8 @@ from helpers import SF001
 FAST = ("name_source_list", "count_per_source", "tokens_lexical", "shingles", "structural_features",
         "extension_top5", "curated_semi", "curated_missing", "quota_filled", "cluster_center_member",
         "farthest_points", "similar_pairs_exact", "dedup_exact_links", "tfidf_vocabulary",
-        "dedup_lsh_kept", "dedup_minhash_links", "representatives", "combined_features", "halstead")
+        "dedup_lsh_kept", "dedup_minhash_links", "representatives", "combined_features", "halstead", "best_k",
+        "pca_points", "selection_summary", "features_fallback", "designs_array_roundtrip", "similar_classes", "dedup_modes")
 
 
 def test_entry_runs(spark):
