@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .dedup import _checkpoint, release
 
 SEED = 42      # FIXED VALUE: base seed of the restarts
@@ -238,6 +239,7 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _added(changes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Sums by model: the models' centres in number, whatever the points'."""
+    ship(changes.sparkSession)
     rows = changes.mapInArrow(_add_rows, "model int, sums binary, counts binary").repartition("model").mapInArrow(
         _add_rows, "model int, sums binary, counts binary").collect()
     return {r.model: (_array(bytes(r.sums), float), _array(bytes(r.counts), np.int64)) for r in rows}

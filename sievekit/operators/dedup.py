@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_at_exit, drop_path, scratch_path
+from ..session import drop_at_exit, drop_path, scratch_path, ship
 
 UNDECIDED, KEPT, DUP = 0, 1, 2
 #: Set elements of a component that one task walks at most.
 GIANT_CELLS = 10_000_000
+#: Members of a posting list from which on they are linked to its least one, in place of candidate pairs.
+LONG_LIST = 64
 LINKS = "duplicate_index long, original_index long, similarity double"
 
 
@@ -48,6 +50,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     (so Arrow UDFs in ``df`` are extracted as usual).
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, "mat-" + uuid.uuid4().hex)
     drop_at_exit(spark, path)
     df.write.mode("overwrite").parquet(path)
@@ -230,17 +233,26 @@ def _walk_rows(threshold: float, similarity, use_length: bool):
 
 
 def candidate_components(docs: DataFrame, threshold: float, prefix: DataFrame | None, giant_cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs with sizes, shared postings, groups(id, label, giant)): the components of designs that share posting lists."""
-    from .simjoin import prefix_table
+    """(docs with sizes, shared postings, groups(id, label, giant)): components that hold every similar pair.
+
+    Members of a long list are linked to its least design, without comparison. Pairs of short lists are linked only if
+    their sizes and positions let them be similar (``candidate_pairs``), so that tokens shared by chance do not grow
+    everything together. A similar pair shares a list: a long one, or all its common prefix tokens are in short ones.
+    """
+    from .simjoin import candidate_pairs, prefix_table
     docs = _checkpoint(docs.select("id", "set").withColumn("n", F.size("set")).where(F.col("n") > 0))
     pre = prefix if prefix is not None else _checkpoint(prefix_table(docs, float(threshold)))
     # designs alone on all their lists have no neighbour
     lists = pre.groupBy("tok").agg(F.count(F.lit(1)).alias("p"), F.min("id").alias("first")).where("p > 1")
-    pre = _checkpoint(pre.join(lists.select("tok", "first"), "tok"))
-    groups = components(pre.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    pre = _checkpoint(pre.join(lists.select("tok", "first", "p"), "tok"))
+    ordered = "pos" in pre.columns  # postings of Jaccard prefixes
+    edges = (pre.where(F.col("p") > LONG_LIST) if ordered else pre).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    if ordered:
+        edges = edges.unionByName(candidate_pairs(pre.where(F.col("p") <= LONG_LIST), float(threshold)).toDF("a", "b"))
+    groups = components(edges.distinct())
     cells = (docs.select(F.col("id").alias("node"), "n").join(groups, "node").groupBy("label").agg(F.sum("n").alias("cells")))
     groups = _checkpoint(groups.join(cells, "label").select(F.col("node").alias("id"), "label", (F.col("cells") > giant_cells).alias("giant")))
-    return docs, pre, groups
+    return docs, pre.drop("first", "p"), groups
 
 
 def by_component(docs: DataFrame, pre: DataFrame, groups: DataFrame) -> DataFrame:
@@ -301,7 +313,7 @@ def similar_classes(docs: DataFrame, threshold: float, giant_cells: int = GIANT_
     giants = groups.where("giant").select("id")
     if not giants.isEmpty():
         few = docs.join(giants, "id", "left_semi")
-        pairs = _checkpoint(jaccard_self_join(few, threshold, prefix=pre.drop("first").join(giants, "id", "left_semi")).select("i", "j"))
+        pairs = _checkpoint(jaccard_self_join(few, threshold, prefix=pre.join(giants, "id", "left_semi")).select("i", "j"))
         links = pairs.select(F.explode(F.array("i", "j")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         classes = components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("class"))
         out = out.unionByName(classes.join(links, "id"))
@@ -328,7 +340,7 @@ def first_wins(docs: DataFrame, threshold: float, prefix: DataFrame | None = Non
     links = [_checkpoint(by_component(docs, pre, groups).mapInArrow(_walk_rows(float(threshold), similarity, use_length), LINKS))]
     giants = groups.where("giant").select("id")
     if not giants.isEmpty():
-        links.append(_first_wins_rounds(docs.join(giants, "id", "left_semi"), pre.drop("first").join(giants, "id", "left_semi"),
+        links.append(_first_wins_rounds(docs.join(giants, "id", "left_semi"), pre.join(giants, "id", "left_semi"),
                                         float(threshold), verify, use_length))
     links = links[0] if len(links) == 1 else links[0].unionByName(links[1])
     state = docs.select(F.col("id").alias("node")).join(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shingles import MERSENNE_P, portable_hash31
+from ..session import ship
 
 # FIXED VALUE: seed of the permutation parameters
 PERM_SEED = 42
@@ -60,6 +61,7 @@ def signatures(sets: DataFrame, num_perm: int = 128, seed: int = PERM_SEED) -> D
     The hashes are computed by the JVM in the same pass, whatever expression they are; batches of them go through an
     Arrow kernel, no rows.
     """
+    ship(sets.sparkSession)
     params = [np.array(x, np.uint64) for x in permutations(num_perm, seed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +52,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, as ``--py-files`` would: kernels run in their workers."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievekit_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    where = Path(tempfile.mkdtemp(prefix="sievekit-ship-")) / "sievekit.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(where))
+    sc._sievekit_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
