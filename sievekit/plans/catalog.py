@@ -688,9 +688,9 @@ def features_fallback(spark, sf):
 
 @query("designs_array_roundtrip")
 def designs_array_roundtrip(spark, sf):
-    """The code corpus as JSON array files, some with an element whose files are no list and one that is no JSON, read back.
+    """The code corpus as JSON array files, some elements' files no list, and a file whose one element is cut off, read back.
 
-    ``kind`` tells designs from rejected elements (by name, as their numbers follow the files) and rejected files.
+    ``kind`` tells designs from rejects (without numbers, as these follow the names of the files).
     """
     from ..sources import io as IO
     code = TB.code_corpus(spark, sf)

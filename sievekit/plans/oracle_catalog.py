@@ -569,7 +569,7 @@ SQL["designs_array_roundtrip"] = f"""WITH {O.corpus_ctes('code')}
 SELECT 'design' AS kind, algo_name, source_name, md5(coalesce(string_agg(concat_ws(':', file_name, file_content), '|' ORDER BY file_pos), '')) AS files_md5
 FROM designs LEFT JOIN files USING (design_idx) WHERE design_idx % 10 <> 0 GROUP BY design_idx, algo_name, source_name
 UNION ALL SELECT 'reject', 'source_code is no list', NULL, NULL FROM designs WHERE design_idx % 10 = 0
-UNION ALL SELECT 'reject', 'the file is no JSON', NULL, NULL"""
+UNION ALL SELECT 'reject', 'the element is cut off', NULL, NULL"""
 SQL["kept_in_order"] = O.with_recursive(_EXACT_CODE + O.first_wins_ctes()) + """
 SELECT row_number() OVER (ORDER BY design_idx) - 1 AS position, design_idx, algo_name, source_name FROM designs SEMI JOIN kept USING (design_idx)"""
 SQL["picks_in_order"] = "WITH " + _selection_sql(True, 30, 34) + """

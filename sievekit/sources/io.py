@@ -1,7 +1,7 @@
 """Corpus and curation-list readers, result writers.
 
-* JSON corpus: JSON Lines (splittable, with an explicit ``design_idx``), or
-  one JSON array per file, whose elements are numbered over all files.
+* JSON corpus: JSON Lines (with an explicit ``design_idx``), or one JSON array
+  per file, whose elements are numbered over all files; both are splittable.
 * Bare-string files (``source_code: array<string>``) are normalised to the
   struct form with a null file name.
 * Outputs are partitioned Parquet / JSON Lines / CSV written by executors, or
@@ -18,9 +18,8 @@ from pyspark.sql import types as T
 
 from ..operators.curate import SOURCE_KEYS
 from ..operators.dedup import _checkpoint
+from .json_array import read_elements
 
-#: Column of the JSON reader that tells of text that is no JSON.
-CORRUPT = "_corrupt"
 FILE = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("file_content", T.StringType())])
 DESIGN_SCHEMA = T.StructType([
     T.StructField("design_idx", T.LongType()),
@@ -48,40 +47,43 @@ def read_design_array(spark: SparkSession, path: str) -> DataFrame:
 def read_designs_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(designs, rejects) of JSON arrays.
 
-    Each element is a row of its own, so a file may be larger than any value
-    may be. ``design_idx`` numbers all elements in the order of paths and
-    positions. Keys other than the known ones are carried through as variants
-    (those named like a column made here get the prefix ``input_``). Rejects
-    (``design_idx``, ``reason``, ``path``) end no run: elements whose
-    ``source_code`` is no list, and files that are no JSON (without a
-    ``design_idx``; such a file gives no designs and takes no numbers).
+    Each element is a row of its own; a file is split over tasks wherever it is
+    large (``sources.json_array``). ``design_idx`` numbers all elements in the
+    order of paths and positions. Keys other than the known ones are carried
+    through as variants (those named like a column made here get the prefix
+    ``input_``). Rejects (``design_idx``, ``reason``, ``path``, ``offset`` in
+    bytes) end no run: elements that are no JSON, or no object, or whose
+    ``source_code`` is no list, the last element of an array that is cut off,
+    and files that hold no array (these without a ``design_idx``).
     """
     load_guard(spark.read.text(path), path)
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    found = reader.option("primitivesAsString", True).json(path).columns
-    extra = [c for c in found if c not in ("algo_name", "source_name", "source_code", CORRUPT)]
-    schema = T.StructType([T.StructField("algo_name", T.StringType()), T.StructField("source_name", T.StringType()),
-                           T.StructField("source_code", T.VariantType()), *(T.StructField(c, T.VariantType()) for c in extra),
-                           T.StructField(CORRUPT, T.StringType())])
-    renamed = {c: f"input_{c}" for c in extra if c in ("design_idx", "files")}
-    raw = (reader.schema(schema).json(path).withColumn(CORRUPT, F.col(CORRUPT).isNotNull())
-           .select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_row"))
-           .withColumnsRenamed(renamed))
-    # one task reads a file from its start to its end; written, as such a file cannot be split again
-    rows = load_guard(_checkpoint(raw), path)
-    broken = rows.where(CORRUPT).select("_path").distinct()
-    whole = rows.join(broken, "_path", "left_anti")
-    files = whole.groupBy("_path").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.select("_path", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = whole.join(files, "_path").withColumn("design_idx", F.col("_row") - F.col("_first") + F.col("_before"))
-    parts = F.expr("try_variant_get(source_code, '$', 'array<variant>')")
-    bad = F.col("source_code").isNotNull() & ~F.expr("is_variant_null(source_code)") & parts.isNull()
-    designs = numbered.where(~bad).select(
-        "design_idx", "algo_name", "source_name", F.transform(parts, _file_struct).alias("files"),
-        *(renamed.get(c, c) for c in extra))
-    rejects = numbered.where(bad).select("design_idx", F.lit("source_code is no list").alias("reason"), F.col("_path").alias("path")).unionByName(
-        broken.select(F.lit(None).cast("long").alias("design_idx"), F.lit("the file is no JSON").alias("reason"), F.col("_path").alias("path")))
+    elements, files = read_elements(spark, path)
+    sizes = elements.groupBy("path").agg((F.max("element") + 1).alias("n"))
+    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    placed = files.join(sizes, "path", "left").select(
+        "path", "ends", F.coalesce(before, F.lit(0)).alias("_before"), (F.coalesce("n", F.lit(0)) - 1).alias("_last"))
+    parsed = _checkpoint(elements.join(placed, "path").select(
+        (F.col("_before") + F.col("element")).alias("_idx"), "path", "offset", (~F.col("ends") & (F.col("element") == F.col("_last"))).alias("_cut"),
+        F.try_parse_json("text").alias("_v")))
+    files_bad = files.where("not is_array").select(F.lit(None).cast("long").alias("design_idx"), F.lit("the file is no JSON array").alias("reason"),
+                                                   "path", F.lit(0).cast("long").alias("offset"))
+    load_guard(parsed.select("_idx").unionByName(files_bad.select(F.col("design_idx").alias("_idx"))), path)
+    code = F.expr("try_variant_get(_v, '$.source_code', 'variant')")
+    judged = parsed.withColumn("_code", code).withColumn("_parts", F.expr("try_variant_get(_code, '$', 'array<variant>')"))
+    reason = (F.when(F.col("_cut"), "the element is cut off").when(F.col("_v").isNull(), "the element is no JSON")
+              .when(~F.expr("schema_of_variant(_v)").startswith("OBJECT"), "the element is no object")
+              .when(F.col("_code").isNotNull() & ~F.expr("is_variant_null(_code)") & F.col("_parts").isNull(), "source_code is no list"))
+    judged = judged.withColumn("_reason", reason)
+    good = judged.where("_reason is null")
+    keys = good.select(F.explode(F.map_keys(F.expr("cast(_v as map<string, variant>)"))).alias("k")).distinct()
+    # the attributes of the corpus: few, whatever its size
+    extra = sorted(r.k for r in keys.collect() if r.k not in ("algo_name", "source_name", "source_code"))
+    names = {c: f"input_{c}" if c in ("design_idx", "files") else c for c in extra}
+    fields = F.expr("cast(_v as map<string, variant>)")
+    designs = good.select(
+        F.col("_idx").alias("design_idx"), *(F.expr(f"try_variant_get(_v, '$.{c}', 'string')").alias(c) for c in ("algo_name", "source_name")),
+        F.transform("_parts", _file_struct).alias("files"), *(F.element_at(fields, F.lit(c)).alias(names[c]) for c in extra))
+    rejects = judged.where("_reason is not null").select(F.col("_idx").alias("design_idx"), F.col("_reason").alias("reason"), "path", "offset").unionByName(files_bad)
     return designs, rejects
 
 

@@ -107,7 +107,36 @@ def test_broken_file_is_a_reject(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"algo_name": "a", "source_code": [body]}, {"algo_name": "b", "source_code": [body]}]))
     (tmp_path / "b.json").write_text('[{"algo_name": "x", "source_code": ["')
     (tmp_path / "c.json").write_text(json.dumps([{"algo_name": "c", "source_code": [body]}]))
+    (tmp_path / "d.json").write_text('{"algo_name": "no array"}')
+    text = '[{"algo_name": "e1", "source_code": []}, {"algo_name": nonsense}, 7, {"algo_name": "e2"},\n {"algo_name": "cut off"'
+    (tmp_path / "e.json").write_text(text)
     designs, rejects = IO.read_designs_and_rejects(spark, str(tmp_path))
-    assert {(r.design_idx, r.algo_name) for r in designs.collect()} == {(0, "a"), (1, "b"), (2, "c")}
-    (bad,) = rejects.collect()
-    assert bad.design_idx is None and bad.reason == "the file is no JSON" and bad.path.endswith("b.json")
+    assert {(r.design_idx, r.algo_name) for r in designs.collect()} == {(0, "a"), (1, "b"), (3, "c"), (4, "e1"), (7, "e2")}
+    bad = {(r.design_idx, r.reason, r.path[-6:], r.offset) for r in rejects.collect()}
+    assert bad == {(2, "the element is cut off", "b.json", 1), (None, "the file is no JSON array", "d.json", 0), (5, "the element is no JSON", "e.json", text.index(' {"algo_name": nonsense')),
+                   (6, "the element is no object", "e.json", text.index(" 7")), (8, "the element is cut off", "e.json", text.index("\n"))}
+
+
+def test_array_over_many_tasks_equals_json(spark, tmp_path):
+    """Texts full of braces, brackets, quotes and backslashes, cut at any place, in several files and forms."""
+    import random
+    rnd = random.Random(6)
+    given = []
+    for name, indent in (("a", None), ("b", 2), ("c", None)):
+        rows = [{"algo_name": f"{name}{i}", "source_name": rnd.choice(["s", 'q"', "\\", None]),
+                 "source_code": ["".join(rnd.choice('{}[],:"\\ \n\u00e9x') for _ in range(rnd.randint(0, 120))) for _ in range(rnd.randint(0, 3))],
+                 "deep": {"k": [1, [2, {"}": "]"}]]}} for i in range(25 if name != "c" else 0)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=name == "a") + "\n")
+        given += rows
+    for size in ("300", "128m"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            designs, rejects = IO.read_designs_and_rejects(spark, str(tmp_path))
+            assert rejects.count() == 0
+            got = designs.selectExpr("design_idx", "algo_name", "source_name", "files.file_content as t", "to_json(deep) as deep").orderBy("design_idx").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [(r.algo_name, r.source_name, r.t, json.loads(r.deep)) for r in got] == [
+            (g["algo_name"], g["source_name"], g["source_code"], g["deep"]) for g in given]
+        assert [r.design_idx for r in got] == list(range(50))
