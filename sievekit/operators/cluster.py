@@ -44,7 +44,7 @@ N_INIT = 10    # FIXED VALUE: restarts per k
 MAX_ITER = 300
 PLACES = 6
 #: Points of a block; numbers of all models' centres at most (sent to the tasks); steps that one hash serves.
-BLOCK_POINTS, MAX_CENTRE_CELLS, HASH_STEPS = 2048, 64_000_000, 16
+BLOCK_POINTS, MAX_CENTRE_CELLS, HASH_STEPS = 2048, 16_000_000, 16
 #: Bounds closer than this are looked at again: far above the error of a distance, far below what rounding can tell.
 MARGIN = 2e-3
 
