@@ -26,7 +26,6 @@ the three columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
-import re
 import struct
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, from_planes, partitions, planes, read_table, texts_of, tidy
+from .common import Scratch, from_planes, partitions, planes, read_table, texts_of, tidy
 
 MIN_DOCUMENTS = 10
 SCALE = 10 ** 9
@@ -51,7 +50,8 @@ BLOCK_TERMS, BLOCK_CELLS = 2048, 1 << 22
 #: Sources that are compared at once with one source.
 TILE = 64
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Letters A-Z become small, all other ASCII characters that are no letters become spaces: terms are what is left between.
+_TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class Transducer:
@@ -129,13 +129,27 @@ class Transducer:
         first, target, before, label, final = out
         return cls(first, label, target, before, final.astype(bool))
 
-    def ordinals(self, keys: list[bytes]) -> np.ndarray:
-        """Place of each key among the transducer's sorted keys; -1 of others. All keys walk together."""
+    def walk(self, head: bytes) -> tuple[int, int]:
+        """State after some first bytes, and the keys that sort before what goes on from there; state -1 if no key does."""
+        state, place = 0, 0
+        for byte in head:
+            a, z = int(self.first[state]), int(self.first[state + 1])
+            arc = a + int(np.searchsorted(self.label[a:z], byte))
+            if arc == z or self.label[arc] != byte:
+                return -1, 0
+            state, place = int(self.target[arc]), place + int(self.before[arc])
+        return state, place
+
+    def ordinals(self, keys: list[bytes], head: bytes = b"") -> np.ndarray:
+        """Place of each key (``head`` and the given rest) among the transducer's sorted keys; -1 of others. All walk together."""
         n = len(keys)
+        at, passed = self.walk(head)
+        if at < 0:
+            return np.full(n, -1)
         raw = np.frombuffer(b"".join(keys), np.uint8).astype(np.int64)
         sizes = np.fromiter(map(len, keys), np.int64, n)
         starts = np.cumsum(sizes) - sizes
-        state, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        state, place = np.full(n, at), np.full(n, passed)
         live = np.arange(n)
         step = 0
         while len(live := live[sizes[live] > step]):
@@ -162,7 +176,7 @@ class Transducer:
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    return _TERM.findall(text.translate(LOWER))
+    return text.translate(_TERM_BYTES).split()
 
 
 def _columns(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -293,8 +307,7 @@ def _recount(block_terms: int):
                 if (lang, source) != group:
                     yield from out()
                     group, total = (lang, source), np.zeros(size, np.int64)
-                head = lang.encode() + b"\0"
-                place = machine.ordinals([head + t for t in terms.split(b"\0")])
+                place = machine.ordinals(terms.split(b"\0"), lang.encode() + b"\0")
                 hit = place >= 0
                 total[place[hit]] += from_planes(counts, np.uint32)[hit].astype(np.int64)  # a term comes once in a row
         yield from out()
