@@ -125,6 +125,42 @@ def test_search_equals_brute_force(spark, documents, monkeypatch):
     assert bm25_search.search(table(spark, []), table(spark, rows)).count() == 0
 
 
+def test_blocks_that_cannot_reach_the_list_are_not_read(monkeypatch):
+    """Tiny blocks: postings are skipped, and the lists equal those of all scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25_search, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(bm25_search, "SLICE_ENTRIES", 40)
+    rng = random.Random(8)
+    for dense in (0.02, 0.4, 2.0):
+        monkeypatch.setattr(bm25_search, "DENSE", dense)
+        bags = [{rng.randint(0, 3000) + 4000 * (i // 40): rng.randint(1, 3) for _ in range(rng.randint(1, 40))} | {-1 % 2 ** 32: 1} for i in range(200)]
+        terms = sorted({t for b in bags for t in b})
+        posts = [[(d, b[t]) for d, b in enumerate(bags) if t in b] for t in terms]
+        lengths = np.array([sum(b.values()) for b in bags], np.uint32)
+        mean = float(lengths.mean())
+        packed = [bm25_search.planes(np.array(x, k)) for x, k in (
+            (lengths, np.uint32), (np.diff(np.array(terms, np.uint64), prepend=np.uint64(0)), np.uint64), ([len(x) for x in posts], np.uint32),
+            ([d for x in posts for d, _ in x], np.uint32), ([c for x in posts for _, c in x], np.uint32))]
+        shard = bm25_search.Shard(pa.array(range(200)), *packed, mean)
+        shard.rank = np.append(np.array(shard.ids.to_pylist()), 200)
+        shard.measure = True
+        idf = {t: float(np.log(1 + (200 - len(x) + .5) / (len(x) + .5))) for t, x in zip(terms, posts)}
+        asked = [rng.sample(terms[:-1], 6) + [terms[-1]] for _ in range(30)] + [list(bags[i]) for i in (0, 60, 199)] + [[7], []]
+        flat = np.array([t for q in asked for t in q], np.uint64)
+        distinct, first, where = np.unique(flat, return_index=True, return_inverse=True)
+        weights = np.array([idf.get(int(t), 1.0) for t in flat])[first]
+        q, d, score = shard.search(np.array([len(x) for x in asked]), distinct, weights, where, 3, np.zeros(len(asked)))
+        ids = shard.ids.to_pylist()
+        got = [[(s, ids[x]) for qq, x, s in zip(q.tolist(), d.tolist(), score.tolist()) if qq == i] for i in range(len(asked))]
+        for terms_asked, mine in zip(asked, got):
+            every = sorted((-round(sum(idf[t] * b[t] * 2.2 / (b[t] + 1.2 * (.25 + .75 * sum(b.values()) / mean)) for t in terms_asked if t in b), 6), i)
+                           for i, b in enumerate(bags) if any(t in b for t in terms_asked))
+            assert mine == [(-s, i) for s, i in every[:3]]
+        assert 0 < shard.read < 0.6 * shard.postings
+
+
 def test_queries_of_equal_id_and_different_texts(spark):
     docs = table(spark, [(i, f"{'red' if i < 20 else 'blue'} w{i}") for i in range(40)])
     asked = lambda *rows: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in bm25_search.search(docs, table(spark, rows)).collect())
@@ -230,7 +266,7 @@ def test_suffix_order_and_prefixes():
 
 
 def test_repeated_passages_equal_brute_force(spark, documents):
-    for rows, kw in ((passages() + ODD, {}), (passages() + ODD, {"shard_occurrences": 3, "shard_bytes": 3000}), (documents[:80], {}), ([], {})):
+    for rows, kw in ((passages() + ODD, {}), (passages() + ODD, {"shard_occurrences": 3, "shard_bytes": 3000, "hot_occurrences": 4}), (documents[:80], {}), ([], {})):
         docs = table(spark, rows)
         cut = suffix_dedup.repeated_passages(docs, **kw).select("k1", "k2", "spans", F.sha2("kept", 256).alias("sha"))
         text = F.coalesce("text", F.lit(""))
