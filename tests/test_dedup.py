@@ -175,3 +175,26 @@ def test_similar_classes(spark):
     for cells in (0, 10 ** 9):
         got = {r.id: (r["class"], r.n_links) for r in D.similar_classes(docs, 0.7, giant_cells=cells).collect()}
         assert got == {i: (least[i], len(near[i])) for i in near}
+
+
+def test_long_shared_passages_link_nothing(spark):
+    """70 sets share 6,000 tokens of 7,600 (Jaccard 0.65): more than any list of heavy tokens holds, and no candidates."""
+    docs = spark.range(70).select("id", F.expr(
+        "concat(transform(sequence(1, 6000), x -> xxhash64(x)), transform(sequence(1, 1600), x -> xxhash64(id, x)))").alias("set"))
+    _, postings, groups = D.candidate_components(docs, 0.8, None, D.GIANT_CELLS)
+    assert groups.count() == 0
+    assert postings.count() == 0
+
+
+def test_prefixes_take_tokens_of_few_sets_first(spark):
+    from sievekit.operators.simjoin import prefix_table, token_sketch
+    docs = spark.range(30).select("id", F.expr(
+        "concat(transform(sequence(1, 50), x -> xxhash64(x)), transform(sequence(1, 20), x -> xxhash64(id, x)))").alias("set"),
+        F.lit(70).alias("n"))
+    assert int(token_sketch(docs).astype(int).sum()) == 30 * 70
+    shared = {r[0] for r in spark.range(1, 51).select(F.expr("xxhash64(cast(id as int))")).collect()}
+    rows = prefix_table(docs, 0.8).collect()
+    assert len(rows) == 30 * 15 and sum(r.tok in shared for r in rows) <= 3  # slots may clash
+    assert {r.pos for r in rows} == set(range(15))
+    empty = docs.limit(0)
+    assert prefix_table(empty, 0.8).count() == 0
