@@ -58,3 +58,10 @@ def test_q9_bare_and_struct_files_same_tokens(spark):
                                "b array<struct<file_name:string,file_content:string>>")
     r = df.select(lexical_tokens(F.col("a")).alias("a"), lexical_tokens(F.col("b")).alias("b")).first()
     assert r["a"] == r["b"] == ["CPP_INT", "a", ";"]
+
+
+def test_semantic_tokens_are_made_once(spark):
+    """The plan of the semantic profile of documents tokenises each text once."""
+    from sievekit.plans import catalog as C
+    plan = C.tokens_semantic_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
