@@ -60,6 +60,25 @@ def test_q9_bare_and_struct_files_same_tokens(spark):
     assert r["a"] == r["b"] == ["CPP_INT", "a", ";"]
 
 
+def test_char_shingle_sums(spark):
+    """Distinct 5-grams of characters: any plane, short and empty texts, stretches, too many kinds of characters to pack."""
+    import hashlib
+    import random
+
+    from sievekit.operators import charshingles as CS
+    rnd = random.Random(3)
+    wide = "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(9000))
+    texts = ["", "abc", "abcde", "ababababab", "na\u00efve \U0001F600\U0001F600 caf\u00e9 " * 3, wide, wide[:700] * 2, "x\ny\tz \n\n  "]
+
+    def brute(t):
+        grams = {t[i:i + 5] for i in range(len(t) - 4)}
+        return len(grams), sum(int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 2147483647 for g in grams)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "design_idx long, text string").coalesce(1)
+    got = {r[0]: (r[1], r[2]) for r in CS.char_shingle_sums(df, 5).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_semantic_tokens_are_made_once(spark):
     """The plan of the semantic profile of documents tokenises each text once."""
     from sievekit.plans import catalog as C
