@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sievekit.operators import minhash as MH
@@ -39,3 +40,27 @@ def test_signature_estimate_close_to_jaccard(spark):
     j = 300 / 500
     sigma = math.sqrt(j * (1 - j) / 128)
     assert abs(m / 128 - j) < 4 * sigma
+
+
+def test_kernel_at_the_edges_and_over_stretches():
+    a, b = (np.array(x, np.uint64) for x in MH.permutations())
+    for hashes in ([0, 1, MH.MERSENNE_P - 1], [MH.MERSENNE_P - 1], list(range(7, 9_000_007, 6011))):
+        got = MH.signature_values(np.array(hashes, np.uint64), a, b)
+        assert got.tolist() == [min((int(x) * h + int(y)) % MH.MERSENNE_P for h in hashes) for x, y in zip(a, b)]
+
+
+def test_self_join_equals_brute_force(spark):
+    rng = np.random.RandomState(2)
+    base = rng.randint(0, 1000, (4, 128))
+    rows = [(i, [int(v) if rng.rand() > 0.12 else int(rng.randint(0, 1000)) for v in base[i % 4]]) for i in range(24)] + [(50, None), (51, list(range(128)))]
+    got = {(r.i, r.j): r.similarity for r in MH.signature_self_join(spark.createDataFrame(rows, "id long, sig array<bigint>"), 0.75).collect()}
+    same = {(i, j): sum(x == y for x, y in zip(s, t)) / 128 for i, s in rows for j, t in rows if s and t and i < j}
+    assert got == {p: s for p, s in same.items() if s >= 0.75} and got
+
+
+def test_modes_share_signatures(spark, monkeypatch):
+    from sievekit.plans import catalog, dedup_stage as DS
+    from helpers import SF001
+    made, plain = [], DS.signature_table
+    monkeypatch.setattr(DS, "signature_table", lambda *x: made.append(1) or plain(*x))
+    assert catalog.dedup_modes(spark, SF001).count() and len(made) == 1
