@@ -23,6 +23,11 @@ from ..operators import dedup as D
 from ..operators import minhash as MH
 from ..plans.dedup_stage import signature_table
 from ..session import scratch_path
+from ..sources.tables import spread
+
+#: Bytes of a row group of a landed range. Files split at row groups, so that a range, which may lie in a few files of
+#: the input, is worked on by all cores and not by as many as wrote it.
+LANDING_GROUP_BYTES = 2 << 20
 
 
 class IncrementalDedup:
@@ -46,7 +51,7 @@ class IncrementalDedup:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sigs = signature_table(batch, self.k, self.num_perm, self.hls_aware)
+        sigs = signature_table(spread(batch), self.k, self.num_perm, self.hls_aware)
         valid = sigs.where(F.col("sig").isNotNull())
         members = D._checkpoint(MH.band_keys(valid, "sig", self.bands).select(
             F.col("id").alias("node"), F.struct("band", "band_key").alias("bucket")))
@@ -102,7 +107,7 @@ def run_incremental(spark: SparkSession, corpus: DataFrame, n_batches: int = 4,
     schema = corpus.schema
     for i, (a, b) in enumerate(id_ranges(corpus, n_batches)):
         (corpus.where((F.col("design_idx") >= a) & (F.col("design_idx") < b))
-         .write.mode("overwrite").parquet(os.path.join(landing, f"range-{i:05d}")))
+         .write.mode("overwrite").option("parquet.block.size", LANDING_GROUP_BYTES).parquet(os.path.join(landing, f"range-{i:05d}")))
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(landing)
         q = (stream.writeStream.foreachBatch(sink)
              .option("checkpointLocation", os.path.join(base, "stream-checkpoint"))
