@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .dedup import _checkpoint
-from .simjoin import prefix_arrays, token_sketch
+from .simjoin import prefix_arrays, sort_rows, token_sketch
 
 #: FIXED VALUE: multiplier of the keys of windows (any odd number).
 WINDOW_MULTIPLIER = 0x9E3779B97F4A7C15
@@ -41,31 +41,36 @@ def window_keys(tokens: np.ndarray, k: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _stretches(lists: pa.ListArray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(first row, row after the last, each row's values) of stretches of a column of lists."""
+def _stretches(lists: pa.ListArray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, sets, ends) of stretches of a column of token lists: the rows' sets one after another, each sorted.
+
+    Windows are made over a stretch at once; those that reach into the next row are left out.
+    """
     ends = np.asarray(lists.offsets)
     values = np.asarray(lists.values)
     start = 0
     while start < len(lists):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STRETCH_TOKENS, "right")) - 1)
-        yield start, stop, [values[a:b] for a, b in zip(ends[start:stop].tolist(), ends[start + 1:stop + 1].tolist(), strict=True)]
+        cuts = ends[start:stop + 1].astype(np.int64) - ends[start]
+        sizes = np.maximum(np.diff(cuts) - k + 1, 0)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(at[-1]) + np.repeat(cuts[:-1] - at[:-1], sizes)  # where the windows begin
+        sets = sort_rows(window_keys(values[ends[start]:ends[stop]], k)[places], list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)))
+        new = np.ones(len(sets), bool)
+        new[1:] = sets[1:] != sets[:-1]
+        new[at[:-1][sizes > 0]] = True
+        yield start, stop, sets[new], np.concatenate([[0], np.cumsum(new)])[at]
         start = stop
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
-
-
 def _described_rows(k: int):
     """(id, toks) rows with the size and the key of their set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, stop, rows in _stretches(b.column(1)):
-                sets = [np.unique(window_keys(t, k)) for t in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.slice(start, stop - start).columns, pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())], names=["id", "toks", "n", "key"])
+            for start, stop, sets, ends in _stretches(b.column(1), k):
+                keys = [hashlib.md5(sets[i:j]).digest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.slice(start, stop - start).columns, pa.array(np.diff(ends), pa.int32()), pa.array(keys, pa.binary())],
+                                                 names=["id", "toks", "n", "key"])
     return run
 
 
@@ -82,10 +87,10 @@ def _set_rows(k: int, sent, inside: bool):
                 at = _id_slots(b.column(0).to_numpy(), len(words).bit_length() + 5)
                 hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
                 b = b.filter(pa.array(hit.astype(bool) == inside))
-            for start, stop, rows in _stretches(b.column(1)):
+            for start, stop, sets, ends in _stretches(b.column(1), k):
                 few = b.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([few.column(0), _lists([np.unique(window_keys(t, k)) for t in rows]), few.column(2), few.column(3)],
-                                                 names=["id", "set", "n", "key"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets))
+                yield pa.RecordBatch.from_arrays([few.column(0), lists, few.column(2), few.column(3)], names=["id", "set", "n", "key"])
     return run
 
 
