@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievekit.operators import minhash as MH
@@ -64,3 +65,24 @@ def test_modes_share_signatures(spark, monkeypatch):
     made, plain = [], DS.signature_table
     monkeypatch.setattr(DS, "signature_table", lambda *x: made.append(1) or plain(*x))
     assert catalog.dedup_modes(spark, SF001).count() and len(made) == 1
+
+
+def test_signatures_leave_the_kernel_in_small_batches(spark):
+    """A worker holds few rows' signatures at a time, however many rows a batch has; the signatures stay the same."""
+    sets = spark.createDataFrame([(i, None if i % 11 == 0 else list(range(i, i + i % 7))) for i in range(1300)], "id long, hashes array<bigint>")
+
+    class Sets:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_pylist([r.asDict() for r in sets.collect()], pa.schema([("id", pa.int64()), ("hashes", pa.list_(pa.int64()))]))
+            return list(run(iter([batch, batch.slice(0, 0), batch.slice(5, 700)])))
+
+    out = MH.signatures(Sets(), 16)
+    assert max(b.num_rows for b in out) <= 512 and sum(b.num_rows for b in out) == 2000
+    want = {r.id: r.sig for r in MH.signatures(sets, 16).collect()}
+    assert all(r["sig"] == want[r["id"]] for b in out for r in b.to_pylist())
+    assert [i for i, s in want.items() if s is None] == [i for i in range(1300) if i % 11 == 0 or i % 7 == 0]
