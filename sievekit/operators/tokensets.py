@@ -3,7 +3,8 @@
 A set has 8 bytes a window that no codec shortens, so a written or shuffled copy of all sets is larger than the texts.
 Tokens repeat: written as 64-bit keys in order, Parquet's dictionary and codec bring them to a byte or two each, and
 an Arrow kernel makes a row's windows from them in microseconds. So tokens are written once, with the size and a
-128-bit key of each row's set; every other step reads them again, and only prefixes and the sets of candidates are shuffled.
+128-bit key of each row's set; every other step reads them again, and only prefixes and the tokens of candidates are shuffled,
+the tokens packed: two bytes for each of the commonest, and a set's windows are made where it is compared.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, shuffles_freed
 from .dedup import _checkpoint
 from .simjoin import prefix_arrays, sort_rows, token_sketch
 
@@ -29,6 +31,10 @@ STRETCH_TOKENS = 500_000
 DICTIONARY_BYTES = 16 << 20
 #: Bits of the filter that tells the rows of wanted ids, at most (a power of two; 4 MB).
 FILTER_BITS = 25
+#: Commonest tokens that a packed row names by a 16-bit code; this code itself stands for a token whose key follows.
+CODES = (1 << 16) - 1
+#: Tokens that a task holds at most before it counts them.
+COUNTED_TOKENS = 4_000_000
 
 
 def window_keys(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -82,11 +88,7 @@ def _set_rows(k: int, sent, inside: bool):
     """(id, toks, n, key) rows to (id, set, n, key); ``sent``: a filter of the ids wanted, or (not ``inside``) unwanted, or None."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if sent is not None:
-                words = sent.value
-                at = _id_slots(b.column(0).to_numpy(), len(words).bit_length() + 5)
-                hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-                b = b.filter(pa.array(hit.astype(bool) == inside))
+            b = _wanted(b, sent, inside)
             for start, stop, sets, ends in _stretches(b.column(1), k):
                 few = b.slice(start, stop - start)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets))
@@ -94,10 +96,108 @@ def _set_rows(k: int, sent, inside: bool):
     return run
 
 
+def _wanted(b: pa.RecordBatch, sent, inside: bool = True) -> pa.RecordBatch:
+    """The rows whose id (first column) the filter ``sent`` holds, or (not ``inside``) does not; all if it is None."""
+    if sent is None:
+        return b
+    words = sent.value
+    at = _id_slots(b.column(0).to_numpy(), len(words).bit_length() + 5)
+    hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+    return b.filter(pa.array(hit.astype(bool) == inside))
+
+
+def _common_rows(sent):
+    """(id, toks) rows with a wanted id to (token, times) of a task's commonest tokens, a bounded number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def count() -> None:
+            nonlocal keys, times
+            more, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n]), len(keys)).astype(np.int64)
+            if len(keys) > 2 * CODES:
+                top = np.argpartition(-times, 2 * CODES)[:2 * CODES]
+                keys, times = keys[top], times[top]
+
+        for b in batches:
+            held.append(np.asarray(_wanted(b, sent).column(1).flatten()))
+            if sum(map(len, held)) >= COUNTED_TOKENS:
+                count()
+        count()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["token", "times"])
+    return run
+
+
+def common_tokens(rows: DataFrame, sent) -> np.ndarray:
+    """The commonest token keys of ``rows(id, toks)`` with a wanted id, sorted, ``CODES`` at most. Any choice packs without loss."""
+    few = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    with shuffles_freed(rows.sparkSession):
+        found = (rows.select("id", "toks").coalesce(few).mapInArrow(_common_rows(sent), "token long, times long")
+                 .groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(CODES).select("token").toArrow())
+    return np.sort(found.column("token").to_numpy())
+
+
+def _packed_rows(sent, common):
+    """(id, toks, n, key) rows with a wanted id to (id, packed, n, key): the number of tokens, their codes, the keys of those without one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common.value
+        for b in batches:
+            b = _wanted(b, sent)
+            lists = b.column(1)
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            ends, flat = ends - ends[0], np.asarray(lists.flatten())
+            at = np.searchsorted(table, flat)
+            at[at == len(table)] = 0
+            known = table[at] == flat if len(table) else np.zeros(len(flat), bool)
+            codes, rest = np.where(known, at, CODES).astype("<u2"), flat[~known].astype("<i8")
+            after = np.concatenate([[0], np.cumsum(~known)])[ends].tolist()
+            ends = ends.tolist()
+            packed = [(z - a).to_bytes(4, "little") + codes[a:z].tobytes() + rest[c:d].tobytes()
+                      for a, z, c, d in zip(ends, ends[1:], after, after[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2), b.column(3)], names=["id", "packed", "n", "key"])
+    return run
+
+
+def _unpacked(rows: list[bytes], table: np.ndarray) -> pa.ListArray:
+    """The tokens of packed rows; ``table`` has a key for each code."""
+    sizes = [int.from_bytes(r[:4], "little") for r in rows]
+    codes = np.concatenate([np.zeros(0, "<u2"), *(np.frombuffer(r, "<u2", m, 4) for r, m in zip(rows, sizes))])
+    rest = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r, "<i8", -1, 4 + 2 * m) for r, m in zip(rows, sizes) if len(r) > 4 + 2 * m)])
+    toks = table[codes]
+    toks[codes == CODES] = rest
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(toks, pa.int64()))
+
+
+def _opened_rows(k: int, common):
+    """Rows with ``packed`` to rows with ``set`` in its place, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CODES + 1, np.int64)
+        table[:len(common.value)] = common.value
+        for b in batches:
+            where = b.schema.get_field_index("packed")
+            rows = b.column(where).to_pylist()
+            size, first = 0, 0
+            for i, r in enumerate(rows):
+                size += int.from_bytes(r[:4], "little")
+                if size < STRETCH_TOKENS and i + 1 < len(rows):
+                    continue
+                part = b.slice(first, i + 1 - first)
+                for start, stop, sets, ends in _stretches(_unpacked(rows[first:i + 1], table), k):
+                    few = part.slice(start, stop - start)
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets))
+                    yield pa.RecordBatch.from_arrays([lists if c == where else few.column(c) for c in range(few.num_columns)],
+                                                     names=["set" if c == "packed" else c for c in few.schema.names])
+                size, first = 0, i + 1
+    return run
+
+
 def id_filter(ids: DataFrame) -> np.ndarray:
     """64-bit words with the bit of each id's slot set: ``2 ** FILTER_BITS`` bits at most, whatever the number of ids."""
     ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id"))
-    bits = min(FILTER_BITS, max(10, ids.count().bit_length() + 4))
+    with shuffles_freed(ids.sparkSession):
+        bits = min(FILTER_BITS, max(10, ids.count().bit_length() + 4))
     ship(ids.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +208,28 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["word", "bits"])
 
-    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    with shuffles_freed(ids.sparkSession):
+        found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+@dataclass
+class PackedSets:
+    """Rows ``table(id, packed, n)`` that are shuffled as they are and opened where their sets are compared."""
+
+    table: DataFrame
+    common: Broadcast
+    k: int
+
+    def opened(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the sorted ``set`` in place of ``packed``, in order."""
+        ship(rows.sparkSession)
+        columns = ("set array<bigint>" if f.name == "packed" else f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(_opened_rows(self.k, self.common), ", ".join(columns))
+
+
 @dataclass
 class TokenSets:
     """Distinct k-token windows of every row of ``table(id, toks, n, key)``; ``n`` is a set's size, equal sets have equal keys."""
@@ -124,11 +240,14 @@ class TokenSets:
     def __post_init__(self):
         self.valid = self.table.where("n > 0").select("id", "n", "key")  # rows with a window
 
+    def _tokens(self) -> DataFrame:
+        """(id, toks, n, key) of the rows with a window."""
+        ship(self.table.sparkSession)
+        return self.table.where("n > 0").select(F.col("id").cast("long").alias("id"), "toks", "n", "key")
+
     def rows(self, wanted=None, inside: bool = True) -> DataFrame:
         """(id, set, n, key) of the rows with a window; with a broadcast ``id_filter`` those inside or outside it."""
-        ship(self.table.sparkSession)
-        return (self.table.where("n > 0").select(F.col("id").cast("long").alias("id"), "toks", "n", "key")
-                .mapInArrow(_set_rows(self.k, wanted, inside), "id long, set array<bigint>, n int, key binary"))
+        return self._tokens().mapInArrow(_set_rows(self.k, wanted, inside), "id long, set array<bigint>, n int, key binary")
 
     def _sent(self, ids: DataFrame):
         return ids.sparkSession.sparkContext.broadcast(id_filter(ids))
@@ -156,11 +275,17 @@ class TokenSets:
                 .agg(F.min("id").alias("id"), F.first("prefix").alias("prefix")).select("id", "n", "prefix"))
         return once.unionByName(more).select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
 
-    def of_representatives(self, ids: DataFrame) -> DataFrame:
-        """(id, set, n) of the representatives among ``ids(id)``, dealt by id."""
-        reps = self.representatives().withColumnRenamed("rep", "id").join(ids.select("id").distinct(), "id", "left_semi")
-        once = self.rows(self._sent(ids)).repartition("id").groupBy("id", "n", "key").agg(F.first("set").alias("set"))
-        return once.join(reps, ["id", "n", "key"], "left_semi").select("id", "set", "n")
+    def of_representatives(self, ids: DataFrame) -> PackedSets:
+        """The representatives among ``ids(id)``, packed and dealt by id: one shuffle of their tokens."""
+        sent = self._sent(ids)
+        common = self.table.sparkSession.sparkContext.broadcast(common_tokens(self._tokens(), sent))
+        packed = self._tokens().mapInArrow(_packed_rows(sent, common), "id long, packed binary, n int, key binary")
+        reps = (self.representatives().withColumnRenamed("rep", "id").join(ids.select("id").distinct(), "id", "left_semi")
+                .groupBy("id").agg(F.collect_list(F.struct("n", "key")).alias("sets")))
+        # an id can come with several sets, and more than once with each
+        once = (packed.join(reps, "id").where(F.array_contains("sets", F.struct("n", "key")))
+                .groupBy("id", "n", "key").agg(F.first("packed").alias("packed")))
+        return PackedSets(once.select("id", "packed", "n"), common, self.k)
 
 
 def token_sets(tokens: DataFrame, k: int) -> TokenSets:

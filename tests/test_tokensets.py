@@ -3,12 +3,15 @@
 import glob
 import os
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievekit.operators import dedup as D
 from sievekit.operators import tokensets as TS
+from sievekit.operators.simjoin import candidate_pairs, prefix_table
 from sievekit.plans import dedup_stage as DS
 from helpers import corpus_df
 
@@ -82,3 +85,81 @@ def test_written_tables_are_small(spark):
     new = set(glob.glob(os.path.join(base.removeprefix("file:"), "mat-*"))) - before
     size = sum(os.path.getsize(f) for d in new for f in glob.glob(d + "/*.parquet"))
     assert 0 < size < 60 * 2000 * 8 / 2
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_packed_rows_open_to_the_same_sets():
+    """Two bytes a common token, whatever the others are; the sets are those made from the tokens."""
+    rng = np.random.RandomState(5)
+    words = rng.randint(-2 ** 62, 2 ** 62, 400)
+    lists = [words[rng.randint(0, 400, m)].tolist() for m in (700, 5, 2000, 90, 4)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(lists, pa.list_(pa.int64())), pa.array([9] * 5, pa.int32()), pa.array([b"k"] * 5)],
+                                      names=["id", "toks", "n", "key"]).slice(1)
+    want = [b.column("set").to_pylist() for b in TS._set_rows(5, None, True)(iter([rows]))]
+    for common in (np.sort(words), np.sort(words)[:7], np.zeros(0, np.int64)):
+        packed = list(TS._packed_rows(None, Sent(common))(iter([rows])))
+        opened = list(TS._opened_rows(5, Sent(common))(iter(packed)))
+        assert sum((b.column("set").to_pylist() for b in opened), []) == sum(want, [])
+        assert [i for b in opened for i in b.column("id").to_pylist()] == [1, 2, 3, 4] and opened[0].schema.names == ["id", "set", "n", "key"]
+        if len(common) == len(words):
+            assert sum(len(x) for b in packed for x in b.column("packed").to_pylist()) == sum(4 + 2 * len(x) for x in lists[1:])
+
+
+def test_id_with_several_texts_keeps_its_representatives(spark):
+    """An id that comes with two texts, one of them twice: a set for each text, once."""
+    texts = {"a": [f"a{i}" for i in range(50)], "b": [f"b{i}" for i in range(60)]}
+    rows = [(5, texts["a"]), (5, texts["b"]), (5, texts["b"]), (7, texts["a"]), (8, ["c"] * 9)]
+    sets = TS.token_sets(spark.createDataFrame(rows, "id long, tokens array<string>"), 5)
+    docs = sets.of_representatives(spark.createDataFrame([(5,), (7,)], "id long"))
+    assert sorted((r.id, r.n, len(set(r.set))) for r in docs.opened(docs.table).collect()) == [(5, 46, 46), (5, 56, 56)]
+
+
+def test_chance_windows_link_nothing(spark):
+    """Sets of 600 whose prefixes share a rare token early are no candidates; those that share 60 are."""
+    rows = [(i, 600, pos, -1 if i < 3 and pos == 3 else pos if i > 2 and pos < 60 else 1000 * (i + 1) + pos) for i in range(5) for pos in range(121)]
+    pre = spark.createDataFrame(rows, "id long, n int, pos int, tok long")
+    assert [(r.i, r.j) for r in candidate_pairs(pre, 0.8).collect()] == [(3, 4)]
+
+
+def test_bound_keeps_all_similar_pairs(spark):
+    """Sets of few tokens and all sizes, whose prefixes overlap by chance: every similar pair is a candidate, also in rounds."""
+    rng = random.Random(8)
+    base = [rng.sample(range(400), rng.randint(3, 60)) for _ in range(25)]
+    docs = {}
+    for b in base:
+        for _ in range(6):
+            docs[len(docs)] = sorted({x if rng.random() > 0.06 else rng.randint(0, 400) for x in b})
+    for t in (0.5, 0.8, 0.9):
+        want = {(i, j) for i in docs for j in docs if i < j and len({*docs[i]} & {*docs[j]}) / len({*docs[i]} | {*docs[j]}) >= t}
+        df = spark.createDataFrame(list(docs.items()), "id long, set array<bigint>")
+        cand = {(r.i, r.j) for r in candidate_pairs(prefix_table(df.withColumn("n", F.size("set")), t), t).collect()}
+        assert want and want <= cand
+        if t != 0.8:
+            continue
+        kept = []
+        for v in sorted(docs):
+            if not any((u, v) in want for u in kept):
+                kept.append(v)
+        state, _ = D.first_wins(df, t, giant_cells=0)
+        assert {r.node for r in state.where(F.col("state") == D.KEPT).collect()} == set(kept)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A table is read from where it was written; the shuffle that made it goes."""
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before = shuffled()
+    table = D._checkpoint(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 500).alias("a")).count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 500 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
