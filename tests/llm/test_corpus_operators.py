@@ -125,6 +125,21 @@ def test_search_equals_brute_force(spark, documents, monkeypatch):
     assert bm25_search.search(table(spark, []), table(spark, rows)).count() == 0
 
 
+def test_search_tasks_are_partitions_by_themselves(spark, monkeypatch):
+    """No two of the parts of shards and queries share a partition, whatever the shuffle partitions."""
+    seen, write = [], Scratch.write
+
+    def watched(self, df, name, *more):
+        if name == "found":
+            seen.append(df.rdd.getNumPartitions())
+        return write(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    docs = table(spark, [(i, f"w{i % 5} w{i % 7} x{i}") for i in range(70)]).repartition(7)
+    assert docs.count() == 70 and bm25_search.search(docs, docs.where("doc_id % 10 = 0")).count() == 70
+    assert seen == [7]
+
+
 def test_blocks_that_cannot_reach_the_list_are_not_read(monkeypatch):
     """Tiny blocks: postings are skipped, and the lists equal those of all scores."""
     import numpy as np
